@@ -22,6 +22,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(rows.unionByName(extra)))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.ngram_join import join_documents
+
+    return join_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """Every document's ids through the block files and back."""
     from pactum.llm.token_files import token_report
@@ -52,6 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op4_ngram_join": op4_ngram_join,
     "op8_token_files": op8_token_files,
     "op9_pii_spans": op9_pii_spans,
     "op10_url_filter": op10_url_filter,

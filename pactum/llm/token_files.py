@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum.llm.shared import broadcast_if_small, fresh_path
+from pactum.llm.wordhash import worker_memory
 
 #: The dictionary is trained on at most so many documents and ids of each; it is a model, the files hold every id.
 DICTIONARY_DOCS, DICTIONARY_IDS, DICTIONARY_BYTES = 1024, 2048, 64 << 10
@@ -115,6 +116,14 @@ def _tokenizer_spec(path: str) -> str:
         return f.read()
 
 
+def _encoder(spec: str) -> ChunkEncoder:
+    """One per worker process, with what it has learnt."""
+    memory, key = worker_memory(), f"encoder {hashlib.sha256(spec.encode()).hexdigest()}"
+    if key not in memory:
+        memory[key] = ChunkEncoder(spec)
+    return memory[key]
+
+
 def _encoded(texts, encoder: ChunkEncoder, end_id: int | None):
     """Yield an array of ids per text, about ENCODE_CHARS at a time."""
     import numpy as np
@@ -145,7 +154,7 @@ def train_dictionary(docs: DataFrame, spec: str, end_id: int | None, n_rows: int
     def ids(batches):
         import pandas as pd
 
-        encoder = ChunkEncoder(spec)
+        encoder = _encoder(spec)
         dtype = "<u2" if encoder.size <= 1 << 16 else "<u4"
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
@@ -184,7 +193,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         from pyspark import TaskContext
 
         spec, dictionary = shared.value
-        encoder, shard = ChunkEncoder(spec), TaskContext.get().partitionId()
+        encoder, shard = _encoder(spec), TaskContext.get().partitionId()
         dtype = "<u2" if encoder.size <= 1 << 16 and (end_id or 0) < 1 << 16 else "<u4"
         squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=3)
         block, first, ids, counts, frames, size = 0, 0, [], [], [], 0

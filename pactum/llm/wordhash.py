@@ -11,6 +11,9 @@ segment size (or the longest single word).
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 
 SEGMENT_BYTES = 1 << 21
@@ -22,12 +25,17 @@ _WS[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
-_powers: dict[str, np.ndarray] = {}
+
+
+def worker_memory() -> dict:
+    """A dictionary that lives as long as the Python process and never travels with a function."""
+    return sys.modules.setdefault("_pactum_memory", types.ModuleType("_pactum_memory")).__dict__
 
 
 def _power_table(kind: str, n: int) -> np.ndarray:
     """Powers (or inverse powers) of the base modulo 2**64, grown on demand."""
-    have = _powers.get(kind)
+    memory = worker_memory()
+    have = memory.get(f"powers {kind}")
     if have is None or len(have) < n:
         base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
         size = max(n, SEGMENT_BYTES + 1024)
@@ -35,7 +43,7 @@ def _power_table(kind: str, n: int) -> np.ndarray:
         out[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(out)
-        _powers[kind] = have
+        memory[f"powers {kind}"] = have
     return have
 
 
@@ -144,7 +152,6 @@ def word_hashes(texts):
     n = 0
     for first, w in runs(texts):
         last = int(w.doc[-1]) if len(w.doc) else -1
-        count = int(w.raw.count(b"\n")) if False else None  # noqa: F841
         cut = np.searchsorted(w.doc, np.arange(last + 2))
         for d in range(last + 1):
             k = first + d
