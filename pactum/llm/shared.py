@@ -38,19 +38,24 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if n * row_bytes <= limit else df
 
 
-def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+#: Up to so many links (16 MB) one task joins them by union-find; beyond that the rounds below do.
+FEW_LINKS = 1_000_000
+
+
+def components(edges: DataFrame, name: str, max_rounds: int = 60, few_links: int = FEW_LINKS) -> DataFrame:
     """Connected components of links: (node, component = smallest node reachable), for nodes that have links.
 
     edges: (src, dst) longs; order, repeats and self links don't matter.
-    Alternates large-star and small-star steps: each node's neighbours are hung
-    on the smallest one, until every node hangs on its root.  Minima are
-    map-side combined, a hub's rows are joined (and split by AQE when skewed),
-    and each round ends in a table in the shared folder.
+    Counted first: a bounded number of links is joined in one task.  More are
+    joined in rounds of large-star and small-star steps: each node's neighbours
+    are hung on the smallest one, until every node hangs on its root.  Minima
+    are map-side combined, a hub's rows are joined (and split by AQE when
+    skewed), and each round ends in a table in the shared folder.
     """
-    spark = edges.sparkSession
-    hung = _oriented(edges)
-    hung = stash(hung, f"{name}-links")
+    hung = stash(_oriented(edges), f"{name}-links")
     before = _signature(hung)
+    if before[0] <= few_links:
+        return stash(hung.coalesce(1).mapInPandas(_joined, "node long, component long"), f"{name}-components")
     for _ in range(max_rounds):
         both = hung.unionByName(hung.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -70,6 +75,27 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     return children.unionByName(hung.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
+def _joined(batches):
+    import numpy as np
+    import pandas as pd
+
+    parts = [b[["hi", "lo"]].to_numpy(np.int64) for b in batches]
+    if not parts or not sum(map(len, parts)):
+        return
+    ids, links = np.unique(np.concatenate(parts), return_inverse=True)
+    root = list(range(len(ids)))
+    for a, b in links.reshape(-1, 2).tolist():
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        root[max(a, b)] = min(a, b)
+    # ids are in order and every link points down, so one pass upwards settles all
+    for k, r in enumerate(root):
+        root[k] = root[r]
+    yield pd.DataFrame({"node": ids, "component": ids[np.array(root)]})
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     return (
         edges.where(F.col("src") != F.col("dst"))

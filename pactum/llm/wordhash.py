@@ -97,7 +97,30 @@ def _hash_buffer(raw: bytes, doc_of_byte_end: np.ndarray) -> Words:
 
 
 def encode(text) -> bytes:
-    return b"" if text is None else text.encode("utf-8", "surrogatepass")
+    """UTF-8 bytes of a text (or of bytes, or of null: none)."""
+    if text is None:
+        return b""
+    return text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
+
+
+class TextColumn:
+    """The texts of an Arrow string column as bytes, cut out one at a time and never all copied."""
+
+    def __init__(self, column):
+        import pyarrow as pa
+
+        large = pa.types.is_large_string(column.type)
+        _, offsets, data = column.buffers()
+        self.offsets = np.frombuffer(offsets, dtype=np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0]
+        self.data, self.nulls = data, column.is_null().to_numpy(zero_copy_only=False) if column.null_count else None
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def __iter__(self):
+        for k in range(len(self)):
+            a, b = int(self.offsets[k]), int(self.offsets[k + 1])
+            yield b"" if a == b or (self.nulls is not None and self.nulls[k]) else self.data[a:b].to_pybytes()
 
 
 def _cuts(blob: bytes, limit: int) -> list[bytes]:
