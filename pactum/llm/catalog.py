@@ -28,6 +28,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.vector_dedup import dedup_vectors
+
+    return dedup_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """Every document's ids through the block files and back."""
     from pactum.llm.token_files import token_report
@@ -59,6 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op4_ngram_join": op4_ngram_join,
+    "op5_vector_dedup": op5_vector_dedup,
     "op8_token_files": op8_token_files,
     "op9_pii_spans": op9_pii_spans,
     "op10_url_filter": op10_url_filter,
