@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that leaked into it."""
+    from pactum.llm.decontaminate import leaked
+
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts look like control strings."""
     from pactum.llm.chat import conversation_digests, format_conversations
@@ -22,6 +29,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(rows.unionByName(extra)))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactum.llm.ngram_join import join_documents
 
@@ -34,6 +47,25 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.quality import classify
+
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "doc_score", "site_rate", "quality_score", "keep")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by labels of the rows whose crc32(doc_id as text) mod 5 isn't 0."""
+    from pactum.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = lambda c: F.pmod(F.crc32(c.cast("string")), F.lit(5))
+    model = train(docs, table(spark, sf_dir, "labels"), lambda c: fold(c) != 0)
+    scored = score(docs, model)
+    spans = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", spans.alias("offending"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """Every document's ids through the block files and back."""
     from pactum.llm.token_files import token_report
@@ -63,9 +95,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
+    "op3_mix_sources": op3_mix_sources,
     "op4_ngram_join": op4_ngram_join,
     "op5_vector_dedup": op5_vector_dedup,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op9_pii_spans": op9_pii_spans,
     "op10_url_filter": op10_url_filter,

@@ -38,6 +38,26 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if n * row_bytes <= limit else df
 
 
+def with_computed(df: DataFrame, fields: str, compute) -> DataFrame:
+    """df with further columns that compute(batches) yields, as one list of Arrow arrays for each Arrow batch.
+
+    Rows and all other columns pass through untouched, so no join is needed to
+    put results beside whole documents.  `fields` must not clash with df's names.
+    """
+    from pyspark.sql.types import StructType
+
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        state = compute()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *state(batch)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 #: Up to so many links (16 MB) one task joins them by union-find; beyond that the rounds below do.
 FEW_LINKS = 1_000_000
 

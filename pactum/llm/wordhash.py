@@ -22,6 +22,9 @@ _U = np.uint64
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation, for words without their punctuation.
+_LOOSE = _WS.copy()
+_LOOSE[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
@@ -76,9 +79,9 @@ def _finish(cumulative, start, stop, salt: int) -> np.ndarray:
         return mix64(h + (stop - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(salt))
 
 
-def _hash_buffer(raw: bytes, doc_of_byte_end: np.ndarray) -> Words:
+def _hash_buffer(raw: bytes, doc_of_byte_end: np.ndarray, loose: bool = False) -> Words:
     arr = np.frombuffer(raw, dtype=np.uint8)
-    ws = _WS[arr]
+    ws = (_LOOSE if loose else _WS)[arr]
     edge = np.flatnonzero(ws[1:] != ws[:-1]) + 1
     bounds = edge
     if not ws[0]:
@@ -140,7 +143,7 @@ def _cuts(blob: bytes, limit: int) -> list[bytes]:
     return out
 
 
-def runs(texts, limit: int = SEGMENT_BYTES):
+def runs(texts, limit: int = SEGMENT_BYTES, loose: bool = False):
     """Yield (first, Words) over consecutive texts, about `limit` bytes at a time.
 
     Words.doc counts from `first`.  A text larger than `limit` comes as several
@@ -150,30 +153,30 @@ def runs(texts, limit: int = SEGMENT_BYTES):
     for k, text in enumerate(texts):
         blob = encode(text)
         if held and size + len(blob) > limit:
-            yield first, _joined(held)
+            yield first, _joined(held, loose)
             first, held, size = k, [], 0
         if len(blob) > limit:
             for piece in _cuts(blob, limit):
-                yield k, _joined([piece])
+                yield k, _joined([piece], loose)
             first = k + 1
             continue
         held.append(blob)
         size += len(blob) + 1
     if held:
-        yield first, _joined(held)
+        yield first, _joined(held, loose)
 
 
-def _joined(blobs: list[bytes]) -> Words:
+def _joined(blobs: list[bytes], loose: bool = False) -> Words:
     raw = b"\n".join(blobs) + b"\n"
     ends = np.cumsum(np.fromiter((len(b) + 1 for b in blobs), dtype=np.int64, count=len(blobs)))
-    return _hash_buffer(raw, ends)
+    return _hash_buffer(raw, ends, loose)
 
 
-def word_hashes(texts):
-    """Yield (k, hashes) once for each text in order, over the whole text."""
+def word_hashes(texts, loose: bool = False):
+    """Yield (k, hashes) once for each text in order, over the whole text; loose: punctuation separates words too."""
     pending_k, pending = None, []
     n = 0
-    for first, w in runs(texts):
+    for first, w in runs(texts, loose=loose):
         last = int(w.doc[-1]) if len(w.doc) else -1
         cut = np.searchsorted(w.doc, np.arange(last + 2))
         for d in range(last + 1):
