@@ -1,0 +1,130 @@
+"""Registry, history, workflow, proof, ledger and audit reads, as set-based SQL over the domain tables.
+
+Latest and first rows always break ties by id; thresholds and label names are
+fixed values of the domain.
+"""
+
+LABEL = "CASE WHEN {s} >= 80 THEN 'HIGH' WHEN {s} >= 50 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+def label(score: str) -> str:
+    return LABEL.replace("{s}", f"coalesce({score}, 0)")
+
+
+LATEST = "SELECT contract_id, id AS version_id, version_number FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY version_number DESC, id DESC) AS rn FROM {version}) v WHERE rn = 1"
+
+QUERIES = {
+    # contracts with their latest version, its score and label; a zero value shows as null
+    "contract_portfolio": f"""SELECT c.id, c.contract_code, c.title, c.status, nullif(c.contract_value, 0) AS contract_value, c.created_at, v.version_number, a.overall_score,
+            CASE WHEN a.overall_score IS NOT NULL THEN {label('a.overall_score')} END AS risk_label
+        FROM {{contract}} c LEFT JOIN ({LATEST}) v ON v.contract_id = c.id LEFT JOIN {{analysis}} a ON a.version_id = v.version_id""",
+    "risk_score": """SELECT version_id, findings, overall_score, concat('Total ', findings, ' findings, score ', overall_score) AS summary FROM {analysis}""",
+    "analysis_history": f"""WITH named AS (SELECT f.version_id, r.rule_name, min(f.rule_id) AS first_rule FROM {{finding}} f JOIN {{rule}} r ON r.id = f.rule_id GROUP BY f.version_id, r.rule_name),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY first_rule, rule_name) AS rn FROM named),
+        top AS (SELECT version_id, concat(max(CASE WHEN rn = 1 THEN rule_name END), coalesce('; ' || max(CASE WHEN rn = 2 THEN rule_name END), ''), coalesce('; ' || max(CASE WHEN rn = 3 THEN rule_name END), '')) AS risk_names
+            FROM ranked WHERE rn <= 3 GROUP BY version_id)
+        SELECT a.version_id, c.contract_code, a.findings, a.overall_score, {label('a.overall_score')} AS risk_label, CASE WHEN t.version_id IS NULL THEN '' ELSE t.risk_names END AS risk_names
+        FROM {{analysis}} a JOIN {{version}} v ON v.id = a.version_id JOIN {{contract}} c ON c.id = v.contract_id LEFT JOIN top t ON t.version_id = a.version_id""",
+    "history_search": f"""SELECT c.contract_code, c.title, a.overall_score FROM {{analysis}} a JOIN {{version}} v ON v.id = a.version_id JOIN {{contract}} c ON c.id = v.contract_id
+        WHERE {label('a.overall_score')} = 'HIGH' AND (contains(lower(coalesce(c.contract_code, '')), 'agreement 1') OR contains(lower(coalesce(c.title, '')), 'agreement 1'))
+        ORDER BY a.overall_score DESC, a.version_id""",
+    "contract_kpis": f"""SELECT count(*) AS total, count(CASE WHEN a.overall_score >= 80 THEN 1 END) AS high_risk, count(CASE WHEN c.status = 'ANALYZED' THEN 1 END) AS pending
+        FROM {{contract}} c LEFT JOIN ({LATEST}) v ON v.contract_id = c.id LEFT JOIN {{analysis}} a ON a.version_id = v.version_id""",
+    "history_kpis": """SELECT count(*) AS total, count(CASE WHEN overall_score >= 80 THEN 1 END) AS high_count, CAST(floor(coalesce(avg(overall_score), 0) + 0.5) AS BIGINT) AS mean_score FROM {analysis}""",
+    "global_counts": """SELECT (SELECT count(*) FROM {staff}) AS users, (SELECT count(*) FROM {company}) AS companies, (SELECT count(*) FROM {contract}) AS contracts, (SELECT count(*) FROM {request}) AS logs""",
+    "risk_catalog": """SELECT DISTINCT c.id, c.title, c.contract_code FROM {contract} c WHERE EXISTS (
+            SELECT 1 FROM {version} v JOIN {finding} f ON f.version_id = v.id JOIN {rule} r ON r.id = f.rule_id WHERE v.contract_id = c.id AND r.rule_name LIKE 'blue%')""",
+    "company_directory": """SELECT id, company_name, tax_code FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(coalesce(nullif(tax_code, ''), company_name))) ORDER BY company_name, id DESC) AS rn FROM {company}) k WHERE rn = 1""",
+    "user_directory": """SELECT u.id, u.user_name, coalesce(r.role_name, 'N/A') AS role_name, coalesce(c.company_name, 'N/A') AS company_name FROM {staff} u LEFT JOIN {role} r ON r.id = u.role_id LEFT JOIN {company} c ON c.id = u.company_id""",
+    "role_gate": """SELECT u.id, u.user_name FROM {staff} u JOIN {role} r ON r.id = u.role_id WHERE upper(r.role_name) IN ('MANAGER', 'ADMIN')""",
+    "audit_page": """SELECT q.id, q.path, coalesce(u.user_name, 'System') AS user_name, (SELECT greatest(1, CAST(ceil(count(*) / 10.0) AS BIGINT)) FROM {request}) AS pages
+        FROM {request} q LEFT JOIN {staff} u ON u.id = q.user_id ORDER BY q.created_at DESC, q.id DESC LIMIT 10 OFFSET 20""",
+    "tenant_scope": """SELECT u.id AS user_id, c.id AS company_id FROM {staff} u JOIN {company} c ON u.company_id IS NULL OR u.company_id = c.id OR u.role_id = 1 AND c.id <= 20
+            OR contains(lower(u.user_name), 'vin') AND contains(lower(c.company_name), 'vin')""",
+    "contract_info_lookup": """SELECT w.id AS workflow_id, coalesce(c.contract_code, '') AS contract_code, coalesce(v.version_number, 1) AS version_number
+        FROM {workflow} w LEFT JOIN {version} v ON v.id = w.id * 8 + 3 LEFT JOIN {contract} c ON c.id = v.contract_id""",
+    "company_versions": """SELECT v.id AS version_id FROM {version} v JOIN {contract} c ON c.id = v.contract_id WHERE c.company_id IN (1, 7, 19, 42)""",
+    "latest_and_oldest": """SELECT contract_id, max(CASE WHEN newest = 1 THEN version_id END) AS latest_version, max(CASE WHEN oldest = 1 THEN version_id END) AS oldest_version, max(version_number) + 1 AS next_number
+        FROM (SELECT contract_id, id AS version_id, version_number, row_number() OVER (PARTITION BY contract_id ORDER BY version_number DESC, id DESC) AS newest,
+              row_number() OVER (PARTITION BY contract_id ORDER BY id) AS oldest FROM {version}) x GROUP BY contract_id""",
+    "previous_versions": """SELECT v.id AS version_id, p.id AS previous_id FROM {version} v LEFT JOIN {version} p ON p.contract_id = v.contract_id AND p.version_number = v.version_number - 1""",
+    "rule_codes": """SELECT rule_name, min(id) AS rule_id, upper(replace(replace(rule_name, ' ', '_'), '-', '_')) AS created_code, regexp_replace(upper(replace(replace(rule_name, ' ', '_'), '-', '_')), '[^A-Z0-9_]', '') AS rule_code FROM {rule} GROUP BY rule_name""",
+    "finding_clause_match": """SELECT DISTINCT a.id AS clause_id, b.id AS other_id FROM {clause} a JOIN {clause} b ON a.version_id = b.version_id AND a.id < b.id
+        AND (lower(trim(a.title)) = lower(trim(b.title)) OR trim(a.title) <> '' AND trim(b.title) <> '' AND (contains(lower(trim(b.title)), lower(trim(a.title))) OR contains(lower(trim(a.title)), lower(trim(b.title)))))""",
+    "law_article_lookup": """SELECT law_id, law_name, article_number, article_title FROM {law} WHERE law_name = 'Law 2' AND article_number = 'Article 7'""",
+    "hash_proofs": """SELECT version_id, document_hash, file_size, previous_hash, sha2(concat(document_hash, coalesce(previous_hash, '')), 256) AS merkle_root FROM (
+            SELECT version_id, sha2(coalesce(nullif(content, ''), concat_ws('-', contract_code, version_id, '')), 256) AS document_hash,
+                CASE WHEN coalesce(content, '') <> '' THEN octet_length(encode(content, 'UTF-8')) ELSE length(concat_ws('-', contract_code, version_id, '')) END AS file_size,
+                CASE WHEN previous_content IS NOT NULL THEN sha2(coalesce(nullif(previous_content, ''), concat_ws('-', previous_code, version_id - 1, '')), 256) END AS previous_hash FROM {proof}) h""",
+    "verify_proofs": """SELECT version_id, CASE WHEN version_id % 17 = 0 THEN 'No hash proof generated for this version.'
+            WHEN version_id % 5 = 0 THEN 'Integrity check failed: document hash mismatch.'
+            WHEN version_id % 7 = 0 AND previous_content IS NOT NULL THEN 'Version chain integrity check failed: previous hash mismatch.'
+            WHEN t.proof_id IS NOT NULL THEN 'Integrity successfully verified with blockchain anchors.' ELSE 'Integrity verified locally, but not anchored to the blockchain.' END AS message,
+            NOT (version_id % 17 = 0 OR version_id % 5 = 0 OR version_id % 7 = 0 AND previous_content IS NOT NULL) AS verified
+        FROM {proof} p LEFT JOIN (SELECT DISTINCT user_id AS proof_id FROM {approval} WHERE status = 'FORCE_COMPLETE') t ON t.proof_id = p.version_id""",
+    "ledger_stats": """SELECT count(*) AS transactions, count(DISTINCT record_key) AS records, count(CASE WHEN is_delete THEN 1 END) AS deletions, coalesce(max(tx_id), 0) AS max_block FROM {ledger}""",
+    "ledger_history": """SELECT record_key, tx_id, written_at, is_delete, coalesce(record, '') AS record, row_number() OVER (PARTITION BY record_key ORDER BY written_at, tx_id) AS revision,
+            row_number() OVER (PARTITION BY record_key ORDER BY written_at DESC, tx_id DESC) = 1 AND NOT is_delete AS is_current FROM {ledger}""",
+    "ledger_put_if_absent": """SELECT record_key, tx_id, record FROM (SELECT *, row_number() OVER (PARTITION BY record_key ORDER BY tx_id) AS rn FROM {ledger} WHERE NOT is_delete) n
+        WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM {company} c WHERE concat('COMPANY_', c.id) = n.record_key AND c.id < 50)""",
+    "proof_history": """SELECT p.version_id, t.id AS tx_id, count(a.id) AS audits FROM {proof} p JOIN {approval} t ON t.user_id = p.version_id AND t.status = 'FORCE_COMPLETE' LEFT JOIN {request} a ON a.user_id = p.version_id GROUP BY p.version_id, t.id""",
+    "top_transactions": """SELECT id, user_id, approved_at FROM {approval} ORDER BY approved_at DESC, id DESC LIMIT 20""",
+    "workflow_progress": """SELECT w.id, w.status, count(s.id) AS steps, count(CASE WHEN s.status = 'APPROVED' THEN 1 END) AS approved,
+            CASE WHEN count(s.id) = 0 THEN 0 ELSE CAST(floor(100.0 * count(CASE WHEN s.status = 'APPROVED' THEN 1 END) / count(s.id) + 0.5) AS BIGINT) END AS progress
+        FROM {workflow} w LEFT JOIN {step} s ON s.workflow_id = w.id GROUP BY w.id, w.status""",
+    "workflow_kpis": """SELECT count(*) AS total, count(CASE WHEN status = 'PENDING' THEN 1 END) AS pending, count(CASE WHEN status = 'IN_PROGRESS' THEN 1 END) AS in_progress, count(CASE WHEN status = 'COMPLETED' THEN 1 END) AS completed FROM {workflow}""",
+    "blocked_steps": """SELECT d.dependent_id AS step_id, count(*) AS unmet FROM {dependency} d JOIN {step} p ON p.id = d.prerequisite_id WHERE p.status <> 'APPROVED' OR p.status IS NULL GROUP BY d.dependent_id""",
+    "approvable_steps": """SELECT s.id FROM {step} s WHERE s.status = 'PENDING' AND NOT EXISTS (SELECT 1 FROM {dependency} d JOIN {step} p ON p.id = d.prerequisite_id WHERE d.dependent_id = s.id AND p.status <> 'APPROVED')""",
+    "reviewable_steps": """WITH gated AS (SELECT s.*, w.status AS workflow_status, contains(lower(step_name), 'ký kết hợp đồng') OR contains(lower(step_name), 'lưu trữ kho hồ sơ') AS closing,
+            role_id IN (5, 11) OR contains(lower(step_name), 'phê duyệt cấp quản lý') OR contains(lower(step_name), 'ban điều hành') AS manager,
+            row_number() OVER (PARTITION BY workflow_id ORDER BY step_order) AS place,
+            first_value(s.status) OVER (PARTITION BY workflow_id ORDER BY step_order) AS first_status,
+            coalesce(sum(CASE WHEN s.status <> 'APPROVED' THEN 1 ELSE 0 END) OVER (PARTITION BY workflow_id ORDER BY step_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_before
+            FROM {step} s JOIN {workflow} w ON w.id = s.workflow_id),
+        counted AS (SELECT *, sum(CASE WHEN status <> 'APPROVED' AND place > 1 AND NOT (contains(lower(step_name), 'ký kết hợp đồng') OR contains(lower(step_name), 'lưu trữ kho hồ sơ')) THEN 1 ELSE 0 END) OVER (PARTITION BY workflow_id) AS open_middle FROM gated)
+        SELECT id, workflow_id, step_order, status = 'PENDING' AND workflow_status IN ('PENDING', 'IN_PROGRESS') AND (place = 1 OR first_status = 'APPROVED' AND CASE
+            WHEN manager THEN open_middle - CASE WHEN closing OR status = 'APPROVED' THEN 0 ELSE 1 END = 0 WHEN closing OR contains(lower(step_name), 'bàn giao bản cứng') THEN open_before = 0 ELSE TRUE END) AS reviewable FROM counted""",
+    "first_pending_step": """SELECT workflow_id, id AS step_id FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY step_order) AS rn FROM {step} WHERE status = 'PENDING') p WHERE rn = 1""",
+    "step_renumber": """SELECT id, workflow_id, CASE WHEN step_order >= 3 THEN step_order + 1 ELSE step_order END AS after_insert, CASE WHEN step_order > 3 THEN step_order - 1 ELSE step_order END AS after_delete,
+            row_number() OVER (PARTITION BY workflow_id ORDER BY step_order) AS reindexed FROM {step}""",
+    # a plain approval is only recorded; a forced one approves, a rejection rejects
+    "approval_fold": """SELECT step_id, CASE WHEN count(CASE WHEN status = 'REJECTED' THEN 1 END) > 0 THEN 'REJECTED' WHEN count(CASE WHEN status = 'FORCE_COMPLETE' THEN 1 END) > 0 THEN 'APPROVED' ELSE 'PENDING' END AS step_status,
+            count(*) AS approvals, max(CASE WHEN rn = 1 THEN comment END) AS last_comment FROM (SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY id DESC) AS rn FROM {approval}) a GROUP BY step_id""",
+    "workflow_completion": """SELECT workflow_id, CASE WHEN count(*) = count(CASE WHEN status = 'APPROVED' THEN 1 END) THEN 'COMPLETED' ELSE 'IN_PROGRESS' END AS status FROM {step} GROUP BY workflow_id""",
+    "dependency_checks": """SELECT d.prerequisite_id, d.dependent_id, d.prerequisite_id <> d.dependent_id AND a.workflow_id = b.workflow_id AND r.dependent_id IS NULL AS accepted
+        FROM {dependency} d JOIN {step} a ON a.id = d.prerequisite_id JOIN {step} b ON b.id = d.dependent_id LEFT JOIN {dependency} r ON r.prerequisite_id = d.dependent_id AND r.dependent_id = d.prerequisite_id""",
+    "active_keys": """WITH own AS (SELECT company_id, id, key_version, row_number() OVER (PARTITION BY company_id ORDER BY key_version DESC, id DESC) AS rn FROM {signing_key} WHERE status = 'ACTIVE'),
+        any_key AS (SELECT id FROM {signing_key} WHERE status = 'ACTIVE' ORDER BY key_version DESC, id DESC LIMIT 1)
+        SELECT k.company_id, coalesce(o.id, a.id) AS key_id, o.id IS NULL AS borrowed FROM (SELECT DISTINCT company_id FROM {signing_key}) k LEFT JOIN own o ON o.company_id = k.company_id AND o.rn = 1 CROSS JOIN any_key a""",
+    "contract_status": """SELECT c.id, CASE WHEN a.rejected THEN 'DRAFT' WHEN a.contract_id IS NOT NULL AND a.done = a.total THEN 'APPROVED' ELSE c.status END AS status
+        FROM {contract} c LEFT JOIN (SELECT workflow_id AS contract_id, max(CASE WHEN status = 'REJECTED' THEN 1 ELSE 0 END) = 1 AS rejected, count(CASE WHEN status = 'APPROVED' THEN 1 END) AS done, count(*) AS total FROM {step} GROUP BY workflow_id) a ON a.contract_id = c.id""",
+    "default_workflow": """SELECT w.id, s.step_order, s.step_name, s.role_id, CASE WHEN left(w.t, 3) = 'WF_' THEN w.t WHEN w.t = '' THEN 'WF_STANDARD' ELSE concat('WF_', w.t) END AS workflow_type
+        FROM (SELECT id, upper(trim(coalesce(workflow_type, ''))) AS t FROM {workflow}) w CROSS JOIN (SELECT * FROM (VALUES (1, 'Rà soát & Tiếp nhận Dự thảo Hợp đồng', 4), (2, 'Phê duyệt Chủ trương Cấp Quản lý', 5),
+            (3, 'Thực hiện Ký kết Hợp đồng Chính thức', 4), (4, 'Bàn giao & Lưu trữ Kho Hồ sơ Hợp đồng', 4)) AS v(step_order, step_name, role_id)) s""",
+    "step_roles": """SELECT s.step_name, coalesce(m.role_id, 4) AS role_id, count(*) AS steps FROM {step} s LEFT JOIN (SELECT * FROM (VALUES ('Contract Negotiation', 4), ('Legal Review', 4), ('Technical Review', 7), ('Security Review', 8),
+            ('Compliance Review', 9), ('Finance Review', 6), ('Procurement Review', 10), ('Manager Approval', 5), ('Director Approval', 11), ('Executive Approval', 11), ('Contract Signing', 4), ('Document Archive', 4)) AS v(step_name, role_id)) m
+            ON m.step_name = s.step_name GROUP BY s.step_name, coalesce(m.role_id, 4)""",
+    "audit_classify": r"""SELECT id, substring(CASE
+            WHEN path = '/login/' AND method = 'POST' THEN 'Logged in successfully' WHEN path = '/logout/' THEN 'Logged out' WHEN path = '/admin-dashboard/' THEN 'Accessed custom Admin Dashboard'
+            WHEN path LIKE '/api/admin/users/%' AND contains(path, '/delete/') THEN concat('Admin request to delete user (ID: ', regexp_extract(path, '([^/]+)/delete/', 1), ')')
+            WHEN path LIKE '/api/admin/users/%' AND contains(path, '/retry/') THEN concat('Admin request to retry anchoring user (ID: ', regexp_extract(path, '([^/]+)/retry/', 1), ')')
+            WHEN path IN ('/api/contracts/', '/api/contracts/list/') AND method = 'POST' THEN 'Uploaded/Created a new contract'
+            WHEN path NOT IN ('/api/contracts/', '/api/contracts/list/') AND contains(path, '/analyze/') AND regexp_extract(path, '/contracts/([0-9]+)/analyze/', 1) <> '' THEN concat('Triggered AI analysis for contract (ID: ', regexp_extract(path, '/contracts/([0-9]+)/analyze/', 1), ')')
+            WHEN contains(path, '/review/') AND regexp_extract(path, '/contracts/([0-9]+)/review/', 1) <> '' THEN concat('Submitted expert review for contract (ID: ', regexp_extract(path, '/contracts/([0-9]+)/review/', 1), ')')
+            WHEN path = '/identity/' THEN 'Accessed Identity Registry' WHEN path = '/api/companies/' AND method = 'POST' THEN 'Registered a new company node'
+            WHEN path = '/api/register-user/' AND method = 'POST' THEN 'Registered a new decentralized staff identity' WHEN path = '/workflows/' THEN 'Accessed Workflow Board'
+            WHEN contains(path, '/workflows/detail/') THEN 'Viewed workflow detail page' WHEN contains(path, '/approve/') THEN 'Approved/Rejected workflow step'
+            WHEN method IN ('POST', 'PUT', 'DELETE', 'PATCH') THEN concat('Performed ', method, ' request on ', path)
+            WHEN method = 'GET' AND path NOT LIKE '/api/%' AND path NOT LIKE '/admin/%' THEN concat('Visited page: ', path) END, 1, 100) AS action
+        FROM {request} WHERE status_code < 400 AND NOT (path LIKE '/static/%' OR path LIKE '/media/%' OR path = '/api/admin/stats/' OR contains(path, 'favicon'))""",
+    "audit_mask": r"""SELECT id, CASE WHEN coalesce(forwarded_for, '') <> '' THEN regexp_extract(forwarded_for, '^([^,]*)', 1) ELSE remote_addr END AS ip_address,
+            substring(regexp_replace(concat(chr(123), '"password": "p', user_id, '", "note": "n"', chr(125)), '"(password|password_hash|secret)": "[^"]*"', '"password": "******"'), 1, 4000) AS payload FROM {request} WHERE method = 'POST'""",
+    "file_gate": r"""SELECT page_id, ext, CASE ext WHEN '.docx' THEN 'docx' WHEN '.pdf' THEN 'pdf' WHEN '.png' THEN 'image' WHEN '.jpg' THEN 'image' WHEN '.jpeg' THEN 'image' WHEN '.txt' THEN 'txt' END AS file_type,
+            CASE ext WHEN '.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN '.pdf' THEN 'application/pdf' WHEN '.png' THEN 'image/png' WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg'
+            WHEN '.txt' THEN 'text/plain' WHEN '.html' THEN 'text/html' ELSE 'application/octet-stream' END AS mime, round(size_bytes / 1048576.0, 2) AS size_mb
+        FROM (SELECT page_id, lower(regexp_extract(concat(regexp_replace(url, '[?#].*$', ''), CASE page_id % 4 WHEN 0 THEN '/a.PDF' WHEN 1 THEN '/b.docx' ELSE '' END), '(\\.[A-Za-z0-9]+)$', 1)) AS ext, length(html) AS size_bytes FROM {pages}) p""",
+    "page_scan_flags": """SELECT conv_id AS doc_id, count(*) AS pages, count(CASE WHEN length(replace(replace(text, ' ', ''), chr(10), '')) < 50 THEN 1 END) AS scan_pages,
+            count(CASE WHEN length(replace(replace(text, ' ', ''), chr(10), '')) < 50 THEN 1 END) * 2 > count(*) AS is_scan,
+            round(coalesce(avg(CASE WHEN role = 'user' THEN (turn % 10) / 10.0 END), 1.0), 4) AS ocr_confidence FROM {conversations} GROUP BY conv_id""",
+    "clause_texts": """SELECT version_id, id, substring(content, 1, 800) AS content FROM (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY id) AS rn FROM {clause}) c WHERE rn <= 15""",
+}

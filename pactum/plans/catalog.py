@@ -1,4 +1,29 @@
 """Registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pactum.operators import relational
+from pactum.plans import text_queries
+from pactum.sources.domain import Domain, twin
+
+
+def _query(sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Domain(spark, sf_dir).sql(sql)
+
+    return run
+
+
+def _twin(name: str, sql: str) -> str:
+    out = twin(sql)
+    if name == "hash_proofs":
+        out = re.sub(r"sha2\(", "sha256(", out).replace(", 256)", ")").replace("octet_length(encode(content, 'UTF-8'))", "octet_length(encode(content))")
+    return out.replace("'(\\\\.[A-Za-z0-9]+)$'", "'(\\.[A-Za-z0-9]+)$'")
+
+
+QUERIES = {name: _query(sql) for name, sql in relational.QUERIES.items()} | text_queries.QUERIES
+ORACLES = {name: _twin(name, sql) for name, sql in relational.QUERIES.items()} | text_queries.ORACLES
