@@ -182,18 +182,24 @@ class Graph:
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
-def unit_vectors(column) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have a direction, and their unit vectors in doubles."""
-    sound = [k for k, x in enumerate(column) if x is not None and len(x)]
-    if not sound:
-        return np.zeros(0, int), np.zeros((0, 1))
-    raw = np.array([np.asarray(column[k], dtype=np.float64) for k in sound])
-    with np.errstate(all="ignore"):
-        top = np.abs(raw).max(axis=1, keepdims=True)
-        raw = raw / top
-        unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-    good = np.isfinite(unit).all(axis=1)
-    return np.array(sound)[good], unit[good]
+def unit_vectors(column) -> tuple[list[int], list[np.ndarray]]:
+    """Rows that have a direction, and their unit vectors in doubles; rows may differ in length."""
+    lengths: dict[int, list[int]] = {}
+    for k, x in enumerate(column):
+        if x is not None and len(x):
+            lengths.setdefault(len(x), []).append(k)
+    rows, out = [], []
+    for own in lengths.values():
+        raw = np.array([np.asarray(column[k], dtype=np.float64) for k in own])
+        with np.errstate(all="ignore"):
+            # scaled first, so that neither very large nor very small numbers overflow when squared
+            raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+            unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+        for k, u in zip(own, unit, strict=True):
+            if np.isfinite(u).all():
+                rows.append(k)
+                out.append(u)
+    return rows, out
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
