@@ -29,9 +29,11 @@ from pactum.llm.wordhash import TextColumn, shingles, word_hashes
 WIDTH, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
 #: Share of its own score from which an item is retrieved.
-SHARE = 0.4
+SHARE = 0.5
+#: Words of documents that are queried together.
+AT_ONCE = 100_000
 #: Items in a block; items in one index (further ones are indexed and scanned apart); shortest window in words.
-BLOCK_ITEMS, INDEX_ITEMS, LEAST_WINDOW = 16, 2048, 128
+BLOCK_ITEMS, INDEX_ITEMS, LEAST_WINDOW = 4, 2048, 128
 LEAKS = "item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double"
 
 
@@ -52,21 +54,21 @@ class Index:
         # long items by long ones, so that thresholds in a block are alike
         sound.sort(key=lambda k: (len(words[k]), k))
         self.ids = np.array([items[k][0] for k in sound], dtype=np.int64)
-        self.words = [words[k] for k in sound]
-        self.whole = [np.unique(shingles(w, WIDTH)) for w in self.words]
+        own_words = [words[k] for k in sound]
+        self.whole = [np.unique(shingles(w, WIDTH)) for w in own_words]
         parts = [_parts(texts[k]) for k in sound]
         self.question = [np.unique(shingles(w, WIDTH)) for _, w in word_hashes([p[0] for p in parts], loose=True)]
         self.answer = [np.unique(shingles(w, WIDTH)) for _, w in word_hashes([p[1] for p in parts], loose=True)]
         n = len(sound)
-        self.window = 2 * max([LEAST_WINDOW // 2, *map(len, self.words)])
-        self.terms = np.unique(np.concatenate([np.unique(w) for w in self.words])) if n else np.zeros(0, np.uint64)
+        self.window = 2 * max([LEAST_WINDOW // 2, *map(len, own_words)])
+        self.terms = np.unique(np.concatenate([np.unique(w) for w in own_words])) if n else np.zeros(0, np.uint64)
         self.impact = np.zeros((len(self.terms), n), dtype=np.float32)
         if not n:
             return
-        lengths = np.array([len(w) for w in self.words])
+        lengths = np.array([len(w) for w in own_words])
         norm = K1 * (1 - B + B * lengths / lengths.mean())
         df = np.zeros(len(self.terms))
-        for k, w in enumerate(self.words):
+        for k, w in enumerate(own_words):
             t, tf = np.unique(w, return_counts=True)
             at = np.searchsorted(self.terms, t)
             df[at] += 1
@@ -79,45 +81,55 @@ class Index:
         self.known = np.zeros(1 << 20, dtype=bool)
         self.known[(self.terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
-    def retrieve(self, words: np.ndarray) -> dict[int, float]:
-        """Best score over the text's windows of every item that reaches its threshold in some window."""
-        if not len(self.ids):
-            return {}
+    def retrieve(self, texts: list[np.ndarray]) -> list[dict[int, float]]:
+        """For each text the best score over its windows of every item that reaches its threshold in some window."""
+        out: list[dict[int, float]] = [{} for _ in texts]
+        sizes = np.array([len(t) for t in texts])
+        words = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint64)
+        if not len(self.ids) or not len(words):
+            return out
         maybe = np.flatnonzero(self.known[(words & np.uint64(0xFFFFF)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.terms, words[maybe]), len(self.terms) - 1)
         hit = self.terms[at] == words[maybe]
         place, term = maybe[hit], at[hit]
         if not len(place):
-            return {}
-        step, last = self.window // 2, max(0, -(-len(words) // (self.window // 2)) - 2)
-        first = place // step
-        windows = np.concatenate((np.minimum(first, last), np.clip(first - 1, 0, last)))
-        pairs = np.unique(windows * len(self.terms) + np.concatenate((term, term)))
+            return out
+        step = self.window // 2
+        begins = np.concatenate(([0], np.cumsum(sizes)))
+        last = np.maximum(0, -(-sizes // step) - 2)
+        base = np.concatenate(([0], np.cumsum(last + 1)))
+        text = np.searchsorted(begins, place, side="right") - 1
+        first = (place - begins[text]) // step
+        window = np.concatenate((np.minimum(first, last[text]), np.clip(first - 1, 0, last[text]))) + np.concatenate((base[text], base[text]))
+        pairs = np.sort(window * len(self.terms) + np.concatenate((term, term)))
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         window, term = pairs // len(self.terms), pairs % len(self.terms)
         begin = np.flatnonzero(np.diff(window, prepend=-1))
         stop = np.append(begin[1:], len(window))
         bound = np.add.reduceat(self.block_max[term], begin, axis=0)
-        found: dict[int, float] = {}
-        for w, b in zip(*np.nonzero(bound >= self.block_least), strict=True):
+        for b in np.flatnonzero((bound >= self.block_least).any(axis=0)):
+            near = np.flatnonzero(bound[:, b] >= self.block_least[b])
+            lengths = stop[near] - begin[near]
+            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            rows = np.arange(lengths.sum()) + np.repeat(begin[near] - starts, lengths)
             own = self.blocks[b]
-            score = self.impact[term[begin[w] : stop[w]], own].sum(axis=0)
-            for k in np.flatnonzero(score >= self.least[own]):
-                item = own.start + int(k)
-                found[item] = max(found.get(item, 0.0), float(score[k]))
-        return found
-
-    def leaks(self, words: np.ndarray) -> list[dict]:
-        found = self.retrieve(words)
-        if not found:
-            return []
-        have = np.unique(shingles(words, WIDTH)) if len(words) >= WIDTH else None
-        out = []
-        for item, score in sorted(found.items(), key=lambda x: self.ids[x[0]]):
-            share = [self._share(s, have, words) for s in (self.whole[item], self.question[item], self.answer[item])]
-            if share[0] >= OVERLAP or min(share[1:]) >= OVERLAP:
-                out.append({"item_id": int(self.ids[item]), "bm25": score, "overlap": share[0], "question_overlap": share[1], "answer_overlap": share[2]})
+            score = np.add.reduceat(self.impact[term[rows], own], starts, axis=0)
+            for w, k in zip(*np.nonzero(score >= self.least[own]), strict=True):
+                t, item = int(np.searchsorted(base, window[begin[near[w]]], side="right")) - 1, own.start + int(k)
+                out[t][item] = max(out[t].get(item, 0.0), float(score[w, k]))
         return out
 
+    def leaks(self, texts: list[np.ndarray]):
+        """Yield for each text (its word hashes) the items that leaked into it."""
+        for words, found in zip(texts, self.retrieve(texts), strict=True):
+            have = np.unique(shingles(words, WIDTH)) if found and len(words) >= WIDTH else None
+            out = []
+            for item, score in sorted(found.items(), key=lambda x: self.ids[x[0]]):
+                share = [self._share(s, have, words) for s in (self.whole[item], self.question[item], self.answer[item])]
+                if share[0] >= OVERLAP or min(share[1:]) >= OVERLAP:
+                    out.append({"item_id": int(self.ids[item]), "bm25": score, "overlap": share[0], "question_overlap": share[1], "answer_overlap": share[2]})
+            yield out
+
     def _share(self, wanted: np.ndarray, have, words: np.ndarray) -> float:
         if not len(wanted):
             return 0.0
@@ -160,7 +172,15 @@ def _scanner(index, text: str):
         own = index.value
 
         def scan(batch):
-            return [pa.array([own.leaks(w) for _, w in word_hashes(TextColumn(batch.column(text)), loose=True)], kind)]
+            out, held, size = [], [], 0
+            for _, words in word_hashes(TextColumn(batch.column(text)), loose=True):
+                held.append(words)
+                size += len(words)
+                if size >= AT_ONCE:
+                    out += own.leaks(held)
+                    held, size = [], 0
+            out += own.leaks(held)
+            return [pa.array(out, kind)]
 
         return scan
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactum.llm.wordhash import tidy
+
 #: A side is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 64 << 20
 
@@ -54,6 +56,8 @@ def with_computed(df: DataFrame, fields: str, compute) -> DataFrame:
         state = compute()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *state(batch)], names=schema.names)
+            del batch
+            tidy()
 
     return df.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ import types
 
 import numpy as np
 
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -35,6 +35,18 @@ def worker_memory() -> dict:
     return sys.modules.setdefault("_pactum_memory", types.ModuleType("_pactum_memory")).__dict__
 
 
+def tidy() -> None:
+    """Give memory that is free again back to the machine; workers are reused and stand beside a JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _power_table(kind: str, n: int) -> np.ndarray:
     """Powers (or inverse powers) of the base modulo 2**64, grown on demand."""
     memory = worker_memory()
