@@ -16,6 +16,7 @@ little-endian unsigned integers, 16 bits wide when the vocabulary allows.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,13 @@ DICTIONARY_DOCS, DICTIONARY_IDS, DICTIONARY_BYTES = 1024, 2048, 64 << 10
 #: A block is closed when its frames reach this size.
 BLOCK_BYTES = 1 << 20
 #: Texts are encoded about so many characters at a time.
-ENCODE_CHARS = 1 << 20
-#: Chunks remembered with their ids in one task.
-CACHE_CHUNKS = 400_000
+ENCODE_CHARS = 1 << 21
+#: Chunks remembered with their ids in one worker, and the longest that are.
+CACHE_CHUNKS, CACHE_CHARS = 1_200_000, 14
+#: Letters before this are the same in all recent versions of Unicode.
+LETTERS_END = "\u0530"
+#: White space other than spaces and line feeds.
+OTHER_SPACES = tuple(chr(k) for k in range(0x3001) if chr(k).isspace() and chr(k) not in " \n")
 
 
 class ChunkEncoder:
@@ -39,19 +44,18 @@ class ChunkEncoder:
 
     The vocabulary's splitting never joins a character to a single space after
     it, so a text whose spaces all stand between other characters is the
-    concatenation of its chunks (a space and what follows it).  Chunks not seen
-    before are encoded together as one text and cut apart by the byte length of
-    each id; where a cut doesn't fall between two ids the chunk is encoded
-    alone.  Texts with other white space beside a space are encoded whole.
+    concatenation of its chunks (a space and what follows it).  A new chunk is
+    split by the vocabulary's own pattern and its pieces go to the tokenizer's
+    model.  Texts with other white space beside a space are encoded whole.
     """
 
     def __init__(self, spec: str):
         import json
         import os
-        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
+        import regex
         from tokenizers import Tokenizer
 
         self.np, self.tokenizer = np, Tokenizer.from_str(spec)
@@ -61,55 +65,83 @@ class ChunkEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         added = {x["content"]: x for x in parsed.get("added_tokens", [])}
         self.chunked &= not any(" " in c or x.get("lstrip") or x.get("rstrip") for c, x in added.items())
-        # in a byte-level vocabulary each character of a token stands for one byte
-        lengths = np.zeros(self.size, dtype=np.int64)
-        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            lengths[k] = len(token.encode()) if token in added else len(token)
-        self.lengths, self.cache = lengths, {}
-        self.spaced = re.compile(r"\s | \s| \Z")
-
-    def _alone(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        np = self.np
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        for a in range(0, len(chunks), 50_000):
-            part = chunks[a : a + 50_000]
-            ids = self._alone([" " + " ".join(part)])[0]
-            ends = np.cumsum(self.lengths[np.array(ids, dtype=np.int64)]) if ids else np.zeros(0, dtype=np.int64)
-            stops = np.cumsum(np.fromiter((len(c.encode("utf-8", "surrogatepass")) + 1 for c in part), dtype=np.int64, count=len(part)))
-            cut = np.searchsorted(ends, stops)
-            fits = (cut < len(ends)) & (ends[np.minimum(cut, len(ends) - 1)] == stops) if len(ends) else np.zeros(len(part), dtype=bool)
-            before, sound = 0, True
-            for c, e, ok in zip(part, cut.tolist(), fits.tolist(), strict=True):
-                if ok and sound:
-                    self.cache[c] = ids[before : e + 1]
-                    before = e + 1
-                else:
-                    sound = ok
-                    before = e + 1 if ok else before
-                    self.cache[c] = self._alone([" " + c])[0]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        whole = [not self.chunked or self.spaced.search(t) is not None for t in texts]
-        parts = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        new = {c for p in parts if p for c in p[1:] if c and c not in self.cache}
-        if new:
-            self._learn(list(new))
-            if any(c not in self.cache for p in parts if p for c in p[1:] if c):
-                return self._alone(texts)
-        alone = iter(self._alone([t if w else p[0] for t, w, p in zip(texts, whole, parts, strict=True)]))
-        cache, out = self.cache, []
+        self.added = tuple(added)
+        self.spaced = regex.compile(r"\s | \s| \Z")
+        # fixed value: the splitting pattern of byte-level vocabularies
+        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.memory, self.model = ChunkMemory(self._chunk), self.tokenizer.model
+        # how byte-level vocabularies write bytes: printable ones as themselves, the others as characters from 256 on
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = iter(range(0x100, 0x200))
+        self.characters = {k: chr(k) if k in own else chr(next(others)) for k in range(256)}
+        self.space, self.short = self.characters[32], {}
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [self.np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the vocabulary's splitting leaves in one piece: the model takes it as it is."""
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a space and a chunk; scripts whose classes depend on the Unicode version go through the whole tokenizer."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                ids = [t.id for t in self.model.tokenize(self.space + chunk)]
+                return struct.pack(f"<{len(ids)}I", *ids)
+            if any(x in chunk for x in self.added):
+                return self._alone([f" {chunk}"])[0]
+        elif max(chunk) >= LETTERS_END:
+            return self._alone([f" {chunk}"])[0]
+        elif chunk.isalpha():
+            return self._piece(f" {chunk}")
+        return b"".join([self.short[x] if x in self.short else self._remember(x) for x in self.pattern.findall(f" {chunk}")])
+
+    def _remember(self, piece: str) -> bytes:
+        ids = self._piece(piece)
+        if len(piece) <= 2:
+            self.short[piece] = ids
+        return ids
+
+    def _simple(self, text: str) -> bool:
+        """Whether all spaces stand between other characters than white space."""
+        if any(x in text for x in OTHER_SPACES):
+            return self.spaced.search(text) is None
+        return not (text.endswith(" ") or "  " in text or " \n" in text or "\n " in text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        parts = [t.split(" ") if self.chunked and self._simple(t) else [t] for t in texts]
+        heads = self._alone([p[0] for p in parts])
         for p in parts:
-            ids = list(next(alone))
-            for c in p[1:] if p else ():
-                ids += cache[c]
-            out.append(ids)
+            del p[0]
+        known = self.memory.__getitem__
+        out = [head + b"".join(map(known, p)) for head, p in zip(heads, parts, strict=True)]
+        self.memory.forget()
         return out
 
 
+class ChunkMemory(dict):
+    """Ids by chunk, made when first asked for; long chunks, which rarely come again, are kept for a while only."""
+
+    def __init__(self, make):
+        self.make, self.long = make, []
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.make(chunk)
+        if len(chunk) > CACHE_CHARS:
+            self.long.append(chunk)
+        return ids
+
+    def forget(self) -> None:
+        for c in self.long:
+            del self[c]
+        self.long.clear()
+        if len(self) > CACHE_CHUNKS:
+            self.clear()
+
+
 def _tokenizer_spec(path: str) -> str:
     """The vocabulary file, read once by the driver and sent along, so executors need no local copy."""
     with open(path, encoding="utf-8") as f:
@@ -130,9 +162,11 @@ def _encoded(texts, encoder: ChunkEncoder, end_id: int | None):
 
     held, size = [], 0
 
+    tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+
     def flush():
         for ids in encoder.encode(held):
-            yield np.array(ids if end_id is None else [*ids, end_id], dtype=np.uint32)
+            yield np.frombuffer(ids + tail, dtype="<u4")
 
     for t in texts:
         held.append(t)
