@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import with_computed
+from pactum.llm.shared import free_name, with_computed
 from pactum.llm.wordhash import TextColumn, shingles, word_hashes
 
 WIDTH, OVERLAP = 5, 0.8
@@ -150,12 +150,13 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: s
     """docs with a column of leaked items: array<struct<item_id, bm25, overlap, question_overlap, answer_overlap>>.
 
     Benchmarks are collected INDEX_ITEMS at a time; each part is indexed and
-    sent to the tasks, and the documents pass all parts in turn.
+    sent to the tasks, and the documents pass all parts in turn.  A column named
+    like `out` is replaced, others stay.
     """
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
     parts = max(1, -(-items.count() // INDEX_ITEMS))
     shares = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) for p in range(parts)]
-    names = [out if parts == 1 else f"_{out}_{p}" for p in range(parts)]
+    names = [out if parts == 1 else free_name(docs, f"_{out}_{p}") for p in range(parts)]
     for name, share in zip(names, shares, strict=True):
         index = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in share.collect())))
         docs = with_computed(docs, f"{name} array<struct<{', '.join(f.replace(' ', ':') for f in LEAKS.split(', '))}>>", _scanner(index, text))
@@ -195,4 +196,5 @@ def leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item; columns as before."""
-    return with_leaks(docs, benchmark, out="_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+    out = free_name(docs, "_leaks")
+    return with_leaks(docs, benchmark, out=out).where(F.size(out) == 0).drop(out)

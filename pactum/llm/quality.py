@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import broadcast_if_small, stash, with_computed
+from pactum.llm.shared import broadcast_if_small, free_name, stash, with_computed
 from pactum.llm.toxicity import training_rows
 from pactum.llm.wordhash import TextColumn, shingles, word_hashes
 
@@ -134,7 +134,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     Null and wordless texts have no evidence of their own: the features of an
     empty text decide with the site's rate.  Null hosts and paths are sites of
     their own.  Documents with contrary or null labels don't train.  Repeated rows and other
-    columns stay as they are.
+    columns stay as they are; columns named like results are replaced.
     """
     model = train(docs, labels)
     sites, base = site_posteriors(docs, labels, host, path)
@@ -154,15 +154,16 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
         return scan
 
+    at_host, at_path, rate = (free_name(docs, x) for x in ("_host", "_path", "_rate"))
     scored = with_computed(docs, "doc_score double", start)
-    sites = broadcast_if_small(stash(sites, "quality-rates"), 120)
-    scored = scored.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_path": F.coalesce(F.col(path).cast("string"), F.lit(""))})
+    sites = broadcast_if_small(stash(sites, "quality-rates").select(F.col("_host").alias(at_host), F.col("_path").alias(at_path), F.col("rate").alias(rate)), 120)
+    scored = scored.withColumns({at_host: F.coalesce(F.col(host).cast("string"), F.lit("")), at_path: F.coalesce(F.col(path).cast("string"), F.lit(""))})
     inside = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
-    odds = logit(inside(F.col("doc_score"))) - logit(inside(F.lit(model["base"]))) + logit(inside(F.col("rate")))
+    odds = logit(inside(F.col("doc_score"))) - logit(inside(F.lit(model["base"]))) + logit(inside(F.coalesce(rate, F.lit(base))))
     return (
-        scored.join(sites, ["_host", "_path"], "left")
-        .withColumn("rate", F.coalesce("rate", F.lit(base)))
+        scored.join(sites, [at_host, at_path], "left")
+        .withColumn("site_rate", F.coalesce(rate, F.lit(base)))
         .withColumn("quality_score", 1 / (1 + F.exp(-odds)))
         .withColumn("keep", F.col("quality_score") >= THRESHOLD)
-        .withColumnRenamed("rate", "site_rate").drop("_host", "_path", "labelled")
+        .drop(at_host, at_path, rate)
     )

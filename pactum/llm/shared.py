@@ -40,15 +40,38 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if n * row_bytes <= limit else df
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """`base`, with as many underscores as make it a name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def plain_names(docs: DataFrame, *needed: str):
+    """docs with all columns but the needed ones under plain names of their own, and a function that gives a result the old columns back.
+
+    So other columns can't clash with what an operator adds, and come through with their values.
+    """
+    names = docs.columns
+    plain = [n if n in needed else f"column_{k}" for k, n in enumerate(names)]
+    return docs.toDF(*plain), lambda out: out.select(*plain).toDF(*names)
+
+
 def with_computed(df: DataFrame, fields: str, compute) -> DataFrame:
     """df with further columns that compute(batches) yields, as one list of Arrow arrays for each Arrow batch.
 
     Rows and all other columns pass through untouched, so no join is needed to
-    put results beside whole documents.  `fields` must not clash with df's names.
+    put results beside whole documents.  A column of df with the name of a result is replaced by it.
     """
     from pyspark.sql.types import StructType
 
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
+    added = StructType.fromDDL(fields).fields
+    df = df.drop(*[f.name for f in added])
+    names = df.columns
+    # names that would be read as paths travel under others
+    df = df.toDF(*[free_name(df, f"_{k}") if {".", "`"} & set(c) else c for k, c in enumerate(names)])
+    schema = StructType([*df.schema.fields, *added])
 
     def run(batches):
         import pyarrow as pa
@@ -59,7 +82,7 @@ def with_computed(df: DataFrame, fields: str, compute) -> DataFrame:
             del batch
             tidy()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).toDF(*names, *[f.name for f in added])
 
 
 #: Up to so many links (16 MB) one task joins them by union-find; beyond that the rounds below do.

@@ -97,7 +97,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, kee
     )
     # at most `rows` rows of 12 bytes, so a broadcast is bounded
     picked = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.join(F.broadcast(picked), "doc_id").select("_label", "text")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("_label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", rows: int = TRAIN_ROWS) -> dict:
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with score (0 to 1), n_sentences and the sentences at or over 0.5, as code point spans.
 
     Null and empty texts have no sentence and score 0.  Rows pass one by one: repeats
-    and other columns stay as they are.
+    and other columns stay as they are; columns named like results are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

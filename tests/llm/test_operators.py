@@ -200,7 +200,7 @@ def test_quality(spark):
     from pactum.llm import quality
 
     docs, labels = labelled(spark, random.Random(6), lambda t, rng: t.upper().replace(" ", "!! | "))
-    got = {r["doc_id"]: r for r in quality.classify(docs.withColumn("rate", F.lit(1)).drop("rate"), labels).collect()}
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
     assert sum(got[k]["keep"] == (k % 4 != 0) for k in range(400)) >= 398 and len(got) == 402
     assert all(r["keep"] for r in quality.classify(docs, labels.limit(0)).collect())
 
@@ -299,3 +299,80 @@ def test_pipeline(spark):
         seen.append({r["doc_id"] for r in docs.select("doc_id").collect()})
         assert docs.columns == columns or k == 4
     assert ids > seen[0] > seen[1] >= seen[2] == seen[3] == seen[4]
+
+
+CLASHING = ("_host", "_path", "_rate", "rate", "labelled", "doc_score", "site_rate", "quality_score", "keep", "_label", "score", "n_sentences", "offending", "_leaks", "leaks", "item_id", "_id", "_position", "position", "count", "component_id", "column_0", "a.b", "vec_id", "pii", "_body", "n", "tie", "shard")
+
+
+def clashing(df, but=()):
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING if c not in but])
+
+
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_clashing_columns(spark, tokenizer):
+    """Further columns change no result and, where rows pass through, keep their values; results replace columns of their name."""
+    from pactum.llm import chat, decontaminate, mixing, ngram_join, pii, quality, token_files, toxicity, vector_dedup
+
+    docs, labels = labelled(spark, random.Random(9), lambda t, rng: t.upper().replace(" ", "!! nasty "))
+    bench = spark.createDataFrame([(1, words(random.Random(9), 40, 300)), (2, None)], "item_id long, text string")
+    wide, wide_labels, wide_bench = clashing(docs), clashing(labels), clashing(bench, ("item_id",))
+    plain = (ngram_join.join_documents, mixing.mix, pii.pii_report, lambda d: token_files.token_report(d, tokenizer), lambda d: decontaminate.leaked(d, bench))
+    for operator in plain:
+        assert rows(operator(wide)) == rows(operator(docs))
+    assert rows(decontaminate.leaked(wide, wide_bench)) == rows(decontaminate.leaked(docs, bench))
+    kept = decontaminate.remove_leaked(wide, wide_bench)
+    assert kept.columns == wide.columns and kept.first()["_leaks"] == "own _leaks"
+    result = ("doc_id", "doc_score", "site_rate", "quality_score", "keep")
+    scored = quality.classify(wide, wide_labels)
+    assert rows(scored.select(*result)) == rows(quality.classify(docs, labels).select(*result)) and scored.first()["_host"] == "own _host"
+    keep = lambda c: c % 5 != 0
+    result = ("doc_id", "score", "n_sentences", "offending")
+    scored = toxicity.score(wide, toxicity.train(wide, wide_labels, keep))
+    assert rows(scored.select(*result)) == rows(toxicity.score(docs, toxicity.train(docs, labels, keep)).select(*result)) and scored.first()["keep"] == "own keep"
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert rows(vector_dedup.dedup_vectors(clashing(vectors, ("vec_id",)))) == rows(vector_dedup.dedup_vectors(vectors))
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    digests = lambda t: rows(chat.conversation_digests(chat.format_conversations(t)))
+    assert digests(clashing(turns)) == digests(turns)
+
+
+def test_empty_tables(spark, tokenizer):
+    from pactum.llm import chat, pii, quality, toxicity, url_filter, vector_dedup
+
+    docs = docs_of(spark, ["x"]).limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.classify(docs, labels).count() == 0 == pii.pii_report(docs).count()
+    assert toxicity.score(docs, toxicity.train(docs, labels, lambda c: F.lit(True))).count() == 0
+    assert vector_dedup.dedup_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert chat.conversation_digests(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    rules = spark.createDataFrame([("com", "/", "allow")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
+    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+    assert [tuple(r) for r in url_filter.judge_urls(pages, rules.limit(0)).collect()] == [(1, "a.com", "/", None, "allow")]
+
+
+def test_stages_on_odd_documents(spark, tokenizer):
+    """Every stage takes nulls in any column, odd texts, repeated rows, clashing columns and empty tables; other columns keep their values."""
+    import corpus_pipeline
+    from pactum.llm.shared import stash
+
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(10)
+    texts = odd_texts() + [words(rng, 60) for _ in range(12)]
+    extra = [(None, texts[9], None, None, None), (None, None, None, None, None), (9, texts[9], "en", "src0", 1), (9, texts[10], None, None, None)]
+    odd = docs_of(spark, texts, extra)
+    wide = clashing(odd)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stash(stage(spark, wide, sf), "test-odd")
+        bare = stash(stage(spark, odd, sf), "test-odd")
+        if k == 4:
+            assert rows(got) == rows(bare) and got.count() == odd.count()
+            continue
+        assert got.columns == wide.columns and rows(got.select(*odd.columns)) == rows(bare), name
+        assert all(r[c] == f"own {c}" for r in got.collect() for c in CLASHING), name
+        if name in ("decontamination", "mixing"):
+            assert rows(bare) == rows(odd)
+        assert stage(spark, wide.limit(0), sf).count() == 0, name
