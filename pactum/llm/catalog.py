@@ -125,6 +125,45 @@ ORACLES = {
                CAST(0 AS BIGINT) AS rewrites
         FROM sized GROUP BY conv_id
     """,
+    "op4_ngram_join": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+                                WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS s
+            FROM worded),
+        named AS (
+            SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS copy_of FROM sets),
+        shingles AS (SELECT copy_of AS k, n, unnest(s) AS g FROM named WHERE doc_id = copy_of),
+        links AS (
+            SELECT a.k AS x, b.k AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.k <> b.k
+            GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reached AS (
+            SELECT DISTINCT x AS root, x AS k FROM links
+            UNION
+            SELECT r.root, l.y FROM reached r JOIN links l ON l.x = r.k),
+        least AS (SELECT k, min(root) AS root FROM reached GROUP BY k)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(root, copy_of) AS component_id
+        FROM named LEFT JOIN least ON k = copy_of
+    """,
+    "op5_vector_dedup": r"""
+        WITH RECURSIVE sound AS (
+            SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE len([v FOR v IN embedding IF v IS NULL OR isnan(v) OR isinf(v)]) = 0 AND len([v FOR v IN embedding IF v <> 0]) > 0),
+        links AS (
+            SELECT a.k AS x, b.k AS y FROM sound a JOIN sound b ON a.k <> b.k AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        reached AS (
+            SELECT DISTINCT x AS root, x AS k FROM links
+            UNION
+            SELECT r.root, l.y FROM reached r JOIN links l ON l.x = r.k),
+        least AS (SELECT k, min(root) AS root FROM reached GROUP BY k),
+        counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN least ON k = vec_id LEFT JOIN counted ON x = vec_id
+    """,
     "op10_url_filter": r"""
         WITH split AS (
             SELECT page_id, url,

@@ -376,3 +376,17 @@ def test_stages_on_odd_documents(spark, tokenizer):
         if name in ("decontamination", "mixing"):
             assert rows(bare) == rows(odd)
         assert stage(spark, wide.limit(0), sf).count() == 0, name
+
+
+@pytest.mark.parametrize("name", ["op4_ngram_join", "op5_vector_dedup"])
+def test_pair_queries_match_sql(spark, name):
+    import duckdb
+
+    from pactum.llm import catalog
+
+    sf, other = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "embeddings"):
+        other.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    twin = other.sql(catalog.ORACLES[name])
+    got = catalog.QUERIES[name](spark, sf).select(*twin.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(twin.fetchall())
