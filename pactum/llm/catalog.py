@@ -41,6 +41,13 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op4_ngram_join with each document's number of links."""
+    from pactum.llm.ngram_join import count_links
+
+    return count_links(table(spark, sf_dir, "documents"))
+
+
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactum.llm.vector_dedup import dedup_vectors
 
@@ -99,6 +106,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_mix_sources": op3_mix_sources,
     "op4_ngram_join": op4_ngram_join,
+    "op4_ngram_links": op4_ngram_links,
     "op5_vector_dedup": op5_vector_dedup,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,

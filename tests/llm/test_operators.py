@@ -69,6 +69,35 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.join_documents(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_ngram_links(spark, monkeypatch):
+    """Every link is counted, also those inside a hot group, whatever the sizes of blocks and tiles."""
+    from pactum.llm import ngram_join
+
+    rng = random.Random(11)
+    base = words(rng, 150).split()
+    texts = odd_texts() + [words(rng, 100) for _ in range(5)]
+    for k in range(60):
+        t = list(base)
+        for _ in range(k % 5):
+            t[rng.randrange(len(t))] = f"new{rng.randrange(99)}"
+        texts.append(" ".join(t))
+    extra = [(None, texts[20], None, None, None), (3, "one two", None, None, None)]
+    every = [*texts, texts[20], "one two"]
+    sets = [shingle_set(t) for t in every]
+    near = [[bool(a) and 100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    ids = [*range(len(texts)), None, 3]
+    want = sorted((str(i), sum(row) - row[k]) for k, (i, row) in enumerate(zip(ids, near, strict=True)))
+    docs = docs_of(spark, texts, extra)
+    for block, tile, wide in ((300_000, 1024, 4096), (2_000, 7, 50)):
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+        monkeypatch.setattr(ngram_join, "TILE_SETS", tile)
+        monkeypatch.setattr(ngram_join, "TILE_SHINGLES", wide)
+        got = ngram_join.count_links(docs).collect()
+        assert sorted((str(r["doc_id"]), r["n_links"]) for r in got) == want
+    same = ("doc_id", "n_shingles", "component_id")
+    assert rows(ngram_join.count_links(docs).select(*same)) == rows(ngram_join.join_documents(docs).select(*same))
+
+
 def test_components_rounds(spark):
     from pactum.llm.shared import components
 
