@@ -46,7 +46,8 @@ class ChunkEncoder:
     it, so a text whose spaces all stand between other characters is the
     concatenation of its chunks (a space and what follows it).  A new chunk is
     split by the vocabulary's own pattern and its pieces go to the tokenizer's
-    model.  Texts with other white space beside a space are encoded whole.
+    model.  Texts with other white space beside a space are encoded whole, as
+    are texts that hold an added token anywhere.
     """
 
     def __init__(self, spec: str):
@@ -90,8 +91,6 @@ class ChunkEncoder:
             if chunk.isalpha():
                 ids = [t.id for t in self.model.tokenize(self.space + chunk)]
                 return struct.pack(f"<{len(ids)}I", *ids)
-            if any(x in chunk for x in self.added):
-                return self._alone([f" {chunk}"])[0]
         elif max(chunk) >= LETTERS_END:
             return self._alone([f" {chunk}"])[0]
         elif chunk.isalpha():
@@ -105,7 +104,9 @@ class ChunkEncoder:
         return ids
 
     def _simple(self, text: str) -> bool:
-        """Whether all spaces stand between other characters than white space."""
+        """Whether all spaces stand between other characters than white space, and no added token is in the text."""
+        if any(x in text for x in self.added):
+            return False
         if any(x in text for x in OTHER_SPACES):
             return self.spaced.search(text) is None
         return not (text.endswith(" ") or "  " in text or " \n" in text or "\n " in text)

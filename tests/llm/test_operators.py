@@ -262,6 +262,22 @@ def test_token_files(spark, tokenizer):
     assert token_files.token_report(docs_of(spark, ["x"]).limit(0), tokenizer).count() == 0
 
 
+def test_added_tokens_beside_accents(tokenizer):
+    """An added token is found in any chunk, ASCII or not, as the tokenizer itself finds it."""
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    from pactum.llm.token_files import ChunkEncoder
+
+    whole, own = Tokenizer.from_file(tokenizer), ChunkEncoder(Path(tokenizer).read_text(encoding="utf-8"))
+    texts = ["a café<|endoftext|>", "a b é\n<|endoftext|> c", "é <|endoftext|>é x", "a <|endoftext|>", "<|endoftext|> é", "a café <|endoftext| >", "a b"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    token = whole.token_to_id("<|endoftext|>")
+    assert token is not None and [token in ids for ids in want] == [True] * 5 + [False] * 2
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
