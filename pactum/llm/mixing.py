@@ -9,7 +9,9 @@ each source is less than one block from its share.
 
 Sources end at different times.  When one ends, a new phase begins: the
 weights of the others are scaled up to one and their windows start anew, so
-the bound holds within each phase and every document has a place.
+the bound holds within each phase and every document has a place.  Weights are
+exact fractions throughout.  Sources of weight zero come after all others,
+by their sizes.
 """
 
 from __future__ import annotations
@@ -24,13 +26,28 @@ from pyspark.sql import Window
 from pactum.llm.shared import broadcast_if_small, stash
 
 BLOCK_DOCS = 64
+#: Deadlines beyond a long are given as this.
+FAR = (1 << 63) - 1
 #: Documents numbered by one task at a time: a source is salted into groups of about this size.
 GROUP_DOCS = 4096
 SLOTS = "source string, block long, slot long, phase int, release long, deadline long, start long"
 
 
 def schedule(sources: list[tuple[str, int, Fraction]]):
-    """Yield (source, block, slot, phase, release, deadline) for (name, blocks, weight); weights are scaled to one."""
+    """Yield (source, block, slot, phase, release, deadline) for (name, blocks, weight); weights are scaled to one.
+
+    Sources of weight zero begin when no other is left, then with their blocks for weights.
+    """
+    idle = [(name, blocks, Fraction(blocks)) for name, blocks, weight in sources if blocks > 0 and weight == 0]
+    if idle:
+        sources = [x for x in sources if x[2] > 0]
+        slot, phase = 0, -1
+        for name, block, slot, phase, release, deadline in schedule(sources):  # noqa: B007
+            yield name, block, slot, phase, release, deadline
+        begin = slot + 1 if phase >= 0 else 0
+        for name, block, at, later, release, deadline in schedule(idle):
+            yield name, block, begin + at, phase + 1 + later, begin + release, begin + deadline
+        return
     left = {name: [0, blocks, weight] for name, blocks, weight in sources if blocks > 0}
     slot, phase = 0, 0
     while left:
@@ -53,7 +70,7 @@ def schedule(sources: list[tuple[str, int, Fraction]]):
                 continue
             deadline, _, _, name, j = heapq.heappop(ready)
             w, state = share[name], left[name]
-            yield name, state[0], slot, phase, begin + (j - 1) * w.denominator // w.numerator, begin + deadline
+            yield name, state[0], slot, phase, begin + (j - 1) * w.denominator // w.numerator, min(FAR, begin + deadline)
             state[0] += 1
             slot += 1
             if state[0] == state[1]:
@@ -70,8 +87,9 @@ def target_weights(counts: dict[str, int], weights: dict[str, float] | None, tem
     out = {}
     for name, n in counts.items():
         w = (weights or {}).get(name)
-        w = (n / total) ** temperature if w is None else w
-        out[name] = Fraction(max(1, round(w * 10_000)), 10_000)
+        out[name] = Fraction((n / total) ** temperature if w is None else w)
+        if out[name] < 0:
+            raise ValueError(f"weight of source {name!r} is negative")
     return out
 
 

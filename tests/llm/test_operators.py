@@ -178,6 +178,33 @@ def test_mixing(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mixing_keeps_exact_weights():
+    """Every prefix is less than a block from the unrounded targets, however long; tiny weights stay tiny, zero ones come last."""
+    from fractions import Fraction
+
+    from pactum.llm import mixing
+
+    given = {"a": 1 / 3, "b": 2 / 3}
+    shares = mixing.target_weights({"a": 10, "b": 10}, given)
+    done = {"a": 0, "b": 0}
+    for name, _, slot, phase, release, deadline in mixing.schedule([("a", 40_000, shares["a"]), ("b", 70_000, shares["b"])]):
+        if phase:
+            break
+        done[name] += 1
+        assert release <= slot < deadline and abs(3 * done["a"] - (slot + 1)) < 3 and abs(3 * done["b"] - 2 * (slot + 1)) < 3
+    assert slot > 100_000
+    many = {f"s{k}": 1 + k % 7 for k in range(100_000)}
+    exact, total = mixing.target_weights(many, None), sum(many.values())
+    assert all(abs(float(exact[s]) / (n / total) ** 0.7 - 1) < 1e-12 for s, n in many.items())
+    odd = mixing.target_weights({"x": 1, "y": 1, "z": 1, "v": 1}, {"x": 0, "y": 1e-6, "z": 1.0, "v": 0})
+    assert odd == {"x": 0, "y": Fraction(1e-6), "z": 1, "v": 0}
+    order = list(mixing.schedule([("v", 2, odd["v"]), ("x", 4, odd["x"]), ("y", 1, odd["y"]), ("z", 9, odd["z"])]))
+    assert [s[2] for s in order] == list(range(16)) and {s[0] for s in order[-6:]} == {"x", "v"} and all(s[4] <= s[2] < s[5] for s in order)
+    assert [s[2] for s in mixing.schedule([("v", 2, Fraction(0))])] == [0, 1] and list(mixing.schedule([])) == []
+    far = list(mixing.schedule([("t", 2, Fraction(1e-300)), ("z", 3, Fraction(1))]))
+    assert len(far) == 5 and all(s[5] < 1 << 63 for s in far)
+
+
 def test_vectors(spark):
     from pactum.llm import vector_dedup
 
