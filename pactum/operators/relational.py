@@ -39,8 +39,11 @@ QUERIES = {
     "role_gate": """SELECT u.id, u.user_name FROM {staff} u JOIN {role} r ON r.id = u.role_id WHERE upper(r.role_name) IN ('MANAGER', 'ADMIN')""",
     "audit_page": """SELECT q.id, q.path, coalesce(u.user_name, 'System') AS user_name, (SELECT greatest(1, CAST(ceil(count(*) / 10.0) AS BIGINT)) FROM {request}) AS pages
         FROM {request} q LEFT JOIN {staff} u ON u.id = q.user_id ORDER BY q.created_at DESC, q.id DESC LIMIT 10 OFFSET 20""",
-    "tenant_scope": """SELECT u.id AS user_id, c.id AS company_id FROM {staff} u JOIN {company} c ON u.company_id IS NULL OR u.company_id = c.id OR u.role_id = 1 AND c.id <= 20
-            OR contains(lower(u.user_name), 'vin') AND contains(lower(c.company_name), 'vin')""",
+    # superusers (role 1) and users without a company see all companies; others their own, and those that share a brand word with it
+    "tenant_scope": """SELECT u.id AS user_id, c.id AS company_id FROM (SELECT s.id, s.company_id, s.role_id, lower(coalesce(o.company_name, '')) AS own_name FROM {staff} s LEFT JOIN {company} o ON o.id = s.company_id) u
+        JOIN {company} c ON u.company_id IS NULL OR u.company_id = c.id OR u.role_id = 1
+            OR contains(u.own_name, 'fpt') AND contains(lower(c.company_name), 'fpt') OR contains(u.own_name, 'techcom') AND contains(lower(c.company_name), 'techcom')
+            OR contains(u.own_name, 'vin') AND contains(lower(c.company_name), 'vin') OR contains(u.own_name, 'viettel') AND contains(lower(c.company_name), 'viettel')""",
     "contract_info_lookup": """SELECT w.id AS workflow_id, coalesce(c.contract_code, '') AS contract_code, coalesce(v.version_number, 1) AS version_number
         FROM {workflow} w LEFT JOIN {version} v ON v.id = w.id * 8 + 3 LEFT JOIN {contract} c ON c.id = v.contract_id""",
     "company_versions": """SELECT v.id AS version_id FROM {version} v JOIN {contract} c ON c.id = v.contract_id WHERE c.company_id IN (1, 7, 19, 42)""",
@@ -66,7 +69,7 @@ QUERIES = {
     "ledger_history": """SELECT record_key, tx_id, written_at, is_delete, coalesce(record, '') AS record, row_number() OVER (PARTITION BY record_key ORDER BY written_at, tx_id) AS revision,
             row_number() OVER (PARTITION BY record_key ORDER BY written_at DESC, tx_id DESC) = 1 AND NOT is_delete AS is_current FROM {ledger}""",
     "ledger_put_if_absent": """SELECT record_key, tx_id, record FROM (SELECT *, row_number() OVER (PARTITION BY record_key ORDER BY tx_id) AS rn FROM {ledger} WHERE NOT is_delete) n
-        WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM {company} c WHERE concat('COMPANY_', c.id) = n.record_key AND c.id < 50)""",
+        WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM {company} c WHERE concat('COMPANY_', c.id) = n.record_key)""",
     "proof_history": """SELECT p.version_id, t.id AS tx_id, count(a.id) AS audits FROM {proof} p JOIN {approval} t ON t.user_id = p.version_id AND t.status = 'FORCE_COMPLETE' LEFT JOIN {request} a ON a.user_id = p.version_id GROUP BY p.version_id, t.id""",
     "top_transactions": """SELECT id, user_id, approved_at FROM {approval} ORDER BY approved_at DESC, id DESC LIMIT 20""",
     "workflow_progress": """SELECT w.id, w.status, count(s.id) AS steps, count(CASE WHEN s.status = 'APPROVED' THEN 1 END) AS approved,

@@ -99,3 +99,27 @@ def test_files(spark, tmp_path):
     sealed = spark.createDataFrame([(b"draft",)], "raw binary").withColumn("sealed", files.seal(F.col("raw"), "k"))
     row = sealed.select("sealed", files.unseal(F.col("sealed"), "k").alias("back")).first()
     assert len(row["sealed"]) == 33 and bytes(row["back"]) == b"draft"
+
+
+def test_scope_and_ledger_see_every_company(spark, tmp_path):
+    """Against brute force in Python, on companies beyond any id bound and with all four brand words."""
+    names = {k: f"Customer {k}" for k in range(1, 121)} | {3: "FPT one", 90: "big fpt", 4: "Techcom", 91: "TECHCOMBANK", 5: "Vin", 92: "vinhome", 6: "viettel", 93: "Viettel Post"}
+    staff = {10: (3, 2), 11: (4, 3), 12: (5, 4), 13: (6, 5), 14: (1, 7), 15: (None, 6), 27: (2, 8), 1: (7, 1), 16: (None, 1)}
+    spark.createDataFrame([*names.items()], "id long, company_name string").createOrReplaceTempView("scope_company")
+    spark.createDataFrame([(k, f"user {k}", c, r) for k, (c, r) in staff.items()], "id long, user_name string, company_id long, role_id long").createOrReplaceTempView("scope_staff")
+    keys = [f"COMPANY_{k}" for k in (0, 1, 49, 50, 51, 120, 121)] + ["USER_60", "7"]
+    ledger = [(k, key, False, f"r{k}") for k, key in enumerate(keys)] + [(50, "COMPANY_0", False, "later"), (51, "USER_1", True, None)]
+    spark.createDataFrame(ledger, "tx_id long, record_key string, is_delete boolean, record string").createOrReplaceTempView("scope_ledger")
+    ask = lambda name: spark.sql(catalog.relational.QUERIES[name].format(company="scope_company", staff="scope_staff", ledger="scope_ledger"))
+    brands = ("fpt", "techcom", "vin", "viettel")
+
+    def sees(company, role, c):
+        own = names.get(company, "").lower()
+        return role == 1 or company is None or company == c or any(b in own and b in names[c].lower() for b in brands)
+
+    want = sorted((u, c) for u, (company, role) in staff.items() for c in names if sees(company, role, c))
+    assert sorted(map(tuple, ask("tenant_scope").collect())) == want
+    assert {c for u, c in want if u == 1} == set(names)
+    taken = {f"COMPANY_{k}" for k in names}
+    got = sorted(tuple(r) for r in ask("ledger_put_if_absent").collect())
+    assert got == sorted((key, k, f"r{k}") for k, key in enumerate(keys) if key not in taken)
