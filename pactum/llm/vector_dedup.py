@@ -4,8 +4,11 @@ Vectors are dealt to shards by a hash.  One task builds a shard's graph (a
 hierarchy of layers, each a graph of near neighbours found by beam search in
 the graph so far) and then answers every vector of the table against it, as
 they stream by in blocks.  A query whose beam is full of links is widened until
-the beam reaches beyond the threshold, and a shard whose audit against brute
-force misses a neighbour doubles its beams and answers again.  Answers leave a
+the beam reaches beyond the threshold.  Vectors of the shard and some of every
+block of queries are audited against brute force, each by its own recall: if
+vectors with few links or with many miss theirs, beams double and the block is
+answered again; where beams would cost as much as brute force, the rest of the
+shard is answered by that, in blocks.  Answers leave a
 task as link counts per vector and as a spanning forest of the links it saw, so a
 group of near copies costs its size in rows, not its square.
 """
@@ -25,9 +28,13 @@ THRESHOLD = 0.9
 SHARD_ROWS, LEAST_SHARDS = 200_000, 12
 #: Neighbours kept per node, beam while building, beam to begin queries with, share of a layer that is in the next.
 NEIGHBOURS, BUILD_BEAM, QUERY_BEAM, LAYER_SHARE = 12, 24, 24, 16
-#: Queries checked by brute force in each shard, and the recall of links that they must reach.
-AUDITED, RECALL = 64, 0.999
+#: Of a shard's vectors at least so many, or one in AUDIT_SHARE, are checked by brute force, and one in AUDIT_SHARE of every block of queries.
+AUDITED, AUDIT_SHARE = 64, 32
+#: Mean recall of links that vectors with few and vectors with many must reach, and the least that a single vector may have.
+RECALL, WORST = 0.999, 0.9
 BLOCK = 512
+#: Cosines held at once by brute force.
+BRUTE_CELLS = 1 << 22
 
 
 class Graph:
@@ -217,6 +224,32 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
+def brute_force(q: np.ndarray, vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) for all pairs with cosine >= least in doubles, some queries at a time."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(1, BRUTE_CELLS // max(1, len(vectors)))
+    single = vectors.astype(np.float32)
+    for a in range(0, len(q), step):
+        who, which = np.nonzero(q[a : a + step].astype(np.float32) @ single.T >= least - 1e-4)
+        for b in range(0, len(who), BRUTE_CELLS // 64):
+            x, y = who[b : b + BRUTE_CELLS // 64] + a, which[b : b + BRUTE_CELLS // 64]
+            sure = np.einsum("ij,ij->i", q[x], vectors[y]) >= least
+            out.append((x[sure], y[sure]))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def link_counts(n: int, ids: np.ndarray, own_ids: np.ndarray, who: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Links of each of n queries, itself left out."""
+    return np.bincount(who[ids[who] != own_ids[which]], minlength=n)
+
+
+def recalled(found: np.ndarray, true: np.ndarray) -> bool:
+    """Whether queries with few links and queries with many each find theirs on average, and every single one nearly all."""
+    share = np.minimum(found, true)[true > 0] / true[true > 0]
+    many = true[true > 0] > QUERY_BEAM
+    return all(not len(x) or (x.mean() >= RECALL and x.min() >= WORST) for x in (share[many], share[~many]))
+
+
 FOUND = "kind int, a long, b long"
 
 
@@ -233,16 +266,26 @@ def _answer(least: float):
             own_ids, own = np.concatenate(own_ids), np.concatenate(own)
             graph, beam = Graph(own), QUERY_BEAM
             graph.settle()
-            audit = np.linspace(0, len(own) - 1, min(AUDITED, len(own))).astype(int)
-            truth = own[audit] @ own.T >= least
-            while beam < len(own):
-                who, which = graph.within(own[audit].astype(np.float32), own[audit], own, least, beam)
-                if truth[who, which].sum() >= RECALL * truth.sum():
-                    break
+            audit = np.linspace(0, len(own) - 1, min(len(own), max(AUDITED, len(own) // AUDIT_SHARE))).astype(int)
+            for k in range(0, len(audit), BLOCK):
+                rows = audit[k : k + BLOCK]
+                answered(own_ids[rows], own[rows], np.arange(len(rows)))
+
+        def answered(ids, unit, audit):
+            """Pairs found for a block of queries, after beams are wide enough for those of the audit."""
+            nonlocal beam
+            true = None
+            while beam * 2 * NEIGHBOURS < len(own):
+                who, which = graph.within(unit.astype(np.float32), unit, own, least, beam)
+                if true is None:
+                    true = link_counts(len(audit), ids[audit], own_ids, *brute_force(unit[audit], own, least))
+                if recalled(link_counts(len(unit), ids, own_ids, who, which)[audit], true):
+                    return who, which
                 beam *= 2
+            return brute_force(unit, own, least)
 
         def queries(ids, unit):
-            who, which = graph.within(unit.astype(np.float32), unit, own, least, beam)
+            who, which = answered(ids, unit, np.arange(0, len(ids), AUDIT_SHARE))
             a, b = ids[who], own_ids[which]
             other = a != b
             a, b = a[other], b[other]

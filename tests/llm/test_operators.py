@@ -222,6 +222,37 @@ def test_vectors(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["component_id"] == k for k in (900, 901, 902, 905, 906))
 
 
+def test_vectors_lose_no_sparse_links(spark, monkeypatch):
+    """A hot group doesn't hide that pairs elsewhere are lost, and a graph that can't reach vectors gives way to brute force."""
+    from pactum.llm import vector_dedup
+
+    true = np.array([3000] * 21 + [1] * 43)
+    assert vector_dedup.recalled(true, true) and not vector_dedup.recalled(np.where(true == 1, 0, true), true)
+    assert not vector_dedup.recalled(np.where(np.arange(64) == 0, 1500, true), true)
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(1200, 16))
+    v[:400] = v[0] + 0.02 * rng.normal(size=(400, 16))
+    v[400:800] = v[800:1200] + 0.02 * rng.normal(size=(400, 16))
+    ids = np.arange(1200)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+
+    within = vector_dedup.Graph.within
+
+    def hot_only(self, *args):
+        who, which = within(self, *args)
+        kept = np.linalg.norm(args[0][who] - unit[0], axis=1) < 0.5
+        return who[kept], which[kept]
+
+    monkeypatch.setattr(vector_dedup.Graph, "within", hot_only)
+    import pandas as pd
+
+    side = lambda k: pd.DataFrame({"shard": 0, "side": k, "vec_id": ids, "unit": [u.tobytes() for u in unit]})
+    got = pd.concat(vector_dedup._answer(0.9)(iter([side(0), side(1)])))
+    counts = got[got["kind"] == 0].groupby("a")["b"].sum().reindex(ids, fill_value=0).to_numpy()
+    assert (counts == near.sum(axis=1) - 1).all()
+
+
 def labelled(spark, rng, bad):
     texts, labels = [], []
     for k in range(400):
