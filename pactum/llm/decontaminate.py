@@ -2,11 +2,12 @@
 
 Items (the bounded side) are indexed with their impacts: BM25 weight of each
 term in each item.  Items stand in blocks with the largest impact of each term
-in the block.  A document is cut into overlapping windows long enough to hold
-any item; each is a query.  The block maxima give an upper bound for all items
-of a block; only blocks whose bound reaches the least threshold in them are
-scored exactly, and all items above their threshold are retrieved: a share of
-the score that the item itself would get.
+in the block.  A document's distinct terms, from anywhere in it, are one query.
+The block maxima give an upper bound for all items of a block; only blocks
+whose bound reaches the least threshold in them are scored exactly, and all
+items that reach their own threshold are retrieved.  That is an item's whole score less
+the most that it can lose while enough of its shingles remain to be a leak, so
+retrieval leaves out nothing that verification would keep.
 
 Retrieval proposes; an item counts as leaked if at least OVERLAP of the
 distinct 5-word shingles of its question and of its answer (its last sentence), or of the item as
@@ -28,12 +29,10 @@ from pactum.llm.wordhash import TextColumn, shingles, word_hashes
 
 WIDTH, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
-#: Share of its own score from which an item is retrieved.
-SHARE = 0.5
 #: Words of documents that are queried together.
 AT_ONCE = 100_000
-#: Items in a block; items in one index (further ones are indexed and scanned apart); shortest window in words.
-BLOCK_ITEMS, INDEX_ITEMS, LEAST_WINDOW = 4, 2048, 128
+#: Items in a block; items in one index (further ones are indexed and scanned apart).
+BLOCK_ITEMS, INDEX_ITEMS = 4, 2048
 LEAKS = "item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double"
 
 
@@ -46,8 +45,34 @@ def _parts(text: str) -> tuple[str, str]:
     return (body[: cut[-1]], body[cut[-1] :]) if cut else (body, body)
 
 
+def may_miss(words: np.ndarray, distinct: int) -> int:
+    """How many distinct terms of a part can be missing where at least OVERLAP of its distinct shingles are present.
+
+    Positions of k different terms lie in at least k shingles (or in all).
+    Where shingles repeat, each term still ends a shingle of its own where it
+    first stands, but for those that stand among the first four words.
+    """
+    lost = int((1 - OVERLAP) * distinct + 1e-9)
+    return lost + WIDTH - 1 if lost and distinct < len(words) - WIDTH + 1 else lost
+
+
+class Corpus:
+    """Items, mean length and items per term of a whole benchmark, from which all its indexes take their weights."""
+
+    def __init__(self):
+        self.n, self.words, self.terms, self.df = 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        words = [w for _, w in word_hashes(texts, loose=True) if len(w)]
+        if words:
+            self.n, self.words = self.n + len(words), self.words + sum(map(len, words))
+            terms, df = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True)
+            every, at = np.unique(np.concatenate((self.terms, terms)), return_inverse=True)
+            self.terms, self.df = every, np.bincount(at, weights=np.concatenate((self.df, df)), minlength=len(every)).astype(np.int64)
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], corpus: Corpus | None = None):
         texts = [t or "" for _, t in items]
         words = [w for _, w in word_hashes(texts, loose=True)]
         sound = [k for k, w in enumerate(words) if len(w)]
@@ -57,24 +82,37 @@ class Index:
         own_words = [words[k] for k in sound]
         self.whole = [np.unique(shingles(w, WIDTH)) for w in own_words]
         parts = [_parts(texts[k]) for k in sound]
-        self.question = [np.unique(shingles(w, WIDTH)) for _, w in word_hashes([p[0] for p in parts], loose=True)]
-        self.answer = [np.unique(shingles(w, WIDTH)) for _, w in word_hashes([p[1] for p in parts], loose=True)]
+        asked = [w for _, w in word_hashes([p[0] for p in parts], loose=True)]
+        told = [w for _, w in word_hashes([p[1] for p in parts], loose=True)]
+        self.question, self.answer = ([np.unique(shingles(w, WIDTH)) for w in part] for part in (asked, told))
         n = len(sound)
-        self.window = 2 * max([LEAST_WINDOW // 2, *map(len, own_words)])
         self.terms = np.unique(np.concatenate([np.unique(w) for w in own_words])) if n else np.zeros(0, np.uint64)
         self.impact = np.zeros((len(self.terms), n), dtype=np.float32)
         if not n:
             return
-        lengths = np.array([len(w) for w in own_words])
-        norm = K1 * (1 - B + B * lengths / lengths.mean())
-        df = np.zeros(len(self.terms))
+        if corpus is None:
+            corpus = Corpus()
+            corpus.add(texts)
+        df = corpus.df[np.searchsorted(corpus.terms, self.terms)]
+        idf = np.log(1 + (corpus.n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * np.array([len(w) for w in own_words]) * corpus.n / corpus.words)
+        self.least = np.zeros(n)
         for k, w in enumerate(own_words):
             t, tf = np.unique(w, return_counts=True)
             at = np.searchsorted(self.terms, t)
-            df[at] += 1
-            self.impact[at, k] = tf * (K1 + 1) / (tf + norm[k])
-        self.impact *= np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None].astype(np.float32)
-        self.least = SHARE * self.impact.sum(axis=0)
+            self.impact[at, k] = tf * (K1 + 1) / (tf + norm[k]) * idf[at]
+
+            def most(part, held, k=k):
+                """The most that can be missing of the score where a part overlaps enough."""
+                at = np.searchsorted(self.terms, np.unique(part))
+                return float(np.sort(self.impact[at, k])[::-1][: may_miss(part, len(held))].sum())
+
+            lost = most(w, self.whole[k])
+            if len(asked[k]) and len(told[k]):
+                lost = max(lost, most(asked[k], self.question[k]) + most(told[k], self.answer[k]))
+            # a little less, since scores are sums in single precision
+            whole = float(self.impact[at, k].sum())
+            self.least[k] = max(0.0, whole - lost - 1e-4 * whole)
         self.blocks = [slice(a, min(n, a + BLOCK_ITEMS)) for a in range(0, n, BLOCK_ITEMS)]
         self.block_max = np.stack([self.impact[:, s].max(axis=1) for s in self.blocks], axis=1)
         self.block_least = np.array([self.least[s].min() for s in self.blocks])
@@ -82,7 +120,7 @@ class Index:
         self.known[(self.terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
     def retrieve(self, texts: list[np.ndarray]) -> list[dict[int, float]]:
-        """For each text the best score over its windows of every item that reaches its threshold in some window."""
+        """For each text the score of every item that reaches its threshold in it."""
         out: list[dict[int, float]] = [{} for _ in texts]
         sizes = np.array([len(t) for t in texts])
         words = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint64)
@@ -94,18 +132,12 @@ class Index:
         place, term = maybe[hit], at[hit]
         if not len(place):
             return out
-        step = self.window // 2
-        begins = np.concatenate(([0], np.cumsum(sizes)))
-        last = np.maximum(0, -(-sizes // step) - 2)
-        base = np.concatenate(([0], np.cumsum(last + 1)))
-        text = np.searchsorted(begins, place, side="right") - 1
-        first = (place - begins[text]) // step
-        window = np.concatenate((np.minimum(first, last[text]), np.clip(first - 1, 0, last[text]))) + np.concatenate((base[text], base[text]))
-        pairs = np.sort(window * len(self.terms) + np.concatenate((term, term)))
+        text = np.searchsorted(np.cumsum(sizes), place, side="right")
+        pairs = np.sort(text * len(self.terms) + term)
         pairs = pairs[np.diff(pairs, prepend=-1) > 0]
-        window, term = pairs // len(self.terms), pairs % len(self.terms)
-        begin = np.flatnonzero(np.diff(window, prepend=-1))
-        stop = np.append(begin[1:], len(window))
+        text, term = pairs // len(self.terms), pairs % len(self.terms)
+        begin = np.flatnonzero(np.diff(text, prepend=-1))
+        stop = np.append(begin[1:], len(text))
         bound = np.add.reduceat(self.block_max[term], begin, axis=0)
         for b in np.flatnonzero((bound >= self.block_least).any(axis=0)):
             near = np.flatnonzero(bound[:, b] >= self.block_least[b])
@@ -115,8 +147,7 @@ class Index:
             own = self.blocks[b]
             score = np.add.reduceat(self.impact[term[rows], own], starts, axis=0)
             for w, k in zip(*np.nonzero(score >= self.least[own]), strict=True):
-                t, item = int(np.searchsorted(base, window[begin[near[w]]], side="right")) - 1, own.start + int(k)
-                out[t][item] = max(out[t].get(item, 0.0), float(score[w, k]))
+                out[int(text[begin[near[w]]])][own.start + int(k)] = float(score[w, k])
         return out
 
     def leaks(self, texts: list[np.ndarray]):
@@ -124,12 +155,24 @@ class Index:
         for words, found in zip(texts, self.retrieve(texts), strict=True):
             have = np.unique(shingles(words, WIDTH)) if found and len(words) >= WIDTH else None
             out = []
+            if have is not None and len(found) > 1:
+                found = self._likely(found, have)
             for item, score in sorted(found.items(), key=lambda x: self.ids[x[0]]):
                 share = [self._share(s, have, words) for s in (self.whole[item], self.question[item], self.answer[item])]
                 if share[0] >= OVERLAP or min(share[1:]) >= OVERLAP:
                     out.append({"item_id": int(self.ids[item]), "bm25": score, "overlap": share[0], "question_overlap": share[1], "answer_overlap": share[2]})
             yield out
 
+    def _likely(self, found: dict[int, float], have: np.ndarray) -> dict[int, float]:
+        """Those retrieved items of which the document has any shingle, or that are one shingle themselves; one look-up for all."""
+        items = list(found)
+        wanted = np.concatenate([self.whole[k] for k in items])
+        hit = have[np.minimum(np.searchsorted(have, wanted), len(have) - 1)] == wanted
+        begin = np.concatenate(([0], np.cumsum([len(self.whole[k]) for k in items])[:-1]))
+        some = np.logical_or.reduceat(hit, begin)
+        short = [min(map(len, (self.whole[k], self.question[k], self.answer[k]))) <= 1 for k in items]
+        return {k: found[k] for k, yes, single in zip(items, some, short, strict=True) if yes or single}
+
     def _share(self, wanted: np.ndarray, have, words: np.ndarray) -> float:
         if not len(wanted):
             return 0.0
@@ -149,16 +192,19 @@ def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks") -> DataFrame:
     """docs with a column of leaked items: array<struct<item_id, bm25, overlap, question_overlap, answer_overlap>>.
 
-    Benchmarks are collected INDEX_ITEMS at a time; each part is indexed and
-    sent to the tasks, and the documents pass all parts in turn.  A column named
+    Benchmarks are collected INDEX_ITEMS at a time; each part is indexed, with
+    weights from the whole benchmark, and sent to the tasks, and the documents pass all parts in turn.  A column named
     like `out` is replaced, others stay.
     """
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
     parts = max(1, -(-items.count() // INDEX_ITEMS))
     shares = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) for p in range(parts)]
     names = [out if parts == 1 else free_name(docs, f"_{out}_{p}") for p in range(parts)]
+    corpus = Corpus()
+    for share in shares:
+        corpus.add([r["text"] for r in share.collect()])
     for name, share in zip(names, shares, strict=True):
-        index = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in share.collect())))
+        index = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in share.collect()), corpus))
         docs = with_computed(docs, f"{name} array<struct<{', '.join(f.replace(' ', ':') for f in LEAKS.split(', '))}>>", _scanner(index, text))
     if parts > 1:
         docs = docs.withColumn(out, F.concat(*names)).drop(*names)

@@ -127,6 +127,52 @@ def test_decontamination(spark):
     assert decontaminate.leaked(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_spread_leaks(spark, monkeypatch):
+    """Items whose parts, or shingles, stand far apart in a document; all leaks as brute force over every pair finds them."""
+    from pactum.llm import decontaminate
+
+    rng = random.Random(13)
+    items = [f"{words(rng, 30)}. {words(rng, 30)}." for _ in range(12)] + [" ".join(["again and"] * 9) + " once. " + words(rng, 6) + ".", f"short one here. {words(rng, 25)}."]
+    texts = []
+    for k in range(30):
+        t = words(rng, 1500).split()
+        parts = items[k % 14].split(". ")
+        for at, part in zip((1200, 100), parts, strict=True):
+            p = part.rstrip(".").split()
+            for _ in range(k // 14):
+                p[rng.randrange(len(p))] = f"new{k}"
+            t[at:at] = p
+        texts.append(" ".join(t))
+    for item in items[:6]:
+        # runs of ten words, each far from the next
+        w = item.replace(".", "").split()
+        texts.append(" ".join(" ".join(w[a : a + 14]) + " " + words(rng, 300) for a in range(0, len(w), 10)))
+    norm = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+
+    def grams(t):
+        w = norm(t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    def has(part, doc):
+        g, w = grams(part), norm(doc)
+        return sum(any(tuple(w[i : i + len(x)]) == x for i in range(len(w))) if len(x) < 5 else x in grams_of[doc] for x in g) / len(g)
+
+    grams_of = {t: grams(t) for t in texts}
+    want = set()
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            q, a = decontaminate._parts(item)
+            if has(item, t) >= 0.8 or min(has(q, t), has(a, t)) >= 0.8:
+                want.add((d, k))
+    assert {(14 + k, k) for k in range(12)} <= want and {(30 + k, k) for k in range(6)} <= want
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    first = decontaminate.leaked(docs_of(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in first} == want
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 5)
+    second = decontaminate.leaked(docs_of(spark, texts), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], round(r["bm25"], 3)) for r in first) == sorted((r["doc_id"], r["item_id"], round(r["bm25"], 3)) for r in second)
+
+
 def test_chat(spark):
     from pactum.llm import chat
 
