@@ -7,11 +7,9 @@ same prefix with the last text left empty shows where inside the span the text
 stands.  An output that doesn't start with its predecessor means the template
 rewrites history, and is reported as such.
 
-Turns stream through in order, so a conversation of any length is never held
-whole: prefixes are rendered over the last WINDOW turns at most, and each time
-the window moves on, its last turn is rendered in the old and in the new
-window; if the two spans differ, the template depends on more than the window
-and the turn is marked as rewriting history.
+Every prefix is rendered whole, from the first turn on, since a template may
+look at any of them.  So a conversation is held in memory and rendering it
+takes time that grows with the square of its length.
 """
 
 from __future__ import annotations
@@ -22,9 +20,6 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns rendered as one prefix chain before the window moves on, and how many it keeps then.
-WINDOW, KEEP = 64, 2
-
 
 class MarkedTemplate:
     """<s>, then for each turn <|turn|>role, a line end, the text, <|end|> and a line end.
@@ -67,20 +62,11 @@ class PrefixRenderer:
     def __init__(self, template):
         self.template, self.turns, self.before, self.at = template, [], "", 0
 
-    def _moved(self) -> bool:
-        """Start a new window; False if its last turn looks different from there."""
-        t = self.template
-        old = self.before[len(t.render(self.turns[:-1])) :]
-        self.turns = self.turns[-KEEP:]
-        self.before = t.render(self.turns)
-        return self.before[len(t.render(self.turns[:-1])) :] == old
-
     def add(self, role: str, text: str) -> dict:
         t = self.template
-        steady = self._moved() if len(self.turns) >= WINDOW else True
         self.turns.append((role, text))
         now = t.render(self.turns)
-        steady &= now.startswith(self.before)
+        steady = now.startswith(self.before)
         piece = now[len(self.before) :] if steady else now[_common(now, self.before) :]
         bare = t.render([*self.turns[:-1], (role, "")])
         at, size = _inside(piece, bare[len(now) - len(piece) :], text, t)

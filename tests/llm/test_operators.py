@@ -199,6 +199,27 @@ def test_rewriting_template_is_found():
     assert [r.add("user", f"text {k}")["rewrites"] for k in range(3)] == [False, True, True]
 
 
+def test_templates_that_look_far_back():
+    """Rewriting that only long conversations show, and turns that depend on the first one, are seen; a template may ask for its first turn."""
+    from pactum.llm.chat import MarkedTemplate, PrefixRenderer
+
+    class Latest(MarkedTemplate):
+        def render(self, turns):
+            return super().render(turns[-100:])
+
+    r = PrefixRenderer(Latest())
+    assert [r.add("user", f"text {k}")["rewrites"] for k in range(150)] == [k >= 100 for k in range(150)]
+
+    class FirstAgain(MarkedTemplate):
+        def render(self, turns):
+            assert turns[0][0] == "system"
+            return super().render([(role, f"{turns[0][1]} {text}") for role, text in turns])
+
+    r, turns = PrefixRenderer(FirstAgain()), [("system", "rule"), *((("user", "assistant")[k % 2], f"t{k}") for k in range(150))]
+    out = [r.add(*t) for t in turns]
+    assert "".join(x["piece"] for x in out) == FirstAgain().render(turns) and not any(x["rewrites"] for x in out[1:])
+
+
 def test_mixing(spark):
     from pactum.llm import mixing
 
