@@ -471,6 +471,48 @@ def test_pipeline(spark):
     assert ids > seen[0] > seen[1] >= seen[2] == seen[3] == seen[4]
 
 
+def test_near_duplicate_stage_on_shared_ids(spark):
+    """Against brute force where doc_ids are shared or null: one row of each group of linked texts stays, unique texts always."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    texts = [words(rng, 80) for _ in range(8)]
+    near = lambda t: t + " " + words(rng, 2)
+    pairs = [(1, texts[0]), (5, texts[0]), (5, texts[1])]
+    pairs += [(7, texts[2]), (7, near(texts[2])), (7, texts[2])]
+    pairs += [(None, texts[3]), (None, near(texts[3])), (None, texts[3])]
+    pairs += [(None, texts[4]), (9, near(texts[4])), (8, texts[5]), (None, texts[6]), (12, None), (13, ""), (14, "")]
+    sets = [shingle_set(t) for _, t in pairs]
+    group = list(range(len(pairs)))
+    for a in range(len(pairs)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in pairs], DOCS)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()]
+    least = lambda i: (i is None, i or 0)
+    for g in set(group):
+        members = [p for p, x in zip(pairs, group, strict=True) if x == g]
+        stay = [p for p in got if p in members]
+        assert len(stay) == 1 and least(stay[0][0]) == min(least(i) for i, _ in members)
+    assert len(got) == len(set(group)) and (5, texts[1]) in got
+
+
+def test_stages_against_operators_and_order(spark):
+    """Quality keeps what the classifier keeps, decontamination what holds no item, and mixing orders rows by the mix."""
+    import corpus_pipeline
+    from pactum.llm import decontaminate, mixing, quality
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert ids(corpus_pipeline.keep_good(spark, docs, sf)) == ids(quality.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("keep"))
+    bad = set(ids(decontaminate.leaked(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))))
+    assert bad and ids(corpus_pipeline.keep_unleaked(spark, docs, sf)) == [k for k in ids(docs) if k not in bad]
+    mixed = [r["doc_id"] for r in corpus_pipeline.in_mixed_order(spark, docs, sf).collect()]
+    assert mixed == [r["doc_id"] for r in mixing.mix(docs).orderBy("position").collect()]
+
+
 CLASHING = ("_host", "_path", "_rate", "rate", "labelled", "doc_score", "site_rate", "quality_score", "keep", "_label", "score", "n_sentences", "offending", "_leaks", "leaks", "item_id", "_id", "_position", "position", "count", "component_id", "column_0", "a.b", "vec_id", "pii", "_body", "n", "tie", "shard")
 
 
