@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from pactum.functions import text as T
+from pactum.operators.common import broadcast_if_small, ordered_text, top_by
 
 #: A line is a page header or footer from this many pages on.
 LEAST_PAGES = 3
@@ -78,16 +79,168 @@ def model_entities(rows: DataFrame, answer: str = "answer") -> DataFrame:
     return pairs.where((F.col("v") != "") & F.col("v").isNotNull()).select("id", F.upper("k").alias("entity_type"), F.col("v").alias("entity_value"), F.upper("v").alias("normalized_value"), F.lit("0.85").cast("decimal(5,2)").alias("confidence"))
 
 
-def law_search(clauses: DataFrame, laws: DataFrame, top: int = 5) -> DataFrame:
-    """The best `top` laws for each distinct search phrase; ties by law_id.  Phrases, not clauses, meet the laws."""
-    queries = clauses.select(T.law_terms(F.col("title"), F.col("content")).alias("query")).distinct()
-    scored = queries.join(laws, T.law_score(F.col("query"), F.col("article_title"), F.col("tags"), F.col("content"), F.col("article_number")) > 0)
+#: Laws that are broadcast to the phrases at most; beyond that the few distinct phrases are, if they are few.
+LAW_ROWS = 100_000
+
+
+def law_queries(clauses: DataFrame) -> DataFrame:
+    """Distinct search phrases of clauses."""
+    return clauses.select(T.law_terms(F.col("title"), F.col("content")).alias("query")).distinct()
+
+
+def law_search(queries: DataFrame, laws: DataFrame, top: int = 5, law_name: str | None = None) -> DataFrame:
+    """query, law_id, score, place: the best `top` laws for each distinct search phrase, ties by law_id; of one law book if it is named.
+
+    Every phrase is scored against every law, as its meaning is.  Phrases, not
+    clauses, meet the laws, and the smaller side is broadcast after a count;
+    where neither is small, Spark deals both sides in blocks.
+    """
+    if law_name is not None:
+        laws = laws.where(F.col("law_name") == law_name)
+    queries = queries.select("query").distinct()
+    small = broadcast_if_small(laws, LAW_ROWS)
+    pairs = queries.crossJoin(small) if small is not laws else laws.crossJoin(broadcast_if_small(queries, LAW_ROWS))
     score = T.law_score(F.col("query"), F.col("article_title"), F.col("tags"), F.col("content"), F.col("article_number"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "law_id"))
-    return scored.withColumn("score", score).withColumn("place", place).where(F.col("place") <= top).select("query", "law_id", "score", "place")
+    scored = pairs.select("query", "law_id", score.alias("score")).where(F.col("score") > 0)
+    return top_by(scored, "query", F.desc("score"), "law_id", n=top, place="place").select("query", "law_id", "score", "place")
+
+
+# How laws are quoted, and what stands for none.
+REFERENCE_HEAD, REFERENCE_TAIL = "\n\n[THAM CHIẾU LUẬT PHÁP VIỆT NAM (MCP)]:\n", "\n[HẾT THAM CHIẾU MCP]"
+
+
+def quoted_law(name: Column, number: Column, title: Column, content: Column) -> Column:
+    return F.concat(name, F.lit(" - "), number, F.lit(": "), title, F.lit("\nNội dung: "), content)
+
+
+def law_references(found: DataFrame, laws: DataFrame) -> DataFrame:
+    """(query, reference): the laws found for each phrase as one numbered block; phrases that found none have no row."""
+    cited = found.join(laws, "law_id")
+    text = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), quoted_law(F.col("law_name"), F.col("article_number"), F.col("article_title"), F.col("content")))
+    blocks = cited.groupBy("query").agg(ordered_text(text, "\n\n", "place").alias("block"))
+    return blocks.select("query", F.concat(F.lit(REFERENCE_HEAD), F.col("block"), F.lit(REFERENCE_TAIL)).alias("reference"))
+
+
+def law_articles(wanted: DataFrame, laws: DataFrame) -> DataFrame:
+    """(law_name, article_number, answer): each wanted article's text (the first by law_id), or that it isn't there."""
+    key = ["law_name", "article_number"]
+    one = top_by(laws, key, "law_id").select(*key, quoted_law(F.col("law_name"), F.col("article_number"), F.col("article_title"), F.col("content")).alias("found"))
+    none = F.concat(F.lit("Không tìm thấy điều luật "), F.col("article_number"), F.lit(" của "), F.col("law_name"), F.lit("."))
+    return wanted.select(*key).distinct().join(one, key, "left").select(*key, F.coalesce("found", none).alias("answer"))
 
 
 def document_warnings(pages: DataFrame) -> DataFrame:
     """doc_id, empty_pages, low_confidence_pages (comma-separated page numbers)."""
-    numbers = lambda cond: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.col("page_number")))), lambda n: n.cast("string")), ",")
-    return pages.groupBy("doc_id").agg(numbers(T.strip(F.col("text")) == "").alias("empty_pages"), numbers((F.col("source") == "ocr") & (F.col("confidence") < 0.6)).alias("low_confidence_pages"))
+    empty, low = page_faults()
+    listed = lambda cond: F.coalesce(ordered_text(F.when(cond, F.col("page_number").cast("string")), ",", "page_number"), F.lit(""))
+    return pages.groupBy("doc_id").agg(listed(empty).alias("empty_pages"), listed(low).alias("low_confidence_pages"))
+
+
+#: Recognised text below this confidence is doubtful.
+LEAST_CONFIDENCE = 0.6
+
+
+def page_faults() -> tuple[Column, Column]:
+    return T.strip(F.col("text")) == "", (F.col("source") == "ocr") & (F.col("confidence") < LEAST_CONFIDENCE)
+
+
+def validate(documents: DataFrame, pages: DataFrame, clauses: DataFrame | None) -> DataFrame:
+    """(doc_id, warnings): for every document an array of what is wrong with its pages and, if they are given, its clauses, in a fixed order."""
+    numbers = lambda cond, number: F.concat(F.lit("["), ordered_text(F.when(cond, F.col(number).cast("string")), ", ", number), F.lit("]"))
+    empty, low = page_faults()
+    told = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), numbers(empty, "page_number").alias("empty"), numbers(low, "page_number").alias("low"))
+    out = documents.select("doc_id").join(told, "doc_id", "left")
+    # fixed values: the texts of the warnings
+    warnings = [
+        F.when(F.col("n_pages").isNull(), "Tài liệu không có trang nào được trích xuất"), F.concat(F.lit("Trang rỗng sau normalize: "), F.col("empty")),
+        F.concat(F.lit(f"OCR confidence thấp (<{LEAST_CONFIDENCE}) tại trang: "), F.col("low")),
+    ]
+    if clauses is not None:
+        blank = lambda c: T.strip(F.coalesce(F.col(c), F.lit(""))) == ""
+        faults = clauses.groupBy("doc_id").agg(F.count("*").alias("n_clauses"), numbers(blank("body"), "clause_no").alias("hollow"), numbers(blank("title"), "clause_no").alias("nameless"))
+        out = out.join(faults, "doc_id", "left")
+        warnings += [
+            F.concat(F.lit("Điều khoản rỗng (không có nội dung): "), F.col("hollow")), F.concat(F.lit("Điều khoản thiếu tiêu đề: "), F.col("nameless")),
+            F.when(F.col("n_clauses").isNull(), "Không tìm thấy điều khoản nào — hãy kiểm tra format tài liệu"),
+        ]
+    return out.select("doc_id", F.array_compact(F.array(*warnings)).alias("warnings"))
+
+
+def clause_stats(clauses: DataFrame) -> DataFrame:
+    """doc_id, clause_no, words, is_empty, spans_multiple_pages of split clauses."""
+    return clauses.select("doc_id", "clause_no", T.word_count(F.col("body")).alias("words"), (T.strip(F.col("body")) == "").alias("is_empty"), (F.col("end_page") > F.col("start_page")).alias("spans_multiple_pages"))
+
+
+#: A page with fewer characters than this, blanks and line ends aside, is a picture of text.
+SCAN_CHARS = 50
+
+
+def is_scan(text: Column) -> Column:
+    return F.length(F.translate(F.coalesce(text, F.lit("")), " \n", "")) < SCAN_CHARS
+
+
+def scan_flags(pages: DataFrame) -> DataFrame:
+    """doc_id, pages, scan_pages, is_scan (more than half), ocr_confidence (mean of recognised pages to four places, 1 for none)."""
+    sure = F.avg(F.when(F.col("source") == "ocr", F.col("confidence")))
+    out = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count(F.when(is_scan(F.col("text")), 1)).alias("scan_pages"), F.round(F.coalesce(sure, F.lit(1.0)), 4).alias("ocr_confidence"))
+    return out.select("doc_id", "pages", "scan_pages", (F.col("scan_pages") * 2 > F.col("pages")).alias("is_scan"), "ocr_confidence")
+
+
+def ocr_pages(answers: DataFrame) -> DataFrame:
+    """doc_id, page_number, text, source, confidence, line_count from a recogniser's answers (column `answer`, JSON).
+
+    An answer is a list of {"rec_texts": [...], "rec_scores": [...]}, or of
+    [box, [text, score]], perhaps within one more list.  Blank lines are left
+    out, the others joined by line ends; confidence is their mean, 0 for none.
+    """
+    parts = F.from_json("answer", "array<string>")
+    first = F.coalesce(F.get(parts, 0), F.lit(""))
+    # the first entry is a line if its second part ends in a score, else a list of lines
+    line = ~F.startswith(F.coalesce(F.get_json_object(first, "$[1][1]"), F.lit("[")), F.lit("["))
+    wrapped = F.startswith(first, F.lit("[[")) & ~line
+    entries = F.coalesce(F.when(wrapped, F.from_json(F.get(parts, 0), "array<string>")).otherwise(parts), F.array().cast("array<string>"))
+    kept = "array<struct<text:string,score:double>>"
+
+    def lines(e: Column) -> Column:
+        named = F.from_json(e, "struct<rec_texts:array<string>,rec_scores:array<double>>")
+        zipped = F.zip_with(named["rec_texts"], named["rec_scores"], lambda t, s: F.struct(t.alias("text"), s.alias("score")))
+        single = F.array(F.struct(F.get_json_object(e, "$[1][0]").alias("text"), F.get_json_object(e, "$[1][1]").cast("double").alias("score")))
+        return F.when(F.startswith(e, F.lit("{")), F.coalesce(zipped.cast(kept), F.array().cast(kept))).otherwise(single.cast(kept))
+
+    every = F.filter(F.flatten(F.transform(entries, lines)), lambda x: x["text"].isNotNull() & x["score"].isNotNull() & (T.strip(x["text"]) != ""))
+    text = F.array_join(F.transform("lines", lambda x: T.strip(x["text"])), "\n")
+    mean = F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["score"]) / F.size("lines")
+    out = answers.withColumn("lines", every)
+    return out.select("doc_id", "page_number", text.alias("text"), F.lit("ocr").alias("source"), F.when(F.size("lines") > 0, mean).otherwise(0.0).alias("confidence"), F.size("lines").alias("line_count"))
+
+
+# What stands for a document that is only pictures when recognition is off.
+SCAN_NOTE = "[Hệ thống: Đây là tài liệu dạng ảnh quét (scanned PDF) và tính năng trích xuất hình ảnh/OCR đã được tắt theo yêu cầu. Không có văn bản thuần để trích xuất.]"
+IMAGE_NOTE = "[Hệ thống: Đây là file hình ảnh và tính năng trích xuất hình ảnh/OCR đã được tắt theo yêu cầu.]"
+PAGE = ("doc_id", "page_number", "text", "source", "confidence")
+
+
+def assembled_pages(files: DataFrame, native: DataFrame, recognised: DataFrame, plain: DataFrame, skip_ocr: bool = False) -> DataFrame:
+    """Pages of documents (doc_id, file_type, readable) from what each reader gave: native text, recognised pictures, plain text.
+
+    A PDF that can't be read falls back to its plain text.  Pages of a readable
+    one are its native pages that hold text and, for the others, the recognised
+    ones.  With recognition off the latter are left out, and a document that
+    has no page left gets a note for a page.
+    """
+    row = lambda df, source: df.select("doc_id", "page_number", "text", F.lit(source).alias("source"), F.lit(1.0).alias("confidence"))
+    kind = F.col("file_type")
+    broken = (kind == "pdf") & ~F.col("readable")
+    of = lambda cond: files.where(cond).select("doc_id")
+    text = row(plain.join(of(broken | (kind == "txt")), "doc_id", "left_semi"), "txt")
+    words = row(native.where(~is_scan(F.col("text"))).join(of((kind == "pdf") & ~broken), "doc_id", "left_semi"), "pdf")
+    whole = row(native.join(of(kind == "docx"), "doc_id", "left_semi"), "native")
+    pages = text.unionByName(words).unionByName(whole)
+    if not skip_ocr:
+        scans = native.where(is_scan(F.col("text"))).select("doc_id", "page_number").join(of((kind == "pdf") & ~broken), "doc_id", "left_semi")
+        pictures = recognised.join(of(kind == "image"), "doc_id", "left_semi")
+        return pages.unionByName(recognised.join(scans, ["doc_id", "page_number"], "left_semi").select(*PAGE)).unionByName(pictures.select(*PAGE))
+    bare = files.where(kind.isin("pdf", "image")).join(pages.select("doc_id").distinct(), "doc_id", "left_anti")
+    note = F.when(F.col("file_type") == "pdf", SCAN_NOTE).otherwise(IMAGE_NOTE)
+    source = F.when(F.col("file_type") == "pdf", "pdf").otherwise("ocr")
+    return pages.unionByName(bare.select("doc_id", F.lit(1).alias("page_number"), note.alias("text"), source.alias("source"), F.lit(1.0).alias("confidence")))

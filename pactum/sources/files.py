@@ -5,9 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Kinds of files by extension, and their media types.
+FILE_TYPES = {".docx": "docx", ".pdf": "pdf", ".png": "image", ".jpg": "image", ".jpeg": "image", ".txt": "txt"}
+MEDIA_TYPES = {
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".pdf": "application/pdf", ".png": "image/png",
+    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".txt": "text/plain", ".html": "text/html",
+}
 PAGES = "path string, page_number int, text string, source string, confidence double"
 
 
+def _known(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))
+
+
+def with_kinds(files: DataFrame, path: str = "path", size: str = "length") -> DataFrame:
+    """ext, file_type (null if it can't be read), mime and size_mb (two places) beside the columns of files; size in bytes."""
+    ext = extension(F.col(path))
+    mime = F.coalesce(_known(MEDIA_TYPES, ext), F.lit("application/octet-stream"))
+    return files.withColumns({"ext": ext, "file_type": _known(FILE_TYPES, ext), "mime": mime, "size_mb": F.round(F.col(size) / 1048576.0, 2)})
+
+
+def document_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Files below a path with their kinds and contents, and those of no kind that can be read, without contents, with an error."""
+    every = with_kinds(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+    told = F.concat(F.lit("Unsupported file type: "), F.coalesce(F.nullif("ext", F.lit("")), F.lit("none")))
+    return every.where("file_type is not null"), every.where("file_type is null").select("path", "ext", "length", told.alias("error"))
+
+
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
     """One page per text file, with confidence 1."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.lit(1).alias("page_number"), F.col("value").alias("text"), F.lit("native").alias("source"), F.lit(1.0).alias("confidence"))
@@ -50,8 +78,29 @@ def unseal(content: Column, key: str) -> Column:
     return F.aes_decrypt(content, F.unhex(F.sha2(F.lit(key), 256)), F.lit("GCM"))
 
 
-def write_document_json(pages: DataFrame, clauses: DataFrame, path: str) -> None:
-    """One JSON row per document: its pages and clauses, nested and in order."""
+def document_json(pages: DataFrame, clauses: DataFrame) -> DataFrame:
+    """doc_id, file_name, pages, clauses: one row per document, nested and in order."""
     p = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "text"))).alias("pages"))
     c = clauses.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("clause_no", "title", "body", "start_page", "end_page"))).alias("clauses"))
-    p.join(c, "doc_id", "left").write.json(path)
+    return p.join(c, "doc_id", "left").withColumn("file_name", F.concat(F.col("doc_id").cast("string"), F.lit("_processed.json")))
+
+
+def write_document_json(pages: DataFrame, clauses: DataFrame, path: str) -> None:
+    document_json(pages, clauses).write.json(path)
+
+
+def read_document_json(spark: SparkSession, path: str) -> DataFrame:
+    schema = """doc_id long, file_name string, pages array<struct<page_number: int, text: string>>,
+        clauses array<struct<clause_no: int, title: string, body: string, start_page: int, end_page: int>>"""
+    return spark.read.schema(schema).json(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that all machines see: spark.checkpoint.dir; where that is unset the warehouse, or on one machine a temporary folder."""
+    import tempfile
+    import uuid
+
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        at = f"file://{tempfile.gettempdir()}" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{at.rstrip('/')}/pactum-core/{name}-{uuid.uuid4().hex}"

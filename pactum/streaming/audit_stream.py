@@ -1,12 +1,12 @@
-"""The audit log as a stream: requests are appended as they arrive, counted by path and hour."""
+"""The audit log as streams: requests are classified and appended as they arrive, events counted by type and hour."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactum.sources.files import shared_path
+
 
 def audit_counts(events: DataFrame) -> DataFrame:
     """Events by type and hour, late by up to two hours."""
@@ -14,11 +14,27 @@ def audit_counts(events: DataFrame) -> DataFrame:
     return timed.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events")).select(F.col("w.start").alias("hour"), "event_type", "events")
 
 
-def run_once(spark: SparkSession, folder: str, files: str = "events.parquet", name: str = "audit_counts") -> DataFrame:
-    """Read the files that are there as one stream, to the end, into a memory table."""
+def file_stream(spark: SparkSession, folder: str, files: str) -> DataFrame:
+    """The Parquet files of a name in a folder as one stream."""
     schema = spark.read.parquet(f"{folder}/{files}").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
-    table = f"{name}_{uuid.uuid4().hex}"
-    query = audit_counts(stream).writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).start()
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+
+
+def append_to(rows: DataFrame, path: str) -> None:
+    """Append what has arrived to Parquet files, each row once: files and progress both stand in the shared folder."""
+    query = rows.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def run_once(spark: SparkSession, folder: str, files: str = "events.parquet", name: str = "audit_counts") -> DataFrame:
+    """Count the files that are there as one stream, to the end; each batch rewrites the counts as Parquet."""
+    path, batches = shared_path(spark, name), []
+
+    def keep(counts: DataFrame, batch: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{path}/counts-{batch}")
+        batches.append(batch)
+
+    counts = audit_counts(file_stream(spark, folder, files))
+    query = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(table)
+    return spark.read.schema(counts.schema).parquet(f"{path}/counts-{batches[-1]}") if batches else spark.createDataFrame([], counts.schema)

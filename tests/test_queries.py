@@ -101,25 +101,150 @@ def test_files(spark, tmp_path):
     assert len(row["sealed"]) == 33 and bytes(row["back"]) == b"draft"
 
 
-def test_scope_and_ledger_see_every_company(spark, tmp_path):
+def rows(df):
+    return sorted(tuple(map(str, r)) for r in df.collect())
+
+
+def test_scope_and_ledger_see_every_company(spark):
     """Against brute force in Python, on companies beyond any id bound and with all four brand words."""
-    names = {k: f"Customer {k}" for k in range(1, 121)} | {3: "FPT one", 90: "big fpt", 4: "Techcom", 91: "TECHCOMBANK", 5: "Vin", 92: "vinhome", 6: "viettel", 93: "Viettel Post"}
-    staff = {10: (3, 2), 11: (4, 3), 12: (5, 4), 13: (6, 5), 14: (1, 7), 15: (None, 6), 27: (2, 8), 1: (7, 1), 16: (None, 1)}
-    spark.createDataFrame([*names.items()], "id long, company_name string").createOrReplaceTempView("scope_company")
-    spark.createDataFrame([(k, f"user {k}", c, r) for k, (c, r) in staff.items()], "id long, user_name string, company_id long, role_id long").createOrReplaceTempView("scope_staff")
-    keys = [f"COMPANY_{k}" for k in (0, 1, 49, 50, 51, 120, 121)] + ["USER_60", "7"]
-    ledger = [(k, key, False, f"r{k}") for k, key in enumerate(keys)] + [(50, "COMPANY_0", False, "later"), (51, "USER_1", True, None)]
-    spark.createDataFrame(ledger, "tx_id long, record_key string, is_delete boolean, record string").createOrReplaceTempView("scope_ledger")
-    ask = lambda name: spark.sql(catalog.relational.QUERIES[name].format(company="scope_company", staff="scope_staff", ledger="scope_ledger"))
+    from pactum.operators import proofs, registry
+
+    names = {k: f"Customer {k}" for k in range(1, 121)} | {3: "FPT one", 90: "big fpt", 4: "Techcom", 91: "TECHCOMBANK", 5: "Vin", 92: "vinhome", 6: "viettel", 93: "Viettel Post fpt"}
+    staff = {10: (3, False), 11: (4, False), 12: (5, False), 13: (6, False), 14: (1, False), 15: (None, False), 27: (2, False), 1: (7, True), 16: (None, True)}
+    companies = spark.createDataFrame([*names.items()], "id long, company_name string")
+    people = spark.createDataFrame([(k, f"user {k}", c, s) for k, (c, s) in staff.items()], "id long, user_name string, company_id long, is_superuser boolean")
     brands = ("fpt", "techcom", "vin", "viettel")
 
-    def sees(company, role, c):
+    def sees(company, superuser, c):
         own = names.get(company, "").lower()
-        return role == 1 or company is None or company == c or any(b in own and b in names[c].lower() for b in brands)
-
-    want = sorted((u, c) for u, (company, role) in staff.items() for c in names if sees(company, role, c))
-    assert sorted(map(tuple, ask("tenant_scope").collect())) == want
-    assert {c for u, c in want if u == 1} == set(names)
-    taken = {f"COMPANY_{k}" for k in names}
-    got = sorted(tuple(r) for r in ask("ledger_put_if_absent").collect())
-    assert got == sorted((key, k, f"r{k}") for k, key in enumerate(keys) if key not in taken)
+        return superuser or company is None or company == c or any(b in own and b in names[c].lower() for b in brands)
+
+    want = sorted((u, c) for u, (company, superuser) in staff.items() for c in names if sees(company, superuser, c))
+    assert sorted(map(tuple, registry.visible_companies(people, companies).collect())) == want
+    contracts = spark.createDataFrame([(k, None if k % 10 == 0 else 1 + k % 120) for k in range(600)], "id long, company_id long")
+    owned = [None if k % 10 == 0 else 1 + k % 120 for k in range(600)]
+    counted = sorted((u, sum(c is None or sees(company, superuser, c) for c in owned)) for u, (company, superuser) in staff.items())
+    assert sorted(map(tuple, registry.access_counts(people, companies, contracts).collect())) == counted
+    keys = [f"COMPANY_{k}" for k in (0, 1, 49, 50, 51, 120, 121)] + ["USER_60", "7"]
+    ledger = [(k, key, False, f"r{k}") for k, key in enumerate(keys)] + [(50, "COMPANY_0", False, "later"), (51, "USER_1", True, None)]
+    taken = companies.selectExpr("concat('COMPANY_', id) AS record_key")
+    got = sorted(tuple(r) for r in proofs.put_if_absent(spark.createDataFrame(ledger, "tx_id long, record_key string, is_delete boolean, record string"), taken).collect())
+    assert got == sorted((key, k, f"r{k}") for k, key in enumerate(keys) if key not in {f"COMPANY_{k}" for k in names})
+
+
+def test_verification_ladder(spark):
+    """One version on each rung, expected rows by hand."""
+    import hashlib
+
+    from pactum.operators import proofs
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    docs = [(1, "A", "one", None, None), (2, "A", "two", "one", "A"), (3, "A", "changed", "two", "A"), (4, "A", "four", "changed", "A"), (5, "A", "", "four", "A"), (6, "A", None, "", "A"), (9, "A", "nine", "eight", "A")]
+    stored = [(1, sha("one"), None), (2, sha("two"), sha("one")), (3, sha("three"), sha("two")), (4, sha("four"), sha("other")), (5, sha("A-5-"), sha("four")), (9, sha("nine"), "?")]
+    tx = [(2, "CONFIRMED"), (1, "FAILED"), (4, "CONFIRMED")]
+    got = proofs.verify_proofs(
+        spark.createDataFrame(docs, "version_id long, contract_code string, content string, previous_content string, previous_code string"),
+        spark.createDataFrame(stored, "version_id long, document_hash string, previous_hash string"), spark.createDataFrame(tx, "version_id long, status string"),
+    )
+    told = {1: proofs.LOCAL, 2: proofs.ANCHORED, 3: proofs.CHANGED, 4: proofs.BROKEN_CHAIN, 5: proofs.LOCAL, 6: proofs.NO_PROOF, 9: proofs.LOCAL}
+    assert {r["version_id"]: r["message"] for r in got.collect()} == told
+    anchored = proofs.anchor(spark.createDataFrame(stored, "version_id long, document_hash string, previous_hash string"), spark.createDataFrame(tx, "version_id long, status string")).collect()
+    assert {r["version_id"] for r in anchored} == {1, 3, 5, 9} and all(len(r["tx_hash"]) == 50 and len(r["block_hash"]) == 34 for r in anchored)
+
+
+def test_audit_actions_and_masks(spark):
+    """Expected rows by hand: each rule, the order of rules, contract codes, and secrets under their own keys."""
+    from pyspark.sql import functions as F
+
+    from pactum.operators import audit
+
+    told = [
+        ("/login/", "POST", "Logged in successfully"), ("/login/", "GET", "Visited page: /login/"), ("/api/admin/users/7/delete/", "GET", "Admin request to delete user (ID: 7)"),
+        ("/api/admin/config/ocr/", "POST", "Admin changed system OCR configuration"), ("/api/admin/config/ocr/", "GET", None), ("/api/contracts/", "GET", None),
+        ("/api/contracts/5/analyze/", "POST", "Triggered AI analysis for contract: CON-5"), ("/api/contracts/6/analyze/", "POST", "Triggered AI analysis for contract (ID: 6)"),
+        ("/contracts/5/detail/", "GET", "Viewed contract details: CON-5"), ("/contracts/6/detail/", "GET", "Visited page: /contracts/6/detail/"), ("/workflows/detail/5/", "GET", "Visited page: /workflows/detail/5/"),
+        ("/contracts/5/review/x/approve/", "HEAD", "Submitted expert review for contract: CON-5"), ("/x/analyze/", "PATCH", "Performed PATCH request on /x/analyze/"), ("/" + "y" * 300, "GET", ("Visited page: /" + "y" * 300)[:100]),
+        ("/contracts/99999999999999999999/analyze/", "GET", "Triggered AI analysis for contract (ID: 99999999999999999999)"),
+    ]
+    requests = spark.createDataFrame([(k, p, m, 200) for k, (p, m, _) in enumerate(told)] + [(90, "/login/", "POST", 404), (91, "/static/x", "GET", 200)], "id long, path string, method string, status_code int")
+    got = {r["id"]: r["action"] for r in audit.classify(requests, spark.createDataFrame([(5, "CON-5")], "id long, contract_code string")).collect()}
+    assert got == {k: a for k, (_, _, a) in enumerate(told)}
+    payloads = {
+        '{"password": "a", "x": 1}': '{"password": "******", "x": 1}', '{"password_hash": "a\\"b", "secret":12}': '{"password_hash": "******", "secret":"******"}',
+        '{"passwords": "kept"}': '{"passwords": "kept"}', "z" * 5000: "z" * 4000,
+    }
+    df = spark.createDataFrame([(p,) for p in payloads], "p string").select("p", audit.masked(F.col("p")).alias("m"))
+    assert {r["p"]: r["m"] for r in df.collect()} == payloads
+
+
+def test_titles_edges_and_serials(spark):
+    """Findings against clauses, requested edges, certificate serials, paths and codes, by hand."""
+    from pyspark.sql import functions as F
+
+    from pactum.functions import names as N
+    from pactum.operators import analyses, workflows
+
+    findings = spark.createDataFrame([(1, 7, " Term "), (2, 7, None), (3, 7, "termination of contract"), (4, 8, "term")], "id long, version_id long, clause_title string")
+    clauses = spark.createDataFrame([(10, 7, "TERM"), (11, 7, " "), (12, 7, "Long term lease"), (13, 9, "term")], "id long, version_id long, title string")
+    assert rows(analyses.match_findings(findings, clauses)) == sorted((str(a), str(b)) for a, b in [(1, 10), (1, 12), (2, 11), (3, 10)])
+    steps = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 2)], "id long, workflow_id long")
+    have = spark.createDataFrame([(1, 2)], "prerequisite_id long, dependent_id long")
+    asked = [(1, 1, 1, "self"), (1, 9, 1, "missing"), (1, 4, 1, "other workflow"), (2, 1, 1, "cycle"), (1, 2, 1, "known"), (2, 3, 1, "created"), (3, 1, 1, "created"), (1, 3, 2, "other workflow")]
+    out = workflows.dependency_checks(spark.createDataFrame([a[:3] for a in asked], "prerequisite_id long, dependent_id long, workflow_id long"), steps, have)
+    assert rows(out) == sorted(tuple(map(str, a)) for a in asked)
+    text = spark.createDataFrame([("FPT Soft-ware Ltd", 12345, "/media/a%20b+c%2B.pdf", "CON/1 ằ_x-2", "4-NOT SPECIFIED")], "c string, id long, p string, code string, t string")
+    row = text.select(N.certificate_serial(F.col("c"), F.col("id")), N.media_path(F.col("p")), N.safe_file_code(F.col("code")), N.title_case(F.col("t"))).first()
+    assert re.fullmatch(r"CERT-FPT-SOFT-12345-[1-9][0-9]{3}", row[0]) and tuple(row)[1:] == ("a b+c+.pdf", "CON1ằ_x-2", "4-Not Specified")
+
+
+def test_searches_and_pages(spark):
+    from pyspark.sql import functions as F
+
+    from pactum.operators import registry
+
+    contracts = spark.createDataFrame([(1, "C-1", "Rent of Land", "DRAFT"), (2, None, "x", "APPROVED"), (3, "draft-7", None, "ANALYZED")], "id long, contract_code string, title string, status string")
+    found = lambda t: sorted(r["id"] for r in registry.contract_search(contracts, t).collect())
+    assert (found("DRAFT"), found(""), found("nothing"), found("land")) == ([1, 3], [1, 2, 3], [], [1])
+    ids = spark.range(25)
+    page = lambda n: [(r["id"], r["pages"]) for r in registry.page_of(ids, n, F.asc("id")).collect()]
+    assert page(3) == [(k, 3) for k in range(20, 25)] and page(4) == []
+    assert registry.page_of(ids.limit(0), 1, F.asc("id")).count() == 0
+    with pytest.raises(ValueError, match="count from 1"):
+        registry.page_of(ids, 0, F.asc("id"))
+    with pytest.raises(ValueError, match="unknown order"):
+        registry.history_page(ids, "best")
+
+
+def test_files_of_all_kinds(spark, tmp_path):
+    """Kinds, sizes in bytes and rejects of files; blocks that are none give nulls."""
+    from pyspark.sql import functions as F
+
+    from pactum.operators import proofs
+    from pactum.sources import files
+
+    (tmp_path / "a.TXT").write_bytes(b"x" * 2_000_000)
+    (tmp_path / "b.exe").write_text("no")
+    (tmp_path / "c").write_text("none")
+    good, bad = files.document_files(spark, str(tmp_path))
+    assert [(r["file_type"], r["mime"], r["size_mb"], len(r["content"])) for r in good.collect()] == [("txt", "text/plain", 1.91, 2_000_000)]
+    assert sorted(r["error"] for r in bad.collect()) == ["Unsupported file type: .exe", "Unsupported file type: none"]
+    odd = spark.createDataFrame([(b"",), (b"\x0b\x00",), (None,), (b"\x0a\x05\x08",)], "block binary").select(proofs.parse_block(F.col("block")).alias("h"))
+    assert all(r["h"]["number"] is None for r in odd.collect())
+
+
+def test_keyed_lifecycle_of_keys(spark):
+    from pactum.operators import workflows
+
+    events = [(1, 5, "ROTATE"), (2, 5, "CREATE"), (3, 5, "ROTATE"), (4, 5, "REVOKE"), (5, 5, "ROTATE"), (6, 5, "CREATE"), (7, 6, "CREATE")]
+    got = workflows.key_lifecycle(spark.createDataFrame(events, "id long, company_id long, action string")).select("id", "key_version", "status")
+    assert rows(got) == sorted([("2", "1", "ROTATED"), ("3", "2", "REVOKED"), ("6", "1", "ACTIVE"), ("7", "1", "ACTIVE")])
+
+
+def test_small_letters_class(spark):
+    """A line break goes before the listed letters only."""
+    from pyspark.sql import functions as F
+
+    from pactum.functions import text as T
+
+    df = spark.createDataFrame([("a\nắ",), ("a\nằ",), ("a.\nb",), ("a\nB",)], "t string").select(F.regexp_replace("t", T.SOFT_BREAK, " ").alias("t"))
+    assert [r["t"] for r in df.collect()] == ["a ắ", "a\nằ", "a.\nb", "a\nB"]
