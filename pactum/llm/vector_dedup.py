@@ -1,16 +1,19 @@
 """Near-duplicate vectors: navigable small-world graphs per shard, every shard queried, cosine verified in doubles.
 
-Vectors are dealt to shards by a hash.  One task builds a shard's graph (a
-hierarchy of layers, each a graph of near neighbours found by beam search in
-the graph so far) and then answers every vector of the table against it, as
-they stream by in blocks.  A query whose beam is full of links is widened until
-the beam reaches beyond the threshold.  Vectors of the shard and some of every
-block of queries are audited against brute force, each by its own recall: if
-vectors with few links or with many miss theirs, beams double and the block is
-answered again; where beams would cost as much as brute force, the rest of the
-shard is answered by that, in blocks.  Answers leave a
-task as link counts per vector and as a spanning forest of the links it saw, so a
-group of near copies costs its size in rows, not its square.
+Equal vectors are folded into one node with a count.  Nodes are dealt to
+shards by a hash.  One task builds a shard's graph (a hierarchy of layers, each
+a graph of near neighbours found by beam search in the graph so far; neighbours
+are kept for their directions as well as their nearness, so that tight groups
+stay joined to the rest, and what no upper node leads to becomes an entry of
+its own) and then answers every node of the table against it, as they stream by
+in blocks.  A query whose beam is full of links is widened until the beam
+reaches beyond the threshold.  Some of every block of queries, which come from
+all shards, are audited against brute force, each by its own recall, itself
+left out: if nodes with few links or with many miss theirs, beams double and the
+block is answered again; where beams would cost as much as brute force, that
+answers, in blocks.  Answers leave a task as link counts per node and as a
+forest of the links it saw, so a group of near copies costs its size in rows,
+not its square.
 """
 
 from __future__ import annotations
@@ -20,177 +23,266 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from pactum.llm.shared import components, stash
+from pactum.llm.shared import broadcast_if_small, components, stash
 
 THRESHOLD = 0.9
-#: Vectors in a shard at most (on average), and shards at least.
-SHARD_ROWS, LEAST_SHARDS = 200_000, 12
+#: Bytes of a shard's vectors and links in memory, about 20 for each number of a vector; and shards at least.
+SHARD_BYTES, LEAST_SHARDS = 256 << 20, 12
 #: Neighbours kept per node, beam while building, beam to begin queries with, share of a layer that is in the next.
-NEIGHBOURS, BUILD_BEAM, QUERY_BEAM, LAYER_SHARE = 12, 24, 24, 16
-#: Of a shard's vectors at least so many, or one in AUDIT_SHARE, are checked by brute force, and one in AUDIT_SHARE of every block of queries.
-AUDITED, AUDIT_SHARE = 64, 32
-#: Mean recall of links that vectors with few and vectors with many must reach, and the least that a single vector may have.
+NEIGHBOURS, BUILD_BEAM, QUERY_BEAM, LAYER_SHARE = 12, 24, 16, 16
+#: Layers up to this size are looked through whole; nodes of a beam whose neighbours are fetched at once; queries x nodes marked as seen at once.
+SMALL_LAYER, SPREAD, SEEN_CELLS = 1024, 4, 1 << 25
+#: One in so many of every block of queries is checked by brute force.
+AUDIT_SHARE = 32
+#: Mean recall of links that nodes with few and nodes with many must reach, and the least that a single one may have.
 RECALL, WORST = 0.999, 0.9
 BLOCK = 512
 #: Cosines held at once by brute force.
 BRUTE_CELLS = 1 << 22
 
 
+def _diverse(cos: np.ndarray, among: np.ndarray, keep: int) -> np.ndarray:
+    """Which candidates (best first) each row keeps: those nearer to it than to any kept before, then the nearest of the others."""
+    m, k = cos.shape
+    crowd = np.full((m, k), -np.inf, dtype=np.float32)
+    kept = np.zeros((m, k), dtype=bool)
+    for j in range(k):
+        ok = (cos[:, j] > crowd[:, j]) & (cos[:, j] > -2) & (kept.sum(axis=1) < keep)
+        kept[:, j] = ok
+        np.maximum(crowd, np.where(ok[:, None], among[:, :, j], -np.inf), out=crowd)
+    spare = ~kept & (cos > -2)
+    room = keep - kept.sum(axis=1)
+    return kept | spare & (np.cumsum(spare, axis=1) <= room[:, None])
+
+
 class Graph:
     """A hierarchical small-world graph over unit vectors, searched for many queries at once."""
 
     def __init__(self, vectors: np.ndarray, seed: int = 0):
-        self.v = np.ascontiguousarray(vectors, dtype=np.float32)
-        n = len(self.v)
+        n = len(vectors)
         draw = np.random.default_rng(seed).random(n)
         level = np.floor(-np.log(np.maximum(draw, 1e-12)) / math.log(LAYER_SHARE)).astype(int)
-        order = np.argsort(-level, kind="stable")
-        self.order, self.layers = order, []
+        # nodes of higher layers come first in each lower one, so a layer is a leading part of them
+        self.order = np.argsort(-level, kind="stable")
+        self.v = np.ascontiguousarray(vectors[self.order], dtype=np.float32)
+        self.layers: list[tuple[int, np.ndarray, np.ndarray]] = []
         sizes = [int((level >= k).sum()) for k in range(level.max() + 1 if n else 0)]
-        # nodes of higher layers come first in each lower one
         for size in sorted(set(sizes)):
-            self.layers.append(self._build(order[:size]))
+            links = self._build(size)
+            above = self.layers[-1][0] if self.layers else min(4, size)
+            self.layers.append((size, links, self._islands(links, above)))
 
-    def _build(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _build(self, n: int) -> np.ndarray:
         """Insert nodes in growing batches: each searches the graph so far and, by product, its own batch."""
-        n = len(nodes)
         links = np.full((n, 2 * NEIGHBOURS), -1, dtype=np.int32)
-        v = self.v[nodes]
         done = min(n, 256)
-        self._connect(links, v, np.arange(done), [np.arange(done)])
+        self._connect(links, np.arange(done), None)
         while done < n:
-            stop = min(n, done + min(done, 2048))
+            stop = min(n, done + min(done, 1024))
             batch = np.arange(done, stop)
-            found, _ = self._beam(v, links, v[batch], self._entries(v[batch], nodes[:done], done), BUILD_BEAM, done)
-            self._connect(links, v, batch, [batch], found)
+            found = np.concatenate([self._beam(links, self.v[b], self._entries(self.v[b], done), BUILD_BEAM, done)[0] for b in np.array_split(batch, -(-len(batch) // BLOCK))])
+            self._connect(links, batch, found)
             done = stop
-        return nodes, links
-
-    def _entries(self, q: np.ndarray, nodes: np.ndarray, done: int) -> np.ndarray:
-        """Where to begin in a layer: the best nodes that the layers above lead to (they come first here too)."""
-        if not self.layers:
-            return np.tile(np.arange(min(4, done), dtype=np.int32), (len(q), 1))
+        return links
+
+    def _islands(self, links: np.ndarray, above: int) -> np.ndarray:
+        """Entries for what can't be reached from the nodes of the layer above: one for each part that hangs together."""
+        reached = np.zeros(len(links), dtype=bool)
+        reached[:above] = True
+        front, out = np.arange(min(above, len(links))), []
+        at = 0
+        while True:
+            while len(front):
+                near = links[front].ravel()
+                near = np.unique(near[near >= 0])
+                front = near[~reached[near]]
+                reached[front] = True
+            while at < len(links) and reached[at]:
+                at += 1
+            if at == len(links):
+                return np.array(out, dtype=np.int32)
+            out.append(at)
+            reached[at], front = True, np.array([at])
+
+    def _entries(self, q: np.ndarray, limit: int) -> np.ndarray:
+        """Where to begin below the layers there are: the best nodes that they lead to (they come first there too)."""
         at = None
-        for upper, links in self.layers:
-            v = self.v[upper]
-            at = self._beam(v, links, q, np.tile(np.arange(min(4, len(upper)), dtype=np.int32), (len(q), 1)) if at is None else at, 4, len(upper))[0][:, :4]
-            at = np.where(at < 0, 0, at)
-        return np.minimum(at, done - 1)
-
-    def _connect(self, links, v, batch, groups, found=None) -> None:
-        """Link each node of the batch to its nearest of the found and of the batch, both ways, keeping the nearest."""
-        own = v[batch] @ v[groups[0]].T
-        own[np.arange(len(batch)), np.arange(len(batch))] = -2
-        k = min(NEIGHBOURS, max(len(batch) - 1, 0))
-        near = groups[0][np.argpartition(-own, k - 1, axis=1)[:, :k]] if k else np.zeros((len(batch), 0), int)
+        for size, links, islands in self.layers:
+            if size <= SMALL_LAYER:
+                near = q @ self.v[:size].T
+                at = np.argpartition(-near, min(4, size) - 1, axis=1)[:, :4].astype(np.int32)
+                continue
+            begin = np.tile(np.arange(min(4, size), dtype=np.int32), (len(q), 1)) if at is None else at
+            at = self._beam(links, q, self._with_islands(q, begin, islands), 8, size)[0][:, :4]
+            at = np.where(at < 0, at[:, :1], at)
+        return np.tile(np.arange(min(4, limit), dtype=np.int32), (len(q), 1)) if at is None else np.minimum(at, limit - 1)
+
+    def _with_islands(self, q: np.ndarray, begin: np.ndarray, islands: np.ndarray) -> np.ndarray:
+        """The nearest few of a layer's islands beside the entries from above."""
+        if not len(islands):
+            return begin
+        near = q @ self.v[islands].T
+        best = np.argpartition(-near, min(4, len(islands)) - 1, axis=1)[:, :4]
+        return np.concatenate((begin, islands[best]), axis=1)
+
+    def _connect(self, links, batch, found) -> None:
+        """Link each node of the batch to diverse near ones of the found and of the batch, both ways."""
+        own = self.v[batch] @ self.v[batch].T
+        own[np.arange(len(batch)), np.arange(len(batch))] = -3
+        k = min(NEIGHBOURS * (2 if found is None else 1), max(len(batch) - 1, 0))
+        near = batch[np.argpartition(-own, k - 1, axis=1)[:, :k]].astype(np.int32) if k else np.zeros((len(batch), 0), np.int32)
+        del own
         if found is not None:
-            near = np.concatenate((near, found[:, :BUILD_BEAM]), axis=1)
-        score = np.einsum("ijk,ik->ij", v[np.maximum(near, 0)], v[batch])
-        score[near < 0] = -2
-        best = np.argsort(-score, axis=1, kind="stable")[:, :NEIGHBOURS]
-        chosen = np.take_along_axis(near, best, axis=1)
-        links[batch, : chosen.shape[1]] = chosen
-        src = np.repeat(batch, chosen.shape[1])
-        dst = chosen.ravel()
-        ok = dst >= 0
-        src, dst = src[ok], dst[ok]
+            near = np.concatenate((near, found), axis=1)
+        for a in range(0, len(batch), BLOCK):
+            self._choose(links, batch[a : a + BLOCK], near[a : a + BLOCK], NEIGHBOURS)
+        src = np.repeat(batch, NEIGHBOURS)
+        dst = links[batch, :NEIGHBOURS].ravel()
+        src, dst = src[dst >= 0].astype(np.int32), dst[dst >= 0]
         if not len(dst):
             return
-        order = np.argsort(dst, kind="stable")
+        # of the nodes that chose one, its nearest are looked at
+        cos = np.concatenate([np.einsum("ij,ij->i", self.v[src[a : a + 65536]], self.v[dst[a : a + 65536]]) for a in range(0, len(src), 65536)])
+        order = np.lexsort((-cos, dst))
         src, dst = src[order], dst[order]
         targets, begin = np.unique(dst, return_index=True)
-        stops = np.append(begin[1:], len(dst))
-        for t, a, b in zip(targets, begin, stops, strict=True):
-            have = links[t]
-            every = np.unique(np.concatenate((have[have >= 0], src[a:b])))
-            if len(every) > links.shape[1]:
-                # mostly the nearest, and some at random so that a tight group stays joined to the rest
-                near = every[np.argsort(-(v[every] @ v[t]), kind="stable")]
-                far = near[links.shape[1] - 4 :]
-                every = np.concatenate((near[: links.shape[1] - 4], far[np.linspace(0, len(far) - 1, 4).astype(int)]))
-            links[t, :] = -1
-            links[t, : len(every)] = every
-
-    def _beam(self, v, links, q, entry, width, limit):
+        place = np.arange(len(dst)) - np.repeat(begin, np.diff(np.append(begin, len(dst))))
+        wide = min(2 * NEIGHBOURS, int(place.max()) + 1)
+        new = np.full((len(targets), wide), -1, dtype=np.int32)
+        ok = place < wide
+        new[np.searchsorted(targets, dst[ok]), place[ok]] = src[ok]
+        for a in range(0, len(targets), BLOCK):
+            t = targets[a : a + BLOCK]
+            self._choose(links, t, np.concatenate((links[t], new[a : a + BLOCK]), axis=1), 2 * NEIGHBOURS)
+
+    def _choose(self, links, nodes, near, keep) -> None:
+        near = np.sort(near, axis=1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+        vectors = self.v[np.maximum(near, 0)]
+        cos = np.einsum("ijk,ik->ij", vectors, self.v[nodes])
+        cos[(near < 0) | (near == nodes[:, None])] = -3
+        best = np.argsort(-cos, axis=1, kind="stable")
+        near, cos = np.take_along_axis(near, best, 1), np.take_along_axis(cos, best, 1)
+        vectors = np.take_along_axis(vectors, best[:, :, None], 1)
+        kept = _diverse(cos, vectors @ vectors.transpose(0, 2, 1), keep)
+        first = np.argsort(~kept, axis=1, kind="stable")[:, :keep]
+        links[nodes] = -1
+        links[nodes, : first.shape[1]] = np.where(np.take_along_axis(kept, first, 1), np.take_along_axis(near, first, 1), -1)
+
+    def _beam(self, links, q, entry, width, limit):
         """The `width` nearest found for each query, best first (-1 where fewer), with their cosines."""
-        m = len(q)
-        ids = np.full((m, width), -1, dtype=np.int32)
+        step = max(32, SEEN_CELLS // max(1, limit))
+        if len(q) > step:
+            parts = [self._beam(links, q[a : a + step], entry[a : a + step], width, limit) for a in range(0, len(q), step)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        m, width = len(q), min(width, limit)
+        # a node and, in the last bit, whether its neighbours are still to be looked at
+        codes = np.full((m, width), -2, dtype=np.int32)
         cos = np.full((m, width), -3.0, dtype=np.float32)
-        open_ = np.zeros((m, width), dtype=bool)
         seen = np.zeros((m, limit), dtype=bool)
-        rows = np.arange(m)
 
         def add(who, new):
-            nonlocal ids, cos, open_
-            new = np.where(new >= limit, -1, new)
-            fresh = (new >= 0) & ~seen[who[:, None], np.maximum(new, 0)]
-            new = np.sort(np.where(fresh, new, -1), axis=1)
+            new = np.where((new >= 0) & ~seen[who[:, None], np.maximum(new, 0)], new, -1)
+            new.sort(axis=1)
             new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
-            seen[np.repeat(who, new.shape[1])[(new >= 0).ravel()], new[new >= 0]] = True
-            c = np.einsum("ijk,ik->ij", v[np.maximum(new, 0)], q[who])
+            some = new >= 0
+            count = some.sum(axis=1)
+            if not count.any():
+                return
+            seen[np.repeat(who, count), new[some]] = True
+            new = -np.sort(-new, axis=1)[:, : count.max()]
+            c = np.einsum("ijk,ik->ij", self.v[np.maximum(new, 0)], q[who])
             c[new < 0] = -3
-            every_i = np.concatenate((ids[who], new), axis=1)
-            every_c = np.concatenate((cos[who], c), axis=1)
-            every_o = np.concatenate((open_[who], new >= 0), axis=1)
-            top = np.argsort(-every_c, axis=1, kind="stable")[:, :width]
-            ids[who], cos[who], open_[who] = np.take_along_axis(every_i, top, 1), np.take_along_axis(every_c, top, 1), np.take_along_axis(every_o, top, 1)
-
-        add(rows, entry)
-        live = rows
-        spread = 4
-        while len(live):
-            where = open_[live]
-            live = live[where.any(axis=1)]
+            every_c, every = np.concatenate((cos[who], c), axis=1), np.concatenate((codes[who], np.where(new >= 0, 2 * new + 1, -2)), axis=1)
+            top = np.argsort(-every_c, axis=1)[:, :width]
+            codes[who], cos[who] = np.take_along_axis(every, top, 1), np.take_along_axis(every_c, top, 1)
+
+        live = np.arange(m)
+        add(live, np.where(entry < limit, entry, -1))
+        while True:
+            open_ = codes[live] & 1 == 1
+            some = open_.any(axis=1)
+            live, open_ = live[some], open_[some]
             if not len(live):
-                break
+                return codes >> 1, cos
             # the best open ones of each query, a few at a time
-            pick = np.argsort(~open_[live], axis=1, kind="stable")[:, :spread]
-            ok = np.take_along_axis(open_[live], pick, 1)
-            nodes = np.where(ok, np.take_along_axis(ids[live], pick, 1), -1)
-            sub = open_[live]
-            np.put_along_axis(sub, pick, False, axis=1)
-            open_[live] = sub
-            near = np.where((nodes >= 0)[:, :, None], links[np.maximum(nodes, 0)], -1).reshape(len(live), -1)
-            add(live, near)
-        return ids, cos
+            pick = open_ & (np.cumsum(open_, axis=1) <= SPREAD)
+            row, col = np.nonzero(pick)
+            nodes = np.full((len(live), SPREAD), -1, dtype=np.int32)
+            nodes[row, np.cumsum(pick, axis=1)[row, col] - 1] = codes[live[row], col] >> 1
+            codes[live[row], col] -= 1
+            add(live, np.where((nodes >= 0)[:, :, None], links[np.maximum(nodes, 0)], -1).reshape(len(live), -1))
 
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices into the vectors and cosines of the nearest that a beam of this width finds."""
         q = np.ascontiguousarray(q, dtype=np.float32)
-        nodes, links = self.layers[-1]
-        entry = self._entries_for(q)
-        found, cos = self._beam(self.v[nodes] if not hasattr(self, "bottom") else self.bottom, links, q, entry, min(width, len(nodes)), len(nodes))
-        return np.where(found >= 0, nodes[np.maximum(found, 0)], -1), cos
-
-    def _entries_for(self, q):
-        whole, self.layers = self.layers, self.layers[:-1]
+        size, links, islands = self.layers[-1]
+        last = self.layers.pop()
         try:
-            return self._entries(q, None, len(whole[-1][0]))
+            entry = self._entries(q, size)
         finally:
-            self.layers = whole
-
-    def settle(self) -> None:
-        self.bottom = self.v[self.layers[-1][0]]
+            self.layers.append(last)
+        found, cos = self._beam(links, q, self._with_islands(q, entry, islands), width, size)
+        return np.where(found >= 0, self.order[np.maximum(found, 0)], -1), cos
 
-    def within(self, q: np.ndarray, exact: np.ndarray, doubles: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, unit: np.ndarray, own: Shard, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, vector) for all pairs found with cosine >= least in doubles; full beams are widened until they reach past it."""
         slack = least - 1e-4
-        todo, width, out = np.arange(len(q)), beam, []
+        todo, width, out = np.arange(len(unit)), beam, []
         while len(todo):
-            found, cos = self.search(q[todo], width)
-            short = (cos[:, -1] >= slack) & (found[:, -1] >= 0) & (found.shape[1] < len(self.v))
-            keep = ~short
-            r, c = np.nonzero((cos[keep] >= slack) & (found[keep] >= 0))
-            who, which = todo[keep][r], found[keep][r, c]
-            sure = np.einsum("ij,ij->i", exact[who], doubles[which]) >= least
+            if width * 2 * NEIGHBOURS >= len(self.v):
+                who, which = own.brute_force(unit[todo], least)
+                out.append((todo[who], which))
+                break
+            found, cos = self.search(unit[todo], width)
+            short = (cos[:, -1] >= slack) & (found[:, -1] >= 0)
+            r, c = np.nonzero((cos >= slack) & (found >= 0) & ~short[:, None])
+            who, which = todo[r], found[r, c]
+            sure = own.linked(unit, who, which, least)
             out.append((who[sure], which[sure]))
-            todo, width = todo[short], width * 4
+            todo, width = todo[short], width * 8
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
-def unit_vectors(column) -> tuple[list[int], list[np.ndarray]]:
-    """Rows that have a direction, and their unit vectors in doubles; rows may differ in length."""
+class Shard:
+    """A shard's vectors as they came, with their lengths; cosines are verified in doubles for pairs alone."""
+
+    def __init__(self, nodes: np.ndarray, weights: np.ndarray, raw: np.ndarray):
+        self.nodes, self.weights, self.raw = nodes, weights, raw
+        self.norms = norms_of(raw)
+
+    def singles(self) -> np.ndarray:
+        return (self.raw / self.norms[:, None]).astype(np.float32)
+
+    def linked(self, unit: np.ndarray, who: np.ndarray, which: np.ndarray, least: float) -> np.ndarray:
+        out = np.zeros(len(who), dtype=bool)
+        step = max(1, BRUTE_CELLS // max(1, self.raw.shape[1]))
+        for a in range(0, len(who), step):
+            x, y = who[a : a + step], which[a : a + step]
+            out[a : a + step] = np.einsum("ij,ij->i", unit[x], self.raw[y].astype(np.float64)) / self.norms[y] >= least
+        return out
+
+    def brute_force(self, unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) for all pairs with cosine >= least in doubles, some queries at a time."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if not hasattr(self, "_single"):
+            self._single = self.singles()
+        step = max(1, BRUTE_CELLS // max(1, len(self.raw)))
+        for a in range(0, len(unit), step):
+            who, which = np.nonzero(unit[a : a + step].astype(np.float32) @ self._single.T >= least - 1e-4)
+            sure = self.linked(unit[a : a + step], who, which, least)
+            out.append((who[sure] + a, which[sure]))
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def norms_of(raw: np.ndarray) -> np.ndarray:
+    return np.sqrt((raw.astype(np.float64) ** 2).sum(axis=1))
+
+
+def packed_vectors(column, single: bool) -> tuple[list[int], list[bytes]]:
+    """Rows that have a direction, and their vectors as bytes: single ones as they are, others as units in doubles; rows may differ in length."""
     lengths: dict[int, list[int]] = {}
     for k, x in enumerate(column):
         if x is not None and len(x):
@@ -200,44 +292,16 @@ def unit_vectors(column) -> tuple[list[int], list[np.ndarray]]:
         raw = np.array([np.asarray(column[k], dtype=np.float64) for k in own])
         with np.errstate(all="ignore"):
             # scaled first, so that neither very large nor very small numbers overflow when squared
-            raw = raw / np.abs(raw).max(axis=1, keepdims=True)
-            unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-        for k, u in zip(own, unit, strict=True):
-            if np.isfinite(u).all():
-                rows.append(k)
-                out.append(u)
+            scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
+            unit = scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+            sound = np.isfinite(unit).all(axis=1)
+            # single numbers whose squares stay in range in doubles need no scaling
+            kept = raw.astype("<f4") + np.float32(0) if single else unit.astype("<f8") + 0.0
+        rows += [k for k, ok in zip(own, sound, strict=True) if ok]
+        out += [x.tobytes() for x, ok in zip(kept, sound, strict=True) if ok]
     return rows, out
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    root: dict[int, int] = {}
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        u, w = x, y
-        while root.get(u, u) != u:
-            root[u] = u = root.get(root[u], root[u])
-        while root.get(w, w) != w:
-            root[w] = w = root.get(root[w], root[w])
-        if u != w:
-            root[max(u, w)] = min(u, w)
-            kept.append((x, y))
-    return kept
-
-
-def brute_force(q: np.ndarray, vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) for all pairs with cosine >= least in doubles, some queries at a time."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    step = max(1, BRUTE_CELLS // max(1, len(vectors)))
-    single = vectors.astype(np.float32)
-    for a in range(0, len(q), step):
-        who, which = np.nonzero(q[a : a + step].astype(np.float32) @ single.T >= least - 1e-4)
-        for b in range(0, len(who), BRUTE_CELLS // 64):
-            x, y = who[b : b + BRUTE_CELLS // 64] + a, which[b : b + BRUTE_CELLS // 64]
-            sure = np.einsum("ij,ij->i", q[x], vectors[y]) >= least
-            out.append((x[sure], y[sure]))
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-
-
 def link_counts(n: int, ids: np.ndarray, own_ids: np.ndarray, who: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Links of each of n queries, itself left out."""
     return np.bincount(who[ids[who] != own_ids[which]], minlength=n)
@@ -250,61 +314,81 @@ def recalled(found: np.ndarray, true: np.ndarray) -> bool:
     return all(not len(x) or (x.mean() >= RECALL and x.min() >= WORST) for x in (share[many], share[~many]))
 
 
+class Joined:
+    """Which vectors of a shard hang together by way of queries that link with several of them."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def _root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return int(x)
+
+    def add(self, who: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Join what each query links; returns each query with links, and one of them."""
+        order = np.argsort(who, kind="stable")
+        who, which = who[order], which[order]
+        queries, begin = np.unique(who, return_index=True)
+        for part in np.split(self.parent[which], begin[1:]):
+            if len(part) > 1 and (part != part[0]).any():
+                roots = {self._root(int(x)) for x in np.unique(part)}
+                least = min(roots)
+                for r in roots:
+                    self.parent[r] = least
+        while (self.parent[self.parent] != self.parent).any():
+            self.parent = self.parent[self.parent]
+        return queries, which[begin]
+
+
 FOUND = "kind int, a long, b long"
 
 
-def _answer(least: float):
+def _answer(least: float, single: bool):
     def answer(batches):
-        """A partition holds shards one after another: a shard's own vectors, then the queries."""
-        import pandas as pd
+        """A partition holds shards one after another: a shard's own vectors, then the queries.
 
-        shard, own_ids, own, graph, beam = None, [], [], None, QUERY_BEAM
-        links_a, links_b = [], []
+        Yields rows of kind 0 (node, weight of its links), 1 (two linked nodes) and 2 (links found and there in audits).
+        """
+        import pandas as pd
 
-        def ready():
-            nonlocal graph, beam, own, own_ids
-            own_ids, own = np.concatenate(own_ids), np.concatenate(own)
-            graph, beam = Graph(own), QUERY_BEAM
-            graph.settle()
-            audit = np.linspace(0, len(own) - 1, min(len(own), max(AUDITED, len(own) // AUDIT_SHARE))).astype(int)
-            for k in range(0, len(audit), BLOCK):
-                rows = audit[k : k + BLOCK]
-                answered(own_ids[rows], own[rows], np.arange(len(rows)))
+        dtype = "<f4" if single else "<f8"
+        shard, held, own, graph, joined, beam, audits = None, [], None, None, None, QUERY_BEAM, [0, 0]
 
-        def answered(ids, unit, audit):
+        def answered(ids, unit):
             """Pairs found for a block of queries, after beams are wide enough for those of the audit."""
             nonlocal beam
-            true = None
-            while beam * 2 * NEIGHBOURS < len(own):
-                who, which = graph.within(unit.astype(np.float32), unit, own, least, beam)
+            audit, true = np.arange(0, len(ids), AUDIT_SHARE), None
+            while beam * 2 * NEIGHBOURS < len(own.nodes):
+                who, which = graph.within(unit, own, least, beam)
                 if true is None:
-                    true = link_counts(len(audit), ids[audit], own_ids, *brute_force(unit[audit], own, least))
-                if recalled(link_counts(len(unit), ids, own_ids, who, which)[audit], true):
+                    true = link_counts(len(audit), ids[audit], own.nodes, *own.brute_force(unit[audit], least))
+                got = link_counts(len(unit), ids, own.nodes, who, which)[audit]
+                if recalled(got, true):
+                    audits[0] += int(np.minimum(got, true).sum())
+                    audits[1] += int(true.sum())
                     return who, which
                 beam *= 2
-            return brute_force(unit, own, least)
+            return own.brute_force(unit, least)
 
         def queries(ids, unit):
-            who, which = answered(ids, unit, np.arange(0, len(ids), AUDIT_SHARE))
-            a, b = ids[who], own_ids[which]
-            other = a != b
-            a, b = a[other], b[other]
-            if len(a):
-                u, n = np.unique(a, return_counts=True)
-                links_a.append(a)
-                links_b.append(b)
-                return pd.DataFrame({"kind": np.int32(0), "a": u, "b": n})
-            return None
-
-        def forest():
-            if not links_a:
+            who, which = answered(ids, unit)
+            other = ids[who] != own.nodes[which]
+            who, which = who[other], which[other]
+            if not len(who):
                 return None
-            kept = _forest(np.concatenate(links_a), np.concatenate(links_b))
-            links_a.clear()
-            links_b.clear()
-            links_a.append(np.array([k[0] for k in kept], dtype=np.int64))
-            links_b.append(np.array([k[1] for k in kept], dtype=np.int64))
-            return pd.DataFrame({"kind": np.int32(1), "a": links_a[0], "b": links_b[0]})
+            weight = np.bincount(who, weights=own.weights[which], minlength=len(ids)).astype(np.int64)
+            some, one = joined.add(who, which)
+            a = np.concatenate((ids[some], ids[some]))
+            b = np.concatenate((weight[some], own.nodes[one]))
+            return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), len(some)), "a": a, "b": b})
+
+        def closing():
+            """Links among the shard's own vectors that its queries told, and what its audits saw."""
+            low = np.flatnonzero(joined.parent != np.arange(len(own.nodes)))
+            a, b = own.nodes[low], own.nodes[joined.parent[low]]
+            return pd.DataFrame({"kind": np.concatenate((np.full(len(low), 1, np.int32), [np.int32(2)])), "a": np.append(a, audits[0]), "b": np.append(b, audits[1])})
 
         for batch in batches:
             keys = batch["shard"].to_numpy() * 2 + batch["side"].to_numpy()
@@ -312,69 +396,97 @@ def _answer(least: float):
             for part in np.split(np.arange(len(keys)), edges):
                 s, side = int(keys[part[0]] // 2), int(keys[part[0]] % 2)
                 if s != shard:
-                    out = forest() if shard is not None else None
-                    if out is not None:
-                        yield out
-                    shard, own_ids, own, graph = s, [], [], None
-                    links_a, links_b = [], []
+                    if own is not None:
+                        yield closing()
+                    shard, held, own, graph, joined, beam, audits = s, [], None, None, None, QUERY_BEAM, [0, 0]
                 for a in range(0, len(part), BLOCK):
                     rows = part[a : a + BLOCK]
-                    ids = batch["vec_id"].to_numpy()[rows]
-                    unit = np.array([np.frombuffer(x, dtype=np.float64) for x in batch["unit"].iloc[rows]])
+                    ids = batch["node"].to_numpy()[rows]
+                    raw = np.frombuffer(b"".join(batch["packed"].iloc[rows]), dtype=dtype).reshape(len(rows), -1)
                     if side == 0:
-                        own_ids.append(ids)
-                        own.append(unit)
-                        continue
-                    if graph is None and not len(own):
+                        held.append((ids, batch["n"].to_numpy()[rows], raw))
                         continue
-                    if graph is None:
-                        ready()
-                    out = queries(ids, unit)
+                    if own is None:
+                        if not held:
+                            continue
+                        own = Shard(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+                        held, graph, joined = [], Graph(own.singles()), Joined(len(own.nodes))
+                    out = queries(ids, raw.astype(np.float64) / norms_of(raw)[:, None])
                     if out is not None:
                         yield out
-                    if sum(map(len, links_a)) > 500_000:
-                        forest()
-        out = forest() if shard is not None else None
-        if out is not None:
-            yield out
+        if own is not None:
+            yield closing()
 
     return answer
 
 
+def _nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Every usable row's (vec_id, key), and the distinct vectors: node, key, n (ids that have it), packed."""
+    column = vectors.schema["embedding"].dataType
+    single = isinstance(column, ArrayType) and isinstance(column.elementType, FloatType)
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+    sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+    def pack(batches):
+        import pandas as pd
+
+        for batch in batches:
+            at, blobs = packed_vectors(list(batch["embedding"]), single)
+            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy()[at], "packed": blobs})
+
+    packed = stash(rows.where(sound).mapInPandas(pack, "vec_id long, packed binary").withColumn("key", F.md5("packed")), "vector-packed")
+    folded = packed.groupBy("key", "packed").agg(F.count_distinct("vec_id").alias("n"))
+    # written at once, so the numbers stay
+    nodes = stash(folded.select(F.monotonically_increasing_id().alias("node"), "key", "n", "packed"), "vector-nodes")
+    return packed.select("vec_id", "key").distinct(), nodes, single
+
+
+def find_links(nodes: DataFrame, single: bool, least: float = THRESHOLD) -> DataFrame:
+    """Rows of kind 0 (node, number of rows it links with), 1 (linked nodes) and 2 (links found by audits, links there), for distinct vectors."""
+    size = nodes.agg(F.count("*").alias("n"), F.max(F.length("packed")).alias("bytes")).first()
+    rows = max(1, SHARD_BYTES // max(1, 20 * (size["bytes"] or 4) // (4 if single else 8)))
+    shards = max(LEAST_SHARDS, math.ceil(size["n"] / rows))
+    # vectors of one length at a time: the length is part of the shard's key
+    length = F.length("packed").cast("long")
+    deal = lambda df, k, side: df.select(k.cast("int").alias("place"), (k + length * shards).alias("shard"), F.lit(side).alias("side"), "node", "n", "packed")
+    own = deal(nodes, F.pmod(F.xxhash64("node"), F.lit(shards)), 0)
+    asked = nodes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    streamed = own.unionByName(deal(asked, F.col("k"), 1)).repartitionById(shards, F.col("place")).sortWithinPartitions("shard", "side")
+    return stash(streamed.drop("place").mapInPandas(_answer(least, single), FOUND), "vector-links")
+
+
+def audited_recall(found: DataFrame) -> float | None:
+    """The share of links that were found of those that audits of graph answers saw; None if brute force answered everything."""
+    row = found.where("kind = 2").agg(F.sum("a").alias("found"), F.sum("b").alias("true")).first()
+    return row["found"] / row["true"] if row["true"] else None
+
+
 def dedup_vectors(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row (vec_id, embedding).
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing.  Cosine is taken between vectors of equal length only.
-    Equal vectors under one vec_id count as one and get the same row; labels
-    and further columns are not looked at.  A null vec_id links with nothing and keeps null.
+    n_links counts the other ids' vectors that link with the row's own, equal
+    ones included; a vec_id that has several different vectors gets their sum,
+    and the same row each time.  Equal vectors under one vec_id count as one.
+    Labels and further columns are not looked at.  A null vec_id links with
+    nothing and keeps null.  An empty table gives an empty table.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
-    sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = rows.where(sound)
-
-    def units(batches):
-        import pandas as pd
-
-        for batch in batches:
-            at, unit = unit_vectors(list(batch["embedding"]))
-            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy()[at], "unit": [u.tobytes() for u in unit]})
-
-    # one length at a time would be another key; here it is part of the shard's
-    unit = stash(usable.mapInPandas(units, "vec_id long, unit binary").dropDuplicates(["vec_id", "unit"]), "vector-units")
-    n = unit.count()
-    shards = max(LEAST_SHARDS, math.ceil(n / SHARD_ROWS))
-    size = F.length("unit")
-    own = unit.select((F.pmod(F.xxhash64("vec_id"), F.lit(shards)) + size * shards).alias("shard"), F.lit(0).alias("side"), "vec_id", "unit")
-    asked = unit.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("k"), "vec_id", "unit").select((F.col("k") + size * shards).alias("shard"), F.lit(1).alias("side"), "vec_id", "unit")
-    streamed = own.unionByName(asked).repartition(shards, F.pmod(F.col("shard"), F.lit(shards))).sortWithinPartitions("shard", "side", "vec_id")
-    found = stash(streamed.mapInPandas(_answer(least), FOUND), "vector-links")
-    counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n_links")).withColumnRenamed("a", "vec_id")
-    labels = components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")), "vector").withColumnRenamed("node", "vec_id")
+    pairs, nodes, single = _nodes(vectors)
+    found = find_links(nodes, single, least)
+    counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links")).withColumnRenamed("a", "node")
+    placed = stash(pairs.join(nodes.select("key", "node", "n"), "key").select("vec_id", "node", "n"), "vector-places")
+    # an id with several vectors ties them together
+    several = placed.groupBy("vec_id").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("c")).where("c > 1")
+    ties = placed.join(broadcast_if_small(stash(several, "vector-several"), 32), "vec_id").where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
+    links = found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(ties)
+    labels = components(links, "vector")
+    known = stash(placed.join(counts, "node", "left").join(labels, "node", "left").select("vec_id", F.coalesce("component", "node").alias("component"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "vector-known")
+    least_id = known.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    told = known.join(least_id, "component").groupBy("vec_id").agg(F.sum("links").alias("n_links"), F.min("component_id").alias("component_id"))
     return (
-        rows.select("vec_id")
-        .join(counts, "vec_id", "left")
-        .join(labels, "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
+        .join(told, "vec_id", "left")
+        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.col("vec_id") == F.col("component_id"))
     )

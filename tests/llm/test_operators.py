@@ -306,20 +306,93 @@ def test_vectors_lose_no_sparse_links(spark, monkeypatch):
 
     within = vector_dedup.Graph.within
 
-    def hot_only(self, *args):
-        who, which = within(self, *args)
-        kept = np.linalg.norm(args[0][who] - unit[0], axis=1) < 0.5
+    def hot_only(self, units, *args):
+        who, which = within(self, units, *args)
+        kept = np.linalg.norm(units[who] - unit[0], axis=1) < 0.5
         return who[kept], which[kept]
 
     monkeypatch.setattr(vector_dedup.Graph, "within", hot_only)
     import pandas as pd
 
-    side = lambda k: pd.DataFrame({"shard": 0, "side": k, "vec_id": ids, "unit": [u.tobytes() for u in unit]})
-    got = pd.concat(vector_dedup._answer(0.9)(iter([side(0), side(1)])))
+    side = lambda k: pd.DataFrame({"shard": 0, "side": k, "node": ids, "n": 1, "packed": [u.tobytes() for u in unit]})
+    got = pd.concat(vector_dedup._answer(0.9, False)(iter([side(0), side(1)])))
     counts = got[got["kind"] == 0].groupby("a")["b"].sum().reindex(ids, fill_value=0).to_numpy()
     assert (counts == near.sum(axis=1) - 1).all()
 
 
+def grouped_vectors(seed, groups, size, noise, width=64):
+    rng = np.random.default_rng(seed)
+    v = np.repeat(rng.normal(size=(groups, width)), size, axis=0) + noise * rng.normal(size=(groups * size, width))
+    return v.astype(np.float32)
+
+
+@pytest.mark.parametrize(("groups", "size"), [(25, 200), (100, 15), (400, 15)])
+def test_graphs_hang_together(groups, size):
+    """Tight groups don't become islands: a graph over them leads to every node, and finds nearly all links of nearly all nodes."""
+    from pactum.llm import vector_dedup
+
+    v = grouped_vectors(groups, groups, size, 0.25)
+    n = len(v)
+    own = vector_dedup.Shard(np.arange(n), np.ones(n), v)
+    unit = v.astype(np.float64) / own.norms[:, None]
+    graph = vector_dedup.Graph(own.singles())
+    near = unit @ unit.T >= 0.9
+    assert all(not len(islands) for _, _, islands in graph.layers) and graph.layers[-1][0] == n
+    who, which = graph.within(unit, own, 0.9, vector_dedup.QUERY_BEAM)
+    assert near[who, which].all()
+    counts = np.bincount(who, minlength=n)
+    assert (counts == near.sum(axis=1)).mean() >= 0.98 and counts.sum() >= 0.99 * near.sum()
+
+
+def test_islands_are_entries():
+    """What no node of the layer above leads to is found all the same."""
+    from pactum.llm import vector_dedup
+
+    v = grouped_vectors(3, 6, 50, 0.05)
+    graph = vector_dedup.Graph(v / np.linalg.norm(v, axis=1, keepdims=True))
+    size, links, _ = graph.layers[-1]
+    group = graph.order // 50
+    cut = np.where(group[np.maximum(links, 0)] == group[:, None], links, -1)
+    islands = graph._islands(cut, 1)
+    assert len(islands) >= 5 and len({group[0], *group[islands]}) == 6
+    graph.layers[-1] = (size, cut, islands)
+    found, cos = graph.search(v / np.linalg.norm(v, axis=1, keepdims=True), 16)
+    assert (found[:, 0] == np.arange(300)).all() and (cos[:, 0] > 0.999).all()
+
+
+def test_vectors_of_groups_copies_and_shared_ids(spark, monkeypatch):
+    """All links over several shards, equal vectors folded, ids with several vectors; the audit tells what it saw."""
+    from pactum.llm import vector_dedup
+
+    v = grouped_vectors(5, 40, 15, 0.25)
+    v = np.concatenate((v, np.repeat(v[:1], 200, axis=0)))
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(0, v[0].tolist()), (2000, v[20].tolist()), (2000, v[40].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    keys = [(k, i) for i, (k, _) in enumerate(rows) if i != len(v)]
+    every = np.array([rows[i][1] for _, i in keys])
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    want, root = {}, {k: k for k, _ in keys}
+    for a, (k, _) in enumerate(keys):
+        want[k] = want.get(k, 0) + int(near[a].sum()) - 1
+    changed = True
+    while changed:
+        changed = False
+        for a, b in zip(*np.nonzero(near), strict=True):
+            x, y = keys[a][0], keys[b][0]
+            low = min(root[x], root[y])
+            changed |= root[x] != low or root[y] != low
+            root[x] = root[y] = low
+    for audit in (32, 1):
+        monkeypatch.setattr(vector_dedup, "AUDIT_SHARE", audit)
+        got = vector_dedup.dedup_vectors(df).collect()
+        assert len(got) == len(rows)
+        assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {k: (n, root[k], root[k] == k) for k, n in want.items()}
+    _, nodes, single = vector_dedup._nodes(df)
+    assert single and nodes.count() == 600
+    assert vector_dedup.audited_recall(vector_dedup.find_links(nodes, single)) in (None, 1.0)
+
+
 def labelled(spark, rng, bad):
     texts, labels = [], []
     for k in range(400):
