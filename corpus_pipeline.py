@@ -28,7 +28,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each component, by doc_id (null last) and a digest of doc_id and text; rows repeated under one doc_id and text stay once."""
     docs, as_before = plain_names(docs, "doc_id", "text")
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    joined = ngram_join.join_documents(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    joined = ngram_join.join_documents(keyed.select(F.col("_key").alias("doc_id"), "text"), links=False).select(F.col("doc_id").alias("_key"), "component_id")
     joined = stash(joined, "pipeline-components")
     several = stash(joined.where("component_id <> _key").select("component_id").distinct(), "pipeline-several")
     linked = stash(joined.join(broadcast_if_small(several, 16), "component_id").select("_key", "component_id").distinct(), "pipeline-linked")

@@ -42,10 +42,8 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of op4_ngram_join with each document's number of links."""
-    from pactum.llm.ngram_join import count_links
-
-    return count_links(table(spark, sf_dir, "documents"))
+    """The rows of op4_ngram_join under the name that they first had."""
+    return op4_ngram_join(spark, sf_dir)
 
 
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +150,11 @@ ORACLES = {
             SELECT DISTINCT x AS root, x AS k FROM links
             UNION
             SELECT r.root, l.y FROM reached r JOIN links l ON l.x = r.k),
-        least AS (SELECT k, min(root) AS root FROM reached GROUP BY k)
-        SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(root, copy_of) AS component_id
-        FROM named LEFT JOIN least ON k = copy_of
+        least AS (SELECT k, min(root) AS root FROM reached GROUP BY k),
+        copies AS (SELECT copy_of AS k, count(*) - 1 AS c FROM named WHERE n > 0 GROUP BY copy_of),
+        counted AS (SELECT x AS k, sum(c + 1) AS m FROM links JOIN copies ON copies.k = y GROUP BY x)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(root, copy_of) AS component_id, CAST(coalesce(c, 0) + coalesce(m, 0) AS BIGINT) AS n_links
+        FROM named LEFT JOIN least ON least.k = copy_of LEFT JOIN copies ON n > 0 AND copies.k = copy_of LEFT JOIN counted ON n > 0 AND counted.k = copy_of
     """,
     "op5_vector_dedup": r"""
         WITH RECURSIVE sound AS (

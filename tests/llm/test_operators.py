@@ -88,14 +88,50 @@ def test_ngram_links(spark, monkeypatch):
     ids = [*range(len(texts)), None, 3]
     want = sorted((str(i), sum(row) - row[k]) for k, (i, row) in enumerate(zip(ids, near, strict=True)))
     docs = docs_of(spark, texts, extra)
-    for block, tile, wide in ((300_000, 1024, 4096), (2_000, 7, 50)):
+    for block in (300_000, 2_000):
         monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
-        monkeypatch.setattr(ngram_join, "TILE_SETS", tile)
-        monkeypatch.setattr(ngram_join, "TILE_SHINGLES", wide)
-        got = ngram_join.count_links(docs).collect()
+        got = ngram_join.join_documents(docs).collect()
         assert sorted((str(r["doc_id"]), r["n_links"]) for r in got) == want
     same = ("doc_id", "n_shingles", "component_id")
-    assert rows(ngram_join.count_links(docs).select(*same)) == rows(ngram_join.join_documents(docs).select(*same))
+    assert rows(ngram_join.join_documents(docs).select(*same)) == rows(ngram_join.join_documents(docs, links=False))
+
+
+def test_overlaps_are_derived(monkeypatch):
+    """Derived overlaps equal counted ones, and similar sets are answered from each other."""
+    from pactum.llm import ngram_join
+
+    rng = np.random.default_rng(3)
+    base = rng.choice(10_000, 120, replace=False)
+    sets = [np.unique(np.concatenate((base[rng.random(120) < 0.95], rng.choice(10_000, rng.integers(0, 6))))).astype(np.uint64) for _ in range(80)]
+    sets += [np.unique(rng.choice(10_000, n)).astype(np.uint64) for n in (1, 2, 50, 130)]
+    true = np.array([[len(np.intersect1d(x, y)) for x in sets] for y in sets])
+    for difference in (0.0, 0.5, 2.0):
+        monkeypatch.setattr(ngram_join, "DIFFERENCE", difference)
+        index, asked = ngram_join.Overlaps(sets), []
+        listed = index._listed
+        index._listed = lambda t: (asked.append(len(t)), listed(t))[1]  # noqa: B023
+        order = ngram_join._alike_first(sets)
+        assert sorted(order) == list(range(len(sets)))
+        for k in order:
+            assert (index.of(sets[k]) == true[k]).all()
+            size = np.array([len(s) for s in sets])
+            assert (index.linked(sets[k]) == (100 * true[k] >= 80 * (size + len(sets[k]) - true[k]))).all()
+        if difference == 0.5:
+            assert sum(asked) < 0.5 * sum(map(len, sets)) * 2
+
+
+def test_set_ids_are_proved(spark, monkeypatch):
+    """A seed that gives two different sets one id is left for the next."""
+    from pactum.llm import ngram_join
+
+    tried = []
+
+    def described(docs, bits, seed):
+        tried.append(seed)
+        return spark.createDataFrame([(0, 0, 1, 7, 1, 5, None), (0, 0, 2, 7, 1 + (seed == 0), 5, None)], ngram_join.SETS)
+
+    monkeypatch.setattr(ngram_join, "describe_sets", described)
+    assert ngram_join._described(None, 8)[1] == 1 and tried == [0, 1]
 
 
 def test_components_rounds(spark):
