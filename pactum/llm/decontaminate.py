@@ -1,21 +1,29 @@
 """Benchmark decontamination: a BM25 index of test items, every training passage a query, whole overlap verified.
 
-Items (the bounded side) are indexed with their impacts: BM25 weight of each
-term in each item.  Items stand in blocks with the largest impact of each term
-in the block.  A document's distinct terms, from anywhere in it, are one query.
-The block maxima give an upper bound for all items of a block; only blocks
-whose bound reaches the least threshold in them are scored exactly, and all
-items that reach their own threshold are retrieved.  That is an item's whole score less
-the most that it can lose while enough of its shingles remain to be a leak, so
-retrieval leaves out nothing that verification would keep.
+Items (the bounded side) are indexed as inverted lists: for each term the items
+that hold it, in order, with their impacts (BM25 weights), cut into blocks of
+consecutive items with the largest impact of each.  A document's distinct
+terms, from anywhere in it, are one query.  Its longest lists come first up to
+a pivot: all their largest impacts together stay below the least threshold, so
+an item that stands in no list beyond the pivot can't reach its own, and the
+lists before the pivot open no block.  The block maxima of the lists beyond it,
+and the largest impacts of those before, bound the scores of each block they
+touch; only blocks whose bound reaches the least threshold in them are opened
+and scored exactly, over all lists.  All items that reach their own threshold
+are retrieved.  That is an item's whole score less the most that it can lose
+while enough of its shingles remain to be a leak, so retrieval leaves out
+nothing that verification would keep.
 
 Retrieval proposes; an item counts as leaked if at least OVERLAP of the
 distinct 5-word shingles of its question and of its answer (its last sentence), or of the item as
 a whole, occur in the document.  Words are compared lower-cased
 (A-Z) and without ASCII punctuation.
 
-Null or wordless texts, on either side, match nothing.  Repeated rows each get
-their own result.  An item under five words is one shingle, its whole sequence.
+Null or wordless texts, on either side, match nothing, and neither do null
+item_ids; an empty table on either side gives no rows.  Repeated rows each get
+their own result, and items that tie are told in order of item_id.  An item
+under five words is one shingle, its whole sequence.  Very long texts are
+queried as a whole.
 """
 
 from __future__ import annotations
@@ -31,8 +39,10 @@ WIDTH, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
 #: Words of documents that are queried together.
 AT_ONCE = 100_000
-#: Items in a block; items in one index (further ones are indexed and scanned apart).
-BLOCK_ITEMS, INDEX_ITEMS = 4, 2048
+#: Items in a block; bytes of items' texts in one index (documents pass further ones in turn); share of the least threshold before the pivot.
+BLOCK_ITEMS, INDEX_BYTES, PIVOT = 8, 8 << 20, 0.5
+#: Sums of bounds that are laid out as a table of texts and blocks at most; larger ones are sorted.
+CELLS = 1 << 22
 LEAKS = "item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double"
 
 
@@ -87,7 +97,7 @@ class Index:
         self.question, self.answer = ([np.unique(shingles(w, WIDTH)) for w in part] for part in (asked, told))
         n = len(sound)
         self.terms = np.unique(np.concatenate([np.unique(w) for w in own_words])) if n else np.zeros(0, np.uint64)
-        self.impact = np.zeros((len(self.terms), n), dtype=np.float32)
+        self.least = np.zeros(n)
         if not n:
             return
         if corpus is None:
@@ -96,58 +106,101 @@ class Index:
         df = corpus.df[np.searchsorted(corpus.terms, self.terms)]
         idf = np.log(1 + (corpus.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * np.array([len(w) for w in own_words]) * corpus.n / corpus.words)
-        self.least = np.zeros(n)
+        lists = []
         for k, w in enumerate(own_words):
             t, tf = np.unique(w, return_counts=True)
             at = np.searchsorted(self.terms, t)
-            self.impact[at, k] = tf * (K1 + 1) / (tf + norm[k]) * idf[at]
+            impact = tf * (K1 + 1) / (tf + norm[k]) * idf[at]
+            lists.append((at, np.full(len(at), k), impact))
 
-            def most(part, held, k=k):
+            def most(part, held, t=t, impact=impact):
                 """The most that can be missing of the score where a part overlaps enough."""
-                at = np.searchsorted(self.terms, np.unique(part))
-                return float(np.sort(self.impact[at, k])[::-1][: may_miss(part, len(held))].sum())
+                at = np.searchsorted(t, np.unique(part))
+                return float(np.sort(impact[at])[::-1][: may_miss(part, len(held))].sum())
 
             lost = most(w, self.whole[k])
             if len(asked[k]) and len(told[k]):
                 lost = max(lost, most(asked[k], self.question[k]) + most(told[k], self.answer[k]))
-            # a little less, since scores are sums in single precision
-            whole = float(self.impact[at, k].sum())
-            self.least[k] = max(0.0, whole - lost - 1e-4 * whole)
-        self.blocks = [slice(a, min(n, a + BLOCK_ITEMS)) for a in range(0, n, BLOCK_ITEMS)]
-        self.block_max = np.stack([self.impact[:, s].max(axis=1) for s in self.blocks], axis=1)
-        self.block_least = np.array([self.least[s].min() for s in self.blocks])
+            # a little less, since sums may differ in their last places
+            whole = float(impact.sum())
+            self.least[k] = max(0.0, whole - lost - 1e-6 * whole)
+        term, self.item, self.impact = (np.concatenate(x) for x in zip(*lists, strict=True))
+        order = np.lexsort((self.item, term))
+        term, self.item, self.impact = term[order], self.item[order].astype(np.int32), self.impact[order]
+        # blocks of each list: where they begin among all postings, which items they are of, their largest impacts
+        block = self.item // BLOCK_ITEMS
+        head = np.ones(len(term), dtype=bool)
+        head[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.begin = np.append(np.flatnonzero(head), len(term))
+        self.block, self.block_max = block[head], np.maximum.reduceat(self.impact, self.begin[:-1])
+        self.list_begin = np.searchsorted(term[head], np.arange(len(self.terms) + 1))
+        self.list_max = np.maximum.reduceat(self.block_max, self.list_begin[:-1])
+        self.block_least = np.minimum.reduceat(self.least, np.arange(0, n, BLOCK_ITEMS))
         self.known = np.zeros(1 << 20, dtype=bool)
         self.known[(self.terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
-    def retrieve(self, texts: list[np.ndarray]) -> list[dict[int, float]]:
-        """For each text the score of every item that reaches its threshold in it."""
-        out: list[dict[int, float]] = [{} for _ in texts]
+    def bytes(self) -> int:
+        """Memory of the lists and of the items' shingles."""
+        arrays = (self.terms, self.item, self.impact, self.begin, self.block, self.block_max, self.known, *self.whole, *self.question, *self.answer)
+        return sum(a.nbytes for a in arrays)
+
+    def _asked(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's distinct terms of the index: (text, term), in order."""
+        none = np.zeros(0, np.int64)
         sizes = np.array([len(t) for t in texts])
         words = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint64)
         if not len(self.ids) or not len(words):
-            return out
+            return none, none
         maybe = np.flatnonzero(self.known[(words & np.uint64(0xFFFFF)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.terms, words[maybe]), len(self.terms) - 1)
         hit = self.terms[at] == words[maybe]
         place, term = maybe[hit], at[hit]
-        if not len(place):
-            return out
-        text = np.searchsorted(np.cumsum(sizes), place, side="right")
-        pairs = np.sort(text * len(self.terms) + term)
+        pairs = np.sort(np.searchsorted(np.cumsum(sizes), place, side="right") * len(self.terms) + term)
         pairs = pairs[np.diff(pairs, prepend=-1) > 0]
-        text, term = pairs // len(self.terms), pairs % len(self.terms)
-        begin = np.flatnonzero(np.diff(text, prepend=-1))
-        stop = np.append(begin[1:], len(text))
-        bound = np.add.reduceat(self.block_max[term], begin, axis=0)
-        for b in np.flatnonzero((bound >= self.block_least).any(axis=0)):
-            near = np.flatnonzero(bound[:, b] >= self.block_least[b])
-            lengths = stop[near] - begin[near]
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            rows = np.arange(lengths.sum()) + np.repeat(begin[near] - starts, lengths)
-            own = self.blocks[b]
-            score = np.add.reduceat(self.impact[term[rows], own], starts, axis=0)
-            for w, k in zip(*np.nonzero(score >= self.least[own]), strict=True):
-                out[int(text[begin[near[w]]])][own.start + int(k)] = float(score[w, k])
+        return pairs // len(self.terms), pairs % len(self.terms)
+
+    def _before_pivot(self, text: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Of each text's lists, the longest ones whose largest impacts sum up to less than a share of the least threshold."""
+        order = np.lexsort((-(self.list_begin[term + 1] - self.list_begin[term]), text))
+        total = np.cumsum(self.list_max[term[order]])
+        first = np.flatnonzero(np.diff(text[order], prepend=-1))
+        before = np.repeat(np.concatenate(([0.0], total[first[1:] - 1])), np.diff(np.append(first, len(text))))
+        out = np.zeros(len(text), dtype=bool)
+        out[order] = total - before < PIVOT * self.least.min()
+        return out
+
+    def retrieve(self, texts: list[np.ndarray]) -> list[dict[int, float]]:
+        """For each text the score of every item that reaches its threshold in it."""
+        out: list[dict[int, float]] = [{} for _ in texts]
+        text, term = self._asked(texts)
+        if not len(text):
+            return out
+        # many long lists: some texts at a time
+        if len(texts) > 1 and (self.list_begin[term + 1] - self.list_begin[term]).sum() > 4 * CELLS:
+            half = len(texts) // 2
+            return self.retrieve(texts[:half]) + self.retrieve(texts[half:])
+        light = self._before_pivot(text, term)
+        spare = np.bincount(text, weights=np.where(light, self.list_max[term], 0.0), minlength=len(texts))
+        blocks = len(self.block_least)
+        of, entry = _ranges(self.list_begin, term[~light])
+        keys, bound = _sums(text[~light][of] * blocks + self.block[entry], self.block_max[entry], len(texts) * blocks)
+        opened = keys[bound + spare[keys // blocks] >= self.block_least[keys % blocks] * (1 - 1e-9)]
+        if not len(opened):
+            return out
+        # all lists of the texts that open a block, and in them the opened blocks alone
+        some = np.isin(text, opened // blocks)
+        text, term = text[some], term[some]
+        of, entry = _ranges(self.list_begin, term)
+        key = text[of] * blocks + self.block[entry]
+        at = np.minimum(np.searchsorted(opened, key), len(opened) - 1)
+        hit = opened[at] == key
+        of, entry = of[hit], entry[hit]
+        back, posting = _ranges(self.begin, entry)
+        n = len(self.ids)
+        keys, score = _sums(text[of[back]] * n + self.item[posting], self.impact[posting], len(texts) * n)
+        enough = score >= self.least[keys % n]
+        for t, k, x in zip((keys // n)[enough].tolist(), (keys % n)[enough].tolist(), score[enough].tolist(), strict=True):
+            out[t][k] = x
         return out
 
     def leaks(self, texts: list[np.ndarray]):
@@ -185,6 +238,25 @@ class Index:
         return float(any(np.isin(wanted, shingles_of(words, k)).any() for k in range(1, WIDTH)))
 
 
+def _ranges(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges begin[w] to begin[w + 1]: the place in `which` that each number belongs to, and the number."""
+    size = begin[which + 1] - begin[which]
+    of = np.repeat(np.arange(len(which)), size)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[which], size)
+
+
+def _sums(keys: np.ndarray, values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their (positive) values."""
+    if limit <= CELLS:
+        total = np.bincount(keys, weights=values, minlength=1)
+        found = np.flatnonzero(total)
+        return found, total[found]
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(values[order], first) if len(first) else np.zeros(0)
+
+
 def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
     return shingles(words, k) if len(words) >= k else np.zeros(0, np.uint64)
 
@@ -192,12 +264,15 @@ def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks") -> DataFrame:
     """docs with a column of leaked items: array<struct<item_id, bm25, overlap, question_overlap, answer_overlap>>.
 
-    Benchmarks are collected INDEX_ITEMS at a time; each part is indexed, with
-    weights from the whole benchmark, and sent to the tasks, and the documents pass all parts in turn.  A column named
-    like `out` is replaced, others stay.
+    Up to INDEX_BYTES of items are one index, which every task gets; documents
+    pass further ones in turn, each with weights from the whole benchmark, so
+    results don't depend on how many there are.  The driver holds one index and
+    the benchmark's distinct terms.  A column named like `out` is replaced,
+    others stay.
     """
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    parts = max(1, -(-items.count() // INDEX_ITEMS))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // INDEX_BYTES))
     shares = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) for p in range(parts)]
     names = [out if parts == 1 else free_name(docs, f"_{out}_{p}") for p in range(parts)]
     corpus = Corpus()
@@ -207,7 +282,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: s
         index = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in share.collect()), corpus))
         docs = with_computed(docs, f"{name} array<struct<{', '.join(f.replace(' ', ':') for f in LEAKS.split(', '))}>>", _scanner(index, text))
     if parts > 1:
-        docs = docs.withColumn(out, F.concat(*names)).drop(*names)
+        docs = docs.withColumn(out, F.array_sort(F.concat(*names))).drop(*names)
     return docs
 
 

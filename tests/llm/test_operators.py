@@ -204,11 +204,56 @@ def test_decontamination_finds_spread_leaks(spark, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     first = decontaminate.leaked(docs_of(spark, texts), bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in first} == want
-    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 5)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1000)
     second = decontaminate.leaked(docs_of(spark, texts), bench).collect()
     assert sorted((r["doc_id"], r["item_id"], round(r["bm25"], 3)) for r in first) == sorted((r["doc_id"], r["item_id"], round(r["bm25"], 3)) for r in second)
 
 
+@pytest.mark.parametrize("n_items", [10, 5000])
+def test_retrieval_against_every_pair(n_items, monkeypatch):
+    """BM25 of every document and item by the formula, and the items that reach their thresholds; whatever the sizes of blocks, pivots and tables."""
+    from pactum.llm import decontaminate
+    from pactum.llm.wordhash import word_hashes
+
+    rng = random.Random(n_items)
+    items = [f"{words(rng, rng.randrange(5, 40), 3000)}. {words(rng, rng.randrange(1, 20), 3000)}." for _ in range(n_items - 2)] + ["one", " ".join(["twice"] * 30)]
+    texts = [words(rng, 300, 3000) for _ in range(25)] + ["", "one", "zzz"]
+    for k in range(12):
+        t = words(rng, 200, 3000).split()
+        t[50:50] = items[k % len(items)].split()[: 40 - 2 * k]
+        texts.append(" ".join(t))
+    said = [re.findall("[a-z0-9]+", t.lower()) for t in items]
+    df, mean = {}, sum(map(len, said)) / len(said)
+    for w in said:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    held = {}
+    for k, w in enumerate(said):
+        for x in set(w):
+            tf = w.count(x)
+            score = np.log(1 + (len(said) - df[x] + 0.5) / (df[x] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+            held.setdefault(x, []).append((k, score))
+    index = decontaminate.Index(list(enumerate(items)))
+    asked = [w for _, w in word_hashes(texts, loose=True)]
+    place = {int(i): k for k, i in enumerate(index.ids)}
+    want = []
+    for t in texts:
+        total = {}
+        for x in set(re.findall("[a-z0-9]+", t.lower())):
+            for k, score in held.get(x, ()):
+                total[k] = total.get(k, 0) + score
+        want.append({place[k]: score for k, score in total.items() if score >= index.least[place[k]]})
+    assert sum(map(len, want)) >= 6
+    for cells, pivot, block in ((1 << 22, 0.5, 8), (0, 0.0, 8), (1 << 10, 0.9, 3)):
+        for name, value in (("CELLS", cells), ("PIVOT", pivot), ("BLOCK_ITEMS", block)):
+            monkeypatch.setattr(decontaminate, name, value)
+        got = decontaminate.Index(list(enumerate(items))).retrieve(asked)
+        assert [sorted(g) for g in got] == [sorted(w) for w in want]
+        assert all(abs(g[k] - w[k]) < 1e-6 for g, w in zip(got, want, strict=True) for k in w)
+    # lists, not a table of terms and items
+    assert index.bytes() < 3_000_000 + 4_000 * n_items
+
+
 def test_chat(spark):
     from pactum.llm import chat
 
