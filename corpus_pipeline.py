@@ -6,11 +6,16 @@ All stages but the last return the columns of documents, whatever their names, w
 2. near duplicates   of each group of linked documents one row stays: the one with the smallest doc_id (null last), then text digest
 3. decontamination   documents that hold a benchmark item go
 4. mixing            all documents stay; rows and files are put in the order of the mix
-5. token files       ids in block files, in ascending doc_id order, and what reading them back gives
+5. token files       ids in block files, in the order of the mix, and what reading them back gives
+
+Nulls in any column, empty and very long texts, repeated rows, columns whose names clash and empty tables go through
+every stage: null and empty texts are judged by their site alone and hold no near duplicate or item, a null source is a
+source of its own, rows that are repeated keep together, and an empty table stays one.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +63,22 @@ def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return as_before(placed.repartitionByRange("_position").sortWithinPartitions("_position"))
 
 
+def stored_order(docs: DataFrame) -> tuple:
+    """Columns that give the order of rows as they were written: number of the file, place in it; doc_id for rows that come from no file."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return ("doc_id",)
+    return (F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long"), F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+
+
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and more, read back from the files."""
+    """doc_id, start, n_tokens, ids_crc32 and more, read back from files that keep the order of the rows."""
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    return token_files.token_report(docs, str(tokenizer_path))
+    return token_files.token_report(docs, str(tokenizer_path), order=stored_order(docs))
 
 
 STAGES = [

@@ -15,10 +15,10 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder all machines see: spark.checkpoint.dir; where that is unset the warehouse, or on one machine (tests) a temporary folder."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
-        at = f"file://{tempfile.gettempdir()}/pactum-shared"
+        at = f"file://{tempfile.gettempdir()}/pactum-shared" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
     return at.rstrip("/")
 
 

@@ -3,13 +3,14 @@
 The file format is a folder in the shared store with two Parquet tables that
 any Hadoop file system can hold and whose writers commit per task:
 
-- dictionary: one row, the zstandard dictionary and its SHA-256;
+- dictionary: one row, the zstandard dictionary and its SHA-256.  It is trained on the first DICTIONARY_IDS ids
+  of about DICTIONARY_DOCS documents picked by hash; the files hold every id of every document;
 - blocks: shard, block, dictionary hash, id width, first token, and for the
   documents in the block their doc_ids, token counts and frame offsets into
   `payload`, the concatenated frames.  One document is read by its block's
   index columns and one slice of the payload.
 
-Shards follow ascending doc_id.  A frame holds one document's ids as
+Shards follow ascending doc_id, or another order that is given.  A frame holds one document's ids as
 little-endian unsigned integers, 16 bits wide when the vocabulary allows.
 """
 
@@ -206,20 +207,23 @@ def train_dictionary(docs: DataFrame, spec: str, end_id: int | None, n_rows: int
 BLOCKS = "shard int, block int, dictionary_sha256 string, width int, first_token long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary"
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2) -> None:
-    """Encode every whole text, in ascending doc_id order, into block files under `path`.
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, order: tuple = ("doc_id",)) -> None:
+    """Encode every whole text into block files under `path`, in ascending order of doc_id or of the columns in `order`.
 
-    Null text counts as empty; null doc_ids come first; rows that share a
-    doc_id follow by a hash of their text.  Further columns are ignored.
+    Null text counts as empty; nulls come first in the order; rows that tie in
+    it follow by doc_id and a hash of their text.  Very long texts are encoded
+    whole, and one makes a block of its own.  An empty table gives an empty
+    folder of blocks.  Further columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     spec = _tokenizer_spec(tokenizer_path)
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = [f"_o{k}" for k in range(len(order))]
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *[(F.col(o) if isinstance(o, str) else o).alias(k) for o, k in zip(order, keys, strict=True)])
     dictionary = train_dictionary(docs, spec, end_id, docs.count())
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast((spec, dictionary))
-    ordered = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(*keys, "doc_id", "tie").sortWithinPartitions(*keys, "doc_id", "tie").select("doc_id", "text")
 
     def pack(batches):
         import numpy as np
@@ -299,10 +303,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInPandas(unpack, READ)
 
 
-def token_report(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2) -> DataFrame:
-    """Write the files to the shared folder and read them back: doc_id, start, n_tokens, ids_crc32 and more."""
+def token_report(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, order: tuple = ("doc_id",)) -> DataFrame:
+    """Write the files to the shared folder and read them back: doc_id, start, n_tokens, ids_crc32 and more, one row per row of docs."""
     path = fresh_path(docs.sparkSession, "token-files")
-    write_token_files(docs, path, tokenizer_path, end_id)
+    write_token_files(docs, path, tokenizer_path, end_id, order)
     return read_token_files(docs.sparkSession, path)
 
 

@@ -667,6 +667,22 @@ def test_stages_against_operators_and_order(spark):
     assert mixed == [r["doc_id"] for r in mixing.mix(docs).orderBy("position").collect()]
 
 
+def test_token_files_keep_the_mix(spark, tokenizer):
+    """The last stage writes ids in the order in which the stage before left the rows."""
+    import corpus_pipeline
+    from pactum.llm.shared import stash
+
+    rng = random.Random(15)
+    docs = docs_of(spark, [words(rng, 1 + k % 40) for k in range(300)])
+    mixed = stash(corpus_pipeline.in_mixed_order(spark, docs.repartition(7), ""), "test-mix")
+    want = [r["doc_id"] for r in corpus_pipeline.in_mixed_order(spark, docs, "").collect()]
+    got = corpus_pipeline.to_token_files(spark, mixed, "", tokenizer).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == want != sorted(want)
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
+    unstored = corpus_pipeline.to_token_files(spark, docs, "", tokenizer).orderBy("start").collect()
+    assert [r["doc_id"] for r in unstored] == list(range(300))
+
+
 CLASHING = ("_host", "_path", "_rate", "rate", "labelled", "doc_score", "site_rate", "quality_score", "keep", "_label", "score", "n_sentences", "offending", "_leaks", "leaks", "item_id", "_id", "_position", "position", "count", "component_id", "column_0", "a.b", "vec_id", "pii", "_body", "n", "tie", "shard")
 
 
