@@ -12,6 +12,10 @@ weights of the others are scaled up to one and their windows start anew, so
 the bound holds within each phase and every document has a place.  Weights are
 exact fractions throughout.  Sources of weight zero come after all others,
 by their sizes.
+
+The schedule itself is one walk over the slots.  Blocks are as large as it takes
+to have at most about MOST_BLOCKS of them, so that walk has a bound and the
+deviation stays below that part of the whole, at every size.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from pyspark.sql import Window
 
 from pactum.llm.shared import broadcast_if_small, stash
 
-BLOCK_DOCS = 64
+#: Documents in a block at least, and blocks at most (one more for each source).
+BLOCK_DOCS, MOST_BLOCKS = 64, 1 << 21
 #: Deadlines beyond a long are given as this.
 FAR = (1 << 63) - 1
 #: Documents numbered by one task at a time: a source is salted into groups of about this size.
@@ -93,18 +98,20 @@ def target_weights(counts: dict[str, int], weights: dict[str, float] | None, tem
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", block_docs: int | None = None) -> DataFrame:
     """doc_id, source, block, slot, phase, release, deadline, position: every row of docs has its place in the mix.
 
     A null source is a source of its own, named ''.  Rows of a source are ordered by a hash of their
-    doc_id; repeated rows follow each other and all get places.  Texts and further
-    columns are not looked at.  An empty table gives an empty table.
+    doc_id; repeated rows follow each other and all get places.  Texts, however long, and further
+    columns are not looked at.  An empty table gives an empty table.  The driver holds one row
+    per source; block_docs is the size of a block, by default as the module says.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
     counts = rows.groupBy("source").agg(F.count("*").alias("n"))
     # one row per source, not per document
     sizes = {r["source"]: r["n"] for r in counts.collect()}
+    block_docs = block_docs or max(BLOCK_DOCS, -(-sum(sizes.values()) // MOST_BLOCKS))
     plan = sorted((name, -(-n // block_docs), n) for name, n in sizes.items())
     shares = target_weights(sizes, weights)
     groups = F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP_DOCS)).cast("long")

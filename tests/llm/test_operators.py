@@ -326,6 +326,41 @@ def test_mixing(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mixing_against_windows_by_hand():
+    """The schedule against one that looks through all sources in every slot, straight from the rule; ties and sources that end included."""
+    from fractions import Fraction
+    from math import ceil, floor
+
+    from pactum.llm import mixing
+
+    rng = random.Random(16)
+    for _ in range(60):
+        sources = [(f"s{k}", rng.randrange(0, 25), Fraction(rng.choice([0.1, 0.3, 1 / 3, 0.5, 1, 2, 7.7]))) for k in range(rng.randrange(1, 7))]
+        left, had, slot, phase, want = {n: b for n, b, _ in sources if b}, {n: 0 for n, _, _ in sources}, 0, 0, []
+        weight = {n: w for n, _, w in sources}
+        while left:
+            total, begin, j = sum(weight[n] for n in left), slot, {n: 1 for n in left}
+            share = {n: weight[n] / total for n in left}
+            while True:
+                free = [n for n in left if floor((j[n] - 1) / share[n]) <= slot - begin]
+                n = min(free, key=lambda n: (ceil(j[n] / share[n]), (j[n] / share[n]).denominator == 1, -share[n], n))  # noqa: B023
+                want.append((n, had[n], slot, phase, begin + floor((j[n] - 1) / share[n]), begin + ceil(j[n] / share[n])))
+                had[n], j[n], left[n], slot = had[n] + 1, j[n] + 1, left[n] - 1, slot + 1
+                if not left[n]:
+                    del left[n]
+                    phase += 1
+                    break
+        assert list(mixing.schedule(sources)) == want
+
+
+def test_mixing_bounds_its_schedule(spark, monkeypatch):
+    from pactum.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 20)
+    got = mixing.mix(docs_of(spark, ["x"] * 5000)).collect()
+    assert len({(r["source"], r["block"]) for r in got}) <= 23 and sorted(r["position"] for r in got) == list(range(5000))
+
+
 def test_mixing_keeps_exact_weights():
     """Every prefix is less than a block from the unrounded targets, however long; tiny weights stay tiny, zero ones come last."""
     from fractions import Fraction
