@@ -6,8 +6,8 @@ document labels are needed, and the sentences that carry the label come out of
 the fit.  Features are picked by how much more often they stand in toxic than in other
 training documents; the weights then minimise the document log loss.
 
-Training looks at no more than TRAIN_ROWS labelled documents, picked by a hash
-of their id; scoring looks at every whole text.
+Training looks at no more than TRAIN_ROWS labelled ids, picked by a hash (rows
+that repeat an id all train); scoring looks at every whole text.
 """
 
 from __future__ import annotations
@@ -77,15 +77,22 @@ def _units(column):
         n += 1
 
 
+def _goes_on(before, after) -> bool:
+    """Whether a sentence runs on from one piece of a long text into the next."""
+    raw, end = before[4].raw, int(before[3][-1])
+    # a piece's buffer ends with a line end of its own
+    between = raw[end:-1] + after[4].raw[: int(after[2][0])]
+    return raw[end - 1] not in b".!?" and b"\n" not in between
+
+
 def _text_sentences(pieces) -> tuple[np.ndarray, np.ndarray, int]:
     """Buckets, sentence numbers and sentence count of a text."""
     if not pieces:
         return np.zeros((0, 1 + len(PREFIXES)), np.int64), np.zeros(0, np.int64), 0
-    at, numbers = 0, []
-    for p in pieces:
-        numbers.append(p[1] + at)
-        at = int(numbers[-1][-1]) + 1 if len(numbers[-1]) else at
-    return np.concatenate([p[0] for p in pieces]), np.concatenate(numbers), at
+    numbers = [pieces[0][1]]
+    for before, p in zip(pieces, pieces[1:], strict=False):
+        numbers.append(p[1] + int(numbers[-1][-1]) + (not _goes_on(before, p)))
+    return np.concatenate([p[0] for p in pieces]), np.concatenate(numbers), int(numbers[-1][-1]) + 1
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep) -> DataFrame:
@@ -209,7 +216,9 @@ SCORED = "score double, n_sentences int, offending array<struct<start:int,end:in
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with score (0 to 1), n_sentences and the sentences at or over 0.5, as code point spans.
 
-    Null and empty texts have no sentence and score 0.  Rows pass one by one: repeats
+    Null and empty texts have no sentence and score 0.  Very long texts are walked in
+    segments, and a sentence that a segment ends in stays one.  An empty table stays one, and
+    without labels of both kinds all scores are alike.  Rows pass one by one: repeats
     and other columns stay as they are; columns named like results are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

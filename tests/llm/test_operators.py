@@ -548,6 +548,101 @@ def test_quality(spark):
     assert all(r["keep"] for r in quality.classify(docs, labels.limit(0)).collect())
 
 
+def test_noisy_or_of_sentences(spark):
+    """A document's score is one less the product of what its sentences lack, each scored as a document of its own."""
+    from pactum.llm import toxicity
+
+    def bad(t, rng):
+        return t.replace(". ", f" nasty{rng.randrange(3)}word. ", 1)
+
+    docs, labels = labelled(spark, random.Random(17), bad)
+    model = toxicity.train(docs, labels, lambda c: F.lit(True))
+    rng = random.Random(18)
+    texts = [". ".join(words(rng, 6, 300) + (" nasty1word" if rng.random() < 0.2 else "") for _ in range(1 + k % 5)) for k in range(40)]
+    parts = [(k, t) for k, text in enumerate(texts) for t in re.split(r"(?<=[.]) ", text)]
+    whole = [r["score"] for r in toxicity.score(docs_of(spark, texts), model).orderBy("doc_id").collect()]
+    alone = toxicity.score(docs_of(spark, [t for _, t in parts]), model).orderBy("doc_id").collect()
+    left = [1.0] * len(texts)
+    for (k, _), r in zip(parts, alone, strict=True):
+        assert r["n_sentences"] == 1
+        left[k] *= 1 - r["score"]
+    assert max(abs(1 - x - y) for x, y in zip(left, whole, strict=True)) < 1e-9 and max(whole) > 0.5 > min(whole)
+
+
+def test_site_posteriors(spark):
+    """Rates of hosts and paths recomputed by hand from all labels, shrunk by the strengths that the spread gives."""
+    from pactum.llm import quality
+
+    rng = random.Random(19)
+    rows = [(k, "t", rng.choice("ab") if k % 5 else None, f"h{rng.randrange(6)}" if k % 7 else None, 1) for k in range(300)]
+    labels = [(k, int(rng.random() < (0.9 if rows[k][3] == "h1" else 0.4)), 0) for k in range(0, 300, 2)] + [(4, 1, 0), (4, 0, 0), (6, None, 0)]
+    got, base = quality.site_posteriors(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "source", "lang")
+    said = {}
+    for d, q, _ in labels:
+        if q is not None:
+            said.setdefault(d, set()).add(q)
+    sure = {d: q.pop() for d, q in said.items() if len(q) == 1}
+    host, site = {}, {}
+    for d, _, path, h, _ in rows:
+        for table, key in ((host, h or ""), (site, (h or "", path or ""))):
+            n, good = table.get(key, (0, 0))
+            table[key] = (n + (d in sure), good + sure.get(d, 0))
+    total, good = sum(n for n, _ in host.values()), sum(g for _, g in host.values())
+    assert abs(base - (good + 1) / (total + 2)) < 1e-12
+
+    def strength(table, mean):
+        used = [(n, g, mean(key)) for key, (n, g) in table.items() if n]
+        weight = sum(n for n, _, _ in used)
+        spread = sum((g / n - m) ** 2 * n for n, g, m in used) / weight
+        between = max(spread - sum(m * (1 - m) for _, _, m in used) / weight, 1e-9)
+        return min(max(sum(m * (1 - m) for _, _, m in used) / len(used) / between - 1, quality.LEAST_STRENGTH), quality.MOST_STRENGTH)
+
+    s = strength(host, lambda _: base)
+    rate = {h: (g + s * base) / (n + s) for h, (n, g) in host.items()}
+    s = strength(site, lambda key: rate[key[0]])
+    want = {key: (n, (g + s * rate[key[0]]) / (n + s)) for key, (n, g) in site.items()}
+    seen = {(r["_host"], r["_path"]): (r["labelled"], r["rate"]) for r in got.collect()}
+    assert seen.keys() == want.keys() and all(seen[k][0] == want[k][0] and abs(seen[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_texts_beyond_a_segment(spark, tokenizer):
+    """Texts of more than one segment (1 MiB): what stands at their ends or across a cut is found, and nothing is counted twice."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from pactum.llm import chat, decontaminate, ngram_join, pii, quality, token_files, toxicity
+    from pactum.llm.wordhash import SEGMENT_BYTES
+
+    rng = random.Random(20)
+    long = " ".join(f"w{rng.randrange(30_000)}x" for _ in range(200_000))
+    assert len(long) > SEGMENT_BYTES + 50_000
+    item = f"{words(rng, 20)}. {words(rng, 12)}."
+    cut = long.rfind(" ", 0, SEGMENT_BYTES)
+    across = f"{long[: cut - 40].rsplit(' ', 1)[0]} {item} {long[cut:]}"
+    docs = docs_of(spark, [long, long + " one more end", across, f"{long} write to a@b.cd", words(rng, 50)])
+    leaks = decontaminate.leaked(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["overlap"]) for r in leaks] == [(2, 1.0)]
+    sets = [len(shingle_set(t)) for t in (long, long + " one more end")]
+    joined = {r["doc_id"]: r for r in ngram_join.join_documents(docs).collect()}
+    assert [joined[k]["n_shingles"] for k in (0, 1)] == sets and [joined[k]["component_id"] for k in range(5)] == [0, 0, 0, 0, 4] and joined[0]["n_links"] == 3
+    spans = {r["doc_id"]: r["spans"] for r in pii.pii_report(docs).collect()}
+    assert spans[3].startswith(f"email:{len(long) + 10}:{len(long) + 16}") and spans[0] == ""
+    ids = {r["doc_id"]: r["n_tokens"] for r in token_files.token_report(docs, tokenizer).collect()}
+    assert ids[3] == len(Tokenizer.from_file(tokenizer).encode(f"{long} write to a@b.cd", add_special_tokens=False).ids) + 1
+    small, labels = labelled(spark, rng, lambda t, rng: t.replace(". ", f" nasty{rng.randrange(3)}word. ", 1))
+    model = toxicity.train(small, labels, lambda c: F.lit(True))
+    stop = long[: cut - 400].rsplit(" ", 1)[0]
+    whole = f"{stop}. {long[len(stop) + 1 : cut + 400]} nasty1word. {long[cut + 401 :]}. end"
+    scored = toxicity.score(docs_of(spark, [long, whole]), model).orderBy("doc_id").collect()
+    assert [r["n_sentences"] for r in scored] == [1, 4]
+    span = scored[1]["offending"][0]
+    assert whole[span["start"] : span["end"]] == f"{long[len(stop) + 1 : cut + 400]} nasty1word."
+    assert quality.classify(docs, labels).count() == 5
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    assert chat.conversation_digests(chat.format_conversations(turns)).first()["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == [0, 4]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
