@@ -99,15 +99,16 @@ def _located(matches: Column, gaps: Column) -> Column:
     def add(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(a["found"], F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"))).alias("found"), a["all"].alias("all"))
+        return F.struct(end.alias("at"), F.array_append(a["found"], F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"))).alias("found"))
 
     def piece(state: Column, k: Column) -> Column:
         own = F.zip_with(F.slice(matches, k * PIECE + 1, PIECE), F.slice(gaps, k * PIECE + 1, PIECE), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
         return F.aggregate(
             F.filter(own, lambda x: x["m"].isNotNull()),
-            F.struct(state["at"].alias("at"), F.expr(_PIECE).alias("found"), state["all"].alias("all")),
+            F.struct(state["at"].alias("at"), F.expr(_PIECE).alias("found")),
             add,
-            lambda a: F.struct(a["at"].alias("at"), F.array_append(a["all"], a["found"]).alias("all")),
+            # what earlier pieces found joins at a piece's end alone
+            lambda a: F.struct(a["at"].alias("at"), F.array_append(state["all"], a["found"]).alias("all")),
         )
 
     pieces = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / PIECE).cast("int"))
