@@ -23,14 +23,24 @@ from pactum.llm import decontaminate, mixing, ngram_join, quality, token_files
 from pactum.llm.shared import broadcast_if_small, plain_names, stash
 
 
+#: Rows that go to a Python worker at once: whole texts are wide, and JVM and worker each hold batches of them.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
+    small_batches(spark)
     docs, as_before = plain_names(docs, "doc_id", "text", "source", "lang")
     return as_before(quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component, by doc_id (null last) and a digest of doc_id and text; rows repeated under one doc_id and text stay once."""
+    small_batches(spark)
     docs, as_before = plain_names(docs, "doc_id", "text")
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     joined = ngram_join.join_documents(keyed.select(F.col("_key").alias("doc_id"), "text"), links=False).select(F.col("doc_id").alias("_key"), "component_id")
@@ -50,12 +60,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    small_batches(spark)
     docs, as_before = plain_names(docs, "doc_id", "text")
     return as_before(decontaminate.remove_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files and rows that follow the mix."""
+    small_batches(spark)
     docs, as_before = plain_names(docs, "doc_id", "source")
     places = mixing.mix(docs).groupBy("doc_id").agg(F.min("position").alias("_position")).withColumnRenamed("doc_id", "_id")
     places = broadcast_if_small(stash(places, "pipeline-places"), 32)
@@ -74,6 +86,7 @@ def stored_order(docs: DataFrame) -> tuple:
 
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and more, read back from files that keep the order of the rows."""
+    small_batches(spark)
     if tokenizer_path is None:
         import public_tokenizers
 
