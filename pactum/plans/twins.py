@@ -184,7 +184,8 @@ TWINS = {
         UNION ALL SELECT * FROM (SELECT 'score-asc', * FROM r ORDER BY overall_score, created_at DESC, id DESC LIMIT 50)
     """,
     "risk_catalog": r"""
-        SELECT DISTINCT r.rule_name, c.id, c.contract_code FROM {finding} f JOIN {rule} r ON r.id = f.rule_id JOIN {version} v ON v.id = f.version_id JOIN {contract} c ON c.id = v.contract_id
+        SELECT DISTINCT r.rule_name, c.id, c.contract_code FROM {finding} f JOIN {rule} r ON r.id = f.rule_id JOIN {version} v ON v.id = f.version_id JOIN
+            {contract} c ON c.id = v.contract_id
     """,
     "tenant_scope": r"""
         SELECT u.id AS user_id, c.id AS company_id FROM {staff} u LEFT JOIN {company} o ON o.id = u.company_id CROSS JOIN {company} c
@@ -203,11 +204,13 @@ TWINS = {
     "company_versions": "SELECT id AS version_id FROM {version} WHERE contract_id IN (SELECT id FROM {contract} WHERE company_id IN (SELECT company_id FROM {staff}))",
     "next_versions": "SELECT c.id AS contract_id, coalesce(max(v.version_number), 0) + 1 AS next_number FROM {contract} c LEFT JOIN {version} v ON v.contract_id = c.id GROUP BY c.id",
     "contract_tree": r"""
-        SELECT c.id, c.contract_code, count(v.id) AS versions, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS files, coalesce(string_agg(f.paths, '|' ORDER BY v.version_number), '') AS file_paths,
+        SELECT c.id, c.contract_code, count(v.id) AS versions, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS files, coalesce(string_agg(f.paths, '|' ORDER BY
+            v.version_number), '') AS file_paths,
             CAST(coalesce(sum(a.n), 0) AS BIGINT) AS analyses, coalesce(string_agg(a.scores, '|' ORDER BY v.version_number), '') AS scores
         FROM {contract} c LEFT JOIN {version} v ON v.contract_id = c.id
             LEFT JOIN (SELECT version_id, count(*) AS n, string_agg(file_path, ',' ORDER BY id) AS paths FROM {contract_file} GROUP BY version_id) f ON f.version_id = v.id
-            LEFT JOIN (SELECT version_id, count(*) AS n, string_agg(coalesce(CAST(overall_score AS VARCHAR), '-'), ',' ORDER BY id) AS scores FROM {analysis_run} GROUP BY version_id) a ON a.version_id = v.id
+            LEFT JOIN (SELECT version_id, count(*) AS n, string_agg(coalesce(CAST(overall_score AS VARCHAR), '-'), ',' ORDER BY id) AS scores FROM
+                {analysis_run} GROUP BY version_id) a ON a.version_id = v.id
         GROUP BY c.id, c.contract_code
     """,
     "company_registration": r"""
@@ -219,31 +222,37 @@ TWINS = {
     """,
     "certificate_serials": r"""
         SELECT s.id, 'CERT-' || left(replace(regexp_replace(upper(c.company_name), '[^A-Z0-9 ]', '', 'g'), ' ', '-'), 8) || '-' || printf('%04d', s.id) || '-'
-            || CAST(1000 + list_reduce(list_transform(string_split(substr(sha256(c.company_name || ':' || s.id), 1, 8), ''), lambda h: CAST(instr('0123456789abcdef', h) - 1 AS BIGINT)), lambda a, h: a * 16 + h) % 9000 AS VARCHAR) AS serial
+            || CAST(1000 + list_reduce(list_transform(string_split(substr(sha256(c.company_name || ':' || s.id), 1, 8), ''), lambda h:
+                CAST(instr('0123456789abcdef', h) - 1 AS BIGINT)), lambda a, h: a * 16 + h) % 9000 AS VARCHAR) AS serial
         FROM {staff} s JOIN {company} c ON c.id = s.company_id
     """,
     "version_list": r"""
-        SELECT v.id AS version_id, v.contract_id, v.version_number, CAST(o.overall_score AS DOUBLE) AS overall_score, coalesce(o.risk_level, 'NONE') AS risk_level, n.id AS latest_id, n.overall_score AS latest_score
+        SELECT v.id AS version_id, v.contract_id, v.version_number, CAST(o.overall_score AS DOUBLE) AS overall_score, coalesce(o.risk_level, 'NONE') AS
+            risk_level, n.id AS latest_id, n.overall_score AS latest_score
         FROM {version} v LEFT JOIN (SELECT DISTINCT ON (version_id) * FROM {analysis_run} ORDER BY version_id, id) o ON o.version_id = v.id
             LEFT JOIN (SELECT DISTINCT ON (version_id) * FROM {analysis_run} ORDER BY version_id, created_at DESC, id DESC) n ON n.version_id = v.id
     """,
     "version_files": r"""
-        SELECT v.id AS version_id, f.id AS file_id, regexp_replace(url_decode(f.file_path), '^/media/', '') AS path, lower(nullif(regexp_extract(f.file_path, '(\.[A-Za-z0-9]+)$', 1), '')) AS ext
+        SELECT v.id AS version_id, f.id AS file_id, regexp_replace(url_decode(f.file_path), '^/media/', '') AS path, lower(nullif(regexp_extract(f.file_path,
+            '(\.[A-Za-z0-9]+)$', 1), '')) AS ext
         FROM {version} v LEFT JOIN (SELECT DISTINCT ON (version_id) * FROM {contract_file} ORDER BY version_id, id) f ON f.version_id = v.id
     """,
     "safe_file_codes": "SELECT id, regexp_replace(title, '[^A-Za-z0-9_-]', '', 'g') AS code FROM {contract}",
     "finding_clause_match": r"""
         WITH f AS (SELECT id, version_id, lower(trim(clause_title)) AS t FROM {api_finding}), c AS (SELECT id, version_id, lower(trim(title)) AS t FROM {clause})
-        SELECT f.id AS finding_id, c.id AS clause_id FROM f JOIN c ON c.version_id = f.version_id WHERE f.t = c.t OR f.t <> '' AND c.t <> '' AND (c.t LIKE '%' || f.t || '%' OR f.t LIKE '%' || c.t || '%')
+        SELECT f.id AS finding_id, c.id AS clause_id FROM f JOIN c ON c.version_id = f.version_id WHERE f.t = c.t OR f.t <> '' AND c.t <> '' AND (c.t LIKE '%'
+            || f.t || '%' OR f.t LIKE '%' || c.t || '%')
     """,
     "rule_get_or_create": r"""
-        WITH asked AS (SELECT DISTINCT ON (lower(trim(risk_category))) lower(trim(risk_category)) AS k, trim(risk_category) AS n, risk_level FROM {api_finding} ORDER BY lower(trim(risk_category)), id),
+        WITH asked AS (SELECT DISTINCT ON (lower(trim(risk_category))) lower(trim(risk_category)) AS k, trim(risk_category) AS n, risk_level FROM {api_finding}
+            ORDER BY lower(trim(risk_category)), id),
         have AS (SELECT DISTINCT ON (lower(rule_name)) lower(rule_name) AS k, rule_name, id FROM {rule} ORDER BY lower(rule_name), id)
         SELECT coalesce(h.rule_name, a.n) AS rule_name, regexp_replace(replace(replace(upper(coalesce(h.rule_name, a.n)), ' ', '_'), '-', '_'), '[^A-Z0-9_]', '', 'g') AS rule_code,
             CASE WHEN h.id IS NULL THEN a.risk_level END AS severity, h.id AS rule_id, h.id IS NULL AS created FROM asked a LEFT JOIN have h ON h.k = a.k
     """,
     "rule_table": r"""
-        WITH fresh AS (SELECT DISTINCT ON (lower(trim(risk_category))) trim(risk_category) AS n FROM {api_finding} WHERE lower(trim(risk_category)) NOT IN (SELECT lower(rule_name) FROM {rule}) ORDER BY lower(trim(risk_category)), id)
+        WITH fresh AS (SELECT DISTINCT ON (lower(trim(risk_category))) trim(risk_category) AS n FROM {api_finding} WHERE lower(trim(risk_category)) NOT IN
+            (SELECT lower(rule_name) FROM {rule}) ORDER BY lower(trim(risk_category)), id)
         SELECT id, rule_name, description FROM {rule}
         UNION ALL SELECT (SELECT max(id) FROM {rule}) + row_number() OVER (ORDER BY n), n, 'Auto-created category for ' || n || '.' FROM fresh
     """,
@@ -251,12 +260,14 @@ TWINS = {
         SELECT version_id, arg_max(summary, id) AS summary, arg_max(model_id, id) FILTER (model_id <> '') AS model_id FROM {summary_event} GROUP BY version_id
     """,
     "review_outcomes": r"""
-        SELECT id, CASE WHEN version_id NOT IN (SELECT version_id FROM {analysis}) THEN 'Analysis not found.' WHEN coalesce(level, '') NOT IN ('LOW', 'MEDIUM', 'HIGH') THEN 'Invalid risk level.' ELSE 'stored' END AS outcome,
+        SELECT id, CASE WHEN version_id NOT IN (SELECT version_id FROM {analysis}) THEN 'Analysis not found.' WHEN coalesce(level, '') NOT IN ('LOW', 'MEDIUM',
+            'HIGH') THEN 'Invalid risk level.' ELSE 'stored' END AS outcome,
             CASE WHEN version_id IN (SELECT version_id FROM {analysis}) AND level IN ('LOW', 'MEDIUM', 'HIGH') THEN 'APPROVED' END AS status FROM {review}
     """,
     "contract_status": r"""
         WITH last AS (SELECT DISTINCT ON (contract_id) contract_id, action FROM {contract_event} ORDER BY contract_id, happened_at DESC, id DESC)
-        SELECT c.id, CASE l.action WHEN 'ANALYZE' THEN 'ANALYZING' WHEN 'ANALYZED' THEN 'ANALYZED' WHEN 'REVIEW' THEN 'APPROVED' WHEN 'FAILED' THEN 'DRAFT' WHEN 'EXTRACT' THEN 'DRAFT'
+        SELECT c.id, CASE l.action WHEN 'ANALYZE' THEN 'ANALYZING' WHEN 'ANALYZED' THEN 'ANALYZED' WHEN 'REVIEW' THEN 'APPROVED' WHEN 'FAILED' THEN 'DRAFT'
+            WHEN 'EXTRACT' THEN 'DRAFT'
             WHEN 'NEW_VERSION' THEN 'DRAFT' ELSE c.status END AS status FROM {contract} c LEFT JOIN last l ON l.contract_id = c.id
     """,
     "reanalysis": r"""
@@ -271,7 +282,8 @@ TWINS = {
         WITH p AS (SELECT version_id, string_agg(content, chr(10) || chr(10) ORDER BY id) AS x FROM {page_text} WHERE context_type = 'raw_text' GROUP BY version_id),
         f AS (SELECT version_id, nullif(content, '') AS x FROM {file_text}),
         c AS (SELECT version_id, string_agg('--- ' || title || ' ---' || chr(10) || content, chr(10) || chr(10) ORDER BY id) AS x FROM {clause} GROUP BY version_id)
-        SELECT v.version_id, coalesce(p.x, f.x, c.x, '') AS content, CASE WHEN p.x IS NOT NULL THEN 'pages' WHEN f.x IS NOT NULL THEN 'file' WHEN c.x IS NOT NULL THEN 'clauses' END AS origin
+        SELECT v.version_id, coalesce(p.x, f.x, c.x, '') AS content, CASE WHEN p.x IS NOT NULL THEN 'pages' WHEN f.x IS NOT NULL THEN 'file' WHEN c.x IS NOT
+            NULL THEN 'clauses' END AS origin
         FROM (SELECT DISTINCT version_id FROM {clause}) v LEFT JOIN p USING (version_id) LEFT JOIN f USING (version_id) LEFT JOIN c USING (version_id)
     """,
     "clause_order": r"""
@@ -286,52 +298,64 @@ TWINS = {
         FROM {edge_request} r LEFT JOIN {step} a ON a.id = r.prerequisite_id LEFT JOIN {step} b ON b.id = r.dependent_id
     """,
     "step_signers": r"""
-        WITH named AS (SELECT a.step_id, a.id, s.user_name || coalesce(' (' || r.role_name || ')', '') AS label FROM {approval} a JOIN {staff} s ON s.id = a.user_id LEFT JOIN {role} r ON r.id = s.role_id),
+        WITH named AS (SELECT a.step_id, a.id, s.user_name || coalesce(' (' || r.role_name || ')', '') AS label FROM {approval} a JOIN {staff} s ON s.id =
+            a.user_id LEFT JOIN {role} r ON r.id = s.role_id),
         once AS (SELECT step_id, label, min(id) AS first FROM named GROUP BY step_id, label)
         SELECT step_id, string_agg(label, ', ' ORDER BY first) AS signers FROM once GROUP BY step_id
     """,
     "anchor_steps": r"""
-        WITH s AS (SELECT workflow_id, step_order, lower(step_name) AS low, step_name, role_id, row_number() OVER (PARTITION BY workflow_id ORDER BY step_order, id) AS k FROM {step}),
+        WITH s AS (SELECT workflow_id, step_order, lower(step_name) AS low, step_name, role_id, row_number() OVER (PARTITION BY workflow_id ORDER BY
+            step_order, id) AS k FROM {step}),
         heads AS (SELECT workflow_id, regexp_matches(low, 'sơ bộ|đầu tiên|tổng quan|tiếp nhận|dự thảo|đăng ký|kiểm tra ban đầu') AS begun FROM s WHERE k = 1),
-        kept AS (SELECT workflow_id, k, step_name, role_id, role_id IN (5, 11) OR regexp_matches(low, 'phê duyệt|chủ trương|quản lý|giám đốc|ban điều hành') AS approves FROM s WHERE NOT regexp_matches(low, 'ký kết|signing|lưu trữ|archive')),
+        kept AS (SELECT workflow_id, k, step_name, role_id, role_id IN (5, 11) OR regexp_matches(low, 'phê duyệt|chủ trương|quản lý|giám đốc|ban điều hành') AS
+            approves FROM s WHERE NOT regexp_matches(low, 'ký kết|signing|lưu trữ|archive')),
         every AS (SELECT workflow_id, k, step_name, role_id FROM kept
             UNION ALL SELECT workflow_id, 0, 'Rà soát & Tiếp nhận Dự thảo Hợp đồng', 4 FROM heads WHERE NOT begun
-            UNION ALL SELECT workflow_id, 1000, 'Phê duyệt Chủ trương & Phương án Thực hiện Cấp Quản lý', 5 FROM heads WHERE workflow_id NOT IN (SELECT workflow_id FROM kept WHERE approves)
+            UNION ALL SELECT workflow_id, 1000, 'Phê duyệt Chủ trương & Phương án Thực hiện Cấp Quản lý', 5 FROM heads WHERE workflow_id NOT IN (SELECT
+                workflow_id FROM kept WHERE approves)
             UNION ALL SELECT workflow_id, 1001, 'Thực hiện Ký kết Hợp đồng Chính thức', 4 FROM heads
             UNION ALL SELECT workflow_id, 1002, 'Bàn giao Bản cứng & Lưu trữ Kho Hồ sơ Hợp đồng', 4 FROM heads)
         SELECT workflow_id, row_number() OVER (PARTITION BY workflow_id ORDER BY k) AS step_order, step_name, role_id FROM every
     """,
     "default_workflow": r"""
-        WITH w AS (SELECT id, CASE WHEN starts_with(t, 'WF_') THEN t WHEN t = '' THEN 'WF_STANDARD' ELSE 'WF_' || t END AS workflow_type FROM (SELECT id, upper(trim(coalesce(workflow_type, ''))) AS t FROM {workflow}) x),
-        n AS (SELECT *, array_to_string(list_transform(regexp_extract_all(replace(workflow_type, 'WF_', ''), '[A-Za-z]+|[^A-Za-z]+'), lambda s: upper(s[1]) || lower(s[2:])), '') AS label FROM w)
-        SELECT id, workflow_type, 'Quy trình Phê duyệt Mặc định' || CASE WHEN label IN ('', 'Standard') THEN '' ELSE ' – ' || label END AS workflow_name, step_order, step_name, role_id
+        WITH w AS (SELECT id, CASE WHEN starts_with(t, 'WF_') THEN t WHEN t = '' THEN 'WF_STANDARD' ELSE 'WF_' || t END AS workflow_type FROM (SELECT id,
+            upper(trim(coalesce(workflow_type, ''))) AS t FROM {workflow}) x),
+        n AS (SELECT *, array_to_string(list_transform(regexp_extract_all(replace(workflow_type, 'WF_', ''), '[A-Za-z]+|[^A-Za-z]+'), lambda s: upper(s[1]) ||
+            lower(s[2:])), '') AS label FROM w)
+        SELECT id, workflow_type, 'Quy trình Phê duyệt Mặc định' || CASE WHEN label IN ('', 'Standard') THEN '' ELSE ' – ' || label END AS workflow_name,
+            step_order, step_name, role_id
         FROM n CROSS JOIN (VALUES (1, 'Rà soát & Tiếp nhận Dự thảo Hợp đồng', 4), (2, 'Phê duyệt Chủ trương Cấp Quản lý', 5), (3, 'Thực hiện Ký kết Hợp đồng Chính thức', 4),
             (4, 'Bàn giao & Lưu trữ Kho Hồ sơ Hợp đồng', 4)) AS s(step_order, step_name, role_id)
     """,
     "step_roles": r"""
-        WITH named AS (SELECT unnest(['Contract Negotiation', 'Legal Review', 'Technical Review', 'Security Review', 'Compliance Review', 'Finance Review', 'Procurement Review', 'Manager Approval', 'Director Approval',
+        WITH named AS (SELECT unnest(['Contract Negotiation', 'Legal Review', 'Technical Review', 'Security Review', 'Compliance Review', 'Finance Review',
+            'Procurement Review', 'Manager Approval', 'Director Approval',
                 'Executive Approval', 'Contract Signing', 'Document Archive']) AS step_name, unnest([4, 4, 7, 8, 9, 6, 10, 5, 11, 11, 4, 4]) AS role_id),
         every AS (SELECT step_name FROM {step} UNION ALL SELECT step_name FROM named)
         SELECT e.step_name, coalesce(n.role_id, 4) AS role_id, count(*) AS steps FROM every e LEFT JOIN named n ON n.step_name = e.step_name GROUP BY ALL
     """,
     "latest_workflow": "SELECT version_id, max(id) AS id, arg_max(workflow_type, id) AS workflow_type FROM {workflow_run} GROUP BY version_id",
     "workflow_replace": r"""
-        SELECT id, version_id, workflow_type FROM {workflow_run} WHERE version_id % 5 <> 2 UNION ALL SELECT DISTINCT version_id + 1000000, version_id, 'WF_NEW' FROM {workflow_run} WHERE version_id % 5 = 2
+        SELECT id, version_id, workflow_type FROM {workflow_run} WHERE version_id % 5 <> 2 UNION ALL SELECT DISTINCT version_id + 1000000, version_id, 'WF_NEW'
+            FROM {workflow_run} WHERE version_id % 5 = 2
     """,
     "workflow_replace_signatures": "SELECT a.id, a.workflow_id FROM (SELECT id, step_id AS workflow_id FROM {approval}) a WHERE a.workflow_id IN (SELECT id FROM {workflow_run} WHERE version_id % 5 <> 2)",
     "key_lifecycle": r"""
         WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY id) AS k FROM {key_event}),
-        walk AS (SELECT id, company_id, k, CASE WHEN action = 'CREATE' THEN 1 ELSE 0 END AS chain, CASE WHEN action = 'CREATE' THEN 1 ELSE 0 END AS version, FALSE AS dead, action = 'CREATE' AS makes FROM e WHERE k = 1
+        walk AS (SELECT id, company_id, k, CASE WHEN action = 'CREATE' THEN 1 ELSE 0 END AS chain, CASE WHEN action = 'CREATE' THEN 1 ELSE 0 END AS version,
+            FALSE AS dead, action = 'CREATE' AS makes FROM e WHERE k = 1
             UNION ALL SELECT e.id, e.company_id, e.k, w.chain + CASE WHEN e.action = 'CREATE' THEN 1 ELSE 0 END,
                 CASE WHEN e.action = 'CREATE' THEN 1 WHEN e.action = 'ROTATE' AND w.chain > 0 AND NOT w.dead THEN w.version + 1 ELSE w.version END,
-                CASE WHEN e.action = 'CREATE' THEN FALSE WHEN e.action = 'REVOKE' THEN w.chain > 0 ELSE w.dead END, e.action = 'CREATE' OR e.action = 'ROTATE' AND w.chain > 0 AND NOT w.dead
+                CASE WHEN e.action = 'CREATE' THEN FALSE WHEN e.action = 'REVOKE' THEN w.chain > 0 ELSE w.dead END, e.action = 'CREATE' OR e.action = 'ROTATE'
+                    AND w.chain > 0 AND NOT w.dead
             FROM walk w JOIN e ON e.company_id = w.company_id AND e.k = w.k + 1),
         ends AS (SELECT company_id, chain, max(version) AS last, bool_or(dead) AS dead FROM walk GROUP BY company_id, chain)
         SELECT w.id, w.company_id, w.chain, w.version AS key_version, CASE WHEN w.version < n.last THEN 'ROTATED' WHEN n.dead THEN 'REVOKED' ELSE 'ACTIVE' END AS status
         FROM walk w JOIN ends n ON n.company_id = w.company_id AND n.chain = w.chain WHERE w.makes
     """,
     "required_fields": r"""
-        SELECT id, CASE WHEN m = '' THEN '' ELSE 'Missing: ' || m END AS error FROM (SELECT id, concat_ws(', ', CASE WHEN company_id IS NULL THEN 'company_id' END, CASE WHEN key_alias = '' THEN 'key_alias' END,
+        SELECT id, CASE WHEN m = '' THEN '' ELSE 'Missing: ' || m END AS error FROM (SELECT id, concat_ws(', ', CASE WHEN company_id IS NULL THEN 'company_id'
+            END, CASE WHEN key_alias = '' THEN 'key_alias' END,
             CASE WHEN key_reference IS NULL THEN 'key_reference' END) AS m FROM {key_request}) x
     """,
     "verify_proofs": r"""
@@ -340,32 +364,39 @@ TWINS = {
             WHEN n.previous_content IS NOT NULL AND b.version_id IS NOT NULL AND s.previous_hash IS DISTINCT FROM b.document_hash THEN 3
             WHEN n.version_id IN (SELECT version_id FROM {chain_tx} WHERE status = 'CONFIRMED') THEN 4 ELSE 5 END AS k
             FROM now n LEFT JOIN {stored_proof} s ON s.version_id = n.version_id LEFT JOIN {stored_proof} b ON b.version_id = n.version_id - 1)
-        SELECT version_id, k >= 4 AS verified, ['No hash proof generated for this version.', 'Integrity check failed: document hash mismatch.', 'Version chain integrity check failed: previous hash mismatch.',
-            'Integrity successfully verified with blockchain anchors.', 'Integrity verified locally, but not anchored to the blockchain.'][k] AS message, k = 4 AS anchored FROM told
+        SELECT version_id, k >= 4 AS verified, ['No hash proof generated for this version.', 'Integrity check failed: document hash mismatch.',
+            'Version chain integrity check failed: previous hash mismatch.',
+            'Integrity successfully verified with blockchain anchors.', 'Integrity verified locally, but not anchored to the blockchain.'][k] AS message, k = 4
+                AS anchored FROM told
     """,
     "proof_upsert": r"""
         SELECT version_id, sha256(CASE WHEN coalesce(content, '') <> '' THEN content ELSE contract_code || '-' || version_id || '-' END) AS document_hash,
-            CASE WHEN previous_content IS NOT NULL THEN sha256(CASE WHEN previous_content <> '' THEN previous_content ELSE previous_code || '-' || (version_id - 1) || '-' END) END AS previous_hash
+            CASE WHEN previous_content IS NOT NULL THEN sha256(CASE WHEN previous_content <> '' THEN previous_content ELSE previous_code || '-' || (version_id
+                - 1) || '-' END) END AS previous_hash
         FROM {proof} WHERE version_id % 3 = 0
         UNION ALL SELECT version_id, document_hash, previous_hash FROM {stored_proof} WHERE version_id % 3 <> 0
     """,
     "anchor_proofs": r"""
-        SELECT version_id, '0x' || left(sha256('tx:' || version_id || ':' || document_hash), 48) AS tx_hash, '0x' || left(sha256('block:' || version_id || ':' || document_hash), 32) AS block_hash,
-            15000000 + version_id % 7000000 AS block_number, 'CONFIRMED' AS status, 'INVOKE' AS tx_type, 'System' AS sender, 'Anchor Proof' AS action, 'HashProof:' || version_id AS resource, 'VERIFIED' AS after_state
+        SELECT version_id, '0x' || left(sha256('tx:' || version_id || ':' || document_hash), 48) AS tx_hash, '0x' || left(sha256('block:' || version_id || ':'
+            || document_hash), 32) AS block_hash,
+            15000000 + version_id % 7000000 AS block_number, 'CONFIRMED' AS status, 'INVOKE' AS tx_type, 'System' AS sender, 'Anchor Proof' AS action,
+                'HashProof:' || version_id AS resource, 'VERIFIED' AS after_state
         FROM {stored_proof} WHERE version_id NOT IN (SELECT version_id FROM {chain_tx} WHERE status = 'CONFIRMED')
     """,
     "latest_proof": "SELECT version_id, document_hash FROM {stored_proof} ORDER BY generated_at DESC, version_id DESC LIMIT 1",
     "newest_proofs": "SELECT version_id, document_hash, verified FROM {stored_proof} ORDER BY generated_at DESC, version_id DESC LIMIT 10",
     "chain_stats": r"""
         SELECT (SELECT count(*) FROM {chain_tx}) AS transactions, (SELECT max(block_number) FROM {chain_tx}) AS latest_block, (SELECT count(*) FROM {stored_proof}) AS proofs,
-            (SELECT count(*) FROM {stored_proof} WHERE verified) AS verified_proofs, (SELECT count(*) FROM {certificate}) AS certificates, (SELECT count(*) FROM {sign_request}) AS signatures
+            (SELECT count(*) FROM {stored_proof} WHERE verified) AS verified_proofs, (SELECT count(*) FROM {certificate}) AS certificates, (SELECT count(*)
+                FROM {sign_request}) AS signatures
     """,
     "proof_history": r"""
         SELECT p.version_id, t.id AS tx_id, t.status, count(a.id) AS audits, coalesce(string_agg(CAST(a.id AS VARCHAR), ',' ORDER BY a.id), '') AS audit_ids
         FROM {stored_proof} p JOIN {chain_tx} t ON t.version_id = p.version_id LEFT JOIN {chain_audit} a ON a.tx_id = t.id GROUP BY p.version_id, t.id, t.status
     """,
     "ledger_put_if_absent": r"""
-        SELECT DISTINCT ON (record_key) record_key, tx_id, record FROM {ledger} WHERE NOT is_delete AND record_key NOT IN (SELECT 'COMPANY_' || id FROM {company}) ORDER BY record_key, tx_id
+        SELECT DISTINCT ON (record_key) record_key, tx_id, record FROM {ledger} WHERE NOT is_delete AND record_key NOT IN (SELECT 'COMPANY_' || id FROM
+            {company}) ORDER BY record_key, tx_id
     """,
     "active_certificates": r"""
         SELECT id, user_id, strftime(valid_from + to_days(valid_days), '%Y-%m-%d %H:%M') AS valid_to FROM {certificate}
@@ -380,7 +411,8 @@ TWINS = {
     "block_headers": r"""
         WITH n AS (SELECT number, previous_hash, data_hash, CASE WHEN length(h) % 2 = 1 THEN '0' || h ELSE h END AS h FROM (SELECT *, lower(to_hex(number)) AS h FROM {block}) x),
         d AS (SELECT *, CASE WHEN h[1] >= '8' THEN '00' || h ELSE h END AS digits FROM n),
-        b AS (SELECT *, printf('02%02x', length(digits) // 2) || digits || printf('04%02x', length(previous_hash) // 2) || previous_hash || printf('04%02x', length(data_hash) // 2) || data_hash AS body FROM d)
+        b AS (SELECT *, printf('02%02x', length(digits) // 2) || digits || printf('04%02x', length(previous_hash) // 2) || previous_hash || printf('04%02x',
+            length(data_hash) // 2) || data_hash AS body FROM d)
         SELECT number, previous_hash, data_hash, sha256(unhex('30' || printf('%02x', length(body) // 2) || body)) AS block_hash FROM b
     """,
     "audit_classify": r"""
@@ -388,7 +420,8 @@ TWINS = {
             AND NOT (starts_with(path, '/static/') OR starts_with(path, '/media/') OR path = '/api/admin/stats/' OR path LIKE '%favicon%')),
         k AS (SELECT r.id, path, method, cid, c.contract_code AS code, coalesce(c.contract_code, '(ID: ' || cid || ')') AS which FROM r LEFT JOIN {contract} c ON c.id = r.cid)
         SELECT id, left(coalesce(CASE
-            WHEN path = '/login/' AND method = 'POST' THEN 'Logged in successfully' WHEN path = '/logout/' THEN 'Logged out' WHEN path = '/admin-dashboard/' THEN 'Accessed custom Admin Dashboard'
+            WHEN path = '/login/' AND method = 'POST' THEN 'Logged in successfully' WHEN path = '/logout/' THEN 'Logged out' WHEN path = '/admin-dashboard/'
+                THEN 'Accessed custom Admin Dashboard'
             WHEN path LIKE '/api/admin/users/%/delete/%' THEN 'Admin request to delete user (ID: ' || string_split(path, '/')[-3] || ')'
             WHEN path LIKE '/api/admin/users/%/retry/%' THEN 'Admin request to retry anchoring user (ID: ' || string_split(path, '/')[-3] || ')'
             WHEN path = '/api/admin/config/ocr/' AND method = 'POST' THEN 'Admin changed system OCR configuration'
@@ -404,13 +437,17 @@ TWINS = {
     """,
     "audit_mask": r"""
         SELECT id, CASE WHEN forwarded_for <> '' THEN string_split(forwarded_for, ',')[1] ELSE remote_addr END AS ip_address,
-            left(regexp_replace(payload, '"(password|password_hash|secret)": "[^"]*"', '"\1": "******"'), 4000) AS payload FROM {request} WHERE method IN ('POST', 'PUT', 'DELETE', 'PATCH')
+            left(regexp_replace(payload, '"(password|password_hash|secret)": "[^"]*"', '"\1": "******"'), 4000) AS payload FROM {request} WHERE method IN
+                ('POST', 'PUT', 'DELETE', 'PATCH')
     """,
     "file_gate": r"""
-        WITH p AS (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', '') || CASE page_id % 4 WHEN 0 THEN '/a.PDF' WHEN 1 THEN '/b.docx' ELSE '' END, '(\.[A-Za-z0-9]+)$', 1)) AS ext, strlen(html) AS bytes FROM {pages})
+        WITH p AS (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', '') || CASE page_id % 4 WHEN 0 THEN '/a.PDF' WHEN 1 THEN '/b.docx' ELSE
+            '' END, '(\.[A-Za-z0-9]+)$', 1)) AS ext, strlen(html) AS bytes FROM {pages})
         SELECT page_id, ext, CASE WHEN ext IN ('.docx', '.pdf', '.txt') THEN ext[2:] WHEN ext IN ('.png', '.jpg', '.jpeg') THEN 'image' END AS file_type,
-            CASE ext WHEN '.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN '.pdf' THEN 'application/pdf' WHEN '.png' THEN 'image/png' WHEN '.jpg' THEN 'image/jpeg'
-                WHEN '.jpeg' THEN 'image/jpeg' WHEN '.txt' THEN 'text/plain' WHEN '.html' THEN 'text/html' ELSE 'application/octet-stream' END AS mime, round(bytes / 1048576.0, 2) AS size_mb FROM p
+            CASE ext WHEN '.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN '.pdf' THEN 'application/pdf' WHEN '.png'
+                THEN 'image/png' WHEN '.jpg' THEN 'image/jpeg'
+                WHEN '.jpeg' THEN 'image/jpeg' WHEN '.txt' THEN 'text/plain' WHEN '.html' THEN 'text/html' ELSE 'application/octet-stream' END AS mime,
+                    round(bytes / 1048576.0, 2) AS size_mb FROM p
     """,
     "page_scan_flags": r"""
         SELECT conv_id AS doc_id, count(*) AS pages, count(*) FILTER (length(replace(replace(text, ' ', ''), chr(10), '')) < 50) AS scan_pages,

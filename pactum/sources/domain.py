@@ -49,20 +49,27 @@ DOMAIN = {
         CASE item_id % 3 WHEN 0 THEN 'phạt vi phạm, penalty' WHEN 1 THEN 'thử việc' END AS tags FROM {benchmark}""",
     "clause": """SELECT conv_id * 1000 + turn AS id, conv_id AS version_id, CASE WHEN turn % 5 = 4 THEN '' ELSE concat(' Clause ', turn % 3, ' ') END AS title,
         CASE turn % 4 WHEN 0 THEN 'TERM' WHEN 1 THEN 'PAYMENT' WHEN 2 THEN 'LIABILITY' END AS clause_type,
-        concat(text, CASE turn % 7 WHEN 0 THEN ' Bên A and the Client agree' WHEN 1 THEN ' late payment penalty' WHEN 2 THEN ' Landlord: bên cho thuê' WHEN 3 THEN ' TECHVIBE exclusivity'
+        concat(text, CASE turn % 7 WHEN 0 THEN ' Bên A and the Client agree' WHEN 1 THEN ' late payment penalty' WHEN 2 THEN ' Landlord: bên cho thuê' WHEN 3
+            THEN ' TECHVIBE exclusivity'
             WHEN 4 THEN ' tranh chấp tại Tòa án' WHEN 5 THEN ' bản quyền, nhà tư vấn' ELSE ' thử việc' END) AS content FROM {conversations}""",
     # every kind of path that the audit log tells apart, by every kind of method
     "request": """SELECT event_id AS id, user_id, ts AS created_at,
-        CASE event_id % 26 WHEN 0 THEN '/login/' WHEN 1 THEN '/logout/' WHEN 2 THEN concat('/api/admin/users/', user_id, '/delete/') WHEN 3 THEN concat('/api/contracts/', user_id, '/analyze/')
+        CASE event_id % 26 WHEN 0 THEN '/login/' WHEN 1 THEN '/logout/' WHEN 2 THEN concat('/api/admin/users/', user_id, '/delete/') WHEN 3 THEN
+            concat('/api/contracts/', user_id, '/analyze/')
             WHEN 4 THEN concat('/api/contracts/', user_id, '/review/') WHEN 5 THEN '/api/contracts/' WHEN 6 THEN '/identity/' WHEN 7 THEN '/workflows/'
-            WHEN 8 THEN concat('/workflows/steps/', user_id, '/approve/') WHEN 9 THEN '/static/app.js' WHEN 10 THEN concat('/contracts/', user_id, '/detail/') WHEN 11 THEN concat('/api/other/', event_id % 7, '/')
+            WHEN 8 THEN concat('/workflows/steps/', user_id, '/approve/') WHEN 9 THEN '/static/app.js' WHEN 10 THEN concat('/contracts/', user_id, '/detail/')
+                WHEN 11 THEN concat('/api/other/', event_id % 7, '/')
             WHEN 12 THEN '/admin-dashboard/' WHEN 13 THEN concat('/api/admin/users/', user_id, '/retry/') WHEN 14 THEN '/api/admin/config/ocr/' WHEN 15 THEN '/api/contracts/list/'
             WHEN 16 THEN '/api/companies/' WHEN 17 THEN '/api/register-user/' WHEN 18 THEN concat('/workflows/detail/', user_id, '/') WHEN 19 THEN '/admin/rules/'
-            WHEN 20 THEN concat('/contracts/', user_id + 100000000, '/analyze/') WHEN 21 THEN '/analyze/now' WHEN 22 THEN '/contracts/new/detail/' WHEN 23 THEN '/media/a.png' WHEN 24 THEN '/favicon.ico'
+            WHEN 20 THEN concat('/contracts/', user_id + 100000000, '/analyze/') WHEN 21 THEN '/analyze/now' WHEN 22 THEN '/contracts/new/detail/' WHEN 23 THEN
+                '/media/a.png' WHEN 24 THEN '/favicon.ico'
             ELSE '/api/admin/stats/' END AS path,
-        CASE CAST(floor(event_id / 26) AS INT) % 4 WHEN 0 THEN 'POST' WHEN 1 THEN 'GET' WHEN 2 THEN 'DELETE' ELSE 'HEAD' END AS method, CASE WHEN event_id % 29 = 0 THEN 404 ELSE 200 END AS status_code,
-        CASE WHEN event_id % 4 = 0 THEN concat('10.0.0.', user_id % 250, ', 172.16.0.1') WHEN event_id % 4 = 1 THEN '' END AS forwarded_for, concat('192.168.1.', user_id % 250) AS remote_addr,
-        concat(chr(123), '"user": ', user_id, ', "', CASE event_id % 5 WHEN 0 THEN 'password' WHEN 1 THEN 'password_hash' WHEN 2 THEN 'secret' ELSE 'note' END, '": "p', event_id, '"', chr(125)) AS payload
+        CASE CAST(floor(event_id / 26) AS INT) % 4 WHEN 0 THEN 'POST' WHEN 1 THEN 'GET' WHEN 2 THEN 'DELETE' ELSE 'HEAD' END AS method, CASE WHEN event_id % 29
+            = 0 THEN 404 ELSE 200 END AS status_code,
+        CASE WHEN event_id % 4 = 0 THEN concat('10.0.0.', user_id % 250, ', 172.16.0.1') WHEN event_id % 4 = 1 THEN '' END AS forwarded_for,
+            concat('192.168.1.', user_id % 250) AS remote_addr,
+        concat(chr(123), '"user": ', user_id, ', "', CASE event_id % 5 WHEN 0 THEN 'password' WHEN 1 THEN 'password_hash' WHEN 2 THEN 'secret' ELSE 'note' END,
+            '": "p', event_id, '"', chr(125)) AS payload
         FROM {events}""",
     "ledger": """SELECT event_id AS tx_id, concat(CASE event_id % 3 WHEN 0 THEN 'COMPANY_' WHEN 1 THEN 'USER_' ELSE '' END, user_id % 200) AS record_key, ts AS written_at,
         event_type = 'error' AS is_delete, CASE WHEN event_type <> 'error' THEN props END AS record FROM {events}""",
@@ -78,7 +85,8 @@ DOMAIN = {
     "file_text": "SELECT conv_id AS version_id, CASE WHEN max(conv_id) % 2 = 0 THEN concat('file of ', conv_id) ELSE '' END AS content FROM {conversations} WHERE conv_id % 3 = 1 GROUP BY conv_id",
     "api_finding": """SELECT conv_id * 1000 + turn AS id, conv_id AS version_id,
         CASE turn % 4 WHEN 0 THEN 'clause 1' WHEN 1 THEN ' CLAUSE 2 of the annex' WHEN 2 THEN '' ELSE 'Clause' END AS clause_title,
-        CASE turn % 5 WHEN 0 THEN ' Small RING ' WHEN 1 THEN 'Late-payment risk!' WHEN 2 THEN 'late-payment RISK!' WHEN 3 THEN concat('Risk ', conv_id % 9) ELSE 'red widget' END AS risk_category,
+        CASE turn % 5 WHEN 0 THEN ' Small RING ' WHEN 1 THEN 'Late-payment risk!' WHEN 2 THEN 'late-payment RISK!' WHEN 3 THEN concat('Risk ', conv_id % 9)
+            ELSE 'red widget' END AS risk_category,
         CASE turn % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM {conversations}""",
     "summary_event": """SELECT event_id AS id, user_id AS version_id, concat('summary ', event_type, ' ', event_id) AS summary,
         CASE WHEN event_id % 3 = 0 THEN concat('model-', event_id % 4) ELSE '' END AS model_id FROM {events}""",
