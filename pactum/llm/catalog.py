@@ -99,6 +99,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.resample import resample
+
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.centroids import cluster_vectors, kept_vectors
+
+    assigned, centroids = cluster_vectors(kept_vectors(table(spark, sf_dir, "embeddings")))
+    found = assigned.join(F.broadcast(centroids), "cluster")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.exact_dedup import dedup_exact
+
+    return dedup_exact(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
@@ -111,9 +132,90 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_pii_spans": op9_pii_spans,
     "op10_url_filter": op10_url_filter,
+    "op11_resample": op11_resample,
+    "op12_centroids": op12_centroids,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
+#: The reflected polynomial of CRC-32, and what it makes of each half byte.
+_CRC_POLYNOMIAL = 0xEDB88320
+
+
+def _half_byte(n: int) -> int:
+    for _ in range(4):
+        n = n >> 1 ^ _CRC_POLYNOMIAL if n & 1 else n >> 1
+    return n
+
+
+_HALVES = ", ".join(str(_half_byte(n)) for n in range(16))
+
+
+def _rounds_sql(rounds: int = 5) -> str:
+    """Assignment and update, written out for each round; centroids c0, c1, ... and assignments a0, a1, ..."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        d{r} AS MATERIALIZED (
+            SELECT vec_id, x, j, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(x, c)]) AS d FROM vectors, c{r}),
+        a{r} AS MATERIALIZED (
+            SELECT vec_id, any_value(x) AS x, CAST(min(d) AS BIGINT) AS d, arg_min(j, (d, j)) AS j FROM d{r} GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+        s{r} AS (
+            SELECT j, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY j, i),
+        m{r} AS (
+            SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY j),
+        c{r + 1} AS MATERIALIZED (
+            SELECT c{r}.j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))""")
+    return ",".join(steps)
+
+
 ORACLES = {
+    "op11_resample": rf"""
+        WITH words AS (
+            SELECT doc_id, side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM (SELECT doc_id, text, 's' AS side FROM documents UNION ALL SELECT item_id, text, 't' FROM benchmark)),
+        features AS MATERIALIZED (
+            SELECT doc_id, side, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS f FROM words),
+        distinct_features AS (SELECT DISTINCT f FROM features),
+        bucketed AS MATERIALIZED (
+            SELECT f, xor(list_reduce(
+                [CAST(instr('0123456789ABCDEF', substr(h, CAST(q AS INT), 1)) - 1 AS BIGINT) FOR q IN list_transform(range(1, len(h) + 1), lambda z: z + CASE WHEN z % 2 = 1 THEN 1 ELSE -1 END)],
+                lambda crc, half: xor(crc >> 4, ([{_HALVES}])[CAST((xor(crc, half) & 15) + 1 AS INT)]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS b
+            FROM (SELECT f, hex(f) AS h FROM distinct_features)),
+        counts AS (
+            SELECT k AS b, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t
+            FROM range(10000) AS r(k) LEFT JOIN (features JOIN bucketed USING (f)) ON b = k GROUP BY k),
+        gains AS (
+            SELECT b, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE)))) AS BIGINT) AS g FROM counts),
+        summed AS (
+            SELECT doc_id, sum(g) AS g, count(*) AS n FROM features JOIN bucketed USING (f) JOIN gains USING (b) WHERE side = 's' GROUP BY doc_id),
+        scored AS (
+            SELECT doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+                   CAST(coalesce((g - ((g % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+                   CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h
+            FROM words LEFT JOIN summed USING (doc_id) WHERE side = 's'),
+        noised AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM scored),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS fit FROM noised)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * fit // 100 THEN place END AS rank FROM placed
+    """,
+    "op12_centroids": rf"""
+        WITH vectors AS MATERIALIZED (
+            SELECT vec_id, [CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT) FOR v IN embedding] AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len([v FOR v IN embedding IF v IS NULL OR isnan(v) OR isinf(v)]) = 0),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h) - 1 AS j, x AS c FROM (SELECT x, sha256('2:' || vec_id) AS h FROM vectors ORDER BY h LIMIT 40)),
+        {{rounds}},
+        found AS (SELECT j, sum(d) AS of_cluster FROM a5 GROUP BY j)
+        SELECT vec_id, CAST(a5.j AS INTEGER) AS cluster, d AS distance, CAST(of_cluster AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a5 JOIN found USING (j) JOIN c5 USING (j)
+    """.format(rounds=_rounds_sql()),
+    "op13_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
     "op2_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
