@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactum.sources.files import shared_path
+
 #: A side is broadcast only if Catalyst's size estimate or its counted rows stay below this.
 BROADCAST_ROWS = 200_000
 
@@ -40,6 +42,10 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def is_approved() -> Column:
+    return F.coalesce(F.col("status") == "APPROVED", F.lit(False))
+
+
 def count_when(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
@@ -47,3 +53,10 @@ def count_when(condition: Column) -> Column:
 def rounded(value: Column) -> Column:
     """Halves go up, also below zero."""
     return F.floor(value + 0.5).cast("long")
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there, and no executor's loss undoes it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -18,8 +18,6 @@ ANCHORED = "Integrity successfully verified with blockchain anchors."
 LOCAL = "Integrity verified locally, but not anchored to the blockchain."
 NO_CERTIFICATE, OTHER_OWNER = "Signature certificate not found", "Certificate does not belong to the user"
 INACTIVE, EXPIRED = "Certificate is not active or has been revoked", "Certificate is expired"
-#: Simulated blocks are numbered from here.
-FIRST_BLOCK, BLOCKS = 15_000_000, 7_000_000
 
 
 def sha256(text: Column) -> Column:
@@ -35,36 +33,68 @@ def merkle_root(own: Column, previous: Column) -> Column:
     return sha256(F.concat(own, F.coalesce(previous, F.lit(""))))
 
 
-def hash_proofs(documents: DataFrame) -> DataFrame:
-    """Proofs of documents (version_id, contract_code, content, previous_content, previous_code) with sizes: bytes of contents, characters of what stands for an empty one."""
+def with_previous(versions: DataFrame, ahead: DataFrame, *columns: str) -> DataFrame:
+    """versions with columns of the version of the same contract and the number before, named previous_...; null across gaps.
+
+    Of several versions with one number the smallest version_id counts.
+    """
+    first = ahead.groupBy("contract_id", "version_number").agg(F.min_by(F.struct("version_id", *columns), "version_id").alias("p"))
+    before = first.select("contract_id", (F.col("version_number") + 1).alias("version_number"), *[F.col(f"p.{c}").alias(f"previous_{c}") for c in ("version_id", *columns)])
+    return versions.join(before, ["contract_id", "version_number"], "left")
+
+
+def hash_proofs(versions: DataFrame) -> DataFrame:
+    """Proofs of versions (version_id, contract_id, version_number, contract_code, change_summary, content).
+
+    Each is chained to the hash of its contract's version before.  Sizes are bytes of contents, characters of what
+    stands for an empty one: code, number and change summary.
+    """
     none = F.lit("")
-    own = document_hash(F.col("content"), F.col("contract_code"), F.col("version_id"), none)
-    before = document_hash(F.col("previous_content"), F.col("previous_code"), F.col("version_id") - 1, none)
-    stands = F.length(F.concat_ws("-", "contract_code", F.col("version_id").cast("string"), none))
+    code, number, change = F.col("contract_code"), F.col("version_number"), F.coalesce("change_summary", none)
+    stands = F.length(F.concat_ws("-", code, number.cast("string"), change))
     size = F.when(F.coalesce("content", none) != "", F.octet_length("content")).otherwise(stands)
-    out = documents.select("version_id", own.alias("document_hash"), size.alias("file_size"), F.when(F.col("previous_content").isNotNull(), before).alias("previous_hash"))
-    return out.withColumn("merkle_root", merkle_root(F.col("document_hash"), F.col("previous_hash")))
+    own = versions.select("version_id", "contract_id", "version_number", document_hash(F.col("content"), code, number, change).alias("document_hash"), size.alias("file_size"))
+    out = with_previous(own, own, "document_hash").withColumnRenamed("previous_document_hash", "previous_hash")
+    return out.select("version_id", "document_hash", "file_size", "previous_hash").withColumn("merkle_root", merkle_root(F.col("document_hash"), F.col("previous_hash")))
 
 
-def verify_proofs(documents: DataFrame, proofs: DataFrame, transactions: DataFrame) -> DataFrame:
-    """(version_id, verified, message, anchored): every document against its stored proof.
+def verify_proofs(versions: DataFrame, proofs: DataFrame, transactions: DataFrame) -> DataFrame:
+    """(version_id, verified, message, proof_hash, current_hash, anchored): every version against its stored proof.
 
-    In turn: is there a proof, has the document the hash it had, is the hash
-    before it still that of the previous version's proof (where both are
-    there), and has a confirmed transaction anchored it.
+    versions: as for hash_proofs; proofs: (version_id, document_hash, previous_hash).  In turn: is there a proof, has
+    the version the hash it had, is the hash before it that of the proof of its contract's version before (where there
+    are both), and has a confirmed transaction anchored it.  Texts are hashed where they are read; what is joined are
+    ids and hashes.
     """
-    own = proofs.select("version_id", F.col("document_hash").alias("stored"), "previous_hash")
-    before = proofs.select((F.col("version_id") + 1).alias("version_id"), F.col("document_hash").alias("before"))
+    stored = proofs.select("version_id", F.col("document_hash").alias("proof_hash"), "previous_hash")
+    now = document_hash(F.col("content"), F.col("contract_code"), F.col("version_number"), F.coalesce("change_summary", F.lit("")))
+    hashed = versions.select("version_id", "contract_id", "version_number", now.alias("now"))
     anchors = transactions.where(F.col("status") == "CONFIRMED").select("version_id").distinct().withColumn("tx", F.lit(True))
-    now = document_hash(F.col("content"), F.col("contract_code"), F.col("version_id"), F.lit(""))
-    rows = documents.join(own, "version_id", "left").join(before, "version_id", "left").join(anchors, "version_id", "left")
-    chained = F.col("previous_content").isNotNull() & F.col("before").isNotNull()
+    rows = with_previous(hashed, hashed).join(stored, "version_id", "left").join(anchors, "version_id", "left")
+    before = proofs.select(F.col("version_id").alias("previous_version_id"), F.col("document_hash").alias("before"))
+    rows = rows.join(before, "previous_version_id", "left")
     message = (
-        F.when(F.col("stored").isNull(), NO_PROOF).when(now != F.col("stored"), CHANGED).when(chained & ~F.col("previous_hash").eqNullSafe(F.col("before")), BROKEN_CHAIN)
-        .when(F.col("tx").isNotNull(), ANCHORED).otherwise(LOCAL)
+        F.when(F.col("proof_hash").isNull(), NO_PROOF).when(F.col("now") != F.col("proof_hash"), CHANGED)
+        .when(F.col("before").isNotNull() & ~F.col("previous_hash").eqNullSafe(F.col("before")), BROKEN_CHAIN).when(F.col("tx").isNotNull(), ANCHORED).otherwise(LOCAL)
     )
-    out = rows.select("version_id", message.alias("message"))
-    return out.select("version_id", F.col("message").isin(ANCHORED, LOCAL).alias("verified"), "message", (F.col("message") == ANCHORED).alias("anchored"))
+    rows = rows.withColumn("message", message)
+    current = F.when(F.col("proof_hash").isNotNull(), F.col("now"))
+    return rows.select("version_id", F.col("message").isin(ANCHORED, LOCAL).alias("verified"), "message", "proof_hash", current.alias("current_hash"), (F.col("message") == ANCHORED).alias("anchored"))
+
+
+def log_verifications(results: DataFrame, path: str, batch_id: str, user_id: int | None = None) -> DataFrame:
+    """Append the results of a batch to the log below a path, and give the whole log: (batch_id, version_id, verify_result, reason, user_id).
+
+    A batch owns the folder of its id and replaces it, so one that is run again, after a failure or by mistake, leaves
+    one set of rows; other batches' rows stay as they are.
+    """
+    rows = results.select("version_id", F.col("verified").alias("verify_result"), F.col("message").alias("reason"), F.lit(user_id).cast("long").alias("user_id"))
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return verification_log(results.sparkSession, path)
+
+
+def verification_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("version_id long, verify_result boolean, reason string, user_id long, batch_id string").option("basePath", path).parquet(path)
 
 
 def store_proofs(existing: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -73,19 +103,19 @@ def store_proofs(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return existing.select(*cols).join(fresh.select("version_id"), "version_id", "left_anti").unionByName(fresh.select(*cols))
 
 
-def anchor(proofs: DataFrame, transactions: DataFrame, sender: str = "System") -> DataFrame:
-    """One new confirmed transaction for every proof without one, with its audit entry; all its ids follow from the proof.
+def anchor(proofs: DataFrame, transactions: DataFrame, answers: DataFrame, sender: str = "System") -> tuple[DataFrame, DataFrame]:
+    """The transactions and audit entries that anchoring leaves behind, from what the ledger answered.
 
-    The proofs of the result are verified from then on.
+    Every proof without a confirmed transaction is sent; answers: (version_id, ok, tx_id, block_number, block_hash), the
+    first good one (by tx_id) counts.  A proof that got none stays without and is sent again next time.  The proofs of
+    the result are verified from then on.
     """
-    todo = absent(proofs, transactions.where(F.col("status") == "CONFIRMED"), "version_id")
-    key = F.concat_ws(":", F.col("version_id").cast("string"), "document_hash")
-    return todo.select(
-        "version_id", F.concat(F.lit("0x"), F.substring(sha256(F.concat(F.lit("tx:"), key)), 1, 48)).alias("tx_hash"),
-        F.concat(F.lit("0x"), F.substring(sha256(F.concat(F.lit("block:"), key)), 1, 32)).alias("block_hash"),
-        (FIRST_BLOCK + F.pmod(F.col("version_id"), F.lit(BLOCKS))).alias("block_number"), F.lit("CONFIRMED").alias("status"), F.lit("INVOKE").alias("tx_type"), F.lit(sender).alias("sender"),
-        F.lit("Anchor Proof").alias("action"), F.concat(F.lit("HashProof:"), F.col("version_id").cast("string")).alias("resource"), F.lit("VERIFIED").alias("after_state"),
-    )
+    todo = absent(proofs, transactions.where(F.col("status") == "CONFIRMED"), "version_id").select("version_id")
+    good = answers.where("ok").groupBy("version_id").agg(F.min_by(F.struct("tx_id", "block_number", "block_hash"), "tx_id").alias("a"))
+    sent = todo.join(good, "version_id")
+    fresh = sent.select("version_id", "a.*", F.lit("CONFIRMED").alias("status"), F.lit("INVOKE").alias("tx_type"), F.lit(sender).alias("sender"))
+    audits = sent.select("a.tx_id", F.lit("Anchor Proof").alias("action"), F.concat(F.lit("HashProof:"), F.col("version_id").cast("string")).alias("resource"), F.lit("VERIFIED").alias("after_state"))
+    return fresh, audits
 
 
 def latest_proof(proofs: DataFrame) -> DataFrame:

@@ -246,24 +246,6 @@ def contract_tree(contracts: DataFrame, versions: DataFrame, files: DataFrame, r
     return contracts.select("id", "contract_code").join(tree, "id", "left").withColumn("versions", empty("versions"))
 
 
-def registrations(requests: DataFrame, companies: DataFrame) -> DataFrame:
-    """(id, outcome) of requests to register a company: missing, duplicate or registered.
-
-    A request is a duplicate if its tax code or its name is that of a company,
-    or of an earlier request that is complete.
-    """
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    complete = requests.where(~(blank("company_name") | blank("tax_code")))
-    first = lambda c: complete.groupBy(c).agg(F.min("id").alias(f"first_{c}"))
-    known = lambda c: companies.where(~blank(c)).select(c).distinct().withColumn(f"known_{c}", F.lit(True))
-    out = requests
-    for c in ("tax_code", "company_name"):
-        out = out.join(first(c), c, "left").join(known(c), c, "left")
-    taken = lambda c: F.col(f"known_{c}").isNotNull() | (F.col(f"first_{c}") < F.col("id"))
-    outcome = F.when(blank("company_name") | blank("tax_code"), "missing").when(taken("tax_code") | taken("company_name"), "duplicate").otherwise("registered")
-    return out.select("id", outcome.alias("outcome"))
-
-
 def certificate_serials(staff: DataFrame, companies: DataFrame) -> DataFrame:
     """(id, serial) for staff with a company."""
     c = broadcast_if_small(companies.select(F.col("id").alias("company_id"), "company_name"))

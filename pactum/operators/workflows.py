@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactum.functions import names as N
 from pactum.functions.text import any_of
-from pactum.operators.common import count_when, replaced_by_key, rounded, top_by
+from pactum.operators.common import count_when, is_approved, replaced_by_key, rounded, top_by
 
 # Words that mark kinds of steps, standard steps, and the roles of named steps.
 INTAKE_WORDS = ("sơ bộ", "đầu tiên", "tổng quan", "tiếp nhận", "dự thảo", "đăng ký", "kiểm tra ban đầu")
@@ -25,10 +25,6 @@ STEP_ROLES = (
 BOARD_CLOSING, BOARD_MANAGER, BOARD_HANDOVER = ("ký kết hợp đồng", "lưu trữ kho hồ sơ"), ("phê duyệt cấp quản lý", "ban điều hành"), ("bàn giao bản cứng",)
 
 
-def is_approved() -> Column:
-    return F.coalesce(F.col("status") == "APPROVED", F.lit(False))
-
-
 def progress(workflows: DataFrame, steps: DataFrame) -> DataFrame:
     """Steps, approved ones and their share in percent of every workflow; 0 without steps."""
     counted = steps.groupBy("workflow_id").agg(F.count("*").alias("steps"), count_when(is_approved()).alias("approved")).withColumnRenamed("workflow_id", "id")
@@ -92,20 +88,6 @@ def renumbered(steps: DataFrame, at: int) -> DataFrame:
     return steps.select("id", "workflow_id", F.when(o >= at, o + 1).otherwise(o).alias("after_insert"), F.when(o > at, o - 1).otherwise(o).alias("after_delete"), anew.alias("reindexed"))
 
 
-def approval_fold(approvals: DataFrame) -> DataFrame:
-    """A step's status from its approvals: a rejection rejects, a forced one approves, a plain one is only recorded."""
-    has = lambda s: F.bool_or(F.col("status") == s)
-    folded = approvals.groupBy("step_id").agg(has("REJECTED").alias("r"), has("FORCE_COMPLETE").alias("f"), F.count("*").alias("approvals"), F.max_by("comment", "id").alias("last_comment"))
-    status = F.when(F.col("r"), "REJECTED").when(F.col("f"), "APPROVED").otherwise("PENDING")
-    return folded.select("step_id", status.alias("step_status"), "approvals", "last_comment")
-
-
-def completion(steps: DataFrame) -> DataFrame:
-    """COMPLETED when all steps of a workflow are approved, else IN_PROGRESS."""
-    folded = steps.groupBy("workflow_id").agg(F.bool_and(is_approved()).alias("all"))
-    return folded.select("workflow_id", F.when(F.col("all"), "COMPLETED").otherwise("IN_PROGRESS").alias("status"))
-
-
 def dependency_checks(requests: DataFrame, steps: DataFrame, existing: DataFrame) -> DataFrame:
     """Each requested edge with its outcome: self, missing, other workflow, cycle of two, known, or created.  Longer cycles are let through."""
     s = steps.select("id", "workflow_id")
@@ -184,24 +166,6 @@ def replaced_workflows(existing: DataFrame, incoming: DataFrame, signatures: Dat
     return kept, signatures.join(kept.select(F.col("id").alias("workflow_id")), "workflow_id", "left_semi")
 
 
-def key_lifecycle(events: DataFrame) -> DataFrame:
-    """(id, company_id, chain, key_version, status): the keys that CREATE, ROTATE and REVOKE events, by id, leave behind.
-
-    CREATE begins a chain with version 1.  ROTATE retires a chain's key and
-    makes the next version, and is refused once the chain is revoked.  Events before any key do nothing.
-    """
-    by_id = Window.partitionBy("company_id").orderBy("id")
-    chained = events.withColumn("chain", F.sum((F.col("action") == "CREATE").cast("int")).over(by_id)).where("chain > 0")
-    so_far = Window.partitionBy("company_id", "chain").orderBy("id")
-    revoked = F.coalesce(F.sum((F.col("action") == "REVOKE").cast("int")).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
-    marked = chained.withColumn("dead", revoked).withColumn("makes", (F.col("action") == "CREATE") | (F.col("action") == "ROTATE") & ~F.col("dead"))
-    whole = Window.partitionBy("company_id", "chain")
-    version = F.sum(F.col("makes").cast("int")).over(so_far)
-    keys = marked.withColumn("key_version", version).withColumn("last", F.sum(F.col("makes").cast("int")).over(whole)).withColumn("ended", F.bool_or(F.col("action") == "REVOKE").over(whole))
-    status = F.when(F.col("key_version") < F.col("last"), "ROTATED").when(F.col("ended"), "REVOKED").otherwise("ACTIVE")
-    return keys.where("makes").select("id", "company_id", "chain", "key_version", status.alias("status"))
-
-
 def active_keys(keys: DataFrame) -> DataFrame:
     """(company_id, key_id, borrowed): each company's active key of the highest version, else the highest of all."""
     active = keys.where(F.col("status") == "ACTIVE")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum.functions import names as N
-from pactum.operators import analyses, audit, proofs, registry, text_ops, workflows
+from pactum.operators import analyses, approvals, audit, proofs, registrations, registry, signing_keys, text_ops, workflows
 from pactum.plans import text_queries
 from pactum.plans.twins import TWINS
 from pactum.sources import files
@@ -68,7 +68,23 @@ def _step_roles(d: Domain) -> DataFrame:
 
 
 def _proof_upsert(d: Domain) -> DataFrame:
-    return proofs.store_proofs(d["stored_proof"].where("version_id % 3 <> 0"), proofs.hash_proofs(d["proof"].where("version_id % 3 = 0")))
+    return proofs.store_proofs(d["stored_proof"].where("version_id % 3 <> 0"), proofs.hash_proofs(d["document"]).where("version_id % 3 = 0"))
+
+
+def _verification_log(d: Domain) -> DataFrame:
+    """Two batches, the first of them run twice."""
+    found, path = proofs.verify_proofs(d["document"], d["stored_proof"], d["chain_tx"]), files.shared_path(d.spark, "verifications")
+    for batch, odd in (("morning", 1), ("evening", 0), ("morning", 1)):
+        log = proofs.log_verifications(found.where(F.col("version_id") % 2 == odd), path, batch, user_id=odd + 7)
+    return log
+
+
+def _outcomes(d: Domain) -> DataFrame:
+    return approvals.approval_outcomes(d["approval"].withColumnRenamed("status", "action"), d["workflow"], d["step"], d["dependency"])
+
+
+def _staff_outcomes(d: Domain) -> DataFrame:
+    return registrations.staff_registrations(d["staff_request"], d["anchored_staff"], d["company"], d["role"], d["ledger_answer"])
 
 
 def _proof_history(d: Domain) -> DataFrame:
@@ -123,7 +139,9 @@ BOUND: dict[str, Callable[[Domain], DataFrame]] = {
     "next_versions": lambda d: registry.next_versions(d["contract"], d["version"]),
     "previous_versions": lambda d: registry.previous_versions(d["version"]),
     "contract_tree": _contract_tree,
-    "company_registration": lambda d: registry.registrations(d["company_request"], d["company"]),
+    "company_registration": lambda d: registrations.company_registrations(d["company_request"], d["company"], d["ledger_answer"]),
+    "staff_registration": _staff_outcomes,
+    "registered_staff": lambda d: registrations.stored_staff(d["staff_request"], _staff_outcomes(d)),
     "certificate_serials": lambda d: registry.certificate_serials(d["staff"], d["company"]),
     "safe_file_codes": lambda d: d["contract"].select("id", N.safe_file_code(F.col("title")).alias("code")),
     # analyses, findings, reviews and texts of versions
@@ -151,8 +169,10 @@ BOUND: dict[str, Callable[[Domain], DataFrame]] = {
     "reviewable_steps": lambda d: workflows.reviewable_steps(d["step"], d["workflow"]),
     "first_pending_step": lambda d: workflows.first_pending_steps(d["step"]),
     "step_renumber": lambda d: workflows.renumbered(d["step"], 3),
-    "approval_fold": lambda d: workflows.approval_fold(d["approval"]),
-    "workflow_completion": lambda d: workflows.completion(d["step"]),
+    "approval_outcomes": _outcomes,
+    "approval_fold": lambda d: approvals.step_results(_outcomes(d), d["step"]),
+    "approval_workflows": lambda d: approvals.workflow_results(_outcomes(d), d["workflow"]),
+    "workflow_completion": lambda d: approvals.completion(d["step"]),
     "dependency_checks": lambda d: workflows.dependency_checks(d["edge_request"], d["step"], d["dependency"]),
     "step_signers": lambda d: workflows.step_signers(d["approval"], d["staff"], d["role"]),
     "anchor_steps": lambda d: workflows.anchor_steps(d["step"]),
@@ -161,14 +181,17 @@ BOUND: dict[str, Callable[[Domain], DataFrame]] = {
     "latest_workflow": lambda d: workflows.latest_workflows(d["workflow_run"]),
     "workflow_replace": lambda d: _replaced(d)[0],
     "workflow_replace_signatures": lambda d: _replaced(d)[1].select("id", "workflow_id"),
-    "key_lifecycle": lambda d: workflows.key_lifecycle(d["key_event"]),
+    "key_lifecycle": lambda d: signing_keys.key_lifecycle(d["key_event"]),
+    "key_outcomes": lambda d: signing_keys.key_outcomes(d["key_event"]),
     "active_keys": lambda d: workflows.active_keys(d["signing_key"]),
     "required_fields": lambda d: workflows.key_requests(d["key_request"]),
     # proofs, ledger and certificates
-    "hash_proofs": lambda d: proofs.hash_proofs(d["proof"]),
-    "verify_proofs": lambda d: proofs.verify_proofs(d["proof"], d["stored_proof"], d["chain_tx"]),
+    "hash_proofs": lambda d: proofs.hash_proofs(d["document"]),
+    "verify_proofs": lambda d: proofs.verify_proofs(d["document"], d["stored_proof"], d["chain_tx"]),
+    "verification_log": _verification_log,
     "proof_upsert": _proof_upsert,
-    "anchor_proofs": lambda d: proofs.anchor(d["stored_proof"], d["chain_tx"]),
+    "anchor_proofs": lambda d: proofs.anchor(d["stored_proof"], d["chain_tx"], d["ledger_answer"])[0],
+    "anchor_audits": lambda d: proofs.anchor(d["stored_proof"], d["chain_tx"], d["ledger_answer"])[1],
     "latest_proof": lambda d: proofs.latest_proof(d["stored_proof"]).select("version_id", "document_hash"),
     "newest_proofs": lambda d: proofs.newest_proofs(d["stored_proof"]),
     "chain_stats": lambda d: proofs.chain_stats(d["chain_tx"], d["stored_proof"], d["certificate"], d["sign_request"]),

@@ -80,11 +80,10 @@ TWINS = {
     """,
     "hash_proofs": r"""
         SELECT version_id, document_hash, file_size, previous_hash, sha2(concat(document_hash, coalesce(previous_hash, '')), 256) AS merkle_root FROM (
-        SELECT version_id, sha2(coalesce(nullif(content, ''), concat_ws('-', contract_code, version_id, '')), 256) AS document_hash,
-        CASE WHEN coalesce(content, '') <> '' THEN strlen(content) ELSE length(concat_ws('-', contract_code, version_id, '')) END AS
-            file_size,
-        CASE WHEN previous_content IS NOT NULL THEN sha2(coalesce(nullif(previous_content, ''), concat_ws('-', previous_code, version_id - 1, '')), 256) END
-            AS previous_hash FROM {proof}) h
+            SELECT version_id, sha2(CASE WHEN content <> '' THEN content ELSE contract_code || '-' || version_number || '-' || coalesce(change_summary, '') END, 256) AS document_hash,
+                CASE WHEN content <> '' THEN strlen(content) ELSE length(contract_code || '-' || version_number || '-' || coalesce(change_summary, '')) END AS file_size,
+                CASE WHEN previous_version_id IS NOT NULL THEN sha2(CASE WHEN previous_content <> '' THEN previous_content
+                    ELSE previous_code || '-' || previous_number || '-' || coalesce(previous_change, '') END, 256) END AS previous_hash FROM {proof}) h
     """,
     "ledger_stats": r"""
         SELECT count(*) AS transactions, count(DISTINCT record_key) AS records, count(CASE WHEN is_delete THEN 1 END) AS deletions, coalesce(max(tx_id), 0)
@@ -141,11 +140,72 @@ TWINS = {
             1 ELSE step_order END AS after_delete,
         row_number() OVER (PARTITION BY workflow_id ORDER BY step_order) AS reindexed FROM {step}
     """,
+    "approval_outcomes": r"""
+        WITH RECURSIVE e AS (
+            SELECT a.*, row_number() OVER (PARTITION BY a.workflow_id ORDER BY a.id) AS k, s.id IS NOT NULL AS there,
+                coalesce((SELECT list(d.prerequisite_id) FROM {dependency} d WHERE d.dependent_id = a.step_id), []) AS needs FROM {approval} a
+                LEFT JOIN {step} s ON s.id = a.step_id AND s.workflow_id = a.workflow_id),
+        own AS (
+            SELECT w.id AS workflow_id, any_value(w.status) AS status, count(s.id) AS n, coalesce(list(s.id) FILTER (s.status = 'APPROVED'), []) AS done, coalesce(list(s.id) FILTER (s.status = 'REJECTED'), []) AS bad
+            FROM {workflow} w LEFT JOIN {step} s ON s.workflow_id = w.id GROUP BY w.id),
+        walk AS (
+            SELECT workflow_id, CAST(0 AS BIGINT) AS k, status, done, bad, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS step_id, CAST(NULL AS BIGINT) AS user_id,
+                CAST(NULL AS VARCHAR) AS comment, CAST(NULL AS VARCHAR) AS outcome, n FROM own
+            UNION ALL SELECT workflow_id, k, CASE o WHEN 'rejected' THEN 'REJECTED' WHEN 'completed' THEN CASE WHEN len(done2) = n THEN 'COMPLETED' ELSE 'IN_PROGRESS' END ELSE status END,
+                done2, CASE o WHEN 'rejected' THEN list_distinct(list_append(bad, step_id)) WHEN 'completed' THEN list_filter(bad, lambda x: x <> step_id) ELSE bad END,
+                id, step_id, user_id, CASE WHEN o = 'completed' AND coalesce(comment, '') = '' THEN 'Accepted & Completed by Manager' ELSE comment END, o, n
+            FROM (SELECT *, CASE o WHEN 'completed' THEN list_distinct(list_append(done, step_id)) WHEN 'rejected' THEN list_filter(done, lambda x: x <> step_id) ELSE done END AS done2
+                FROM (SELECT w.workflow_id, e.k, w.status, w.done, w.bad, w.n, e.id, e.step_id, e.user_id, e.comment,
+                        CASE WHEN NOT e.there THEN 'missing' WHEN e.status NOT IN ('APPROVED', 'REJECTED', 'FORCE_COMPLETE') THEN 'invalid' WHEN e.status = 'REJECTED' THEN 'rejected'
+                             WHEN NOT list_has_all(w.done, e.needs) THEN 'blocked' WHEN e.status = 'APPROVED' THEN 'signed' ELSE 'completed' END AS o
+                    FROM walk w JOIN e ON e.workflow_id = w.workflow_id AND e.k = w.k + 1) x) y)
+        SELECT id, workflow_id, step_id, user_id, comment, outcome, CASE WHEN outcome <> 'missing' THEN CASE WHEN list_contains(done, step_id) THEN 'APPROVED'
+            WHEN list_contains(bad, step_id) THEN 'REJECTED' ELSE 'PENDING' END END AS step_status, status AS workflow_status FROM walk WHERE k > 0
+    """,
     "approval_fold": r"""
-        SELECT step_id, CASE WHEN count(CASE WHEN status = 'REJECTED' THEN 1 END) > 0 THEN 'REJECTED' WHEN count(CASE WHEN status = 'FORCE_COMPLETE' THEN 1
-            END) > 0 THEN 'APPROVED' ELSE 'PENDING' END AS step_status,
-        count(*) AS approvals, max(CASE WHEN rn = 1 THEN comment END) AS last_comment FROM (SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY id
-            DESC) AS rn FROM {approval}) a GROUP BY step_id
+        WITH RECURSIVE e AS (
+            SELECT a.*, row_number() OVER (PARTITION BY a.workflow_id ORDER BY a.id) AS k, s.id IS NOT NULL AS there,
+                coalesce((SELECT list(d.prerequisite_id) FROM {dependency} d WHERE d.dependent_id = a.step_id), []) AS needs FROM {approval} a
+                LEFT JOIN {step} s ON s.id = a.step_id AND s.workflow_id = a.workflow_id),
+        own AS (
+            SELECT w.id AS workflow_id, any_value(w.status) AS status, count(s.id) AS n, coalesce(list(s.id) FILTER (s.status = 'APPROVED'), []) AS done, coalesce(list(s.id) FILTER (s.status = 'REJECTED'), []) AS bad
+            FROM {workflow} w LEFT JOIN {step} s ON s.workflow_id = w.id GROUP BY w.id),
+        walk AS (
+            SELECT workflow_id, CAST(0 AS BIGINT) AS k, status, done, bad, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS step_id, CAST(NULL AS BIGINT) AS user_id,
+                CAST(NULL AS VARCHAR) AS comment, CAST(NULL AS VARCHAR) AS outcome, n FROM own
+            UNION ALL SELECT workflow_id, k, CASE o WHEN 'rejected' THEN 'REJECTED' WHEN 'completed' THEN CASE WHEN len(done2) = n THEN 'COMPLETED' ELSE 'IN_PROGRESS' END ELSE status END,
+                done2, CASE o WHEN 'rejected' THEN list_distinct(list_append(bad, step_id)) WHEN 'completed' THEN list_filter(bad, lambda x: x <> step_id) ELSE bad END,
+                id, step_id, user_id, CASE WHEN o = 'completed' AND coalesce(comment, '') = '' THEN 'Accepted & Completed by Manager' ELSE comment END, o, n
+            FROM (SELECT *, CASE o WHEN 'completed' THEN list_distinct(list_append(done, step_id)) WHEN 'rejected' THEN list_filter(done, lambda x: x <> step_id) ELSE done END AS done2
+                FROM (SELECT w.workflow_id, e.k, w.status, w.done, w.bad, w.n, e.id, e.step_id, e.user_id, e.comment,
+                        CASE WHEN NOT e.there THEN 'missing' WHEN e.status NOT IN ('APPROVED', 'REJECTED', 'FORCE_COMPLETE') THEN 'invalid' WHEN e.status = 'REJECTED' THEN 'rejected'
+                             WHEN NOT list_has_all(w.done, e.needs) THEN 'blocked' WHEN e.status = 'APPROVED' THEN 'signed' ELSE 'completed' END AS o
+                    FROM walk w JOIN e ON e.workflow_id = w.workflow_id AND e.k = w.k + 1) x) y),
+        ends AS (SELECT DISTINCT ON (workflow_id) workflow_id, done, bad FROM walk ORDER BY workflow_id, k DESC),
+        kept AS (SELECT step_id, count(*) AS n, arg_max(coalesce(comment, ''), id) AS c FROM walk WHERE outcome IN ('signed', 'completed', 'rejected') GROUP BY step_id)
+        SELECT s.id AS step_id, CASE WHEN list_contains(done, s.id) THEN 'APPROVED' WHEN list_contains(bad, s.id) THEN 'REJECTED' ELSE 'PENDING' END AS step_status,
+            coalesce(n, 0) AS approvals, c AS last_comment FROM {step} s LEFT JOIN ends USING (workflow_id) LEFT JOIN kept ON kept.step_id = s.id
+    """,
+    "approval_workflows": r"""
+        WITH RECURSIVE e AS (
+            SELECT a.*, row_number() OVER (PARTITION BY a.workflow_id ORDER BY a.id) AS k, s.id IS NOT NULL AS there,
+                coalesce((SELECT list(d.prerequisite_id) FROM {dependency} d WHERE d.dependent_id = a.step_id), []) AS needs FROM {approval} a
+                LEFT JOIN {step} s ON s.id = a.step_id AND s.workflow_id = a.workflow_id),
+        own AS (
+            SELECT w.id AS workflow_id, any_value(w.status) AS status, count(s.id) AS n, coalesce(list(s.id) FILTER (s.status = 'APPROVED'), []) AS done, coalesce(list(s.id) FILTER (s.status = 'REJECTED'), []) AS bad
+            FROM {workflow} w LEFT JOIN {step} s ON s.workflow_id = w.id GROUP BY w.id),
+        walk AS (
+            SELECT workflow_id, CAST(0 AS BIGINT) AS k, status, done, bad, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS step_id, CAST(NULL AS BIGINT) AS user_id,
+                CAST(NULL AS VARCHAR) AS comment, CAST(NULL AS VARCHAR) AS outcome, n FROM own
+            UNION ALL SELECT workflow_id, k, CASE o WHEN 'rejected' THEN 'REJECTED' WHEN 'completed' THEN CASE WHEN len(done2) = n THEN 'COMPLETED' ELSE 'IN_PROGRESS' END ELSE status END,
+                done2, CASE o WHEN 'rejected' THEN list_distinct(list_append(bad, step_id)) WHEN 'completed' THEN list_filter(bad, lambda x: x <> step_id) ELSE bad END,
+                id, step_id, user_id, CASE WHEN o = 'completed' AND coalesce(comment, '') = '' THEN 'Accepted & Completed by Manager' ELSE comment END, o, n
+            FROM (SELECT *, CASE o WHEN 'completed' THEN list_distinct(list_append(done, step_id)) WHEN 'rejected' THEN list_filter(done, lambda x: x <> step_id) ELSE done END AS done2
+                FROM (SELECT w.workflow_id, e.k, w.status, w.done, w.bad, w.n, e.id, e.step_id, e.user_id, e.comment,
+                        CASE WHEN NOT e.there THEN 'missing' WHEN e.status NOT IN ('APPROVED', 'REJECTED', 'FORCE_COMPLETE') THEN 'invalid' WHEN e.status = 'REJECTED' THEN 'rejected'
+                             WHEN NOT list_has_all(w.done, e.needs) THEN 'blocked' WHEN e.status = 'APPROVED' THEN 'signed' ELSE 'completed' END AS o
+                    FROM walk w JOIN e ON e.workflow_id = w.workflow_id AND e.k = w.k + 1) x) y)
+        SELECT workflow_id, arg_max(status, k) AS status, count(*) FILTER (outcome = 'blocked') AS refused FROM walk GROUP BY workflow_id
     """,
     "workflow_completion": r"""
         SELECT workflow_id, CASE WHEN count(*) = count(CASE WHEN status = 'APPROVED' THEN 1 END) THEN 'COMPLETED' ELSE 'IN_PROGRESS' END AS status FROM
@@ -214,11 +274,32 @@ TWINS = {
         GROUP BY c.id, c.contract_code
     """,
     "company_registration": r"""
-        WITH whole AS (SELECT * FROM {company_request} WHERE company_name <> '' AND tax_code <> '')
-        SELECT id, CASE WHEN coalesce(company_name, '') = '' OR coalesce(tax_code, '') = '' THEN 'missing'
-            WHEN tax_code IN (SELECT tax_code FROM {company} WHERE tax_code <> '') OR company_name IN (SELECT company_name FROM {company} WHERE company_name <> '')
-                OR id > (SELECT min(w.id) FROM whole w WHERE w.tax_code = r.tax_code) OR id > (SELECT min(w.id) FROM whole w WHERE w.company_name = r.company_name) THEN 'duplicate'
-            ELSE 'registered' END AS outcome FROM {company_request} r
+        WITH RECURSIVE whole AS (SELECT id, company_name, tax_code FROM {company_request} WHERE company_name <> '' AND tax_code <> ''
+            AND tax_code NOT IN (SELECT tax_code FROM {company} WHERE tax_code <> '') AND company_name NOT IN (SELECT company_name FROM {company} WHERE company_name <> '')),
+        rounds AS (
+            SELECT id, company_name, tax_code, 'open' AS state FROM whole
+            UNION ALL SELECT id, company_name, tax_code, CASE WHEN won THEN 'kept' WHEN bool_or(won) OVER (PARTITION BY company_name) OR bool_or(won) OVER (PARTITION BY tax_code) THEN 'lost' ELSE 'open' END
+            FROM (SELECT *, id = min(id) OVER (PARTITION BY company_name) AND id = min(id) OVER (PARTITION BY tax_code) AS won FROM rounds WHERE state = 'open') r),
+        kept AS (SELECT id FROM rounds WHERE state = 'kept'),
+        told AS (SELECT q.id, CASE WHEN coalesce(company_name, '') = '' OR coalesce(tax_code, '') = '' THEN 'missing' WHEN q.id NOT IN (SELECT id FROM kept) THEN 'duplicate'
+                WHEN a.tx_id IS NULL THEN 'error' ELSE 'registered' END AS outcome, a.tx_id, a.block_number
+            FROM {company_request} q LEFT JOIN {ledger_answer} a ON a.request_id = q.id AND a.ok)
+        SELECT id, outcome, CASE outcome WHEN 'registered' THEN 'ACTIVE' WHEN 'error' THEN 'ERROR' END AS status, CASE WHEN outcome = 'registered' THEN tx_id END AS tx_id,
+            CASE WHEN outcome = 'registered' THEN block_number END AS block_number FROM told
+    """,
+    "staff_registration": r"""
+        WITH r AS (SELECT q.*, q.email IS NOT NULL AND q.user_name <> '' AS whole, q.company_id IN (SELECT id FROM {company}) AND q.role_id IN (SELECT id FROM {role}) AS known,
+                q.id IN (SELECT request_id FROM {ledger_answer} WHERE ok) AS ok,
+                q.user_name IN (SELECT user_name FROM {anchored_staff} WHERE status = 'ACTIVE' AND block_number IS NOT NULL) AS stored FROM {staff_request} q),
+        so_far AS (SELECT *, count(*) FILTER (whole AND known AND ok) OVER (PARTITION BY user_name ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good FROM r)
+        SELECT id, user_name, CASE WHEN NOT whole THEN 'missing' WHEN NOT known THEN 'unknown' WHEN stored OR good > 0 THEN 'duplicate' WHEN ok THEN 'registered' ELSE 'error' END AS outcome FROM so_far
+    """,
+    "registered_staff": r"""
+        WITH r AS (SELECT q.*, q.id IN (SELECT request_id FROM {ledger_answer} WHERE ok) AS ok FROM {staff_request} q
+            WHERE email IS NOT NULL AND q.company_id IN (SELECT id FROM {company}) AND q.role_id IN (SELECT id FROM {role})
+                AND q.user_name NOT IN (SELECT user_name FROM {anchored_staff} WHERE status = 'ACTIVE' AND block_number IS NOT NULL)),
+        so_far AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY user_name ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good FROM r)
+        SELECT DISTINCT ON (user_name) user_name, email, company_id, role_id, CASE WHEN ok THEN 'ACTIVE' ELSE 'ERROR' END AS status FROM so_far WHERE good = 0 ORDER BY user_name, id DESC
     """,
     "certificate_serials": r"""
         SELECT s.id, 'CERT-' || left(replace(regexp_replace(upper(c.company_name), '[^A-Z0-9 ]', '', 'g'), ' ', '-'), 8) || '-' || printf('%04d', s.id) || '-'
@@ -341,17 +422,20 @@ TWINS = {
     """,
     "workflow_replace_signatures": "SELECT a.id, a.workflow_id FROM (SELECT id, step_id AS workflow_id FROM {approval}) a WHERE a.workflow_id IN (SELECT id FROM {workflow_run} WHERE version_id % 5 <> 2)",
     "key_lifecycle": r"""
-        WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY id) AS k FROM {key_event}),
-        walk AS (SELECT id, company_id, k, CASE WHEN action = 'CREATE' THEN 1 ELSE 0 END AS chain, CASE WHEN action = 'CREATE' THEN 1 ELSE 0 END AS version,
-            FALSE AS dead, action = 'CREATE' AS makes FROM e WHERE k = 1
-            UNION ALL SELECT e.id, e.company_id, e.k, w.chain + CASE WHEN e.action = 'CREATE' THEN 1 ELSE 0 END,
-                CASE WHEN e.action = 'CREATE' THEN 1 WHEN e.action = 'ROTATE' AND w.chain > 0 AND NOT w.dead THEN w.version + 1 ELSE w.version END,
-                CASE WHEN e.action = 'CREATE' THEN FALSE WHEN e.action = 'REVOKE' THEN w.chain > 0 ELSE w.dead END, e.action = 'CREATE' OR e.action = 'ROTATE'
-                    AND w.chain > 0 AND NOT w.dead
-            FROM walk w JOIN e ON e.company_id = w.company_id AND e.k = w.k + 1),
-        ends AS (SELECT company_id, chain, max(version) AS last, bool_or(dead) AS dead FROM walk GROUP BY company_id, chain)
-        SELECT w.id, w.company_id, w.chain, w.version AS key_version, CASE WHEN w.version < n.last THEN 'ROTATED' WHEN n.dead THEN 'REVOKED' ELSE 'ACTIVE' END AS status
-        FROM walk w JOIN ends n ON n.company_id = w.company_id AND n.chain = w.chain WHERE w.makes
+        WITH RECURSIVE keys AS (
+            SELECT id, company_id, CAST(NULL AS BIGINT) AS previous_id, CAST(1 AS BIGINT) AS key_version FROM {key_event} WHERE action = 'CREATE'
+            UNION ALL SELECT e.id, k.company_id, k.id, k.key_version + 1 FROM keys k JOIN {key_event} e ON e.key_id = k.id AND e.action = 'ROTATE' AND e.id > k.id
+                AND NOT EXISTS (SELECT 1 FROM {key_event} r WHERE r.action = 'REVOKE' AND r.key_id = k.id AND r.id > k.id AND r.id < e.id))
+        SELECT id, company_id, previous_id, key_version, CASE WHEN id IN (SELECT key_id FROM {key_event} WHERE action = 'REVOKE' AND key_id < id) THEN 'REVOKED'
+            WHEN id IN (SELECT previous_id FROM keys WHERE previous_id IS NOT NULL) THEN 'ROTATED' ELSE 'ACTIVE' END AS status FROM keys
+    """,
+    "key_outcomes": r"""
+        WITH RECURSIVE keys AS (
+            SELECT id FROM {key_event} WHERE action = 'CREATE'
+            UNION ALL SELECT e.id FROM keys k JOIN {key_event} e ON e.key_id = k.id AND e.action = 'ROTATE' AND e.id > k.id
+                AND NOT EXISTS (SELECT 1 FROM {key_event} r WHERE r.action = 'REVOKE' AND r.key_id = k.id AND r.id > k.id AND r.id < e.id))
+        SELECT id, CASE WHEN action = 'CREATE' THEN 'created' WHEN key_id IS NULL OR key_id >= id OR key_id NOT IN (SELECT id FROM keys) THEN 'missing' WHEN action = 'REVOKE' THEN 'revoked'
+            WHEN id IN (SELECT id FROM keys) THEN 'rotated' ELSE 'refused' END AS outcome FROM {key_event}
     """,
     "required_fields": r"""
         SELECT id, CASE WHEN m = '' THEN '' ELSE 'Missing: ' || m END AS error FROM (SELECT id, concat_ws(', ', CASE WHEN company_id IS NULL THEN 'company_id'
@@ -359,29 +443,43 @@ TWINS = {
             CASE WHEN key_reference IS NULL THEN 'key_reference' END) AS m FROM {key_request}) x
     """,
     "verify_proofs": r"""
-        WITH now AS (SELECT *, sha256(CASE WHEN coalesce(content, '') <> '' THEN content ELSE contract_code || '-' || version_id || '-' END) AS h FROM {proof}),
-        told AS (SELECT n.version_id, CASE WHEN s.version_id IS NULL THEN 1 WHEN s.document_hash <> n.h THEN 2
-            WHEN n.previous_content IS NOT NULL AND b.version_id IS NOT NULL AND s.previous_hash IS DISTINCT FROM b.document_hash THEN 3
+        WITH now AS (SELECT *, sha256(CASE WHEN content <> '' THEN content ELSE contract_code || '-' || version_number || '-' || coalesce(change_summary, '') END) AS h FROM {proof}),
+        told AS (SELECT n.version_id, s.document_hash AS proof_hash, CASE WHEN s.version_id IS NOT NULL THEN h END AS current_hash, CASE WHEN s.version_id IS NULL THEN 1 WHEN s.document_hash <> n.h THEN 2
+            WHEN b.version_id IS NOT NULL AND s.previous_hash IS DISTINCT FROM b.document_hash THEN 3
             WHEN n.version_id IN (SELECT version_id FROM {chain_tx} WHERE status = 'CONFIRMED') THEN 4 ELSE 5 END AS k
-            FROM now n LEFT JOIN {stored_proof} s ON s.version_id = n.version_id LEFT JOIN {stored_proof} b ON b.version_id = n.version_id - 1)
+            FROM now n LEFT JOIN {stored_proof} s ON s.version_id = n.version_id LEFT JOIN {stored_proof} b ON b.version_id = n.previous_version_id)
         SELECT version_id, k >= 4 AS verified, ['No hash proof generated for this version.', 'Integrity check failed: document hash mismatch.',
             'Version chain integrity check failed: previous hash mismatch.',
-            'Integrity successfully verified with blockchain anchors.', 'Integrity verified locally, but not anchored to the blockchain.'][k] AS message, k = 4
-                AS anchored FROM told
+            'Integrity successfully verified with blockchain anchors.', 'Integrity verified locally, but not anchored to the blockchain.'][k] AS message,
+            proof_hash, current_hash, k = 4 AS anchored FROM told
+    """,
+    "verification_log": r"""
+        WITH now AS (SELECT *, sha256(CASE WHEN content <> '' THEN content ELSE contract_code || '-' || version_number || '-' || coalesce(change_summary, '') END) AS h FROM {proof}),
+        told AS (SELECT n.version_id, CASE WHEN s.version_id IS NULL THEN 1 WHEN s.document_hash <> n.h THEN 2
+            WHEN b.version_id IS NOT NULL AND s.previous_hash IS DISTINCT FROM b.document_hash THEN 3
+            WHEN n.version_id IN (SELECT version_id FROM {chain_tx} WHERE status = 'CONFIRMED') THEN 4 ELSE 5 END AS k
+            FROM now n LEFT JOIN {stored_proof} s ON s.version_id = n.version_id LEFT JOIN {stored_proof} b ON b.version_id = n.previous_version_id)
+        SELECT version_id, k >= 4 AS verify_result, ['No hash proof generated for this version.', 'Integrity check failed: document hash mismatch.',
+            'Version chain integrity check failed: previous hash mismatch.',
+            'Integrity successfully verified with blockchain anchors.', 'Integrity verified locally, but not anchored to the blockchain.'][k] AS reason,
+            CAST(version_id % 2 + 7 AS BIGINT) AS user_id, CASE version_id % 2 WHEN 1 THEN 'morning' ELSE 'evening' END AS batch_id FROM told
     """,
     "proof_upsert": r"""
-        SELECT version_id, sha256(CASE WHEN coalesce(content, '') <> '' THEN content ELSE contract_code || '-' || version_id || '-' END) AS document_hash,
-            CASE WHEN previous_content IS NOT NULL THEN sha256(CASE WHEN previous_content <> '' THEN previous_content ELSE previous_code || '-' || (version_id
-                - 1) || '-' END) END AS previous_hash
+        SELECT version_id, sha256(CASE WHEN content <> '' THEN content ELSE contract_code || '-' || version_number || '-' || coalesce(change_summary, '') END) AS document_hash,
+            CASE WHEN previous_version_id IS NOT NULL THEN sha256(CASE WHEN previous_content <> '' THEN previous_content
+                ELSE previous_code || '-' || previous_number || '-' || coalesce(previous_change, '') END) END AS previous_hash
         FROM {proof} WHERE version_id % 3 = 0
         UNION ALL SELECT version_id, document_hash, previous_hash FROM {stored_proof} WHERE version_id % 3 <> 0
     """,
     "anchor_proofs": r"""
-        SELECT version_id, '0x' || left(sha256('tx:' || version_id || ':' || document_hash), 48) AS tx_hash, '0x' || left(sha256('block:' || version_id || ':'
-            || document_hash), 32) AS block_hash,
-            15000000 + version_id % 7000000 AS block_number, 'CONFIRMED' AS status, 'INVOKE' AS tx_type, 'System' AS sender, 'Anchor Proof' AS action,
-                'HashProof:' || version_id AS resource, 'VERIFIED' AS after_state
-        FROM {stored_proof} WHERE version_id NOT IN (SELECT version_id FROM {chain_tx} WHERE status = 'CONFIRMED')
+        SELECT DISTINCT ON (p.version_id) p.version_id, a.tx_id, a.block_number, a.block_hash, 'CONFIRMED' AS status, 'INVOKE' AS tx_type, 'System' AS sender
+        FROM {stored_proof} p JOIN {ledger_answer} a ON a.version_id = p.version_id AND a.ok
+        WHERE p.version_id NOT IN (SELECT version_id FROM {chain_tx} WHERE status = 'CONFIRMED') ORDER BY p.version_id, a.tx_id
+    """,
+    "anchor_audits": r"""
+        SELECT min(a.tx_id) AS tx_id, 'Anchor Proof' AS action, 'HashProof:' || p.version_id AS resource, 'VERIFIED' AS after_state
+        FROM {stored_proof} p JOIN {ledger_answer} a ON a.version_id = p.version_id WHERE a.ok AND NOT EXISTS
+            (SELECT 1 FROM {chain_tx} t WHERE t.version_id = p.version_id AND t.status = 'CONFIRMED') GROUP BY p.version_id
     """,
     "latest_proof": "SELECT version_id, document_hash FROM {stored_proof} ORDER BY generated_at DESC, version_id DESC LIMIT 1",
     "newest_proofs": "SELECT version_id, document_hash, verified FROM {stored_proof} ORDER BY generated_at DESC, version_id DESC LIMIT 10",

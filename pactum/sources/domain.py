@@ -39,12 +39,20 @@ DOMAIN = {
         CASE max(l_returnflag) WHEN 'A' THEN 'APPROVED' WHEN 'R' THEN 'REJECTED' ELSE 'PENDING' END AS status FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "workflow": "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'IN_PROGRESS' WHEN 'P' THEN 'PENDING' ELSE 'COMPLETED' END AS status, o_orderpriority AS workflow_type FROM {orders}",
     "dependency": "SELECT a.id AS prerequisite_id, b.id AS dependent_id, a.workflow_id FROM {step} a JOIN {step} b ON a.workflow_id = b.workflow_id AND b.step_order = a.step_order + 1",
-    "approval": """SELECT event_id AS id, user_id % 500 AS step_id, user_id, CASE event_type WHEN 'purchase' THEN 'FORCE_COMPLETE' WHEN 'error' THEN 'REJECTED' ELSE 'APPROVED' END AS status,
-        event_type AS comment, ts AS approved_at FROM {events}""",
+    # events of a workflow's steps in order of id; some name a step that isn't there, or ask for nothing known
+    "approval": """SELECT event_id AS id, user_id % 300 + 1 AS workflow_id, (user_id % 300 + 1) * 8 + event_id % 6 + 1 AS step_id, user_id,
+        CASE event_type WHEN 'purchase' THEN 'FORCE_COMPLETE' WHEN 'click' THEN 'FORCE_COMPLETE' WHEN 'error' THEN 'REJECTED' WHEN 'signup' THEN 'LATER' ELSE 'APPROVED' END AS status,
+        CASE WHEN event_id % 4 <> 0 THEN event_type ELSE '' END AS comment, ts AS approved_at FROM {events}""",
     "signing_key": """SELECT event_id AS id, user_id % 40 AS company_id, CAST(event_id % 9 AS INT) AS key_version,
         CASE event_id % 3 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'ROTATED' ELSE 'REVOKED' END AS status FROM {events} WHERE user_id % 40 <> 7 OR event_id % 3 <> 0""",
-    "document": "SELECT doc_id AS version_id, source AS contract_code, CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS content FROM {documents}",
-    "proof": """SELECT d.version_id, d.contract_code, d.content, p.content AS previous_content, p.contract_code AS previous_code FROM {document} d LEFT JOIN {document} p ON p.version_id = d.version_id - 1""",
+    # a contract's versions lie apart, contracts' ids interleave, and some numbers are left out
+    "document": """SELECT version_id, contract_id, version_number + CASE WHEN version_number > 2 AND contract_id % 3 = 0 THEN 1 ELSE 0 END AS version_number,
+        concat('CON-', contract_id) AS contract_code, CASE WHEN version_id % 4 <> 1 THEN concat('change ', version_id % 9) END AS change_summary, content
+        FROM (SELECT doc_id * 7 + 3 AS version_id, CAST(floor(doc_id / 8) AS BIGINT) * 2 + doc_id % 2 AS contract_id, CAST(floor(doc_id % 8 / 2) AS BIGINT) + 1 AS version_number,
+            CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 <> 1 THEN text END AS content FROM {documents}) d""",
+    # each version's content and code, and those of its contract's version before
+    "proof": """SELECT d.*, p.version_id AS previous_version_id, p.content AS previous_content, p.contract_code AS previous_code, p.version_number AS previous_number,
+        p.change_summary AS previous_change FROM {document} d LEFT JOIN {document} p ON p.contract_id = d.contract_id AND p.version_number = d.version_number - 1""",
     "law": """SELECT item_id AS law_id, concat('Law ', item_id % 5) AS law_name, concat('Article ', item_id) AS article_number, substring(text, 1, 24) AS article_title, text AS content,
         CASE item_id % 3 WHEN 0 THEN 'phạt vi phạm, penalty' WHEN 1 THEN 'thử việc' END AS tags FROM {benchmark}""",
     "clause": """SELECT conv_id * 1000 + turn AS id, conv_id AS version_id, CASE WHEN turn % 5 = 4 THEN '' ELSE concat(' Clause ', turn % 3, ' ') END AS title,
@@ -100,22 +108,35 @@ DOMAIN = {
         UNION ALL SELECT id, id, workflow_id FROM {step} WHERE id % 11 = 2
         UNION ALL SELECT id, id + 16, workflow_id FROM {step} WHERE id % 13 = 3
         UNION ALL SELECT a.id, b.id, a.workflow_id FROM {step} a JOIN {step} b ON a.workflow_id = b.workflow_id AND b.step_order = a.step_order + 2""",
-    "key_event": """SELECT event_id AS id, user_id % 40 AS company_id, CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'error' THEN 'REVOKE' ELSE 'ROTATE' END AS action FROM {events}""",
+    # rotations and revocations name a key by the event that made it; some name none, or one still to come
+    "key_event": """SELECT event_id AS id, CASE WHEN event_type = 'signup' THEN user_id % 40 END AS company_id,
+        CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'error' THEN 'REVOKE' ELSE 'ROTATE' END AS action,
+        CASE WHEN event_type <> 'signup' THEN event_id - 1 - user_id % 23 + CASE WHEN event_id % 31 = 0 THEN 40 ELSE 0 END END AS key_id FROM {events}""",
     "key_request": """SELECT event_id AS id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS company_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('key ', event_id) END AS key_alias,
         'local' AS key_provider, CASE WHEN event_id % 10 <> 7 THEN event_type END AS key_reference, 'RSA' AS algorithm FROM {events}""",
     "certificate": """SELECT event_id AS id, user_id, CASE WHEN event_id % 6 = 5 THEN 'SUSPENDED' ELSE 'ACTIVE' END AS status, event_id % 7 = 3 AS revoked, ts AS valid_from,
         CAST(event_id % 9 AS INT) AS valid_days FROM {events}""",
     "sign_request": "SELECT event_id AS id, CASE WHEN event_id % 8 = 1 THEN event_id + 100000000 ELSE event_id END AS certificate_id, CASE WHEN event_id % 5 = 2 THEN user_id + 1 ELSE user_id END AS user_id FROM {events}",
     # proofs as stored: some never made, some of an older content, some chained to a hash that isn't their predecessor's
-    "stored_proof": """SELECT version_id, sha2(concat(coalesce(nullif(content, ''), concat_ws('-', contract_code, version_id, '')), CASE WHEN version_id % 5 = 2 THEN '!' ELSE '' END), 256) AS document_hash,
-        CASE WHEN previous_content IS NOT NULL AND version_id % 13 <> 4 THEN sha2(concat(coalesce(nullif(previous_content, ''), concat_ws('-', previous_code, version_id - 1, '')),
-            CASE WHEN (version_id - 1) % 5 = 2 THEN '!' ELSE '' END, CASE WHEN version_id % 7 = 3 THEN '?' ELSE '' END), 256) END AS previous_hash,
+    "stored_proof": """SELECT version_id, sha2(concat(coalesce(nullif(content, ''), concat_ws('-', contract_code, version_number, coalesce(change_summary, ''))),
+            CASE WHEN version_id % 5 = 2 THEN '!' ELSE '' END), 256) AS document_hash,
+        CASE WHEN previous_version_id IS NOT NULL AND version_id % 13 <> 4 THEN sha2(concat(coalesce(nullif(previous_content, ''), concat_ws('-', previous_code, previous_number,
+            coalesce(previous_change, ''))), CASE WHEN previous_version_id % 5 = 2 THEN '!' ELSE '' END, CASE WHEN version_id % 7 = 3 AND version_id % 3 = 0 THEN '?' ELSE '' END), 256) END AS previous_hash,
         version_id % 4 = 1 AS verified, version_id % 250 AS generated_at FROM {proof} WHERE version_id % 17 <> 0""",
-    "chain_tx": """SELECT event_id AS id, event_id % 1500 AS version_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'PENDING' ELSE 'CONFIRMED' END AS status,
-        CASE WHEN event_id % 3 <> 0 THEN 15000000 + event_id END AS block_number, ts AS created_at FROM {events}""",
+    "chain_tx": """SELECT event_id AS id, event_id % 1500 * 7 + 3 AS version_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'PENDING' ELSE 'CONFIRMED' END AS status,
+        CASE WHEN event_id % 3 <> 0 THEN 15000000 + event_id END AS block_number, ts AS created_at FROM {events} WHERE event_id % 5 = 1""",
+    # what the ledger answered to proofs and to requests of registration; some requests got no answer
+    "ledger_answer": """SELECT event_id AS request_id, event_id % 400 * 7 + 3 AS version_id, event_type <> 'error' AS ok, concat('tx-', event_id) AS tx_id, 15000000 + event_id AS block_number,
+        concat('block-', event_id % 977) AS block_hash FROM {events} WHERE event_id % 23 <> 5""",
     "chain_audit": "SELECT event_id AS id, event_id - event_id % 3 AS tx_id, 'Anchor Proof' AS action FROM {events} WHERE event_id % 5 <> 0",
-    "company_request": """SELECT event_id AS id, CASE WHEN event_id % 9 = 4 THEN '' WHEN event_id % 4 = 0 THEN concat('Customer#', lpad(CAST(user_id AS STRING), 9, '0')) ELSE concat('New company ', event_id % 777) END AS company_name,
-        CASE WHEN event_id % 11 = 5 THEN NULL ELSE concat('TAX-', event_id % 777) END AS tax_code FROM {events}""",
+    # names and tax codes that clash with stored companies, with each other crosswise, and blanks
+    "company_request": """SELECT event_id AS id, CASE WHEN event_id % 9 = 4 THEN '' WHEN event_id % 14 = 0 THEN concat('Customer#', lpad(CAST(user_id AS STRING), 9, '0'))
+            ELSE concat('New company ', (event_id * 7 + user_id) % 1777) END AS company_name,
+        CASE WHEN event_id % 11 = 5 THEN NULL ELSE concat('TAX-', (event_id * 3 + user_id) % 1999) END AS tax_code FROM {events}""",
+    "staff_request": """SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN concat('Supplier#', lpad(CAST(user_id % 50 AS STRING), 9, '0')) ELSE concat('person ', user_id % 350) END AS user_name,
+        CASE WHEN event_id % 19 <> 7 THEN concat('p', event_id, '@example.org') END AS email, user_id % 90 AS company_id, event_id % 12 AS role_id FROM {events}""",
+    "anchored_staff": """SELECT s_name AS user_name, CASE WHEN s_suppkey % 3 = 0 THEN 'ERROR' ELSE 'ACTIVE' END AS status, CASE WHEN s_suppkey % 4 <> 1 THEN s_suppkey + 100 END AS block_number
+        FROM {supplier}""",
     "block": """SELECT event_id * event_id AS number, sha2(concat('previous ', event_id), 256) AS previous_hash, CASE WHEN event_id % 10 = 0 THEN '' ELSE sha2(concat('data ', event_id), 256) END AS data_hash FROM {events}""",
 }
 

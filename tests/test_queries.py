@@ -132,26 +132,6 @@ def test_scope_and_ledger_see_every_company(spark):
     assert got == sorted((key, k, f"r{k}") for k, key in enumerate(keys) if key not in {f"COMPANY_{k}" for k in names})
 
 
-def test_verification_ladder(spark):
-    """One version on each rung, expected rows by hand."""
-    import hashlib
-
-    from pactum.operators import proofs
-
-    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    docs = [(1, "A", "one", None, None), (2, "A", "two", "one", "A"), (3, "A", "changed", "two", "A"), (4, "A", "four", "changed", "A"), (5, "A", "", "four", "A"), (6, "A", None, "", "A"), (9, "A", "nine", "eight", "A")]
-    stored = [(1, sha("one"), None), (2, sha("two"), sha("one")), (3, sha("three"), sha("two")), (4, sha("four"), sha("other")), (5, sha("A-5-"), sha("four")), (9, sha("nine"), "?")]
-    tx = [(2, "CONFIRMED"), (1, "FAILED"), (4, "CONFIRMED")]
-    got = proofs.verify_proofs(
-        spark.createDataFrame(docs, "version_id long, contract_code string, content string, previous_content string, previous_code string"),
-        spark.createDataFrame(stored, "version_id long, document_hash string, previous_hash string"), spark.createDataFrame(tx, "version_id long, status string"),
-    )
-    told = {1: proofs.LOCAL, 2: proofs.ANCHORED, 3: proofs.CHANGED, 4: proofs.BROKEN_CHAIN, 5: proofs.LOCAL, 6: proofs.NO_PROOF, 9: proofs.LOCAL}
-    assert {r["version_id"]: r["message"] for r in got.collect()} == told
-    anchored = proofs.anchor(spark.createDataFrame(stored, "version_id long, document_hash string, previous_hash string"), spark.createDataFrame(tx, "version_id long, status string")).collect()
-    assert {r["version_id"] for r in anchored} == {1, 3, 5, 9} and all(len(r["tx_hash"]) == 50 and len(r["block_hash"]) == 34 for r in anchored)
-
-
 def test_audit_actions_and_masks(spark):
     """Expected rows by hand: each rule, the order of rules, contract codes, and secrets under their own keys."""
     from pyspark.sql import functions as F
@@ -232,14 +212,6 @@ def test_files_of_all_kinds(spark, tmp_path):
     assert all(r["h"]["number"] is None for r in odd.collect())
 
 
-def test_keyed_lifecycle_of_keys(spark):
-    from pactum.operators import workflows
-
-    events = [(1, 5, "ROTATE"), (2, 5, "CREATE"), (3, 5, "ROTATE"), (4, 5, "REVOKE"), (5, 5, "ROTATE"), (6, 5, "CREATE"), (7, 6, "CREATE")]
-    got = workflows.key_lifecycle(spark.createDataFrame(events, "id long, company_id long, action string")).select("id", "key_version", "status")
-    assert rows(got) == sorted([("2", "1", "ROTATED"), ("3", "2", "REVOKED"), ("6", "1", "ACTIVE"), ("7", "1", "ACTIVE")])
-
-
 def test_small_letters_class(spark):
     """A line break goes before the listed letters only."""
     from pyspark.sql import functions as F
