@@ -2,11 +2,13 @@
 
 A text is taken as UTF-8 bytes; A-Z are lower-cased and words are the maximal
 runs of bytes other than 0x20 and 0x09-0x0D (those bytes never occur inside a
-multi-byte character).  Each word gets a 64-bit hash: a polynomial over its
-bytes modulo 2**64, read off one running sum over the buffer, then finalised
-with a bit mixer together with its length.  Nothing is truncated: long inputs
-are walked in segments cut at white space, so memory stays bounded by the
-segment size (or the longest single word).
+multi-byte character).  Each word gets a 64-bit hash: its bytes in lanes of
+eight, each lane mixed under a key of its own place, the mixed lanes summed and
+mixed again with the word's length.  A lane holds its bytes whole, so words of
+up to eight bytes and equal length never share a hash, and no structure of a
+longer word survives the mixing.  Nothing is truncated: long inputs are walked
+in segments cut at white space, so memory stays bounded by the segment size (or
+the longest single word).
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import types
 import numpy as np
 
 SEGMENT_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: What the keys of lanes are made from.
+_SEED, _STEP = 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15
 _U = np.uint64
 
 _WS = np.zeros(256, dtype=bool)
@@ -47,21 +50,6 @@ def tidy() -> None:
         trim(0)
 
 
-def _power_table(kind: str, n: int) -> np.ndarray:
-    """Powers (or inverse powers) of the base modulo 2**64, grown on demand."""
-    memory = worker_memory()
-    have = memory.get(f"powers {kind}")
-    if have is None or len(have) < n:
-        base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        size = max(n, SEGMENT_BYTES + 1024)
-        out = np.full(size, base, dtype=np.uint64)
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(out)
-        memory[f"powers {kind}"] = have
-    return have
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that nearby inputs land far apart."""
     with np.errstate(over="ignore"):
@@ -85,10 +73,22 @@ class Words:
 
 
 def _finish(cumulative, start, stop, salt: int) -> np.ndarray:
-    inverse = _power_table("down", len(cumulative))
+    """Hashes of the bytes from start to stop (words or their beginnings), told apart by length and salt."""
+    length = stop - start
+    lanes = np.maximum((length + 7) >> 3, 1)
     with np.errstate(over="ignore"):
-        h = (cumulative[stop] - cumulative[start]) * inverse[start]
-        return mix64(h + (stop - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(salt))
+        if len(lanes) and lanes.max() == 1:
+            total = mix64((cumulative[stop] - cumulative[start]) ^ mix64(np.array([_SEED], dtype=np.uint64)))
+        elif len(lanes):
+            first = np.cumsum(lanes) - lanes
+            place = np.arange(first[-1] + lanes[-1]) - np.repeat(first, lanes)
+            begin = np.repeat(start, lanes) + 8 * place
+            end = np.minimum(begin + 8, np.repeat(stop, lanes))
+            key = mix64(place.astype(np.uint64) * _U(_STEP) + _U(_SEED))
+            total = np.add.reduceat(mix64((cumulative[end] - cumulative[begin]) ^ key), first)
+        else:
+            total = np.zeros(0, dtype=np.uint64)
+        return mix64(total + length.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(salt))
 
 
 def _hash_buffer(raw: bytes, doc_of_byte_end: np.ndarray, loose: bool = False) -> Words:
@@ -101,12 +101,16 @@ def _hash_buffer(raw: bytes, doc_of_byte_end: np.ndarray, loose: bool = False) -
     if not ws[-1]:
         bounds = np.concatenate((bounds, [len(arr)]))
     start, end = bounds[0::2], bounds[1::2]
-    up = _power_table("up", len(arr))
+    # each byte is shifted to its place in its lane; a lane is then the difference of two running sums, modulo 2**64
+    shift = np.arange(len(arr), dtype=np.uint8)
+    if len(start):
+        shift[start[0] :] -= np.repeat(start.astype(np.uint8), np.diff(np.append(start, len(arr))))
+    shift &= 7
+    shift <<= 3
     with np.errstate(over="ignore"):
-        terms = (_LOWER[arr].astype(np.uint64) + _U(1)) * up[: len(arr)]
         cumulative = np.empty(len(arr) + 1, dtype=np.uint64)
         cumulative[0] = 0
-        np.cumsum(terms, out=cumulative[1:])
+        np.cumsum(_LOWER[arr].astype(np.uint64) << shift, out=cumulative[1:])
     doc = np.searchsorted(doc_of_byte_end, start, side="right")
     return Words(raw, start, end, doc, _finish(cumulative, start, end, 0x51), cumulative)
 

@@ -120,18 +120,81 @@ def test_overlaps_are_derived(monkeypatch):
             assert sum(asked) < 0.5 * sum(map(len, sets)) * 2
 
 
-def test_set_ids_are_proved(spark, monkeypatch):
-    """A seed that gives two different sets one id is left for the next."""
+def test_sets_of_one_id_are_renamed(spark, monkeypatch):
+    """Different sets that share an id get others that nobody has; the join is the same under any ids."""
     from pactum.llm import ngram_join
 
-    tried = []
+    rows = [(0, 0, 1, 7, 1, 5, None), (0, 0, 2, 7, 2, 6, None), (0, 0, 3, 7, 2, 6, None), (0, 0, 4, 8, 2, 6, None), (1, 3, None, None, None, None, b"x")]
+    first = iter([9, 8, 9, 11])
+    with monkeypatch.context() as m:
+        m.setattr(ngram_join, "describe_sets", lambda docs, bits: spark.createDataFrame(rows, ngram_join.SETS))
+        m.setattr(ngram_join, "_another", lambda key, proof, turn: next(first))
+        described, renamed = ngram_join._described(spark.range(1), 8)
+    # 9 is free and taken at once, 8 is another set's, 9 is taken by then
+    assert renamed == {(7, 1): 9, (7, 2): 11}
+    assert sorted((r["doc_id"], r["set_id"]) for r in described.where("kind = 0").collect()) == [(1, 9), (2, 11), (3, 11), (4, 8)]
+    rng = random.Random(11)
+    base = words(rng, 100).split()
+    texts = [" ".join(base[: 60 + k]) for k in range(30)] + [words(rng, 50) for _ in range(10)] + ["", None, "one two"]
+    docs = docs_of(spark, texts)
+    expected = rows_of(ngram_join.join_documents(docs))
+    told = ngram_join._described
+
+    def all_renamed(docs, bits):
+        described, _ = told(docs, bits)
+        found = described.where("kind = 0").select("set_id", "proof").distinct().collect()
+        names = {(r["set_id"], r["proof"]): k for k, r in enumerate(sorted(found))}
+        table = spark.createDataFrame([(*k, v) for k, v in names.items()], "set_id long, proof long, other long")
+        return described.join(table, ["set_id", "proof"], "left").withColumn("set_id", F.coalesce("other", "set_id")).drop("other"), names
+
+    monkeypatch.setattr(ngram_join, "_described", all_renamed)
+    assert rows_of(ngram_join.join_documents(docs)) == expected
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
 
-    def described(docs, bits, seed):
-        tried.append(seed)
-        return spark.createDataFrame([(0, 0, 1, 7, 1, 5, None), (0, 0, 2, 7, 1 + (seed == 0), 5, None)], ngram_join.SETS)
+def thue_morse(letters):
+    a, b = "a", "b"
+    while len(a) < letters:
+        a, b = a + b, b + a
+    return a, b
 
-    monkeypatch.setattr(ngram_join, "describe_sets", described)
-    assert ngram_join._described(None, 8)[1] == 1 and tried == [0, 1]
+
+def test_long_words_of_regular_build_stay_apart(spark):
+    """Words whose polynomial sums agree modulo 2**64 are different words, alone and within texts."""
+    from pactum.llm.decontaminate import leaked
+    from pactum.llm.ngram_join import join_documents
+    from pactum.llm.wordhash import word_hashes
+
+    texts = [w for n in (1024, 2048, 8192, 65_536) for w in thue_morse(n)]
+    hashes = [h for _, h in word_hashes(texts)]
+    assert all(len(h) == 1 for h in hashes) and len({int(h[0]) for h in hashes}) == len(texts)
+    got = join_documents(docs_of(spark, texts)).collect()
+    assert all(r["n_links"] == 0 and r["component_id"] == r["doc_id"] for r in got)
+    items = spark.createDataFrame([(1, f"what is {texts[2]} called in old books? it is {texts[2]} of course my friend")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, items.first()["text"]), (2, items.first()["text"].replace(texts[2], texts[3]))], "doc_id long, text string")
+    assert {r["doc_id"] for r in leaked(docs, items).collect()} == {1}
+
+
+def test_word_hashes_are_those_of_words():
+    """Equal for equal words wherever they stand and whatever A-Z case, different for all others here."""
+    from pactum.llm.wordhash import runs, word_hashes
+
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("abé日z\x00\x01") for _ in range(n)) for n in (1, 2, 3, 7, 8, 9, 15, 16, 17, 24, 25, 40) for _ in range(60)]
+    pool += ["a" * n for n in range(1, 60)] + ["\x00" * n for n in range(1, 40)] + ["ab" * n for n in range(1, 30)]
+    seen = {}
+    for _ in range(40):
+        text = "".join(rng.choice(pool) + rng.choice([" ", "\n", "  \t"]) for _ in range(200))
+        ((_, h),) = word_hashes([rng.choice([" ", ""]) + (text.upper().replace("É", "é") if rng.random() < 0.3 else text)])
+        for w, x in zip(re.findall("[^\x20\x09-\x0d]+", text), h.tolist(), strict=True):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+    ((_, a),) = runs(["abcdefgh x"])
+    ((_, b),) = runs(["  abcdxxxx abcd y"])
+    assert a.prefix_hash(4)[0] == b.prefix_hash(4)[0] == b.prefix_hash(4)[1] and a.prefix_hash(3)[0] != a.prefix_hash(4)[0]
 
 
 def test_components_rounds(spark):
