@@ -63,8 +63,8 @@ def safe_file_code(code: Column) -> Column:
 
 
 def media_path(url: Column, prefix: str = "/media/") -> Column:
-    """Percent signs decoded (a plus stays one), the prefix dropped where the path begins with it."""
-    path = F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
+    """Percent signs decoded (a plus stays one, and so does a percent sign that begins no escape), the prefix dropped where the path begins with it."""
+    path = F.url_decode(F.regexp_replace(F.replace(url, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
     return F.when(F.startswith(path, F.lit(prefix)), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from urllib.parse import parse_qsl
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Secrets in payloads, what stands for them, and the lengths that are kept.
 SECRETS = ("password", "password_hash", "secret")
 MASK, ACTION_CHARS, PAYLOAD_CHARS = "******", 100, 4000
 WRITING = ("POST", "PUT", "DELETE", "PATCH")
+JSON_TYPE, FORM_TYPE = "application/json", "application/x-www-form-urlencoded"
 LIST_PATHS = ("/api/contracts/", "/api/contracts/list/")
 NOISE = ("/static/", "/media/")
 
@@ -70,13 +76,35 @@ def client_ip(forwarded_for: Column, remote: Column) -> Column:
     return F.when(F.coalesce(forwarded_for, F.lit("")) != "", F.element_at(F.split(forwarded_for, ","), 1)).otherwise(remote)
 
 
-def masked(payload: Column) -> Column:
-    """JSON payload with its secrets masked under their own keys, cut to the length that is kept."""
-    keys = "|".join(SECRETS)
-    return F.substring(F.regexp_replace(payload, rf'"({keys})"(\s*:\s*)(?:"(?:[^"\\]|\\.)*"|[^,}}"]+)', f'"$1"$2"{MASK}"'), 1, PAYLOAD_CHARS)
+def _payload_of(method: str | None, content_type: str | None, body: str | None, query: str | None) -> str | None:
+    """One request's payload as it is kept: top-level secrets of a JSON body or a form masked, the last value of each GET parameter."""
+    if method in WRITING:
+        if content_type == JSON_TYPE and body:
+            try:
+                told = json.loads(body)
+            except ValueError:
+                return None
+            return json.dumps(told | {k: MASK for k in SECRETS if k in told} if isinstance(told, dict) else told)
+        form: dict[str, list[str]] = {}
+        for k, v in parse_qsl(body or "", keep_blank_values=True) if content_type == FORM_TYPE else ():
+            form.setdefault(k, []).append(v)
+        return json.dumps(form | {k: [MASK] for k in SECRETS if k in form}) if form else None
+    given = dict(parse_qsl(query or "", keep_blank_values=True)) if method == "GET" else {}
+    return json.dumps(given) if given else None
+
+
+@F.pandas_udf(StringType())
+def kept_payload(method: pd.Series, content_type: pd.Series, body: pd.Series, query: pd.Series) -> pd.Series:
+    return pd.Series([_payload_of(*row) for row in zip(method, content_type, body, query, strict=True)], dtype=object)
 
 
 def mask_requests(requests: DataFrame) -> DataFrame:
-    """(id, ip_address, payload) of writing requests."""
-    rows = requests.where(F.col("method").isin(*WRITING))
-    return rows.select("id", client_ip(F.col("forwarded_for"), F.col("remote_addr")).alias("ip_address"), masked(F.col("payload")).alias("payload"))
+    """(id, ip_address, payload) of every request (id, method, content_type, body, query, forwarded_for, remote_addr).
+
+    Writing requests keep their JSON or form with secrets masked at the top level, GET ones their parameters, others
+    nothing; a body that isn't the JSON it says it is keeps nothing.  Only requests that can have a payload go to Python.
+    """
+    can = F.col("method").isin(*WRITING, "GET")
+    of = lambda c: F.when(can, F.col(c))
+    payload = kept_payload(of("method"), of("content_type"), of("body"), of("query"))
+    return requests.select("id", client_ip(F.col("forwarded_for"), F.col("remote_addr")).alias("ip_address"), F.substring(payload, 1, PAYLOAD_CHARS).alias("payload"))

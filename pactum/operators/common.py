@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pactum.sources.files import shared_path
 
-#: A side is broadcast only if Catalyst's size estimate or its counted rows stay below this.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if the bytes of its rows, summed up, stay below this.
+BROADCAST_BYTES = 32 << 20
 
 
 def top_by(df: DataFrame, key: str | list[str], *order: Column | str, n: int = 1, place: str | None = None) -> DataFrame:
@@ -37,9 +37,23 @@ def ordered_text(value: Column, separator: str, *order: Column | str) -> Column:
     return F.when(F.size(listed) > 0, F.array_join(F.transform(listed, lambda x: x["v"]), separator))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast for at most `limit` rows, counted; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes: texts and binaries by length, nested columns by their text, 8 for all others."""
+    width = F.lit(16)
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif kind in ("array", "map", "struct"):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            width = width + 8
+    return width
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast for at most `limit` bytes, summed over all rows; else leave the join to a shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df)).alias("n")).first()["n"] or 0) <= limit else df
 
 
 def is_approved() -> Column:

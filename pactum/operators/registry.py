@@ -62,9 +62,9 @@ def contract_kpis(contracts: DataFrame, versions: DataFrame, analyses: DataFrame
 
 
 def analysis_history(analyses: DataFrame, versions: DataFrame, contracts: DataFrame, findings: DataFrame, rules: DataFrame, top: int = 3) -> DataFrame:
-    """Analyses with contract, label, and the first `top` distinct risk names by their smallest rule id."""
-    named = findings.join(rules.select(F.col("id").alias("rule_id"), "rule_name"), "rule_id").groupBy("version_id", "rule_name").agg(F.min("rule_id").alias("first_rule"))
-    first = top_by(named, "version_id", "first_rule", "rule_name", n=top, place="place").groupBy("version_id").agg(ordered_text(F.col("rule_name"), "; ", "place").alias("risk_names"))
+    """Analyses with contract, label, and the first `top` distinct risk names in order of their findings."""
+    named = findings.join(rules.select(F.col("id").alias("rule_id"), "rule_name"), "rule_id").groupBy("version_id", "rule_name").agg(F.min("id").alias("first"))
+    first = top_by(named, "version_id", "first", "rule_name", n=top, place="place").groupBy("version_id").agg(ordered_text(F.col("rule_name"), "; ", "place").alias("risk_names"))
     scored = with_contract(analyses, versions, contracts).withColumn("risk_label", N.risk_label(F.col("overall_score")))
     return scored.join(first, "version_id", "left").select("version_id", "contract_code", "findings", "overall_score", "risk_label", F.coalesce("risk_names", F.lit("")).alias("risk_names"))
 
@@ -164,25 +164,43 @@ def audit_page(requests: DataFrame, staff: DataFrame, page: int = 1) -> DataFram
     return paged.join(staff.select(F.col("id").alias("user_id"), "user_name"), "user_id", "left").select("id", "path", F.coalesce("user_name", F.lit("System")).alias("user_name"), "pages")
 
 
-def visible_companies(staff: DataFrame, companies: DataFrame) -> DataFrame:
-    """(user_id, company_id): superusers and users without a company see all, others their own and those that share a brand word with it.
+#: The group of those who see every company, and of what belongs to none.
+ALL = "all"
 
-    Three ways to see are three joins: on the company, on the brand word, and
-    of those who see everything with all companies.  That last part holds every
-    pair by its meaning; its people are broadcast when they are few.
+
+def brand_words(name: Column) -> Column:
+    """The brand words that a company's name holds, as names of groups."""
+    return F.array_compact(F.array(*[F.when(F.contains(F.lower(name), F.lit(b)), F.lit(f"brand:{b}")) for b in BRANDS]))
+
+
+def staff_groups(staff: DataFrame, companies: DataFrame) -> DataFrame:
+    """(user_id, access): the groups whose companies a user may see: all for superusers and users without a company,
+    else the user's own company (with a row or not) and the brand words of its name."""
+    named = staff.join(companies.select(F.col("id").alias("company_id"), "company_name"), "company_id", "left")
+    own = F.concat(F.array(F.concat(F.lit("company:"), F.col("company_id").cast("string"))), F.coalesce(brand_words(F.col("company_name")), F.array()))
+    groups = F.when(F.col("is_superuser") | F.col("company_id").isNull(), F.array(F.lit(ALL))).otherwise(own)
+    return named.select(F.col("id").alias("user_id"), F.explode(groups).alias("access"))
+
+
+def company_groups(companies: DataFrame) -> DataFrame:
+    """(company_id, access): the groups that see a company: all, its own, and those of its brand words."""
+    own = F.concat(F.lit("company:"), F.col("id").cast("string"))
+    return companies.select(F.col("id").alias("company_id"), F.explode(F.concat(F.array(F.lit(ALL), own), brand_words(F.col("company_name")))).alias("access"))
+
+
+def visible_contracts(contracts: DataFrame, companies: DataFrame, staff: DataFrame, user_id: int) -> DataFrame:
+    """The contracts that one user may open: those of no company, and those whose company is in one of the user's groups.
+
+    A user's groups are a handful and filter companies, and companies filter contracts: no pair of a user and a company
+    is made.
     """
-    people = staff.select(F.col("id").alias("user_id"), F.col("company_id").alias("own"), "is_superuser")
-    sees_all = F.col("is_superuser") | F.col("own").isNull()
-    ids = companies.select(F.col("id").alias("company_id"))
-    everything = ids.crossJoin(broadcast_if_small(people.where(sees_all).select("user_id"))).select("user_id", "company_id")
-    rest = people.where(~sees_all)
-    words = F.array_compact(F.array(*[F.when(F.contains(F.lower("company_name"), F.lit(b)), F.lit(b)) for b in BRANDS]))
-    branded = companies.select(F.col("id").alias("company_id"), F.explode(words).alias("brand"))
-    mine = rest.join(branded.withColumnRenamed("company_id", "own"), "own").select("user_id", "brand")
-    by_brand = mine.join(branded, "brand").select("user_id", "company_id")
-    # a user may have a company that has no row: it is still the user's own
-    own = rest.join(ids.withColumnRenamed("company_id", "own"), "own", "left_semi").select("user_id", F.col("own").alias("company_id"))
-    return everything.unionByName(own.unionByName(by_brand).distinct())
+    groups = [r["access"] for r in staff_groups(staff.where(F.col("id") == user_id), companies).collect()]
+    if ALL in groups or not groups:
+        return contracts.where(F.lit(bool(groups)))
+    seen = company_groups(companies).where(F.col("access").isin(groups)).select("company_id").distinct().withColumn("_seen", F.lit(True))
+    # the own company counts with a row or without
+    own = F.concat(F.lit("company:"), F.col("company_id").cast("string")).isin(groups)
+    return contracts.join(seen, "company_id", "left").where(F.col("company_id").isNull() | own | F.col("_seen").isNotNull()).select(*contracts.columns)
 
 
 def tenant_companies(staff: DataFrame) -> DataFrame:
@@ -193,13 +211,20 @@ def tenant_companies(staff: DataFrame) -> DataFrame:
 def access_counts(staff: DataFrame, companies: DataFrame, contracts: DataFrame) -> DataFrame:
     """(user_id, contracts): how many contracts each user may open.  A contract without a company is open to all.
 
-    Contracts are counted by company first, so no row per user and contract is made.
+    Contracts are counted by company, and by the set of brand words of their company, of which there are at most 16.
+    A user sees the sum of the sets that share a word with the own company's, or the own company's count where it has
+    no word, or all: users meet 16 sums and one count, never the companies.
     """
+    words = companies.select(F.col("id").alias("company_id"), brand_words(F.col("company_name")).alias("words"))
     per_company = contracts.where("company_id is not null").groupBy("company_id").agg(F.count("*").alias("n"))
-    open_to_all = contracts.where("company_id is null").agg(F.count("*").alias("free"))
-    seen = visible_companies(staff, companies).join(per_company, "company_id", "left").groupBy("user_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    users = staff.select(F.col("id").alias("user_id"))
-    return users.join(seen, "user_id", "left").join(F.broadcast(open_to_all)).select("user_id", (F.coalesce("n", F.lit(0)) + F.col("free")).alias("contracts"))
+    per_set = per_company.join(words, "company_id").where(F.size("words") > 0).groupBy("words").agg(F.sum("n").alias("n"))
+    sums = per_set.agg(F.collect_list(F.struct("words", "n")).alias("sets"))
+    totals = contracts.agg(F.count("*").alias("every"), count_when(F.col("company_id").isNull()).alias("free"))
+    rows = staff.select(F.col("id").alias("user_id"), "company_id", "is_superuser").join(words, "company_id", "left").join(per_company, "company_id", "left")
+    rows = rows.join(F.broadcast(sums)).join(F.broadcast(totals))
+    shared = F.aggregate(F.filter("sets", lambda s: F.arrays_overlap(s["words"], F.col("words"))), F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    limited = F.when(F.size(F.coalesce("words", F.array())) > 0, shared).otherwise(F.coalesce("n", F.lit(0))) + F.col("free")
+    return rows.select("user_id", F.when(F.col("is_superuser") | F.col("company_id").isNull(), F.col("every")).otherwise(limited).alias("contracts"))
 
 
 def contract_info(workflows: DataFrame, versions: DataFrame, contracts: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql.types import StringType
 
 from pactum.functions import text as T
-from pactum.operators.common import broadcast_if_small, ordered_text, top_by
+from pactum.operators import law_index
+from pactum.operators.common import ordered_text, top_by
 
 #: A line is a page header or footer from this many pages on.
 LEAST_PAGES = 3
@@ -73,14 +77,37 @@ def clause_entities(clauses: DataFrame) -> DataFrame:
     return clauses.select("id", F.explode(T.entities(F.col("content"))).alias("e")).select("id", "e.*")
 
 
-def model_entities(rows: DataFrame, answer: str = "answer") -> DataFrame:
-    """id, entity_type, entity_value, normalized_value, confidence from {type: value} answers; empty values go."""
-    pairs = rows.select("id", F.explode(F.from_json(T.json_of_answer(F.col(answer)), "map<string,string>")).alias("k", "v"))
-    return pairs.where((F.col("v") != "") & F.col("v").isNotNull()).select("id", F.upper("k").alias("entity_type"), F.col("v").alias("entity_value"), F.upper("v").alias("normalized_value"), F.lit("0.85").cast("decimal(5,2)").alias("confidence"))
+@F.pandas_udf(StringType())
+def _python_text(values: pd.Series) -> pd.Series:
+    """How Python writes a JSON value that isn't text, a whole number or a truth value: what stored entities hold."""
+    return values.map(lambda v: None if v is None else str(json.loads(v)))
 
 
-#: Laws that are broadcast to the phrases at most; beyond that the few distinct phrases are, if they are few.
-LAW_ROWS = 100_000
+def model_entities(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """id, entity_type, entity_value, normalized_value, confidence from {type: value} answers.
+
+    Types are compared in capitals, and of equal ones the last counts.  Values keep their JSON types until then: null,
+    false, zero, "", [] and {} are no entities, whatever is left is stored as text (true as True; fractions, lists and
+    objects as Python writes them, which is the only part that leaves the JVM).  An answer that isn't a JSON object, or
+    repeats a key within a value, gives no rows.
+    """
+    text = T.json_of_answer(F.col(answer))
+    typed, plain = F.from_json(text, "map<string,variant>"), F.from_json(text, "map<string,string>")
+    entry = lambda e, raw: F.struct(F.upper(e["key"]).alias("k"), e["value"].alias("v"), raw.alias("raw"))
+    listed = rows.select("id", F.zip_with(F.map_entries(typed), F.map_values(plain), entry).alias("e"))
+    last = F.filter("e", lambda x, i: ~F.exists(F.slice("e", i + 2, F.size("e")), lambda y: y["k"] == x["k"]))
+    pairs = listed.select("id", F.explode(last).alias("x")).select("id", F.col("x.k").alias("k"), F.col("x.raw").alias("raw"), F.schema_of_variant("x.v").alias("kind"))
+    kind = F.col("kind")
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
+    falsy = (
+        F.when(kind == "VOID", True).when(kind == "BOOLEAN", F.col("raw") == "false").when(number, F.col("raw").try_cast("double") == 0).when(kind == "STRING", F.col("raw") == "")
+        .otherwise(F.col("raw").isin("[]", "{}"))
+    )
+    kept = pairs.where(~F.coalesce(falsy, F.lit(False)))
+    plainly = kind.isin("STRING", "BIGINT", "BOOLEAN")
+    simple = F.when(kind.isin("STRING", "BIGINT"), F.col("raw")).when(kind == "BOOLEAN", "True")
+    valued = kept.select("id", "k", F.coalesce(simple, _python_text(F.when(~plainly, F.col("raw")))).alias("v"))
+    return valued.select("id", F.col("k").alias("entity_type"), F.col("v").alias("entity_value"), F.upper("v").alias("normalized_value"), F.lit("0.85").cast("decimal(5,2)").alias("confidence"))
 
 
 def law_queries(clauses: DataFrame) -> DataFrame:
@@ -89,34 +116,19 @@ def law_queries(clauses: DataFrame) -> DataFrame:
 
 
 def law_search(queries: DataFrame, laws: DataFrame, top: int = 5, law_name: str | None = None) -> DataFrame:
-    """query, law_id, score, place: the best `top` laws for each distinct search phrase, ties by law_id; of one law book if it is named.
-
-    Every phrase is scored against every law, as its meaning is.  Phrases, not
-    clauses, meet the laws, and the smaller side is broadcast after a count;
-    where neither is small, Spark deals both sides in blocks.
-    """
-    if law_name is not None:
-        laws = laws.where(F.col("law_name") == law_name)
-    queries = queries.select("query").distinct()
-    small = broadcast_if_small(laws, LAW_ROWS)
-    pairs = queries.crossJoin(small) if small is not laws else laws.crossJoin(broadcast_if_small(queries, LAW_ROWS))
-    score = T.law_score(F.col("query"), F.col("article_title"), F.col("tags"), F.col("content"), F.col("article_number"))
-    scored = pairs.select("query", "law_id", score.alias("score")).where(F.col("score") > 0)
-    return top_by(scored, "query", F.desc("score"), "law_id", n=top, place="place").select("query", "law_id", "score", "place")
+    """query, law_id, score, place: the best `top` laws for each distinct search phrase, ties by law_id; of one law book if it is named."""
+    found = law_index.search(queries.select("query", F.lit(law_name).cast("string").alias("book")), laws, top)
+    return found.select("query", "law_id", "score", "place")
 
 
 # How laws are quoted, and what stands for none.
 REFERENCE_HEAD, REFERENCE_TAIL = "\n\n[THAM CHIẾU LUẬT PHÁP VIỆT NAM (MCP)]:\n", "\n[HẾT THAM CHIẾU MCP]"
 
 
-def quoted_law(name: Column, number: Column, title: Column, content: Column) -> Column:
-    return F.concat(name, F.lit(" - "), number, F.lit(": "), title, F.lit("\nNội dung: "), content)
-
-
 def law_references(found: DataFrame, laws: DataFrame) -> DataFrame:
     """(query, reference): the laws found for each phrase as one numbered block; phrases that found none have no row."""
     cited = found.join(laws, "law_id")
-    text = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), quoted_law(F.col("law_name"), F.col("article_number"), F.col("article_title"), F.col("content")))
+    text = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), law_index.quoted_law(F.col("law_name"), F.col("article_number"), F.col("article_title"), F.col("content")))
     blocks = cited.groupBy("query").agg(ordered_text(text, "\n\n", "place").alias("block"))
     return blocks.select("query", F.concat(F.lit(REFERENCE_HEAD), F.col("block"), F.lit(REFERENCE_TAIL)).alias("reference"))
 
@@ -124,7 +136,7 @@ def law_references(found: DataFrame, laws: DataFrame) -> DataFrame:
 def law_articles(wanted: DataFrame, laws: DataFrame) -> DataFrame:
     """(law_name, article_number, answer): each wanted article's text (the first by law_id), or that it isn't there."""
     key = ["law_name", "article_number"]
-    one = top_by(laws, key, "law_id").select(*key, quoted_law(F.col("law_name"), F.col("article_number"), F.col("article_title"), F.col("content")).alias("found"))
+    one = top_by(laws, key, "law_id").select(*key, law_index.quoted_law(F.col("law_name"), F.col("article_number"), F.col("article_title"), F.col("content")).alias("found"))
     none = F.concat(F.lit("Không tìm thấy điều luật "), F.col("article_number"), F.lit(" của "), F.col("law_name"), F.lit("."))
     return wanted.select(*key).distinct().join(one, key, "left").select(*key, F.coalesce("found", none).alias("answer"))
 

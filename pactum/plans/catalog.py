@@ -130,7 +130,9 @@ BOUND: dict[str, Callable[[Domain], DataFrame]] = {
     "user_directory": lambda d: registry.user_directory(d["staff"], d["role"], d["company"]),
     "role_gate": lambda d: registry.role_gate(d["staff"], d["role"]),
     "audit_page": lambda d: registry.audit_page(d["request"], d["staff"], page=3),
-    "tenant_scope": lambda d: registry.visible_companies(d["staff"], d["company"]),
+    "tenant_scope": lambda d: registry.staff_groups(d["staff"], d["company"]),
+    "company_scope": lambda d: registry.company_groups(d["company"]),
+    "visible_contracts": lambda d: registry.visible_contracts(d["contract"], d["company"], d["staff"], user_id=5).select("id", "contract_code"),
     "tenant_company": lambda d: registry.tenant_companies(d["staff"]),
     "contract_access": lambda d: registry.access_counts(d["staff"], d["company"], d["contract"]),
     "contract_info_lookup": lambda d: registry.contract_info(d["workflow"].withColumn("version_id", F.col("id") * 8 + 3), d["version"], d["contract"]),

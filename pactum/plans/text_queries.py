@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactum.functions import text as T
 from pactum.functions import model
-from pactum.operators import analyses, audit, text_ops
+from pactum.operators import analyses, audit, law_index, text_ops
 from pactum.plans.twins import TWINS
 from pactum.sources import files
 from pactum.sources.domain import Domain, twin
@@ -112,8 +112,12 @@ def keyword_entities(spark, sf_dir):
     return text_ops.clause_entities(Domain(spark, sf_dir)["clause"])
 
 
+#: Answers with values of every JSON type, the empty one of each, and keys that are equal in capitals.
 ANSWERS_SQL = """SELECT event_id AS id, concat(CASE event_id % 3 WHEN 0 THEN concat('Here: ```json', chr(10)) WHEN 1 THEN 'Answer ' ELSE '' END,
-    CASE WHEN event_id % 5 = 4 THEN 'none' ELSE concat(chr(123), '"party": "', event_type, '", "amount": "', event_id % 4, '", "empty": ""', chr(125)) END, CASE WHEN event_id % 3 = 0 THEN concat(chr(10), '```') ELSE ' end' END) AS answer FROM {events}"""
+    CASE WHEN event_id % 5 = 4 THEN 'none' ELSE concat(chr(123), '"party": "', event_type, '", "amount": "', event_id % 4, '", "empty": "", "paid": ', CASE event_id % 2 WHEN 0 THEN 'true' ELSE 'false' END,
+        ', "Rate": ', CASE event_id % 4 WHEN 0 THEN '0.0' WHEN 1 THEN '2.50' WHEN 2 THEN '17' ELSE '0' END, ', "parts": ', CASE event_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN '["a", 1, true]' ELSE 'null' END,
+        ', "RATE2": "first", "rate2": ', CASE event_id % 7 WHEN 0 THEN '""' ELSE '"second"' END, chr(125)) END,
+    CASE WHEN event_id % 3 = 0 THEN concat(chr(10), '```') ELSE ' end' END) AS answer FROM {events}"""
 
 
 def llm_json_repair(spark, sf_dir):
@@ -138,6 +142,23 @@ def law_search_in_book(spark, sf_dir):
     return text_ops.law_search(text_ops.law_queries(d["clause"]), d["law"], top=3, law_name="Law 2")
 
 
+#: Calls of the law tools: with and without arguments, of one book and of all, of tools and methods that aren't there, and no calls at all.
+CALLS_SQL = """SELECT event_id AS id, CASE event_id % 9
+    WHEN 0 THEN concat(chr(123), '"jsonrpc": "2.0", "method": "tools/call", "params": ', chr(123), '"name": "search_laws", "arguments": ', chr(123), '"query": "phạt vi phạm ', event_type, '"', chr(125), chr(125), chr(125))
+    WHEN 1 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "search_laws", "arguments": ', chr(123), '"query": "PENALTY, the", "law_name": "Law ', event_id % 7, '"', chr(125), chr(125), chr(125))
+    WHEN 2 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "search_laws", "arguments": ', chr(123), '"query": ""', chr(125), chr(125), chr(125))
+    WHEN 3 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "get_law_article", "arguments": ', chr(123), '"law_name": "Law ', event_id % 5, '", "article_number": "Article ',
+        event_id % 60, '"', chr(125), chr(125), chr(125))
+    WHEN 4 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "get_law_article", "arguments": ', chr(123), '"law_name": "Law 1"', chr(125), chr(125), chr(125))
+    WHEN 5 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "burn_law"', chr(125), chr(125))
+    WHEN 6 THEN concat(chr(123), '"method": "', event_type, '/list"', chr(125)) WHEN 7 THEN concat(chr(123), '"method": "tools/list"', chr(125)) ELSE 'no call' END AS payload FROM {events}"""
+
+
+def law_rpc(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    return law_index.answer_calls(d.sql(CALLS_SQL), d["law"]).select("id", "text", "error_code", "error_message")
+
+
 def law_reference_blocks(spark, sf_dir):
     d = Domain(spark, sf_dir)
     return text_ops.law_references(text_ops.law_search(text_ops.law_queries(d["clause"]), d["law"]), d["law"])
@@ -198,7 +219,7 @@ QUERIES = {
     for f in (
         header_footer_lines, normalize_pages, clause_split, clause_stats, page_markers, word_stats, doc_validation, document_validation, document_json_sink, clean_cells,
         ocr_fold, assembled_pages, assembled_pages_without_ocr, keyword_entities, entity_upsert, llm_json_repair, entity_normalize, model_boundary,
-        law_query_terms, law_search_top5, law_search_in_book, law_reference_blocks, file_crypto, audit_hours, audit_append,
+        law_query_terms, law_search_top5, law_search_in_book, law_reference_blocks, law_rpc, file_crypto, audit_hours, audit_append,
     )
 }
 
@@ -242,8 +263,11 @@ ORACLES = {
     ),
     "llm_json_repair": twin(ANSWERS_SQL).join(["WITH answers AS (", r""") SELECT id, coalesce(nullif(CASE WHEN regexp_extract(answer, '```(?:json)?\s*(\{.*?\})\s*```', 1, 's') <> '' THEN regexp_extract(answer, '```(?:json)?\s*(\{.*?\})\s*```', 1, 's')
         ELSE regexp_extract(answer, '(\{.*\})', 1, 's') END, ''), '{}') AS json_text FROM answers"""]),
-    "entity_normalize": """SELECT event_id AS id, 'PARTY' AS entity_type, event_type AS entity_value, upper(event_type) AS normalized_value, CAST(0.85 AS DECIMAL(5, 2)) AS confidence FROM events WHERE event_id % 5 <> 4
-        UNION ALL SELECT event_id, 'AMOUNT', CAST(event_id % 4 AS VARCHAR), CAST(event_id % 4 AS VARCHAR), CAST(0.85 AS DECIMAL(5, 2)) FROM events WHERE event_id % 5 <> 4""",
+    "entity_normalize": """WITH e AS (SELECT event_id AS id, event_type AS t FROM events WHERE event_id % 5 <> 4),
+        v AS (SELECT id, 'PARTY' AS k, t AS v FROM e UNION ALL SELECT id, 'AMOUNT', CAST(id % 4 AS VARCHAR) FROM e UNION ALL SELECT id, 'PAID', 'True' FROM e WHERE id % 2 = 0
+            UNION ALL SELECT id, 'RATE', CASE id % 4 WHEN 1 THEN '2.5' ELSE '17' END FROM e WHERE id % 4 IN (1, 2) UNION ALL SELECT id, 'PARTS', '[''a'', 1, True]' FROM e WHERE id % 3 = 1
+            UNION ALL SELECT id, 'RATE2', 'second' FROM e WHERE id % 7 <> 0)
+        SELECT id, k AS entity_type, v AS entity_value, upper(v) AS normalized_value, CAST(0.85 AS DECIMAL(5, 2)) AS confidence FROM v""",
     "audit_hours": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events FROM events GROUP BY ALL",
     "file_crypto": "SELECT doc_id, CAST(28 AS INT) AS overhead, TRUE AS same FROM documents",
 }
@@ -259,6 +283,26 @@ _SCORED = """WITH q AS (SELECT DISTINCT query, lower(query) AS lq FROM (<query>)
             + CASE WHEN contains(num, x) OR contains(title, x) THEN 3 ELSE 0 END + CASE WHEN contains(body, x) THEN 1 ELSE 0 END)), 0) END AS score FROM w),
     r AS (SELECT query, law_id, CAST(score AS INT) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, law_id) AS place FROM s WHERE score > 0)
     """.replace("<query>", _QUERY)
+ORACLES["law_rpc"] = twin(
+    """WITH calls AS (SELECT event_id AS id, event_id % 9 AS k, event_type, CASE event_id % 9 WHEN 0 THEN 'phạt vi phạm ' || event_type WHEN 1 THEN 'PENALTY, the' END AS query,
+        CASE event_id % 9 WHEN 1 THEN 'Law ' || event_id % 7 END AS book, 'Law ' || event_id % 5 AS a_name, 'Article ' || event_id % 60 AS a_number FROM {events}),
+    w AS (SELECT DISTINCT query, book, lower(query) AS lq FROM calls WHERE query IS NOT NULL),
+    p AS (SELECT w.*, l.*, lower(article_title) AS title, lower(coalesce(tags, '')) AS tg, lower(content) AS body, lower(article_number) AS num,
+        list_filter(regexp_split_to_array(translate(lq, ',.', '  '), '\\s+'), lambda x: length(x) >= 2) AS words FROM w JOIN {law} l ON book IS NULL OR book = l.law_name),
+    s AS (SELECT query, book, law_id, law_name || ' - ' || article_number || ': ' || article_title || chr(10) || 'Nội dung: ' || content AS quote,
+        CASE WHEN contains(title, lq) THEN 20 ELSE 0 END + CASE WHEN contains(tg, lq) THEN 15 ELSE 0 END + CASE WHEN contains(body, lq) THEN 10 ELSE 0 END
+        + list_sum(list_transform(words, lambda x: CASE WHEN list_contains(list_transform(string_split(tg, ','), lambda t: trim(t)), x) THEN 5 ELSE 0 END
+            + CASE WHEN contains(num, x) OR contains(title, x) THEN 3 ELSE 0 END + CASE WHEN contains(body, x) THEN 1 ELSE 0 END)) AS score FROM p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query, book ORDER BY score DESC, law_id) AS place FROM s WHERE score > 0),
+    f AS (SELECT query, book, string_agg('[' || place || '] ' || quote, chr(10) || chr(10) ORDER BY place) AS found FROM r WHERE place <= 5 GROUP BY query, book),
+    a AS (SELECT law_name, article_number, arg_min(law_name || ' - ' || article_number || ': ' || article_title || chr(10) || 'Nội dung: ' || content, law_id) AS article FROM {law} GROUP BY ALL)
+    SELECT c.id, CASE k WHEN 0 THEN coalesce(found, 'Không tìm thấy điều khoản luật tương ứng.') WHEN 1 THEN coalesce(found, 'Không tìm thấy điều khoản luật tương ứng.')
+            WHEN 3 THEN coalesce(article, 'Không tìm thấy điều luật ' || a_number || ' của ' || a_name || '.') WHEN 7 THEN 'search_laws,get_law_article' END AS text,
+        CASE k WHEN 2 THEN -32602 WHEN 4 THEN -32602 WHEN 5 THEN -32601 WHEN 6 THEN -32601 WHEN 8 THEN -32601 END AS error_code,
+        CASE k WHEN 2 THEN 'Missing ''query'' argument' WHEN 4 THEN 'Missing ''law_name'' or ''article_number'' argument' WHEN 5 THEN 'Tool ''burn_law'' not found'
+            WHEN 6 THEN 'Method ''' || event_type || '/list'' not found' WHEN 8 THEN 'Method ''None'' not found' END AS error_message
+    FROM calls c LEFT JOIN f ON f.query = c.query AND f.book IS NOT DISTINCT FROM c.book LEFT JOIN a ON a.law_name = a_name AND a.article_number = a_number"""
+)
 ORACLES["law_search_top5"] = twin(_SCORED.replace("<where>", "") + "SELECT * FROM r WHERE place <= 5")
 ORACLES["law_search_in_book"] = twin(_SCORED.replace("<where>", "WHERE law_name = 'Law 2'") + "SELECT * FROM r WHERE place <= 3")
 ORACLES["law_reference_blocks"] = twin(

@@ -13,9 +13,9 @@ TWINS = {
         SELECT version_id, findings, overall_score, concat('Total ', findings, ' findings, score ', overall_score) AS summary FROM {analysis}
     """,
     "analysis_history": r"""
-        WITH named AS (SELECT f.version_id, r.rule_name, min(f.rule_id) AS first_rule FROM {finding} f JOIN {rule} r ON r.id = f.rule_id GROUP BY
+        WITH named AS (SELECT f.version_id, r.rule_name, min(f.id) AS first_finding FROM {finding} f JOIN {rule} r ON r.id = f.rule_id GROUP BY
             f.version_id, r.rule_name),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY first_rule, rule_name) AS rn FROM named),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY first_finding, rule_name) AS rn FROM named),
         top AS (SELECT version_id, concat(max(CASE WHEN rn = 1 THEN rule_name END), coalesce('; ' || max(CASE WHEN rn = 2 THEN rule_name END), ''),
             coalesce('; ' || max(CASE WHEN rn = 3 THEN rule_name END), '')) AS risk_names
         FROM ranked WHERE rn <= 3 GROUP BY version_id)
@@ -248,19 +248,26 @@ TWINS = {
             {contract} c ON c.id = v.contract_id
     """,
     "tenant_scope": r"""
-        SELECT u.id AS user_id, c.id AS company_id FROM {staff} u LEFT JOIN {company} o ON o.id = u.company_id CROSS JOIN {company} c
-        WHERE u.is_superuser OR u.company_id IS NULL OR o.id = c.id
-            OR len([b FOR b IN ['fpt', 'techcom', 'vin', 'viettel'] IF contains(lower(o.company_name), b) AND contains(lower(c.company_name), b)]) > 0
+        WITH named AS (SELECT u.id, u.is_superuser OR u.company_id IS NULL AS every, u.company_id, lower(c.company_name) AS n FROM {staff} u LEFT JOIN {company} c ON c.id = u.company_id)
+        SELECT id AS user_id, 'all' AS access FROM named WHERE every UNION ALL SELECT id, 'company:' || company_id FROM named WHERE NOT every
+        UNION ALL SELECT id, 'brand:' || b FROM named, (VALUES ('fpt'), ('techcom'), ('vin'), ('viettel')) AS v(b) WHERE NOT every AND contains(n, b)
+    """,
+    "company_scope": r"""
+        SELECT id AS company_id, 'all' AS access FROM {company} UNION ALL SELECT id, 'company:' || id FROM {company}
+        UNION ALL SELECT id, 'brand:' || b FROM {company}, (VALUES ('fpt'), ('techcom'), ('vin'), ('viettel')) AS v(b) WHERE contains(lower(company_name), b)
+    """,
+    "visible_contracts": r"""
+        SELECT k.id, k.contract_code FROM {contract} k LEFT JOIN {company} c ON c.id = k.company_id, (SELECT u.*, o.company_name FROM {staff} u LEFT JOIN {company} o ON o.id = u.company_id WHERE u.id = 5) u
+        WHERE u.is_superuser OR u.company_id IS NULL OR k.company_id IS NULL OR k.company_id = u.company_id
+            OR len([b FOR b IN ['fpt', 'techcom', 'vin', 'viettel'] IF contains(lower(u.company_name), b) AND contains(lower(c.company_name), b)]) > 0
     """,
-    "tenant_company": "SELECT id AS user_id, CASE WHEN NOT is_superuser THEN company_id END AS company_id FROM {staff}",
     "contract_access": r"""
-        WITH open_ones AS (SELECT count(*) AS free FROM {contract} WHERE company_id IS NULL),
-        owned AS (SELECT company_id, count(*) AS n FROM {contract} WHERE company_id IS NOT NULL GROUP BY company_id),
-        seen AS (SELECT u.id, sum(w.n) AS n FROM {staff} u LEFT JOIN {company} o ON o.id = u.company_id CROSS JOIN owned w JOIN {company} c ON c.id = w.company_id
-            WHERE u.is_superuser OR u.company_id IS NULL OR o.id = c.id
-                OR len([b FOR b IN ['fpt', 'techcom', 'vin', 'viettel'] IF contains(lower(o.company_name), b) AND contains(lower(c.company_name), b)]) > 0 GROUP BY u.id)
-        SELECT u.id AS user_id, CAST(coalesce(s.n, 0) + (SELECT free FROM open_ones) AS BIGINT) AS contracts FROM {staff} u LEFT JOIN seen s ON s.id = u.id
+        SELECT u.id AS user_id, count(*) FILTER (u.is_superuser OR u.company_id IS NULL OR k.company_id IS NULL OR k.company_id = u.company_id
+                OR len([b FOR b IN ['fpt', 'techcom', 'vin', 'viettel'] IF contains(lower(u.company_name), b) AND contains(lower(k.company_name), b)]) > 0) AS contracts
+        FROM (SELECT u.*, o.company_name FROM {staff} u LEFT JOIN {company} o ON o.id = u.company_id) u,
+            (SELECT k.id, k.company_id, c.company_name FROM {contract} k LEFT JOIN {company} c ON c.id = k.company_id) k GROUP BY u.id
     """,
+    "tenant_company": "SELECT id AS user_id, CASE WHEN NOT is_superuser THEN company_id END AS company_id FROM {staff}",
     "company_versions": "SELECT id AS version_id FROM {version} WHERE contract_id IN (SELECT id FROM {contract} WHERE company_id IN (SELECT company_id FROM {staff}))",
     "next_versions": "SELECT c.id AS contract_id, coalesce(max(v.version_number), 0) + 1 AS next_number FROM {contract} c LEFT JOIN {version} v ON v.contract_id = c.id GROUP BY c.id",
     "contract_tree": r"""
@@ -534,9 +541,14 @@ TWINS = {
                  WHEN method = 'GET' AND path NOT LIKE '/api/%' AND path NOT LIKE '/admin/%' THEN 'Visited page: ' || path END), 100) AS action FROM k
     """,
     "audit_mask": r"""
+        WITH r AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 'password' WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN 'secret' ELSE 'password_hash' END WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'note' ELSE 'secret' END
+            ELSE 'note' END AS k FROM (SELECT *, id AS event_id FROM {request}) x)
         SELECT id, CASE WHEN forwarded_for <> '' THEN string_split(forwarded_for, ',')[1] ELSE remote_addr END AS ip_address,
-            left(regexp_replace(payload, '"(password|password_hash|secret)": "[^"]*"', '"\1": "******"'), 4000) AS payload FROM {request} WHERE method IN
-                ('POST', 'PUT', 'DELETE', 'PATCH')
+            CASE WHEN method IN ('POST', 'PUT', 'DELETE', 'PATCH') THEN
+                CASE WHEN id % 3 = 0 THEN '{"user": ["' || user_id || '"], "' || k || '": ["' || CASE WHEN k = 'note' THEN 'p ' || id ELSE '******' END || '"], "tag": ["a", "b"]}'
+                     WHEN id % 17 IN (2, 4) THEN NULL
+                     ELSE '{"user": ' || user_id || ', "' || k || '": "' || CASE WHEN k = 'note' THEN 'p' || id ELSE '******' END || '", "inner": {"secret": ' || id % 10 || '}}' END
+                WHEN method = 'GET' AND id % 2 = 0 THEN '{"q": "last&", "page": "' || id % 10 || '"}' END AS payload FROM r
     """,
     "file_gate": r"""
         WITH p AS (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', '') || CASE page_id % 4 WHEN 0 THEN '/a.PDF' WHEN 1 THEN '/b.docx' ELSE

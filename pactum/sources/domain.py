@@ -25,7 +25,7 @@ DOMAIN = {
         CASE o_orderstatus WHEN 'O' THEN 'DRAFT' WHEN 'P' THEN 'ANALYZED' ELSE 'APPROVED' END AS status, o_orderdate AS created_at FROM {orders}""",
     "version": "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS contract_id, l_linenumber AS version_number FROM {lineitem}",
     "rule": "SELECT p_partkey AS id, p_name AS rule_name, p_brand AS description FROM {part}",
-    "finding": """SELECT l_orderkey * 8 + l_linenumber AS version_id, l_partkey AS rule_id, CAST(floor(l_quantity * 2) AS INT) AS risk_score,
+    "finding": """SELECT (l_partkey * 7919 + l_suppkey * 31 + l_orderkey) % 1000003 AS id, l_orderkey * 8 + l_linenumber AS version_id, l_partkey AS rule_id, CAST(floor(l_quantity * 2) AS INT) AS risk_score,
         CASE WHEN round(l_discount * 100) < 1 THEN 'NONE' WHEN round(l_discount * 100) < 4 THEN 'LOW' WHEN round(l_discount * 100) < 8 THEN 'MEDIUM'
              WHEN round(l_discount * 100) < 10 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM {lineitem}""",
     "analysis": """SELECT version_id, count(*) AS findings, CAST(floor(coalesce(avg(CASE WHEN severity <> 'NONE' THEN risk_score END), 0)) AS INT) AS overall_score
@@ -76,8 +76,12 @@ DOMAIN = {
             = 0 THEN 404 ELSE 200 END AS status_code,
         CASE WHEN event_id % 4 = 0 THEN concat('10.0.0.', user_id % 250, ', 172.16.0.1') WHEN event_id % 4 = 1 THEN '' END AS forwarded_for,
             concat('192.168.1.', user_id % 250) AS remote_addr,
-        concat(chr(123), '"user": ', user_id, ', "', CASE event_id % 5 WHEN 0 THEN 'password' WHEN 1 THEN 'password_hash' WHEN 2 THEN 'secret' ELSE 'note' END,
-            '": "p', event_id, '"', chr(125)) AS payload
+        CASE WHEN event_id % 3 = 0 THEN 'application/x-www-form-urlencoded' ELSE 'application/json' END AS content_type,
+        CASE WHEN event_id % 3 = 0 THEN concat('user=', user_id, '&', CASE event_id % 5 WHEN 0 THEN 'password' WHEN 1 THEN 'secret' ELSE 'note' END, '=p%20', event_id, '&tag=a&tag=b')
+            WHEN event_id % 17 = 2 THEN 'no json' WHEN event_id % 17 = 4 THEN NULL
+            ELSE concat(chr(123), '"user": ', user_id, ', "', CASE event_id % 5 WHEN 0 THEN 'password' WHEN 1 THEN 'password_hash' WHEN 2 THEN 'secret' ELSE 'note' END,
+                '": "p', event_id, '", "inner": ', chr(123), '"secret": ', event_id % 10, chr(125), chr(125)) END AS body,
+        CASE WHEN event_id % 2 = 0 THEN concat('q=a+b&page=', event_id % 10, '&q=last%26') END AS query
         FROM {events}""",
     "ledger": """SELECT event_id AS tx_id, concat(CASE event_id % 3 WHEN 0 THEN 'COMPANY_' WHEN 1 THEN 'USER_' ELSE '' END, user_id % 200) AS record_key, ts AS written_at,
         event_type = 'error' AS is_delete, CASE WHEN event_type <> 'error' THEN props END AS record FROM {events}""",

@@ -104,3 +104,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if at is None:
         at = f"file://{tempfile.gettempdir()}" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
     return f"{at.rstrip('/')}/pactum-core/{name}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _folder(spark, path)
+    return fs.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what stands in a folder."""
+    fs, at = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder that nothing reads any more."""
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
