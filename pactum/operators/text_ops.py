@@ -30,17 +30,37 @@ def normalize_pages(pages: DataFrame) -> DataFrame:
     return joined.select("doc_id", "page_number", T.normalize(F.col("text"), F.coalesce("_lines", F.array().cast("array<string>"))).alias("text"))
 
 
-def merged_pages(pages: DataFrame) -> DataFrame:
-    """doc_id, merged, bounds (page, offset), max_page: pages in order, each behind a marker."""
-    segment = F.concat(F.lit("\x00PAGE:"), F.col("page_number").cast("string"), F.lit("\x00\n"), F.col("text"), F.lit("\n"))
-    at = F.sum(F.length("segment")).over(Window.partitionBy("doc_id").orderBy("page_number")) - F.length("segment")
-    parts = pages.withColumn("segment", segment).withColumn("offset", at.cast("int"))
-    grouped = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "offset", "segment"))).alias("p"), F.max("page_number").alias("max_page"))
-    return grouped.select("doc_id", F.array_join(F.transform("p", lambda x: x["segment"]), "").alias("merged"), F.transform("p", lambda x: F.struct(x["page_number"].alias("page"), x["offset"].alias("offset"))).alias("bounds"), "max_page")
+def page_marker(number: Column) -> Column:
+    return F.concat(F.lit("\x00PAGE:"), number.cast("string"), F.lit("\x00"))
 
 
-def _page_at(bounds: Column, at: Column) -> Column:
-    return F.element_at(F.filter(bounds, lambda b: b["offset"] <= at), -1)["page"]
+def page_offsets(pages: DataFrame) -> DataFrame:
+    """doc_id, page_number, offset, chars: where each page's marker stands in its document's pages put one after another, and how long marker and page are."""
+    chars = F.length(page_marker(F.col("page_number"))) + 1 + F.length(F.coalesce("text", F.lit(""))) + 1
+    sized = pages.select("doc_id", "page_number", chars.cast("long").alias("chars"))
+    so_far = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sized.select("doc_id", "page_number", (F.sum("chars").over(so_far) - F.col("chars")).alias("offset"), "chars")
+
+
+def page_markers(pages: DataFrame) -> DataFrame:
+    """doc_id, merged_chars, max_page, last_offset: of a document's pages put one after another, without putting them."""
+    last = F.max(F.struct("page_number", "offset"))
+    return page_offsets(pages).groupBy("doc_id").agg(F.sum("chars").cast("int").alias("merged_chars"), F.max("page_number").alias("max_page"), last["offset"].cast("int").alias("last_offset"))
+
+
+def clause_pieces(pages: DataFrame) -> DataFrame:
+    """doc_id, page_number, piece, title, text: each page cut at the header lines in it; piece 0, without a title, goes on with the clause before.
+
+    A header that is a page's last line takes the line after it into its title, which is the next page's marker.  So a
+    page is read with that marker behind it, and no header needs more than its own page.
+    """
+    following = F.lead("page_number").over(Window.partitionBy("doc_id").orderBy("page_number"))
+    ahead = F.when(following.isNotNull(), page_marker(following)).otherwise(F.lit(""))
+    read = pages.select("doc_id", "page_number", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), ahead).alias("text"))
+    header = F.lit(T.CLAUSE_HEADER)
+    cut = read.select("doc_id", "page_number", F.regexp_extract_all("text", header, F.lit(1)).alias("heads"), F.split("text", T.CLAUSE_HEADER, -1).alias("gaps"))
+    each = F.transform("gaps", lambda g, k: F.struct(k.alias("piece"), F.when(k > 0, T.strip(F.get(F.col("heads"), k - 1))).alias("title"), F.regexp_replace(g, r"\x00PAGE:(\d+)\x00", "").alias("text")))
+    return cut.select("doc_id", "page_number", F.explode(each).alias("p")).select("doc_id", "page_number", "p.*")
 
 
 def split_clauses(pages: DataFrame) -> DataFrame:
@@ -48,25 +68,24 @@ def split_clauses(pages: DataFrame) -> DataFrame:
 
     A clause begins at a header line; text before the first header is a clause
     of its own if it has over ten characters; without headers the whole
-    document is one clause.
+    document is one clause.  Headers are found page by page; a running count of
+    them over a document's pieces numbers the clauses, so no row holds more
+    than a page until a clause's own pieces are put together.  A null text is
+    an empty page.
     """
-    unmark = lambda c: T.strip(F.regexp_replace(c, r"\x00PAGE:(\d+)\x00", ""))
-    docs = merged_pages(pages).withColumns({"heads": F.regexp_extract_all("merged", F.lit(T.CLAUSE_HEADER), F.lit(1)), "gaps": F.split("merged", T.CLAUSE_HEADER, -1)})
-    n = F.size("heads")
-    starts = F.aggregate(
-        F.zip_with(F.slice("gaps", 1, n), F.col("heads"), lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h"))),
-        F.expr("named_struct('at', 0, 'out', cast(array() as array<int>))"),
-        lambda a, x: F.struct((a["at"] + x["g"] + x["h"]).alias("at"), F.array_append(a["out"], a["at"] + x["g"]).alias("out")),
-        lambda a: a["out"],
-    )
-    preamble = unmark(F.col("gaps")[0])
-    listed = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(T.strip(F.element_at("heads", k)).alias("title"), unmark(F.element_at("gaps", k + 1)).alias("body"), F.element_at("starts", k).alias("at")))
-    one = lambda title, body: F.array(F.struct(F.lit(title).alias("title"), body.alias("body"), F.lit(0).alias("at")))
-    clauses = F.when(n == 0, one("Nội dung hợp đồng", unmark(F.col("merged")))).when(F.length(preamble) > 10, F.concat(one("Phần mở đầu", preamble), listed)).otherwise(listed)
-    docs = docs.withColumn("starts", starts).withColumn("clauses", clauses)
-    flat = docs.select("doc_id", "bounds", "max_page", F.size("clauses").alias("count"), "clauses", F.posexplode("clauses").alias("k", "c"))
-    following = F.when(F.col("k") + 1 < F.col("count"), _page_at(F.col("bounds"), F.try_element_at("clauses", F.col("k") + 2)["at"]))
-    return flat.select("doc_id", (F.col("k") + 1).alias("clause_no"), "c.title", "c.body", _page_at(F.col("bounds"), F.col("c.at")).alias("start_page"), F.coalesce(following, "max_page").alias("end_page"))
+    in_order = Window.partitionBy("doc_id").orderBy("page_number", "piece")
+    numbered = clause_pieces(pages).withColumn("island", F.count("title").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # where a page goes on, the line of its marker is empty
+    text = F.when(F.col("piece") == 0, F.concat(F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
+    joined = T.strip(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "piece", text.alias("text")))), lambda p: p["text"]), ""))
+    islands = numbered.groupBy("doc_id", "island").agg(F.max("title").alias("title"), joined.alias("body"), F.min("page_number").alias("start_page"), F.max("page_number").alias("last_page"))
+    whole = Window.partitionBy("doc_id")
+    told = islands.select("*", F.max("island").over(whole).alias("headers"), F.max("last_page").over(whole).alias("max_page"))
+    kept = told.where((F.col("island") > 0) | (F.col("headers") == 0) | (F.length("body") > 10))
+    title = F.when(F.col("island") > 0, F.col("title")).when(F.col("headers") == 0, "Nội dung hợp đồng").otherwise("Phần mở đầu")
+    by_place = whole.orderBy("island")
+    end = F.coalesce(F.lead("start_page").over(by_place), F.col("max_page"))
+    return kept.select("doc_id", F.row_number().over(by_place).alias("clause_no"), title.alias("title"), "body", "start_page", end.alias("end_page"))
 
 
 def word_stats(pages: DataFrame) -> DataFrame:

@@ -61,8 +61,15 @@ def clause_stats(spark, sf_dir):
 
 
 def page_markers(spark, sf_dir):
-    merged = text_ops.merged_pages(pages(spark, sf_dir))
-    return merged.select("doc_id", F.length("merged").alias("merged_chars"), "max_page", F.element_at("bounds", -1)["offset"].alias("last_offset"))
+    return text_ops.page_markers(pages(spark, sf_dir))
+
+
+def file_pages(spark, sf_dir):
+    """Documents as files of five kinds: texts with and without bad bytes, archives that are none, pictures, and kinds that nobody reads."""
+    ending = F.element_at(F.array(*map(F.lit, (".txt", ".DOCX", ".pdf", ".exe", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    content = F.when(F.col("doc_id") % 15 != 10, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF41C3"))))
+    named = Domain(spark, sf_dir)["documents"].select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), ending).alias("path"), content.alias("content"))
+    return files.pages_of_files(named)
 
 
 def document_json_sink(spark, sf_dir):
@@ -217,7 +224,7 @@ def audit_append(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        header_footer_lines, normalize_pages, clause_split, clause_stats, page_markers, word_stats, doc_validation, document_validation, document_json_sink, clean_cells,
+        header_footer_lines, normalize_pages, clause_split, clause_stats, page_markers, file_pages, word_stats, doc_validation, document_validation, document_json_sink, clean_cells,
         ocr_fold, assembled_pages, assembled_pages_without_ocr, keyword_entities, entity_upsert, llm_json_repair, entity_normalize, model_boundary,
         law_query_terms, law_search_top5, law_search_in_book, law_reference_blocks, law_rpc, file_crypto, audit_hours, audit_append,
     )
@@ -352,3 +359,7 @@ ORACLES["document_validation"] = _page("").rstrip() + f""", {_SPLIT},
     SELECT d.doc_id, concat_ws(' | ', CASE WHEN d.doc_id % 10 = 9 THEN 'Tài liệu không có trang nào được trích xuất' END, 'Trang rỗng sau normalize: ' || p.e, 'OCR confidence thấp (<0.6) tại trang: ' || p.l,
         'Điều khoản rỗng (không có nội dung): ' || f.h, 'Điều khoản thiếu tiêu đề: ' || f.n, CASE WHEN d.doc_id % 10 >= 8 THEN 'Không tìm thấy điều khoản nào — hãy kiểm tra format tài liệu' END) AS warnings
     FROM (SELECT DISTINCT doc_id FROM page) d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id"""
+ORACLES["file_pages"] = """SELECT '/in/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.pdf' WHEN 3 THEN '.exe' ELSE '' END AS path,
+    CASE doc_id % 5 WHEN 0 THEN 'page' WHEN 2 THEN 'other' ELSE 'reject' END AS kind, CASE WHEN doc_id % 5 = 0 THEN 1 END AS page_number,
+    CASE WHEN doc_id % 15 = 10 THEN '' WHEN doc_id % 5 = 0 THEN text || 'A' END AS text, CASE WHEN doc_id % 5 = 0 THEN 'native' END AS source, CASE WHEN doc_id % 5 = 0 THEN CAST(1 AS DOUBLE) END AS confidence,
+    CASE doc_id % 5 WHEN 1 THEN 'Not a word-processor file: no zip archive' WHEN 3 THEN 'Unsupported file type: .exe' WHEN 4 THEN 'Unsupported file type: none' END AS error FROM documents"""

@@ -36,37 +36,92 @@ def document_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return every.where("file_type is not null"), every.where("file_type is null").select("path", "ext", "length", told.alias("error"))
 
 
-def text_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One page per text file, with confidence 1."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.lit(1).alias("page_number"), F.col("value").alias("text"), F.lit("native").alias("source"), F.lit(1.0).alias("confidence"))
+#: What reading a file gives: pages, or why there are none.
+READ = "path string, kind string, page_number int, text string, source string, confidence double, error string"
+# Kinds of rows, and what is wrong with a file.
+PAGE_ROW, REJECT_ROW, OTHER_ROW = "page", "reject", "other"
+NO_ZIP, NO_BODY, NO_XML = "Not a word-processor file: no zip archive", "Not a word-processor file: no document part", "Not a word-processor file: broken document part"
+
+
+def _docx_text(blob: bytes) -> str:
+    """Paragraphs and table rows in document order, cells joined by tabs, blanks left out; ValueError with what is wrong."""
+    import io
+    import zipfile
+    import zlib
+    from xml.etree import ElementTree
+
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    words = lambda node: "".join(t.text or "" for t in node.iter(f"{w}t")).strip()
+    try:
+        part = zipfile.ZipFile(io.BytesIO(blob)).read("word/document.xml")
+    except KeyError:
+        raise ValueError(NO_BODY) from None
+    except (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError, ValueError):
+        raise ValueError(NO_ZIP) from None
+    try:
+        body = ElementTree.fromstring(part).find(f"{w}body")
+    except ElementTree.ParseError:
+        raise ValueError(NO_XML) from None
+    if body is None:
+        raise ValueError(NO_BODY)
+    lines = []
+    for node in body:
+        if node.tag == f"{w}p":
+            lines.append(words(node))
+        elif node.tag == f"{w}tbl":
+            lines += ["\t".join(c for c in (words(cell) for cell in row.iter(f"{w}tc")) if c) for row in node.iter(f"{w}tr")]
+    return "\n".join(x for x in lines if x)
+
+
+def pages_of_files(files: DataFrame) -> DataFrame:
+    """Each file (path, content) as rows of one pass: a page for a text or word-processor file, a reject with an error for one
+    that can't be read, and for pictures and PDF files, whose readers are elsewhere, a row of kind other.
+
+    Kinds go by the path's ending alone.  Texts are UTF-8 and bytes that aren't are left out, so no text is rejected; a
+    null content is an empty file.  A broken archive, a missing or broken part rejects its file and no other.
+    """
 
+    def read(batches):
+        import pyarrow as pa
 
-def docx_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One page per .docx file: paragraphs and table rows in document order, cells joined by tabs, blanks left out."""
+        names = [c.split()[0] for c in READ.split(", ")]
+        schema = pa.schema([("path", pa.string()), ("kind", pa.string()), ("page_number", pa.int32()), ("text", pa.string()), ("source", pa.string()), ("confidence", pa.float64()), ("error", pa.string())])
+        for batch in batches:
+            for k in range(len(batch)):
+                # one file at a time, so a batch of large files doesn't stand in memory twice
+                path, kind, told = (batch.column(c)[k].as_py() for c in ("path", "file_type", "error"))
+                blob = batch.column("content")[k].as_py() or b""
+                row = (path, REJECT_ROW if told else OTHER_ROW, None, None, None, None, told)
+                try:
+                    if kind == "txt":
+                        row = (path, PAGE_ROW, 1, blob.decode("utf-8", "ignore"), "native", 1.0, None)
+                    elif kind == "docx":
+                        row = (path, PAGE_ROW, 1, _docx_text(blob), "native", 1.0, None)
+                except ValueError as wrong:
+                    row = (path, REJECT_ROW, None, None, None, None, str(wrong))
+                yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=schema)
 
-    def read(batches):
-        import io
-        import zipfile
-        from xml.etree import ElementTree
+    told = F.when(F.col("file_type").isNull(), F.concat(F.lit("Unsupported file type: "), F.coalesce(F.nullif("ext", F.lit("")), F.lit("none"))))
+    kinds = with_kinds(files.withColumn("length", F.octet_length("content"))).select("path", "file_type", told.alias("error"), F.when(F.col("file_type").isin("txt", "docx"), F.col("content")).alias("content"))
+    return kinds.mapInArrow(read, READ)
 
-        import pandas as pd
 
-        w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-        words = lambda node: "".join(t.text or "" for t in node.iter(f"{w}t")).strip()
-        for batch in batches:
-            out = []
-            for name, blob in zip(batch["path"], batch["content"], strict=True):
-                body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(blob)).read("word/document.xml")).find(f"{w}body")
-                lines = []
-                for node in body:
-                    if node.tag == f"{w}p":
-                        lines.append(words(node))
-                    elif node.tag == f"{w}tbl":
-                        lines += ["\t".join(c for c in (words(cell) for cell in row.iter(f"{w}tc")) if c) for row in node.iter(f"{w}tr")]
-                out.append((name, 1, "\n".join(x for x in lines if x), "native", 1.0))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PAGES.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, PAGES)
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """All files below a path (of any store that Spark reads) as pages_of_files gives them, dealt to tasks by their bytes.
+
+    Spark's reader passes over files without a byte.
+    """
+    return pages_of_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+
+
+def text_pages(spark: SparkSession, path: str) -> DataFrame:
+    """One page per text file, with confidence 1."""
+    return read_documents(spark, path).where(F.col("kind") == PAGE_ROW).select("path", "page_number", "text", "source", "confidence")
+
+
+def docx_pages(spark: SparkSession, path: str) -> DataFrame:
+    """One page per .docx file: paragraphs and table rows in document order, cells joined by tabs, blanks left out; files that can't be read give none."""
+    return text_pages(spark, path)
 
 
 def seal(content: Column, key: str) -> Column:

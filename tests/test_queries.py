@@ -73,6 +73,36 @@ def test_clause_split(spark, pages):
     assert got == clauses_of(pages)
 
 
+def test_clauses_across_pages(spark):
+    """Random documents whose headers stand at page ends, over two lines, or nowhere, against the rule on the joined pages."""
+    import random
+
+    from pactum.operators.text_ops import split_clauses
+
+    rng = random.Random(12)
+    lines = ["Điều 3", "Article IV", "SECTION 2: Term", "dieu", "clause", "7", "Clause 7x", "", " ", "body text", "thân bài", "Article\t9. x", "section civil law", "\r", "Điều 4\r", "x" * 30, "0123456789"]
+    documents = {d: [(n, "\n".join(rng.choice(lines) for _ in range(rng.randrange(6)))) for n in sorted(rng.sample(range(1, 40), rng.randrange(1, 9)))] for d in range(150)}
+    df = spark.createDataFrame([(d, n, t) for d, pages in documents.items() for n, t in pages], "doc_id long, page_number int, text string").repartition(5)
+    got: dict = {}
+    for r in split_clauses(df).collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    assert {d: sorted(c) for d, c in got.items()} == {d: clauses_of(pages) for d, pages in documents.items()}
+    assert split_clauses(df.where("false")).count() == 0
+
+
+def test_clauses_of_a_very_long_document(spark):
+    from pyspark.sql import functions as F
+
+    from pactum.operators.text_ops import page_markers, split_clauses
+
+    n = 100_000
+    page = F.when(F.col("id") % 50 == 7, F.concat(F.lit("Điều "), F.col("id").cast("string"), F.lit(". Mục\nthân"))).otherwise(F.lit("trang chữ " * 20))
+    df = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("page_number"), page.alias("text"))
+    row = split_clauses(df).agg(F.count("*").alias("c"), F.max("end_page").alias("e"), F.sum(F.col("end_page") - F.col("start_page")).alias("s"), F.max("clause_no").alias("k")).first()
+    assert tuple(row) == (2001, n, n - 1, 2001)
+    assert page_markers(df).first()["max_page"] == n
+
+
 def test_normalise(spark):
     from pactum.operators.text_ops import normalize_pages
 
@@ -101,6 +131,39 @@ def test_files(spark, tmp_path):
     assert len(row["sealed"]) == 33 and bytes(row["back"]) == b"draft"
 
 
+def test_files_that_cannot_be_read(spark, tmp_path):
+    """One bad file rejects itself and no other."""
+    import io
+    import zipfile
+
+    from pactum.sources import files
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+    def archive(name, content, cut=0):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(name, content)
+        return held.getvalue()[: len(held.getvalue()) - cut]
+
+    good = f"<w:document {w}><w:body><w:p><w:r><w:t>fine</w:t></w:r></w:p></w:body></w:document>"
+    told = {
+        "a.docx": (archive("word/document.xml", good), "page", "fine"), "b.docx": (b"no zip", "reject", files.NO_ZIP), "c.docx": (archive("word/document.xml", good, 30), "reject", files.NO_ZIP),
+        "d.docx": (archive("word/other.xml", good), "reject", files.NO_BODY), "e.docx": (archive("word/document.xml", "<w:broken"), "reject", files.NO_XML),
+        "f.docx": (archive("word/document.xml", f"<w:document {w}/>"), "reject", files.NO_BODY), "g.docx": (b"", "reject", files.NO_ZIP),
+        "h.txt": (b"ok \xff\xc3 end", "page", "ok  end"), "i.TXT": (b"", "page", ""), "j.pdf": (b"%PDF", "other", None), "k": (b"x", "reject", "Unsupported file type: none"),
+    }
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for k, (name, (content, *_)) in enumerate(told.items()):
+        (tmp_path / "in" / ("deep" if k % 2 else ".") / name).write_bytes(content)
+    got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["text"] if r["kind"] == "page" else r["error"]) for r in files.read_documents(spark, str(tmp_path / "in")).collect()}
+    # Spark's reader passes over files without a byte; as rows they have their kind
+    assert got == {name: tuple(t[1:]) for name, t in told.items() if t[0]}
+    empty = files.pages_of_files(spark.createDataFrame([(name, t[0]) for name, t in told.items() if not t[0]], "path string, content binary"))
+    assert {r["path"]: r["kind"] for r in empty.collect()} == {"g.docx": "reject", "i.TXT": "page"}
+    assert files.pages_of_files(spark.createDataFrame([("x.txt", None)], "path string, content binary")).first()["text"] == ""
+
+
 def rows(df):
     return sorted(tuple(map(str, r)) for r in df.collect())
 
