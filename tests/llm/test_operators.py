@@ -416,12 +416,29 @@ def test_mixing_against_windows_by_hand():
         assert list(mixing.schedule(sources)) == want
 
 
-def test_mixing_bounds_its_schedule(spark, monkeypatch):
+def test_mixing_of_a_million_blocks():
+    """Every block in its window, every slot taken once, every source less than one block from its share in every slot of a phase."""
     from pactum.llm import mixing
 
-    monkeypatch.setattr(mixing, "MOST_BLOCKS", 20)
-    got = mixing.mix(docs_of(spark, ["x"] * 5000)).collect()
-    assert len({(r["source"], r["block"]) for r in got}) <= 23 and sorted(r["position"] for r in got) == list(range(5000))
+    sizes = {f"s{k}": 30_000 * (k + 1) for k in range(8)}
+    weights = mixing.target_weights(sizes, None)
+    rows = list(mixing.schedule([(name, n, weights[name]) for name, n in sizes.items()]))
+    assert len(rows) == sum(sizes.values()) >= 10**6 and [r[2] for r in rows] == list(range(len(rows)))
+    assert all(r[4] <= r[2] < r[5] for r in rows)
+    assert {r[0] for r in rows} == set(sizes) and all(sum(r[0] == name for r in rows[:: len(rows) // 5000]) for name in sizes)
+    first = [r for r in rows if r[3] == 0]
+    total = float(sum(weights.values()))
+    for name in sizes:
+        got = np.cumsum([r[0] == name for r in first])
+        assert np.abs(got - np.arange(1, len(first) + 1) * float(weights[name]) / total).max() < 1
+
+
+def test_mixing_blocks_are_the_same_at_every_size(spark):
+    from pactum.llm.mixing import BLOCK_DOCS, mix
+
+    rows = mix(spark.range(300_000).selectExpr("id AS doc_id", "concat('s', least(id % 4, 2)) AS source")).selectExpr("source", "block", "position").groupBy("source", "block").count()
+    sizes = [r["count"] for r in rows.collect()]
+    assert max(sizes) == BLOCK_DOCS and sum(sizes) == 300_000 and sum(n < BLOCK_DOCS for n in sizes) <= 3
 
 
 def test_mixing_keeps_exact_weights():
