@@ -28,8 +28,10 @@ from pyspark.sql.types import ArrayType, FloatType
 from pactum.llm.shared import broadcast_if_small, components, stash
 
 THRESHOLD = 0.9
-#: Bytes of a shard's vectors and links in memory, about 20 for each number of a vector; and shards at least.
-SHARD_BYTES, LEAST_SHARDS = 256 << 20, 12
+#: Bytes of a shard's vectors and links in memory, about 20 for each number of a vector.
+SHARD_BYTES = 256 << 20
+#: Tables that one shard could hold are still dealt to some, of so many nodes at least, so that several tasks answer.
+SHARDS, SHARD_NODES = 12, 4096
 #: Neighbours kept per node, beam while building, beam to begin queries with, share of a layer that is in the next.
 NEIGHBOURS, BUILD_BEAM, QUERY_BEAM, LAYER_SHARE = 12, 24, 16, 16
 #: Layers up to this size are looked through whole; nodes of a beam whose neighbours are fetched at once; queries x nodes marked as seen at once.
@@ -349,28 +351,37 @@ def _answer(least: float, single: bool):
     def answer(batches):
         """A partition holds shards one after another: a shard's own vectors, then the queries.
 
-        Yields rows of kind 0 (node, weight of its links), 1 (two linked nodes) and 2 (links found and there in audits).
+        Yields rows of kind 0 (node, weight of its links), 1 (two linked nodes), 2 (links found and there in audits that passed)
+        and 3 (queries that the graph answered, and that brute force did).
         """
         import pandas as pd
 
         dtype = "<f4" if single else "<f8"
-        shard, held, own, graph, joined, beam, audits = None, [], None, None, None, QUERY_BEAM, [0, 0]
+        shard, held, own, graph, joined, beam, audits, asked = None, [], None, None, None, QUERY_BEAM, [0, 0], [0, 0]
 
         def answered(ids, unit):
-            """Pairs found for a block of queries, after beams are wide enough for those of the audit."""
+            """Pairs found for a block of queries: by the graph, with beams as wide as the audit asks for; by brute force where it
+            fails and a wider beam would cost as much."""
             nonlocal beam
-            audit, true = np.arange(0, len(ids), AUDIT_SHARE), None
-            while beam * 2 * NEIGHBOURS < len(own.nodes):
+            audit = None
+            while True:
                 who, which = graph.within(unit, own, least, beam)
-                if true is None:
+                got = link_counts(len(unit), ids, own.nodes, who, which)
+                if audit is None:
+                    # every so manyth query, and as many of those that link, of which there may be few
+                    every, some = np.arange(0, len(ids), AUDIT_SHARE), np.flatnonzero(got)
+                    audit = np.union1d(every, some[:: -(-len(some) // len(every))]) if len(some) else every
                     true = link_counts(len(audit), ids[audit], own.nodes, *own.brute_force(unit[audit], least))
-                got = link_counts(len(unit), ids, own.nodes, who, which)[audit]
+                got = got[audit]
                 if recalled(got, true):
                     audits[0] += int(np.minimum(got, true).sum())
                     audits[1] += int(true.sum())
+                    asked[0] += len(ids)
                     return who, which
+                if beam * 4 * NEIGHBOURS >= len(own.nodes):
+                    asked[1] += len(ids)
+                    return own.brute_force(unit, least)
                 beam *= 2
-            return own.brute_force(unit, least)
 
         def queries(ids, unit):
             who, which = answered(ids, unit)
@@ -385,10 +396,11 @@ def _answer(least: float, single: bool):
             return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), len(some)), "a": a, "b": b})
 
         def closing():
-            """Links among the shard's own vectors that its queries told, and what its audits saw."""
+            """Links among the shard's own vectors that its queries told, what its audits saw, and what answered."""
             low = np.flatnonzero(joined.parent != np.arange(len(own.nodes)))
             a, b = own.nodes[low], own.nodes[joined.parent[low]]
-            return pd.DataFrame({"kind": np.concatenate((np.full(len(low), 1, np.int32), [np.int32(2)])), "a": np.append(a, audits[0]), "b": np.append(b, audits[1])})
+            kinds = np.concatenate((np.full(len(low), 1), [2, 3])).astype(np.int32)
+            return pd.DataFrame({"kind": kinds, "a": np.concatenate((a, [audits[0], asked[0]])), "b": np.concatenate((b, [audits[1], asked[1]]))})
 
         for batch in batches:
             keys = batch["shard"].to_numpy() * 2 + batch["side"].to_numpy()
@@ -398,7 +410,7 @@ def _answer(least: float, single: bool):
                 if s != shard:
                     if own is not None:
                         yield closing()
-                    shard, held, own, graph, joined, beam, audits = s, [], None, None, None, QUERY_BEAM, [0, 0]
+                    shard, held, own, graph, joined, beam, audits, asked = s, [], None, None, None, QUERY_BEAM, [0, 0], [0, 0]
                 for a in range(0, len(part), BLOCK):
                     rows = part[a : a + BLOCK]
                     ids = batch["node"].to_numpy()[rows]
@@ -442,10 +454,11 @@ def _nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
 
 
 def find_links(nodes: DataFrame, single: bool, least: float = THRESHOLD) -> DataFrame:
-    """Rows of kind 0 (node, number of rows it links with), 1 (linked nodes) and 2 (links found by audits, links there), for distinct vectors."""
+    """Rows of kind 0 (node, number of rows it links with), 1 (linked nodes), 2 (links found by audits, links there) and 3 (queries
+    answered by graphs, by brute force), for distinct vectors."""
     size = nodes.agg(F.count("*").alias("n"), F.max(F.length("packed")).alias("bytes")).first()
     rows = max(1, SHARD_BYTES // max(1, 20 * (size["bytes"] or 4) // (4 if single else 8)))
-    shards = max(LEAST_SHARDS, math.ceil(size["n"] / rows))
+    shards = max(min(SHARDS, -(-size["n"] // SHARD_NODES)), -(-size["n"] // rows), 1)
     # vectors of one length at a time: the length is part of the shard's key
     length = F.length("packed").cast("long")
     deal = lambda df, k, side: df.select(k.cast("int").alias("place"), (k + length * shards).alias("shard"), F.lit(side).alias("side"), "node", "n", "packed")
@@ -456,11 +469,17 @@ def find_links(nodes: DataFrame, single: bool, least: float = THRESHOLD) -> Data
 
 
 def audited_recall(found: DataFrame) -> float | None:
-    """The share of links that were found of those that audits of graph answers saw; None if brute force answered everything."""
+    """The share of links that were found of those that audits of graph answers saw; None if they saw none."""
     row = found.where("kind = 2").agg(F.sum("a").alias("found"), F.sum("b").alias("true")).first()
     return row["found"] / row["true"] if row["true"] else None
 
 
+def brute_share(found: DataFrame) -> float:
+    """The share of queries (a vector asked of a shard) that brute force answered after the graph's audit failed."""
+    row = found.where("kind = 3").agg(F.sum("a").alias("graph"), F.sum("b").alias("brute")).first()
+    return (row["brute"] or 0) / max(1, (row["graph"] or 0) + (row["brute"] or 0))
+
+
 def dedup_vectors(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row (vec_id, embedding).
 

@@ -586,7 +586,9 @@ def test_vectors_of_groups_copies_and_shared_ids(spark, monkeypatch):
         assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {k: (n, root[k], root[k] == k) for k, n in want.items()}
     _, nodes, single = vector_dedup._nodes(df)
     assert single and nodes.count() == 600
-    assert vector_dedup.audited_recall(vector_dedup.find_links(nodes, single)) in (None, 1.0)
+    found = vector_dedup.find_links(nodes, single)
+    # the graph answers, of a table of 600 too, and what it found is known to be nearly all
+    assert vector_dedup.audited_recall(found) >= 0.99 and vector_dedup.brute_share(found) < 0.5
 
 
 def labelled(spark, rng, bad):
