@@ -108,6 +108,52 @@ def store_entities(entities: DataFrame, existing: DataFrame) -> DataFrame:
     return existing.unionByName(fresh.select(*existing.columns))
 
 
+def analysis_list(runs: DataFrame, versions: DataFrame, contracts: DataFrame, findings: DataFrame, rules: DataFrame, company_id: int | None = None, preview: int = 3) -> DataFrame:
+    """Every analysis as its list shows it: contract, model, score, label, summary, number of findings, the first risks, and when.
+
+    findings: (id, analysis_id, rule_id, risk_level); rules: (id, rule_name, severity).  The preview has the first
+    finding, by id, of each risk name, and the first `preview` of these: (risk_name, risk_level, severity_level).  Only
+    an analysis' distinct names are numbered, and its findings counted by partial sums.
+    """
+    v = versions.select(F.col("id").alias("version_id"), "contract_id")
+    c = contracts.select(F.col("id").alias("contract_id"), "company_id", "contract_code", F.col("title").alias("contract_title"), F.col("status").alias("contract_status"))
+    c = c if company_id is None else c.where(F.col("company_id") == company_id)
+    counts = findings.groupBy("analysis_id").agg(F.count("*").alias("findings_count"))
+    named = findings.join(rules.select(F.col("id").alias("rule_id"), "rule_name", "severity"), "rule_id")
+    first = named.groupBy("analysis_id", "rule_name").agg(F.min(F.struct("id", "risk_level", "severity")).alias("f"))
+    first = top_by(first.select("analysis_id", "rule_name", "f.*"), "analysis_id", "id", "rule_name", n=preview, place="place")
+    shown = F.struct("place", F.struct(F.col("rule_name").alias("risk_name"), "risk_level", F.col("severity").alias("severity_level")).alias("r"))
+    first = first.groupBy("analysis_id").agg(F.transform(F.sort_array(F.collect_list(shown)), lambda x: x["r"]).alias("findings_preview"))
+    score = F.coalesce(F.col("overall_score").cast("int"), F.lit(0))
+    rows = runs.join(v, "version_id").join(c, "contract_id").withColumnRenamed("id", "analysis_id").join(counts, "analysis_id", "left").join(first, "analysis_id", "left")
+    none = F.array().cast("array<struct<risk_name:string,risk_level:string,severity_level:string>>")
+    return rows.select(
+        F.col("analysis_id").alias("id"), "contract_id", "contract_code", "contract_title", "contract_status", "model_name", score.alias("overall_score"), N.risk_label(F.col("overall_score")).alias("risk_label"),
+        "summary", F.coalesce("findings_count", F.lit(0)).alias("findings_count"), F.coalesce("findings_preview", none).alias("findings_preview"), N.minute(F.col("created_at")).alias("created_at"),
+    )
+
+
+# Types of entities that a model makes.
+MODEL_TYPES = ("COMPANY_NAME", "TAX_CODE", "CONTRACT_VALUE", "DATE_EFFECTIVE", "DATE_EXPIRE")
+
+
+def without_model_entities(entities: DataFrame, clauses: DataFrame, version_ids: DataFrame) -> DataFrame:
+    """Entities (clause_id, entity_type) before some versions are extracted again: those that a model made for their clauses are gone."""
+    again = clauses.join(version_ids.select("version_id").distinct(), "version_id", "left_semi").select(F.col("id").alias("clause_id"))
+    made = again.withColumn("entity_type", F.explode(F.array(*map(F.lit, MODEL_TYPES))))
+    return entities.join(made, ["clause_id", "entity_type"], "left_anti")
+
+
+def spread_entities(found: DataFrame, clauses: DataFrame, existing: DataFrame) -> DataFrame:
+    """existing (clause_id, entity_type, entity_value, normalized_value, confidence) and the entities of a model's answer.
+
+    found: (id, version_id, clause_title, ...).  An entity goes to every clause of its version whose title matches as
+    findings' do; of one clause, type and value what is there stays, and of new ones the first by id.
+    """
+    placed = found.join(match_findings(found, clauses).withColumnRenamed("finding_id", "id"), "id")
+    return store_entities(placed.select("id", "clause_id", "entity_type", "entity_value", "normalized_value", F.coalesce("confidence", F.lit(1)).cast("decimal(5,2)").alias("confidence")), existing)
+
+
 def entity_order(entities: DataFrame, clauses: DataFrame) -> DataFrame:
     """Entities of each version, numbered by clause, type and value."""
     c = clauses.select(F.col("id").alias("clause_id"), "version_id")

@@ -15,8 +15,14 @@ CLOSING_WORDS = ("ký kết", "signing", "lưu trữ", "archive")
 APPROVAL_WORDS = ("phê duyệt", "chủ trương", "quản lý", "giám đốc", "ban điều hành")
 APPROVAL_ROLES = (5, 11)
 INTAKE_STEP = ("Rà soát & Tiếp nhận Dự thảo Hợp đồng", 4)
+INTAKE_TEXT = "Kiểm tra tính đầy đủ của hồ sơ dự thảo, tư cách pháp nhân các bên và hình thức hợp đồng."
 APPROVAL_STEP = ("Phê duyệt Chủ trương & Phương án Thực hiện Cấp Quản lý", 5)
+APPROVAL_TEXT = "Cấp quản lý trực tiếp xét duyệt phương án triển khai, chi phí và định hướng hợp đồng."
 CLOSING_STEPS = (("Thực hiện Ký kết Hợp đồng Chính thức", 4), ("Bàn giao Bản cứng & Lưu trữ Kho Hồ sơ Hợp đồng", 4))
+CLOSING_TEXTS = (
+    "Đại diện có thẩm quyền của các bên thực hiện ký kết hợp đồng bằng chữ ký số.",
+    "Lưu trữ bản hợp đồng chính thức và các tài liệu bàn giao liên quan vào hệ thống quản lý.",
+)
 DEFAULT_STEPS = (INTAKE_STEP, ("Phê duyệt Chủ trương Cấp Quản lý", 5), CLOSING_STEPS[0], ("Bàn giao & Lưu trữ Kho Hồ sơ Hợp đồng", 4))
 STEP_ROLES = (
     ("Contract Negotiation", 4), ("Legal Review", 4), ("Technical Review", 7), ("Security Review", 8), ("Compliance Review", 9), ("Finance Review", 6),
@@ -113,8 +119,8 @@ def step_signers(approvals: DataFrame, staff: DataFrame, roles: DataFrame) -> Da
     return signed.groupBy("step_id").agg(F.array_join(F.transform(listed, lambda x: x["label"]), ", ").alias("signers"))
 
 
-def _step(name: str, role: int) -> Column:
-    return F.struct(F.lit(name).alias("step_name"), F.lit(role).cast("int").alias("role_id"))
+def _step(name: str, role: int, description: str = "") -> Column:
+    return F.struct(F.lit(name).alias("step_name"), F.lit(role).cast("int").alias("role_id"), F.lit(description).alias("description"))
 
 
 def anchored(steps: Column) -> Column:
@@ -124,19 +130,19 @@ def anchored(steps: Column) -> Column:
     """
     low = lambda s: F.lower(F.coalesce(s["step_name"], F.lit("")))
     head = F.when(F.size(steps) > 0, any_of(low(steps[0]), INTAKE_WORDS)).otherwise(F.lit(False))
-    begun = F.when(head, steps).otherwise(F.concat(F.array(_step(*INTAKE_STEP)), steps))
+    begun = F.when(head, steps).otherwise(F.concat(F.array(_step(*INTAKE_STEP, INTAKE_TEXT)), steps))
     middle = F.filter(begun, lambda s: ~any_of(low(s), CLOSING_WORDS))
     approves = F.exists(middle, lambda s: F.coalesce(s["role_id"].isin(*APPROVAL_ROLES), F.lit(False)) | any_of(low(s), APPROVAL_WORDS))
-    approved = F.when(approves, middle).otherwise(F.concat(middle, F.array(_step(*APPROVAL_STEP))))
-    return F.concat(approved, F.array(*[_step(*s) for s in CLOSING_STEPS]))
+    approved = F.when(approves, middle).otherwise(F.concat(middle, F.array(_step(*APPROVAL_STEP, APPROVAL_TEXT))))
+    return F.concat(approved, F.array(*[_step(*s, text) for s, text in zip(CLOSING_STEPS, CLOSING_TEXTS, strict=True)]))
 
 
 def anchor_steps(steps: DataFrame) -> DataFrame:
-    """(workflow_id, step_order, step_name, role_id): each workflow's recommended steps, anchored and numbered from 1."""
-    kinds = F.sort_array(F.collect_list(F.struct("step_order", "id", "step_name", F.col("role_id").cast("int").alias("role_id"))))
-    listed = steps.groupBy("workflow_id").agg(F.transform(kinds, lambda s: F.struct(s["step_name"].alias("step_name"), s["role_id"].alias("role_id"))).alias("steps"))
+    """(workflow_id, step_order, step_name, role_id, description): each workflow's recommended steps, anchored and numbered from 1."""
+    kinds = F.sort_array(F.collect_list(F.struct("step_order", "id", "step_name", F.col("role_id").cast("int").alias("role_id"), F.coalesce("description", F.lit("")).alias("description"))))
+    listed = steps.groupBy("workflow_id").agg(F.transform(kinds, lambda s: F.struct(s["step_name"].alias("step_name"), s["role_id"].alias("role_id"), s["description"].alias("description"))).alias("steps"))
     numbered = listed.select("workflow_id", F.posexplode(anchored(F.col("steps"))).alias("k", "s"))
-    return numbered.select("workflow_id", (F.col("k") + 1).alias("step_order"), "s.step_name", "s.role_id")
+    return numbered.select("workflow_id", (F.col("k") + 1).alias("step_order"), "s.step_name", "s.role_id", "s.description")
 
 
 def default_workflows(workflows: DataFrame) -> DataFrame:

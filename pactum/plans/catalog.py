@@ -51,6 +51,17 @@ def _reextract(d: Domain) -> DataFrame:
     return analyses.cascade(entities, analyses.reanalysed(old, new), "clause_id").select("entity_id", "clause_id")
 
 
+def _analysis_list(d: Domain) -> DataFrame:
+    told = F.transform("findings_preview", lambda r: F.concat_ws(":", r["risk_name"], r["risk_level"], r["severity_level"]))
+    return analyses.analysis_list(d["analysis_run"], d["version"], d["contract"], d["run_finding"], d["rule"]).withColumn("findings_preview", F.array_join(told, "; "))
+
+
+def _entity_spread(d: Domain) -> DataFrame:
+    have = d["clause_entity"].where("entity_type = 'DATE_EXPIRE' AND clause_id % 2 = 0")
+    have = have.select("clause_id", "entity_type", F.lit("v0").alias("entity_value"), F.lit("V0").alias("normalized_value"), F.lit(0.5).cast("decimal(5,2)").alias("confidence"))
+    return analyses.spread_entities(d["api_entity"], d["clause"], have)
+
+
 def _clause_order(d: Domain) -> DataFrame:
     kinds = F.explode(F.array(F.lit("PARTY"), F.lit("ACTION"))).alias("entity_type")
     return analyses.entity_order(d["clause"].select("id", kinds, F.col("title").alias("entity_value")), d["clause"])
@@ -159,6 +170,9 @@ BOUND: dict[str, Callable[[Domain], DataFrame]] = {
     "contract_status": lambda d: analyses.contract_status(d["contract"], d["contract_event"]),
     "reanalysis": _reanalysis,
     "reextract_cascade": _reextract,
+    "analysis_list": _analysis_list,
+    "entity_clear": lambda d: analyses.without_model_entities(d["clause_entity"], d["clause"], d["clause"].where("version_id % 2 = 1")),
+    "entity_spread": _entity_spread,
     "clause_types": lambda d: analyses.clause_types(d["clause"]),
     "clause_order": _clause_order,
     "clause_texts": lambda d: analyses.first_clauses(d["clause"]),

@@ -392,18 +392,19 @@ TWINS = {
         SELECT step_id, string_agg(label, ', ' ORDER BY first) AS signers FROM once GROUP BY step_id
     """,
     "anchor_steps": r"""
-        WITH s AS (SELECT workflow_id, step_order, lower(step_name) AS low, step_name, role_id, row_number() OVER (PARTITION BY workflow_id ORDER BY
+        WITH s AS (SELECT workflow_id, step_order, lower(step_name) AS low, step_name, role_id, description, row_number() OVER (PARTITION BY workflow_id ORDER BY
             step_order, id) AS k FROM {step}),
         heads AS (SELECT workflow_id, regexp_matches(low, 'sơ bộ|đầu tiên|tổng quan|tiếp nhận|dự thảo|đăng ký|kiểm tra ban đầu') AS begun FROM s WHERE k = 1),
-        kept AS (SELECT workflow_id, k, step_name, role_id, role_id IN (5, 11) OR regexp_matches(low, 'phê duyệt|chủ trương|quản lý|giám đốc|ban điều hành') AS
+        kept AS (SELECT workflow_id, k, step_name, role_id, description, role_id IN (5, 11) OR regexp_matches(low, 'phê duyệt|chủ trương|quản lý|giám đốc|ban điều hành') AS
             approves FROM s WHERE NOT regexp_matches(low, 'ký kết|signing|lưu trữ|archive')),
-        every AS (SELECT workflow_id, k, step_name, role_id FROM kept
-            UNION ALL SELECT workflow_id, 0, 'Rà soát & Tiếp nhận Dự thảo Hợp đồng', 4 FROM heads WHERE NOT begun
-            UNION ALL SELECT workflow_id, 1000, 'Phê duyệt Chủ trương & Phương án Thực hiện Cấp Quản lý', 5 FROM heads WHERE workflow_id NOT IN (SELECT
-                workflow_id FROM kept WHERE approves)
-            UNION ALL SELECT workflow_id, 1001, 'Thực hiện Ký kết Hợp đồng Chính thức', 4 FROM heads
-            UNION ALL SELECT workflow_id, 1002, 'Bàn giao Bản cứng & Lưu trữ Kho Hồ sơ Hợp đồng', 4 FROM heads)
-        SELECT workflow_id, row_number() OVER (PARTITION BY workflow_id ORDER BY k) AS step_order, step_name, role_id FROM every
+        every AS (SELECT workflow_id, k, step_name, role_id, description FROM kept
+            UNION ALL SELECT workflow_id, 0, 'Rà soát & Tiếp nhận Dự thảo Hợp đồng', 4, 'Kiểm tra tính đầy đủ của hồ sơ dự thảo, tư cách pháp nhân các bên và hình thức hợp đồng.' FROM heads WHERE NOT begun
+            UNION ALL SELECT workflow_id, 1000, 'Phê duyệt Chủ trương & Phương án Thực hiện Cấp Quản lý', 5,
+                'Cấp quản lý trực tiếp xét duyệt phương án triển khai, chi phí và định hướng hợp đồng.' FROM heads WHERE workflow_id NOT IN (SELECT workflow_id FROM kept WHERE approves)
+            UNION ALL SELECT workflow_id, 1001, 'Thực hiện Ký kết Hợp đồng Chính thức', 4, 'Đại diện có thẩm quyền của các bên thực hiện ký kết hợp đồng bằng chữ ký số.' FROM heads
+            UNION ALL SELECT workflow_id, 1002, 'Bàn giao Bản cứng & Lưu trữ Kho Hồ sơ Hợp đồng', 4,
+                'Lưu trữ bản hợp đồng chính thức và các tài liệu bàn giao liên quan vào hệ thống quản lý.' FROM heads)
+        SELECT workflow_id, row_number() OVER (PARTITION BY workflow_id ORDER BY k) AS step_order, step_name, role_id, description FROM every
     """,
     "default_workflow": r"""
         WITH w AS (SELECT id, CASE WHEN starts_with(t, 'WF_') THEN t WHEN t = '' THEN 'WF_STANDARD' ELSE 'WF_' || t END AS workflow_type FROM (SELECT id,
@@ -570,4 +571,25 @@ TWINS = {
             'Không tìm thấy điều luật ' || a.article_number || ' của ' || a.law_name || '.') AS answer
         FROM asked a LEFT JOIN (SELECT DISTINCT ON (law_name, article_number) * FROM {law} ORDER BY law_name, article_number, law_id) l USING (law_name, article_number)
     """,
+    "analysis_list": r"""
+        WITH f AS (SELECT f.*, r.rule_name, r.severity, row_number() OVER (PARTITION BY f.analysis_id, r.rule_name ORDER BY f.id, f.risk_level, r.severity) AS n FROM {run_finding} f JOIN {rule} r ON r.id = f.rule_id),
+        p AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY id, rule_name) AS place FROM f WHERE n = 1),
+        shown AS (SELECT analysis_id, string_agg(rule_name || ':' || risk_level || ':' || severity, '; ' ORDER BY place) AS preview FROM p WHERE place <= 3 GROUP BY analysis_id)
+        SELECT a.id, c.id AS contract_id, c.contract_code, c.title AS contract_title, c.status AS contract_status, a.model_name, coalesce(a.overall_score, 0) AS overall_score,
+            CASE WHEN coalesce(a.overall_score, 0) >= 80 THEN 'HIGH' WHEN coalesce(a.overall_score, 0) >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS risk_label, a.summary,
+            (SELECT count(*) FROM {run_finding} f WHERE f.analysis_id = a.id) AS findings_count, coalesce(s.preview, '') AS findings_preview, strftime(a.created_at, '%Y-%m-%d %H:%M') AS created_at
+        FROM {analysis_run} a JOIN {version} v ON v.id = a.version_id JOIN {contract} c ON c.id = v.contract_id LEFT JOIN shown s ON s.analysis_id = a.id
+    """,
+    "entity_clear": r"""
+        SELECT e.clause_id, e.entity_type FROM {clause_entity} e JOIN {clause} c ON c.id = e.clause_id
+        WHERE c.version_id % 2 = 0 OR e.entity_type NOT IN ('COMPANY_NAME', 'TAX_CODE', 'CONTRACT_VALUE', 'DATE_EFFECTIVE', 'DATE_EXPIRE')
+    """,
+    "entity_spread": r"""
+        WITH f AS (SELECT id, version_id, lower(trim(clause_title)) AS t, entity_type, entity_value, normalized_value, confidence FROM {api_entity}), c AS (SELECT id, version_id, lower(trim(title)) AS t FROM {clause}),
+        m AS (SELECT f.*, c.id AS clause_id FROM f JOIN c ON c.version_id = f.version_id WHERE f.t = c.t OR f.t <> '' AND c.t <> '' AND (c.t LIKE '%' || f.t || '%' OR f.t LIKE '%' || c.t || '%')),
+        fresh AS (SELECT DISTINCT ON (clause_id, entity_type, entity_value) clause_id, entity_type, entity_value, normalized_value, CAST(coalesce(confidence, 1) AS DECIMAL(5, 2)) AS confidence FROM m
+            WHERE (clause_id, entity_type) NOT IN (SELECT (clause_id, entity_type) FROM {clause_entity} WHERE entity_type = 'DATE_EXPIRE' AND clause_id % 2 = 0) OR entity_value <> 'v0'
+            ORDER BY clause_id, entity_type, entity_value, id)
+        SELECT * FROM fresh UNION ALL SELECT clause_id, entity_type, 'v0', 'V0', CAST(0.5 AS DECIMAL(5, 2)) FROM {clause_entity} WHERE entity_type = 'DATE_EXPIRE' AND clause_id % 2 = 0
+    """,
 }

@@ -24,7 +24,7 @@ DOMAIN = {
         CAST(CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE o_totalprice END AS DECIMAL(18, 2)) AS contract_value,
         CASE o_orderstatus WHEN 'O' THEN 'DRAFT' WHEN 'P' THEN 'ANALYZED' ELSE 'APPROVED' END AS status, o_orderdate AS created_at FROM {orders}""",
     "version": "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS contract_id, l_linenumber AS version_number FROM {lineitem}",
-    "rule": "SELECT p_partkey AS id, p_name AS rule_name, p_brand AS description FROM {part}",
+    "rule": "SELECT p_partkey AS id, p_name AS rule_name, p_brand AS description, CASE p_partkey % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM {part}",
     "finding": """SELECT (l_partkey * 7919 + l_suppkey * 31 + l_orderkey) % 1000003 AS id, l_orderkey * 8 + l_linenumber AS version_id, l_partkey AS rule_id, CAST(floor(l_quantity * 2) AS INT) AS risk_score,
         CASE WHEN round(l_discount * 100) < 1 THEN 'NONE' WHEN round(l_discount * 100) < 4 THEN 'LOW' WHEN round(l_discount * 100) < 8 THEN 'MEDIUM'
              WHEN round(l_discount * 100) < 10 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM {lineitem}""",
@@ -36,7 +36,8 @@ DOMAIN = {
         (8, 'SECURITY'), (9, 'COMPLIANCE'), (10, 'PROCUREMENT'), (11, 'EXECUTIVE')) AS r(id, role_name)""",
     "step": """SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS workflow_id, CAST(l_linenumber AS INT) AS step_order, max(l_partkey % 11 + 1) AS role_id,
         CASE max(l_linenumber % 4) WHEN 0 THEN 'Phê duyệt cấp quản lý' WHEN 1 THEN 'Rà soát dự thảo' WHEN 2 THEN 'Security Review' ELSE 'Ký kết hợp đồng' END AS step_name,
-        CASE max(l_returnflag) WHEN 'A' THEN 'APPROVED' WHEN 'R' THEN 'REJECTED' ELSE 'PENDING' END AS status FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+        CASE max(l_returnflag) WHEN 'A' THEN 'APPROVED' WHEN 'R' THEN 'REJECTED' ELSE 'PENDING' END AS status, concat('about step ', l_linenumber) AS description
+        FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "workflow": "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'IN_PROGRESS' WHEN 'P' THEN 'PENDING' ELSE 'COMPLETED' END AS status, o_orderpriority AS workflow_type FROM {orders}",
     "dependency": "SELECT a.id AS prerequisite_id, b.id AS dependent_id, a.workflow_id FROM {step} a JOIN {step} b ON a.workflow_id = b.workflow_id AND b.step_order = a.step_order + 1",
     # events of a workflow's steps in order of id; some name a step that isn't there, or ask for nothing known
@@ -88,7 +89,15 @@ DOMAIN = {
     # several analyses of a version, in time; some without a score
     "analysis_run": """SELECT (l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey AS id, l_orderkey * 8 + l_linenumber AS version_id, concat('model-', l_suppkey % 3) AS model_name,
         CASE WHEN l_suppkey % 7 <> 0 THEN CAST(floor(max(l_quantity) * 2) AS INT) END AS overall_score, CASE WHEN max(l_quantity) >= 40 THEN 'HIGH' ELSE 'LOW' END AS risk_level,
-        max(l_shipdate) AS created_at FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_suppkey""",
+        max(l_shipdate) AS created_at, concat('run of ', l_suppkey) AS summary FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_suppkey""",
+    "run_finding": """SELECT (l_partkey * 7919 + l_suppkey * 31 + l_orderkey * 13 + l_linenumber) % 1000003 AS id, (l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey AS analysis_id, l_partkey AS rule_id,
+        CASE l_partkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM {lineitem}
+        UNION ALL SELECT (l_partkey * 31 + l_orderkey) % 999983 + 2000000, (l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey, l_partkey % 50 + 1, 'LOW' FROM {lineitem} WHERE l_orderkey % 3 = 0""",
+    "clause_entity": """SELECT c.id AS clause_id, e.entity_type FROM {clause} c, (VALUES ('COMPANY_NAME'), ('DATE_EXPIRE'), ('PARTY')) AS e(entity_type) WHERE (c.id + length(e.entity_type)) % 3 <> 1""",
+    "api_entity": """SELECT conv_id * 1000 + turn AS id, conv_id AS version_id,
+        CASE turn % 4 WHEN 0 THEN 'clause 1' WHEN 1 THEN ' CLAUSE 2 of the annex' WHEN 2 THEN '' ELSE 'Clause' END AS clause_title,
+        CASE turn % 3 WHEN 0 THEN 'DATE_EXPIRE' ELSE 'TAX_CODE' END AS entity_type, concat('v', turn % 2) AS entity_value, concat('V', turn % 2) AS normalized_value,
+        CASE WHEN turn % 5 <> 3 THEN (turn % 10) / 10.0 END AS confidence FROM {conversations}""",
     "contract_file": """SELECT id * 4 AS id, id AS version_id, concat('/media/contracts/h%E1%BB%A3p+', id, '%20v1.pdf') AS file_path FROM {version}
         UNION ALL SELECT id * 4 + 1, id, concat('/media/contracts/second%2F', id, '.txt') FROM {version} WHERE id % 3 = 1
         UNION ALL SELECT id * 4 - 2, id, concat('elsewhere/', id, '%41.docx') FROM {version} WHERE id % 5 = 2""",
