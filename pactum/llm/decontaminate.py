@@ -39,7 +39,7 @@ WIDTH, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
 #: Words of documents that are queried together.
 AT_ONCE = 100_000
-#: Items in a block; bytes of items' texts in one index (documents pass further ones in turn); share of the least threshold before the pivot.
+#: Items in a block; bytes of items' texts in one index; share of the least threshold before the pivot.
 BLOCK_ITEMS, INDEX_BYTES, PIVOT = 8, 8 << 20, 0.5
 #: Sums of bounds that are laid out as a table of texts and blocks at most; larger ones are sorted.
 CELLS = 1 << 22
@@ -264,34 +264,33 @@ def shingles_of(words: np.ndarray, k: int) -> np.ndarray:
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks") -> DataFrame:
     """docs with a column of leaked items: array<struct<item_id, bm25, overlap, question_overlap, answer_overlap>>.
 
-    Up to INDEX_BYTES of items are one index, which every task gets; documents
-    pass further ones in turn, each with weights from the whole benchmark, so
-    results don't depend on how many there are.  The driver holds one index and
-    the benchmark's distinct terms.  A column named like `out` is replaced,
-    others stay.
+    Up to INDEX_BYTES of items are one index.  Every task gets all of them and puts each group of documents, whose words
+    are hashed once, to one after another in the same stage; all take their weights from the whole benchmark, so results
+    don't depend on how many there are.  The driver holds one index at a time and the benchmark's distinct terms; a
+    worker holds all indexes, some ten times the bytes of the items.  A column named like `out` is replaced, others stay.
     """
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // INDEX_BYTES))
     shares = [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) for p in range(parts)]
-    names = [out if parts == 1 else free_name(docs, f"_{out}_{p}") for p in range(parts)]
     corpus = Corpus()
     for share in shares:
         corpus.add([r["text"] for r in share.collect()])
-    for name, share in zip(names, shares, strict=True):
-        index = docs.sparkSession.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in share.collect()), corpus))
-        docs = with_computed(docs, f"{name} array<struct<{', '.join(f.replace(' ', ':') for f in LEAKS.split(', '))}>>", _scanner(index, text))
-    if parts > 1:
-        docs = docs.withColumn(out, F.array_sort(F.concat(*names))).drop(*names)
-    return docs
+    context = docs.sparkSession.sparkContext
+    indexes = [context.broadcast(Index(sorted((r["item_id"], r["text"]) for r in share.collect()), corpus)) for share in shares]
+    return with_computed(docs, f"{out} array<struct<{', '.join(f.replace(' ', ':') for f in LEAKS.split(', '))}>>", _scanner(indexes, text))
 
 
-def _scanner(index, text: str):
+def _scanner(indexes: list, text: str):
     def start():
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([(f.split()[0], pa.int64() if f.endswith("long") else pa.float64()) for f in LEAKS.split(", ")]))
-        own = index.value
+
+        def told(held: list) -> list[list[dict]]:
+            """What leaked into each of a group of documents, over all indexes, in order of item_id."""
+            found = [list(own.value.leaks(held)) for own in indexes]
+            return found[0] if len(found) == 1 else [sorted((x for part in each for x in part), key=lambda x: x["item_id"]) for each in zip(*found, strict=True)]
 
         def scan(batch):
             out, held, size = [], [], 0
@@ -299,9 +298,9 @@ def _scanner(index, text: str):
                 held.append(words)
                 size += len(words)
                 if size >= AT_ONCE:
-                    out += own.leaks(held)
+                    out += told(held)
                     held, size = [], 0
-            out += own.leaks(held)
+            out += told(held)
             return [pa.array(out, kind)]
 
         return scan

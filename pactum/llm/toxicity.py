@@ -96,7 +96,10 @@ def _text_sentences(pieces) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep) -> DataFrame:
-    """doc text and label (0 or 1) of a bounded set of labelled documents; contrary or null labels are left out."""
+    """doc text and label (0 or 1) of at most `rows` labelled documents; contrary or null labels are left out.
+
+    Of rows that repeat an id one text is taken, so the bound holds for rows as well.
+    """
     clear = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("_label"), F.max(label).cast("int").alias("_most"))
@@ -104,7 +107,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, kee
     )
     # at most `rows` rows of 12 bytes, so a broadcast is bounded
     picked = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("_label", "text")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.first("_label").alias("_label"), F.min_by("text", F.xxhash64("text")).alias("text")).select("_label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", rows: int = TRAIN_ROWS) -> dict:

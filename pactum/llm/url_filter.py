@@ -52,18 +52,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     """One row per input row: page_id, host, path, rule (null if none fits), verdict (`default` if none fits).
 
     Null or malformed URLs have an empty host and path and get the default.
-    Repeated rows stay repeated.  Other columns don't matter.  Only host suffixes with as many labels, and path
-    prefixes as long, as some rule has are expanded: no others can match, so
-    very long hosts and paths cost no more than short ones.
+    Repeated rows stay repeated.  Other columns don't matter.  Only a host suffix with as many labels and a path
+    prefix as long as some one rule has are expanded: no others can match, so
+    very long hosts and paths cost no more than short ones, and many rules of a
+    few shapes no more than one of each.  Without rules, or without pages, there
+    is nothing to match and every page, if any, gets the default.
     """
     ruled = prepare_rules(rules)
-    shape = ruled.agg(F.collect_set("labels").alias("labels"), F.collect_set("path_length").alias("lengths"), F.count("*").alias("n"), F.sum(F.length("rule")).alias("chars")).first()
+    shape = ruled.agg(F.to_json(F.sort_array(F.collect_set(F.struct("labels", "path_length")))).alias("pairs"), F.count("*").alias("n"), F.sum(F.length("rule")).alias("chars")).first()
     small = (shape["chars"] or 0) + 160 * shape["n"] <= broadcast_bytes
     pages = pages.select("page_id", F.col(url).alias("_url")).withColumns({"host": url_host(F.col("_url")), "path": url_path(F.col("_url"))})
-    hosts = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in sorted(shape["labels"])])) if shape["labels"] else F.array().cast("array<string>")
-    paths = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(shape["lengths"])]
-    paths = F.array_compact(F.array(*paths)) if paths else F.array().cast("array<string>")
-    grid = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("h"), p.alias("p")))))
+    # one literal array, however many rules there are
+    pairs = F.from_json(F.lit(shape["pairs"]), "array<struct<labels:int,path_length:int>>")
+    suffix = lambda p: F.call_function("substring_index", F.col("host"), F.lit("."), -p["labels"])
+    fits = F.filter(pairs, lambda p: F.length("path") >= p["path_length"])
+    grid = F.array_distinct(F.transform(fits, lambda p: F.struct(suffix(p).alias("h"), F.substr("path", F.lit(1), p["path_length"]).alias("p"))))
     # the first element stands for the row itself, so that rows without candidates stay and repeats can be counted
     one = F.array(F.struct(F.lit(None).cast("string").alias("h"), F.lit(None).cast("string").alias("p")))
     wide = pages.select("page_id", "_url", "host", "path", F.explode(F.concat(one, F.when(F.col("host") != "", grid).otherwise(F.slice(one, 1, 0)))).alias("e"))

@@ -209,3 +209,63 @@ def test_exact_dedup_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
     plan = exact_groups(recipes(docs))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD\\[python", plan.replace("LogicalRDD", ""))
+
+
+def judged(url, rules, default="allow"):
+    """Host, path, rule and verdict by the rule, one URL against all rules."""
+    rest = url.split("://", 1)[1] if url and "://" in url else None
+    m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S) if rest is not None else None
+    host, path = (m[1].translate(LOWER), m[2]) if m else ("", "")
+    fit = [(len(h + p), len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, default=None)
+    return host, path, best and best[3], best[2] if best else default
+
+
+def test_thousands_of_url_rules(spark):
+    """Rules of many shapes are one literal, not a plan of their own size each; results as rule by rule."""
+    from pactum.llm.url_filter import judge_urls
+
+    rng = random.Random(31)
+    names = ["com", "net", "example.com", "a.example.com", "b.net", "c.b.net", "x"]
+    path = lambda: "/" + "".join(rng.choice("ab/é") for _ in range(rng.randrange(60)))
+    rules = {(rng.choice(names), path()): rng.choice(["allow", "block"]) for _ in range(3000)}
+    rules = [(h, p, v) for (h, p), v in rules.items()]
+    urls = [f"http://{rng.choice(['', 'www.', 'B.'])}{rng.choice(names)}{path()}{rng.choice(['', '?q=/', '#x'])}" for _ in range(300)]
+    urls += [f"https://{h}{p}tail" for h, p, _ in rules[:200]] + [None, "", "no scheme", "://", "http://", "http://.com/", "x://com", "http://com?//a"] + [urls[0]] * 3
+    pages = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for limit in (1 << 26, 0):
+        got = {r["page_id"]: tuple(r)[1:] for r in judge_urls(pages, table, broadcast_bytes=limit).select("page_id", "host", "path", "rule", "verdict").collect()}
+        assert got == {k: judged(u, rules) for k, u in enumerate(urls)}
+    assert len(judge_urls(pages, table)._jdf.queryExecution().logical().toString()) < 400_000
+    none = judge_urls(pages, table.where("false"))
+    assert none.count() == len(urls) and none.where("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
+    assert judge_urls(pages.where("false"), table).count() == 0
+
+
+def test_training_rows_are_bounded(spark):
+    """An id that many rows repeat gives one row; so no more rows train than the bound says."""
+    from pactum.llm.toxicity import training_rows
+
+    docs = spark.createDataFrame([(k % 40 if k < 400 else 7, f"text {k}") for k in range(2000)] + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(5, 0, 0), (6, None, 0)], "doc_id long, toxic int, quality int")
+    rows = training_rows(docs, labels, "toxic", 30, lambda _: F.lit(True)).collect()
+    assert len(rows) == 30
+    every = training_rows(docs, labels, "toxic", 1000, lambda _: F.lit(True)).collect()
+    # 5 has contrary labels
+    assert len(every) == 39 and sum(r["_label"] for r in every) == 19
+
+
+def test_all_item_indexes_in_one_stage(spark, monkeypatch):
+    from pactum.llm import decontaminate
+
+    rng = random.Random(41)
+    item = lambda k: f"what is the name of thing {k} in the {rng.randrange(9)} old books of town {k * 7}? it is called thing number {k * 3} by all {k}"
+    items = [(k, item(k)) for k in range(60)]
+    texts = [(k, f"some words before {items[k % 60][1] if k % 2 else 'nothing'} and after " + " ".join(f"w{rng.randrange(99)}" for _ in range(40))) for k in range(150)]
+    docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.leaked(docs, benchmark).collect()))
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 400)
+    parts = decontaminate.leaked(docs, benchmark)
+    assert parts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, parts.collect())) == whole and {(k, k % 60) for k in range(1, 150, 2)} <= {r[:2] for r in whole}
