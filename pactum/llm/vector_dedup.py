@@ -30,8 +30,8 @@ from pactum.llm.shared import broadcast_if_small, components, stash
 THRESHOLD = 0.9
 #: Bytes of a shard's vectors and links in memory, about 20 for each number of a vector.
 SHARD_BYTES = 256 << 20
-#: Tables that one shard could hold are still dealt to some, of so many nodes at least, so that several tasks answer.
-SHARDS, SHARD_NODES = 12, 4096
+#: Shards of tables that fewer could hold: several tasks answer, and a vector is asked as often at every such size.
+LEAST_SHARDS = 12
 #: Neighbours kept per node, beam while building, beam to begin queries with, share of a layer that is in the next.
 NEIGHBOURS, BUILD_BEAM, QUERY_BEAM, LAYER_SHARE = 12, 24, 16, 16
 #: Layers up to this size are looked through whole; nodes of a beam whose neighbours are fetched at once; queries x nodes marked as seen at once.
@@ -458,7 +458,7 @@ def find_links(nodes: DataFrame, single: bool, least: float = THRESHOLD) -> Data
     answered by graphs, by brute force), for distinct vectors."""
     size = nodes.agg(F.count("*").alias("n"), F.max(F.length("packed")).alias("bytes")).first()
     rows = max(1, SHARD_BYTES // max(1, 20 * (size["bytes"] or 4) // (4 if single else 8)))
-    shards = max(min(SHARDS, -(-size["n"] // SHARD_NODES)), -(-size["n"] // rows), 1)
+    shards = max(LEAST_SHARDS, -(-size["n"] // rows))
     # vectors of one length at a time: the length is part of the shard's key
     length = F.length("packed").cast("long")
     deal = lambda df, k, side: df.select(k.cast("int").alias("place"), (k + length * shards).alias("shard"), F.lit(side).alias("side"), "node", "n", "packed")
