@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactum.functions import text as T
 from pactum.functions import model
-from pactum.operators import analyses, audit, law_index, text_ops
+from pactum.operators import analyses, approvals, audit, law_index, text_ops
 from pactum.plans.twins import TWINS
 from pactum.sources import files
 from pactum.sources.domain import Domain, twin
@@ -178,27 +178,10 @@ def entity_upsert(spark, sf_dir):
     return analyses.store_entities(found.unionByName(found), found.where("clause_id % 2 = 0").select(*cols))
 
 
-def _client():
-    """Stands for a model host: it answers in capitals, leaves some prompts open and fails on others."""
-
-    def answer(prompts: list[str]) -> list[str]:
-        if any("error" in p for p in prompts):
-            raise ConnectionError("no model host")
-        return [p.upper() if len(p) % 2 else "" for p in prompts]
-
-    return answer
-
-
 def model_boundary(spark, sf_dir):
-    """Prompts of one kind each batch, so that failures are the same at every size: rows of a failing kind keep the fallback."""
+    """Prompts without a model host: each gets what the rule says."""
     prompts = Domain(spark, sf_dir)["events"].select("event_id", F.concat("event_type", F.repeat(F.lit("!"), (F.col("event_id") % 3).cast("int"))).alias("prompt"))
-    fallback = F.concat(F.lit("rule: "), F.col("prompt"))
-    asked = None
-    for failing in (False, True):
-        part = prompts.where(F.contains("prompt", F.lit("error")) == F.lit(failing))
-        part = model.with_answers(part, "prompt", _client, fallback)
-        asked = part if asked is None else asked.unionByName(part)
-    return asked.unionByName(model.with_answers(prompts.withColumn("event_id", -1 - F.col("event_id")), "prompt", None, fallback))
+    return model.with_answers(prompts, "prompt", None, F.concat(F.lit("rule: "), F.col("prompt")))
 
 
 def file_crypto(spark, sf_dir):
@@ -221,12 +204,22 @@ def audit_append(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
+def approval_stream(spark, sf_dir):
+    """Approvals taken as a stream, each workflow's states kept by Spark, their outcomes appended and read back."""
+    stored, d, path = Domain(spark, sf_dir), Domain(spark, sf_dir), files.shared_path(spark, "approvals")
+    d.known["events"] = audit_stream.file_stream(spark, sf_dir, "events.parquet")
+    starts = approvals.boards(stored["workflow"], stored["step"], stored["dependency"])
+    rows = approvals.approval_stream(d["approval"].withColumnRenamed("status", "action"), starts)
+    audit_stream.append_to(rows, path)
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         header_footer_lines, normalize_pages, clause_split, clause_stats, page_markers, file_pages, word_stats, doc_validation, document_validation, document_json_sink, clean_cells,
         ocr_fold, assembled_pages, assembled_pages_without_ocr, keyword_entities, entity_upsert, llm_json_repair, entity_normalize, model_boundary,
-        law_query_terms, law_search_top5, law_search_in_book, law_reference_blocks, law_rpc, file_crypto, audit_hours, audit_append,
+        law_query_terms, law_search_top5, law_search_in_book, law_reference_blocks, law_rpc, file_crypto, audit_hours, audit_append, approval_stream,
     )
 }
 
@@ -318,9 +311,8 @@ ORACLES["law_reference_blocks"] = twin(
         || chr(10) || 'Nội dung: ' || content, chr(10) || chr(10) ORDER BY place) || chr(10) || '[HẾT THAM CHIẾU MCP]' AS reference FROM r JOIN {law} USING (law_id) WHERE place <= 5 GROUP BY query"""
 )
 ORACLES["entity_upsert"] = f"SELECT DISTINCT id AS clause_id, entity_type, entity_value FROM ({ORACLES['keyword_entities']}) e"
-ORACLES["model_boundary"] = """WITH p AS (SELECT event_id, event_type || repeat('!', CAST(event_id % 3 AS INT)) AS prompt FROM events)
-    SELECT event_id, prompt, CASE WHEN prompt NOT LIKE '%error%' AND length(prompt) % 2 = 1 THEN upper(prompt) ELSE 'rule: ' || prompt END AS answer FROM p
-    UNION ALL SELECT -1 - event_id, prompt, 'rule: ' || prompt FROM p"""
+ORACLES["model_boundary"] = """SELECT event_id, event_type || repeat('!', CAST(event_id % 3 AS INT)) AS prompt, 'rule: ' || event_type || repeat('!', CAST(event_id % 3 AS INT)) AS answer FROM events"""
+ORACLES["approval_stream"] = twin(TWINS["approval_outcomes"])
 ORACLES["audit_append"] = twin(TWINS["audit_classify"]).join(["SELECT * FROM (", ") a WHERE action IS NOT NULL"])
 ORACLES["clean_cells"] = r"""SELECT conv_id, turn, CASE WHEN turn % 7 = 3 THEN '' ELSE trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) || ' fi1 A' END AS cell FROM conversations"""
 ORACLES["ocr_fold"] = """SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page_number, CASE turn % 4 WHEN 0 THEN 'a' || turn || chr(10) || 'b' WHEN 1 THEN 'line ' || conv_id || chr(10) || 'end' WHEN 2 THEN 'wrapped' ELSE '' END AS text,

@@ -208,3 +208,26 @@ def test_counts_are_taken_up_again(spark, at):
     assert count() is not None and read() == expected
     # three hours of three types at most are kept, not all that were counted
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) <= 15
+
+
+def test_model_boundary(spark):
+    """Answers where there are any, the fallback for open prompts and for batches that fail."""
+    from pactum.functions import model
+
+    def shouting():
+        """Stands for a model host: it answers in capitals, leaves some prompts open and fails on others."""
+
+        def answer(prompts):
+            if any("error" in p for p in prompts):
+                raise ConnectionError("no model host")
+            return [p.upper() if len(p) % 2 else "" for p in prompts]
+
+        return answer
+
+    fallback = F.concat(F.lit("rule: "), F.coalesce("p", F.lit("none")))
+    rows = lambda some: spark.createDataFrame([(p,) for p in some], "p string")
+    got = {r["p"]: r["answer"] for r in model.with_answers(rows(["abc", "ab", None, ""]), "p", shouting, fallback).collect()}
+    assert got == {"abc": "ABC", "ab": "rule: ab", None: "rule: none", "": "rule: "}
+    failed = model.with_answers(rows(["abc", "error"]).coalesce(1), "p", shouting, fallback)
+    assert {r["p"]: r["answer"] for r in failed.collect()} == {"abc": "rule: abc", "error": "rule: error"}
+    assert {r["answer"] for r in model.with_answers(rows(["abc"]), "p", None, fallback).collect()} == {"rule: abc"}
