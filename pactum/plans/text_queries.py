@@ -15,7 +15,8 @@ from pactum.streaming import audit_stream
 
 #: Pages from turns, with the lines that the text rules look for.
 PAGES_SQL = """SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page_number, concat('CONFIDENTIAL DRAFT', chr(10), CASE WHEN turn % 2 = 0 THEN concat('Điều ', turn + 1, '. Mục “', turn, '”', chr(10)) ELSE '' END,
-    CASE WHEN turn % 6 = 5 THEN '' ELSE concat(text, chr(10), 'thanh', chr(10), 'toán –  xong', chr(7), chr(10), chr(10), chr(10), chr(10)) END, '- ', turn + 1, ' -', chr(10), 'Trang ', turn + 1) AS text,
+    CASE WHEN turn % 6 = 5 THEN '' ELSE concat(text, chr(10), 'thanh', chr(10), 'toán –  xong', chr(7), chr(10), chr(10), chr(10), chr(10)) END, '- ', turn + 1, ' -',
+        chr(10), 'Trang ', turn + 1) AS text,
     CASE WHEN turn % 3 = 0 THEN 'ocr' ELSE 'native' END AS source, (turn % 10) / 10.0 AS confidence FROM {conversations}"""
 
 
@@ -121,8 +122,10 @@ def keyword_entities(spark, sf_dir):
 
 #: Answers with values of every JSON type, the empty one of each, and keys that are equal in capitals.
 ANSWERS_SQL = """SELECT event_id AS id, concat(CASE event_id % 3 WHEN 0 THEN concat('Here: ```json', chr(10)) WHEN 1 THEN 'Answer ' ELSE '' END,
-    CASE WHEN event_id % 5 = 4 THEN 'none' ELSE concat(chr(123), '"party": "', event_type, '", "amount": "', event_id % 4, '", "empty": "", "paid": ', CASE event_id % 2 WHEN 0 THEN 'true' ELSE 'false' END,
-        ', "Rate": ', CASE event_id % 4 WHEN 0 THEN '0.0' WHEN 1 THEN '2.50' WHEN 2 THEN '17' ELSE '0' END, ', "parts": ', CASE event_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN '["a", 1, true]' ELSE 'null' END,
+    CASE WHEN event_id % 5 = 4 THEN 'none' ELSE concat(chr(123), '"party": "', event_type, '", "amount": "', event_id % 4, '", "empty": "", "paid": ', CASE event_id % 2
+        WHEN 0 THEN 'true' ELSE 'false' END,
+        ', "Rate": ', CASE event_id % 4 WHEN 0 THEN '0.0' WHEN 1 THEN '2.50' WHEN 2 THEN '17' ELSE '0' END, ', "parts": ', CASE event_id % 3 WHEN 0 THEN '[]'
+            WHEN 1 THEN '["a", 1, true]' ELSE 'null' END,
         ', "RATE2": "first", "rate2": ', CASE event_id % 7 WHEN 0 THEN '""' ELSE '"second"' END, chr(125)) END,
     CASE WHEN event_id % 3 = 0 THEN concat(chr(10), '```') ELSE ' end' END) AS answer FROM {events}"""
 
@@ -151,10 +154,13 @@ def law_search_in_book(spark, sf_dir):
 
 #: Calls of the law tools: with and without arguments, of one book and of all, of tools and methods that aren't there, and no calls at all.
 CALLS_SQL = """SELECT event_id AS id, CASE event_id % 9
-    WHEN 0 THEN concat(chr(123), '"jsonrpc": "2.0", "method": "tools/call", "params": ', chr(123), '"name": "search_laws", "arguments": ', chr(123), '"query": "phạt vi phạm ', event_type, '"', chr(125), chr(125), chr(125))
-    WHEN 1 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "search_laws", "arguments": ', chr(123), '"query": "PENALTY, the", "law_name": "Law ', event_id % 7, '"', chr(125), chr(125), chr(125))
+    WHEN 0 THEN concat(chr(123), '"jsonrpc": "2.0", "method": "tools/call", "params": ', chr(123), '"name": "search_laws", "arguments": ', chr(123),
+        '"query": "phạt vi phạm ', event_type, '"', chr(125), chr(125), chr(125))
+    WHEN 1 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "search_laws", "arguments": ', chr(123),
+        '"query": "PENALTY, the", "law_name": "Law ', event_id % 7, '"', chr(125), chr(125), chr(125))
     WHEN 2 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "search_laws", "arguments": ', chr(123), '"query": ""', chr(125), chr(125), chr(125))
-    WHEN 3 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "get_law_article", "arguments": ', chr(123), '"law_name": "Law ', event_id % 5, '", "article_number": "Article ',
+    WHEN 3 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "get_law_article", "arguments": ', chr(123), '"law_name": "Law ', event_id % 5,
+        '", "article_number": "Article ',
         event_id % 60, '"', chr(125), chr(125), chr(125))
     WHEN 4 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "get_law_article", "arguments": ', chr(123), '"law_name": "Law 1"', chr(125), chr(125), chr(125))
     WHEN 5 THEN concat(chr(123), '"method": "tools/call", "params": ', chr(123), '"name": "burn_law"', chr(125), chr(125))
@@ -246,9 +252,11 @@ _HEAD = r"(?im)^((?:điều|dieu|article|section|clause)\s+(?:[IVXLCDM]+|\d+)(?:
 ORACLES = {
     "header_footer_lines": _page("").rstrip() + f", {_EDGE} SELECT doc_id, line, pages FROM repeated",
     "normalize_pages": _page("").rstrip() + f""", {_EDGE},
-        a AS (SELECT doc_id, page_number, replace(translate(nfc_normalize(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')), '“”‘’–—' || chr(160), '""''''-- '), '…', '...') AS t FROM page),
+        a AS (SELECT doc_id, page_number, replace(translate(nfc_normalize(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')), '“”‘’–—' || chr(160),
+            '""''''-- '), '…', '...') AS t FROM page),
         b AS (SELECT doc_id, page_number, regexp_replace(regexp_replace(t, {_lit(_SOFT)}, '\\1 \\2', 'g'), {_lit(_SOFT)}, '\\1 \\2', 'g') AS t FROM a),
-        c AS (SELECT doc_id, page_number, list_filter(string_split(t, chr(10)), lambda l: NOT regexp_matches(l, '(?i)^\\s*(?:[-–—]?\\s*)?(?:Page|Trang)?\\s*\\d{{1,4}}\\s*(?:[-–—]?\\s*)?$')) AS ls FROM b),
+        c AS (SELECT doc_id, page_number, list_filter(string_split(t, chr(10)), lambda l: NOT regexp_matches(l,
+            '(?i)^\\s*(?:[-–—]?\\s*)?(?:Page|Trang)?\\s*\\d{{1,4}}\\s*(?:[-–—]?\\s*)?$')) AS ls FROM b),
         r AS (SELECT doc_id, list(line) AS gone FROM repeated GROUP BY doc_id),
         d AS (SELECT doc_id, page_number, array_to_string(list_filter(ls, lambda l: NOT list_contains(coalesce(gone, []), {_STRIP.format('l')})), chr(10)) AS t FROM c LEFT JOIN r USING (doc_id))
         SELECT doc_id, page_number, {_STRIP.format("regexp_replace(regexp_replace(t, '[ " + chr(92) + "t]+', ' ', 'g'), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")} AS text FROM d""",
@@ -278,7 +286,8 @@ ORACLES["law_query_terms"] = twin(_QUERY)
 _SCORED = """WITH q AS (SELECT DISTINCT query, lower(query) AS lq FROM (<query>) t),
     w AS (SELECT query, trim(lq) AS lq, law_id, lower(article_title) AS title, lower(coalesce(tags, '')) AS tags, lower(content) AS body, lower(article_number) AS num,
         list_filter(regexp_split_to_array(translate(lq, ',.', '  '), '\\s+'), lambda x: length(x) >= 2) AS words FROM q CROSS JOIN {law} <where>),
-    s AS (SELECT query, law_id, CASE WHEN len(words) = 0 THEN 0 ELSE CASE WHEN contains(title, lq) THEN 20 ELSE 0 END + CASE WHEN contains(tags, lq) THEN 15 ELSE 0 END + CASE WHEN contains(body, lq) THEN 10 ELSE 0 END
+    s AS (SELECT query, law_id, CASE WHEN len(words) = 0 THEN 0 ELSE CASE WHEN contains(title, lq) THEN 20 ELSE 0 END + CASE WHEN contains(tags, lq) THEN 15 ELSE 0 END +
+        CASE WHEN contains(body, lq) THEN 10 ELSE 0 END
         + coalesce(list_sum(list_transform(words, lambda x: CASE WHEN list_contains(list_transform(string_split(tags, ','), lambda t: trim(t)), x) THEN 5 ELSE 0 END
             + CASE WHEN contains(num, x) OR contains(title, x) THEN 3 ELSE 0 END + CASE WHEN contains(body, x) THEN 1 ELSE 0 END)), 0) END AS score FROM w),
     r AS (SELECT query, law_id, CAST(score AS INT) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, law_id) AS place FROM s WHERE score > 0)
@@ -318,7 +327,8 @@ ORACLES["clean_cells"] = r"""SELECT conv_id, turn, CASE WHEN turn % 7 = 3 THEN '
 ORACLES["ocr_fold"] = """SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page_number, CASE turn % 4 WHEN 0 THEN 'a' || turn || chr(10) || 'b' WHEN 1 THEN 'line ' || conv_id || chr(10) || 'end' WHEN 2 THEN 'wrapped' ELSE '' END AS text,
     'ocr' AS source, CASE turn % 4 WHEN 0 THEN 0.625 WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 ELSE 0.0 END AS confidence, CASE turn % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS line_count FROM conversations"""
 _ASSEMBLED = f"""WITH ocr AS ({ORACLES['ocr_fold']}),
-    native AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page_number, CASE WHEN turn % 3 = 1 OR conv_id % 10 = 0 THEN ' ' || chr(10) ELSE text || repeat('x', 50) END AS text, turn % 3 = 1 OR conv_id % 10 = 0 AS scan FROM conversations),
+    native AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page_number, CASE WHEN turn % 3 = 1 OR conv_id % 10 = 0 THEN ' ' || chr(10) ELSE text || repeat('x',
+        50) END AS text, turn % 3 = 1 OR conv_id % 10 = 0 AS scan FROM conversations),
     plain AS (SELECT DISTINCT conv_id AS doc_id, 1 AS page_number, 'plain ' || conv_id AS text, 'txt' AS source, 1.0 AS confidence FROM conversations WHERE conv_id % 5 IN (1, 3))
     SELECT * FROM plain UNION ALL SELECT doc_id, page_number, text, 'pdf', 1.0 FROM native WHERE doc_id % 5 = 0 AND NOT scan
     UNION ALL SELECT doc_id, page_number, text, 'native', 1.0 FROM native WHERE doc_id % 5 = 4 UNION ALL """
@@ -333,8 +343,10 @@ _SPLIT = rf"""seg AS (SELECT doc_id, page_number, chr(1) || 'PAGE:' || page_numb
     merged AS (SELECT doc_id, string_agg(s, '' ORDER BY page_number) AS m, max(page_number) AS max_page, max(off) AS last_offset FROM seg JOIN placed USING (doc_id, page_number, s) GROUP BY doc_id),
     cut AS (SELECT doc_id, max_page, m, regexp_extract_all(m, {_lit(_HEAD)}, 1) AS heads, regexp_split_to_array(m, {_lit(_HEAD)}) AS gaps FROM merged),
     rows AS (SELECT doc_id, max_page, k, {_STRIP.format("heads[k]")} AS title, {_STRIP.format(r"regexp_replace(gaps[k + 1], 'PAGE:\d+', '', 'g')")} AS body,
-        list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(heads[1:k - 1], lambda h: length(h))), 0) AS at FROM (SELECT *, unnest(range(1, len(heads) + 1)) AS k FROM cut) u
-        UNION ALL SELECT doc_id, max_page, 0, 'Phần mở đầu', p, 0 FROM (SELECT *, {_STRIP.format(r"regexp_replace(gaps[1], 'PAGE:\d+', '', 'g')")} AS p FROM cut WHERE len(heads) > 0) x WHERE length(p) > 10
+        list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(heads[1:k - 1], lambda h: length(h))), 0) AS at FROM (SELECT *,
+            unnest(range(1, len(heads) + 1)) AS k FROM cut) u
+        UNION ALL SELECT doc_id, max_page, 0, 'Phần mở đầu', p, 0 FROM (SELECT *, {_STRIP.format(r"regexp_replace(gaps[1], 'PAGE:\d+', '', 'g')")} AS p FROM cut
+            WHERE len(heads) > 0) x WHERE length(p) > 10
         UNION ALL SELECT doc_id, max_page, 0, 'Nội dung hợp đồng', {_STRIP.format(r"regexp_replace(m, 'PAGE:\d+', '', 'g')")}, 0 FROM cut WHERE len(heads) = 0),
     paged AS (SELECT doc_id, max_page, k, title, body, (SELECT max(p.page_number) FROM placed p WHERE p.doc_id = r.doc_id AND p.off <= r.at) AS start_page FROM rows r),
     clauses AS (SELECT doc_id, row_number() OVER w AS clause_no, title, body, start_page, coalesce(lead(start_page) OVER w, max_page) AS end_page FROM paged WINDOW w AS (PARTITION BY doc_id ORDER BY k))"""
@@ -346,12 +358,16 @@ ORACLES["document_json_sink"] = _page("").rstrip() + f""", {_SPLIT} SELECT doc_i
     string_agg(title, '|' ORDER BY clause_no) AS titles FROM clauses c GROUP BY doc_id"""
 _LISTED = "'[' || string_agg(CAST({n} AS VARCHAR), ', ' ORDER BY {n}) FILTER ({c}) || ']'"
 ORACLES["document_validation"] = _page("").rstrip() + f""", {_SPLIT},
-    p AS (SELECT doc_id, {_LISTED.format(n='page_number', c='page_number % 6 = 0')} AS e, {_LISTED.format(n='page_number', c="source = 'ocr' AND confidence < 0.6")} AS l FROM page WHERE doc_id % 10 <> 9 GROUP BY doc_id),
+    p AS (SELECT doc_id, {_LISTED.format(n='page_number', c='page_number % 6 = 0')} AS e, {_LISTED.format(n='page_number', c="source = 'ocr' AND confidence < 0.6")} AS l
+        FROM page WHERE doc_id % 10 <> 9 GROUP BY doc_id),
     f AS (SELECT doc_id, {_LISTED.format(n='clause_no', c="body = ''")} AS h, {_LISTED.format(n='clause_no', c='clause_no % 3 = 0')} AS n FROM clauses WHERE doc_id % 10 < 8 GROUP BY doc_id)
-    SELECT d.doc_id, concat_ws(' | ', CASE WHEN d.doc_id % 10 = 9 THEN 'Tài liệu không có trang nào được trích xuất' END, 'Trang rỗng sau normalize: ' || p.e, 'OCR confidence thấp (<0.6) tại trang: ' || p.l,
-        'Điều khoản rỗng (không có nội dung): ' || f.h, 'Điều khoản thiếu tiêu đề: ' || f.n, CASE WHEN d.doc_id % 10 >= 8 THEN 'Không tìm thấy điều khoản nào — hãy kiểm tra format tài liệu' END) AS warnings
+    SELECT d.doc_id, concat_ws(' | ', CASE WHEN d.doc_id % 10 = 9 THEN 'Tài liệu không có trang nào được trích xuất' END, 'Trang rỗng sau normalize: ' || p.e,
+        'OCR confidence thấp (<0.6) tại trang: ' || p.l,
+        'Điều khoản rỗng (không có nội dung): ' || f.h, 'Điều khoản thiếu tiêu đề: ' || f.n, CASE
+            WHEN d.doc_id % 10 >= 8 THEN 'Không tìm thấy điều khoản nào — hãy kiểm tra format tài liệu' END) AS warnings
     FROM (SELECT DISTINCT doc_id FROM page) d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id"""
 ORACLES["file_pages"] = """SELECT '/in/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.pdf' WHEN 3 THEN '.exe' ELSE '' END AS path,
     CASE doc_id % 5 WHEN 0 THEN 'page' WHEN 2 THEN 'other' ELSE 'reject' END AS kind, CASE WHEN doc_id % 5 = 0 THEN 1 END AS page_number,
-    CASE WHEN doc_id % 15 = 10 THEN '' WHEN doc_id % 5 = 0 THEN text || 'A' END AS text, CASE WHEN doc_id % 5 = 0 THEN 'native' END AS source, CASE WHEN doc_id % 5 = 0 THEN CAST(1 AS DOUBLE) END AS confidence,
+    CASE WHEN doc_id % 15 = 10 THEN '' WHEN doc_id % 5 = 0 THEN text || 'A' END AS text, CASE WHEN doc_id % 5 = 0 THEN 'native' END AS source, CASE
+        WHEN doc_id % 5 = 0 THEN CAST(1 AS DOUBLE) END AS confidence,
     CASE doc_id % 5 WHEN 1 THEN 'Not a word-processor file: no zip archive' WHEN 3 THEN 'Unsupported file type: .exe' WHEN 4 THEN 'Unsupported file type: none' END AS error FROM documents"""

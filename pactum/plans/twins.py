@@ -146,7 +146,8 @@ TWINS = {
                 coalesce((SELECT list(d.prerequisite_id) FROM {dependency} d WHERE d.dependent_id = a.step_id), []) AS needs FROM {approval} a
                 LEFT JOIN {step} s ON s.id = a.step_id AND s.workflow_id = a.workflow_id),
         own AS (
-            SELECT w.id AS workflow_id, any_value(w.status) AS status, count(s.id) AS n, coalesce(list(s.id) FILTER (s.status = 'APPROVED'), []) AS done, coalesce(list(s.id) FILTER (s.status = 'REJECTED'), []) AS bad
+            SELECT w.id AS workflow_id, any_value(w.status) AS status, count(s.id) AS n, coalesce(list(s.id) FILTER (s.status = 'APPROVED'), []) AS done,
+                coalesce(list(s.id) FILTER (s.status = 'REJECTED'), []) AS bad
             FROM {workflow} w LEFT JOIN {step} s ON s.workflow_id = w.id GROUP BY w.id),
         walk AS (
             SELECT workflow_id, CAST(0 AS BIGINT) AS k, status, done, bad, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS step_id, CAST(NULL AS BIGINT) AS user_id,
@@ -168,7 +169,8 @@ TWINS = {
                 coalesce((SELECT list(d.prerequisite_id) FROM {dependency} d WHERE d.dependent_id = a.step_id), []) AS needs FROM {approval} a
                 LEFT JOIN {step} s ON s.id = a.step_id AND s.workflow_id = a.workflow_id),
         own AS (
-            SELECT w.id AS workflow_id, any_value(w.status) AS status, count(s.id) AS n, coalesce(list(s.id) FILTER (s.status = 'APPROVED'), []) AS done, coalesce(list(s.id) FILTER (s.status = 'REJECTED'), []) AS bad
+            SELECT w.id AS workflow_id, any_value(w.status) AS status, count(s.id) AS n, coalesce(list(s.id) FILTER (s.status = 'APPROVED'), []) AS done,
+                coalesce(list(s.id) FILTER (s.status = 'REJECTED'), []) AS bad
             FROM {workflow} w LEFT JOIN {step} s ON s.workflow_id = w.id GROUP BY w.id),
         walk AS (
             SELECT workflow_id, CAST(0 AS BIGINT) AS k, status, done, bad, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS step_id, CAST(NULL AS BIGINT) AS user_id,
@@ -192,7 +194,8 @@ TWINS = {
                 coalesce((SELECT list(d.prerequisite_id) FROM {dependency} d WHERE d.dependent_id = a.step_id), []) AS needs FROM {approval} a
                 LEFT JOIN {step} s ON s.id = a.step_id AND s.workflow_id = a.workflow_id),
         own AS (
-            SELECT w.id AS workflow_id, any_value(w.status) AS status, count(s.id) AS n, coalesce(list(s.id) FILTER (s.status = 'APPROVED'), []) AS done, coalesce(list(s.id) FILTER (s.status = 'REJECTED'), []) AS bad
+            SELECT w.id AS workflow_id, any_value(w.status) AS status, count(s.id) AS n, coalesce(list(s.id) FILTER (s.status = 'APPROVED'), []) AS done,
+                coalesce(list(s.id) FILTER (s.status = 'REJECTED'), []) AS bad
             FROM {workflow} w LEFT JOIN {step} s ON s.workflow_id = w.id GROUP BY w.id),
         walk AS (
             SELECT workflow_id, CAST(0 AS BIGINT) AS k, status, done, bad, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS step_id, CAST(NULL AS BIGINT) AS user_id,
@@ -257,7 +260,8 @@ TWINS = {
         UNION ALL SELECT id, 'brand:' || b FROM {company}, (VALUES ('fpt'), ('techcom'), ('vin'), ('viettel')) AS v(b) WHERE contains(lower(company_name), b)
     """,
     "visible_contracts": r"""
-        SELECT k.id, k.contract_code FROM {contract} k LEFT JOIN {company} c ON c.id = k.company_id, (SELECT u.*, o.company_name FROM {staff} u LEFT JOIN {company} o ON o.id = u.company_id WHERE u.id = 5) u
+        SELECT k.id, k.contract_code FROM {contract} k LEFT JOIN {company} c ON c.id = k.company_id, (SELECT u.*, o.company_name FROM {staff} u LEFT
+            JOIN {company} o ON o.id = u.company_id WHERE u.id = 5) u
         WHERE u.is_superuser OR u.company_id IS NULL OR k.company_id IS NULL OR k.company_id = u.company_id
             OR len([b FOR b IN ['fpt', 'techcom', 'vin', 'viettel'] IF contains(lower(u.company_name), b) AND contains(lower(c.company_name), b)]) > 0
     """,
@@ -285,7 +289,8 @@ TWINS = {
             AND tax_code NOT IN (SELECT tax_code FROM {company} WHERE tax_code <> '') AND company_name NOT IN (SELECT company_name FROM {company} WHERE company_name <> '')),
         rounds AS (
             SELECT id, company_name, tax_code, 'open' AS state FROM whole
-            UNION ALL SELECT id, company_name, tax_code, CASE WHEN won THEN 'kept' WHEN bool_or(won) OVER (PARTITION BY company_name) OR bool_or(won) OVER (PARTITION BY tax_code) THEN 'lost' ELSE 'open' END
+            UNION ALL SELECT id, company_name, tax_code, CASE WHEN won THEN 'kept' WHEN bool_or(won) OVER (PARTITION BY company_name)
+                OR bool_or(won) OVER (PARTITION BY tax_code) THEN 'lost' ELSE 'open' END
             FROM (SELECT *, id = min(id) OVER (PARTITION BY company_name) AND id = min(id) OVER (PARTITION BY tax_code) AS won FROM rounds WHERE state = 'open') r),
         kept AS (SELECT id FROM rounds WHERE state = 'kept'),
         told AS (SELECT q.id, CASE WHEN coalesce(company_name, '') = '' OR coalesce(tax_code, '') = '' THEN 'missing' WHEN q.id NOT IN (SELECT id FROM kept) THEN 'duplicate'
@@ -299,7 +304,8 @@ TWINS = {
                 q.id IN (SELECT request_id FROM {ledger_answer} WHERE ok) AS ok,
                 q.user_name IN (SELECT user_name FROM {anchored_staff} WHERE status = 'ACTIVE' AND block_number IS NOT NULL) AS stored FROM {staff_request} q),
         so_far AS (SELECT *, count(*) FILTER (whole AND known AND ok) OVER (PARTITION BY user_name ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good FROM r)
-        SELECT id, user_name, CASE WHEN NOT whole THEN 'missing' WHEN NOT known THEN 'unknown' WHEN stored OR good > 0 THEN 'duplicate' WHEN ok THEN 'registered' ELSE 'error' END AS outcome FROM so_far
+        SELECT id, user_name, CASE WHEN NOT whole THEN 'missing' WHEN NOT known THEN 'unknown' WHEN stored OR good > 0 THEN 'duplicate' WHEN ok THEN 'registered'
+            ELSE 'error' END AS outcome FROM so_far
     """,
     "registered_staff": r"""
         WITH r AS (SELECT q.*, q.id IN (SELECT request_id FROM {ledger_answer} WHERE ok) AS ok FROM {staff_request} q
@@ -398,7 +404,8 @@ TWINS = {
         kept AS (SELECT workflow_id, k, step_name, role_id, description, role_id IN (5, 11) OR regexp_matches(low, 'phê duyệt|chủ trương|quản lý|giám đốc|ban điều hành') AS
             approves FROM s WHERE NOT regexp_matches(low, 'ký kết|signing|lưu trữ|archive')),
         every AS (SELECT workflow_id, k, step_name, role_id, description FROM kept
-            UNION ALL SELECT workflow_id, 0, 'Rà soát & Tiếp nhận Dự thảo Hợp đồng', 4, 'Kiểm tra tính đầy đủ của hồ sơ dự thảo, tư cách pháp nhân các bên và hình thức hợp đồng.' FROM heads WHERE NOT begun
+            UNION ALL SELECT workflow_id, 0, 'Rà soát & Tiếp nhận Dự thảo Hợp đồng', 4,
+                'Kiểm tra tính đầy đủ của hồ sơ dự thảo, tư cách pháp nhân các bên và hình thức hợp đồng.' FROM heads WHERE NOT begun
             UNION ALL SELECT workflow_id, 1000, 'Phê duyệt Chủ trương & Phương án Thực hiện Cấp Quản lý', 5,
                 'Cấp quản lý trực tiếp xét duyệt phương án triển khai, chi phí và định hướng hợp đồng.' FROM heads WHERE workflow_id NOT IN (SELECT workflow_id FROM kept WHERE approves)
             UNION ALL SELECT workflow_id, 1001, 'Thực hiện Ký kết Hợp đồng Chính thức', 4, 'Đại diện có thẩm quyền của các bên thực hiện ký kết hợp đồng bằng chữ ký số.' FROM heads
@@ -452,7 +459,8 @@ TWINS = {
     """,
     "verify_proofs": r"""
         WITH now AS (SELECT *, sha256(CASE WHEN content <> '' THEN content ELSE contract_code || '-' || version_number || '-' || coalesce(change_summary, '') END) AS h FROM {proof}),
-        told AS (SELECT n.version_id, s.document_hash AS proof_hash, CASE WHEN s.version_id IS NOT NULL THEN h END AS current_hash, CASE WHEN s.version_id IS NULL THEN 1 WHEN s.document_hash <> n.h THEN 2
+        told AS (SELECT n.version_id, s.document_hash AS proof_hash, CASE WHEN s.version_id IS NOT NULL THEN h END AS current_hash, CASE WHEN s.version_id IS NULL THEN 1
+            WHEN s.document_hash <> n.h THEN 2
             WHEN b.version_id IS NOT NULL AND s.previous_hash IS DISTINCT FROM b.document_hash THEN 3
             WHEN n.version_id IN (SELECT version_id FROM {chain_tx} WHERE status = 'CONFIRMED') THEN 4 ELSE 5 END AS k
             FROM now n LEFT JOIN {stored_proof} s ON s.version_id = n.version_id LEFT JOIN {stored_proof} b ON b.version_id = n.previous_version_id)
@@ -542,7 +550,8 @@ TWINS = {
                  WHEN method = 'GET' AND path NOT LIKE '/api/%' AND path NOT LIKE '/admin/%' THEN 'Visited page: ' || path END), 100) AS action FROM k
     """,
     "audit_mask": r"""
-        WITH r AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 'password' WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN 'secret' ELSE 'password_hash' END WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'note' ELSE 'secret' END
+        WITH r AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 'password' WHEN 1 THEN CASE WHEN event_id % 3 = 0 THEN 'secret' ELSE 'password_hash' END WHEN 2 THEN CASE
+            WHEN event_id % 3 = 0 THEN 'note' ELSE 'secret' END
             ELSE 'note' END AS k FROM (SELECT *, id AS event_id FROM {request}) x)
         SELECT id, CASE WHEN forwarded_for <> '' THEN string_split(forwarded_for, ',')[1] ELSE remote_addr END AS ip_address,
             CASE WHEN method IN ('POST', 'PUT', 'DELETE', 'PATCH') THEN
@@ -572,7 +581,8 @@ TWINS = {
         FROM asked a LEFT JOIN (SELECT DISTINCT ON (law_name, article_number) * FROM {law} ORDER BY law_name, article_number, law_id) l USING (law_name, article_number)
     """,
     "analysis_list": r"""
-        WITH f AS (SELECT f.*, r.rule_name, r.severity, row_number() OVER (PARTITION BY f.analysis_id, r.rule_name ORDER BY f.id, f.risk_level, r.severity) AS n FROM {run_finding} f JOIN {rule} r ON r.id = f.rule_id),
+        WITH f AS (SELECT f.*, r.rule_name, r.severity, row_number() OVER (PARTITION BY f.analysis_id, r.rule_name ORDER BY f.id, f.risk_level, r.severity) AS n
+            FROM {run_finding} f JOIN {rule} r ON r.id = f.rule_id),
         p AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY id, rule_name) AS place FROM f WHERE n = 1),
         shown AS (SELECT analysis_id, string_agg(rule_name || ':' || risk_level || ':' || severity, '; ' ORDER BY place) AS preview FROM p WHERE place <= 3 GROUP BY analysis_id)
         SELECT a.id, c.id AS contract_id, c.contract_code, c.title AS contract_title, c.status AS contract_status, a.model_name, coalesce(a.overall_score, 0) AS overall_score,
@@ -585,7 +595,8 @@ TWINS = {
         WHERE c.version_id % 2 = 0 OR e.entity_type NOT IN ('COMPANY_NAME', 'TAX_CODE', 'CONTRACT_VALUE', 'DATE_EFFECTIVE', 'DATE_EXPIRE')
     """,
     "entity_spread": r"""
-        WITH f AS (SELECT id, version_id, lower(trim(clause_title)) AS t, entity_type, entity_value, normalized_value, confidence FROM {api_entity}), c AS (SELECT id, version_id, lower(trim(title)) AS t FROM {clause}),
+        WITH f AS (SELECT id, version_id, lower(trim(clause_title)) AS t, entity_type, entity_value, normalized_value, confidence FROM {api_entity}), c AS (SELECT id,
+            version_id, lower(trim(title)) AS t FROM {clause}),
         m AS (SELECT f.*, c.id AS clause_id FROM f JOIN c ON c.version_id = f.version_id WHERE f.t = c.t OR f.t <> '' AND c.t <> '' AND (c.t LIKE '%' || f.t || '%' OR f.t LIKE '%' || c.t || '%')),
         fresh AS (SELECT DISTINCT ON (clause_id, entity_type, entity_value) clause_id, entity_type, entity_value, normalized_value, CAST(coalesce(confidence, 1) AS DECIMAL(5, 2)) AS confidence FROM m
             WHERE (clause_id, entity_type) NOT IN (SELECT (clause_id, entity_type) FROM {clause_entity} WHERE entity_type = 'DATE_EXPIRE' AND clause_id % 2 = 0) OR entity_value <> 'v0'

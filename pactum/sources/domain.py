@@ -134,7 +134,8 @@ DOMAIN = {
     "stored_proof": """SELECT version_id, sha2(concat(coalesce(nullif(content, ''), concat_ws('-', contract_code, version_number, coalesce(change_summary, ''))),
             CASE WHEN version_id % 5 = 2 THEN '!' ELSE '' END), 256) AS document_hash,
         CASE WHEN previous_version_id IS NOT NULL AND version_id % 13 <> 4 THEN sha2(concat(coalesce(nullif(previous_content, ''), concat_ws('-', previous_code, previous_number,
-            coalesce(previous_change, ''))), CASE WHEN previous_version_id % 5 = 2 THEN '!' ELSE '' END, CASE WHEN version_id % 7 = 3 AND version_id % 3 = 0 THEN '?' ELSE '' END), 256) END AS previous_hash,
+            coalesce(previous_change, ''))), CASE WHEN previous_version_id % 5 = 2 THEN '!' ELSE '' END, CASE WHEN version_id % 7 = 3 AND version_id % 3 = 0 THEN '?'
+                ELSE '' END), 256) END AS previous_hash,
         version_id % 4 = 1 AS verified, version_id % 250 AS generated_at FROM {proof} WHERE version_id % 17 <> 0""",
     "chain_tx": """SELECT event_id AS id, event_id % 1500 * 7 + 3 AS version_id, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'PENDING' ELSE 'CONFIRMED' END AS status,
         CASE WHEN event_id % 3 <> 0 THEN 15000000 + event_id END AS block_number, ts AS created_at FROM {events} WHERE event_id % 5 = 1""",
