@@ -30,12 +30,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a mix by sizes to the power 0.7, in blocks of 64."""
     from pactum.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of 5-word shingles, component at a Jaccard of 0.8, and number of links."""
     from pactum.llm.ngram_join import join_documents
 
     return join_documents(table(spark, sf_dir, "documents"))
@@ -47,12 +49,14 @@ def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component at a cosine of 0.9."""
     from pactum.llm.vector_dedup import dedup_vectors
 
     return dedup_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's own score, its site's rate, and both combined."""
     from pactum.llm.quality import classify
 
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -83,6 +87,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
 
 
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts and digest of the four base kinds, and all spans."""
     from pactum.llm.pii import pii_report
 
     return pii_report(table(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, the rule that holds for it and the verdict."""
     from pactum.llm.url_filter import judge_urls
 
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
@@ -100,6 +106,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, its score with noise, and its rank among the drawn quarter."""
     from pactum.llm.resample import resample
 
     drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -107,6 +114,7 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 sound components with its cluster of 40 after five rounds."""
     from pactum.llm.centroids import cluster_vectors, kept_vectors
 
     assigned, centroids = cluster_vectors(kept_vectors(table(spark, sf_dir, "embeddings")))
@@ -115,6 +123,7 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its equals."""
     from pactum.llm.exact_dedup import dedup_exact
 
     return dedup_exact(table(spark, sf_dir, "documents"))

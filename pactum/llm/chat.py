@@ -108,7 +108,8 @@ def format_conversations(rows: DataFrame, template=None, train_roles: tuple[str,
     The pieces of a conversation, joined in order, are its formatted text;
     offsets are code points into that.  Null texts and roles count as empty, null conv_ids
     form one conversation, null turns come first, and rows with the same
-    conv_id and turn follow by role and text.  Further columns are ignored.
+    conv_id and turn follow by role and text.  Further columns are ignored, texts are formatted whole, however long, and
+    an empty table gives an empty table.
     """
     template = template or MarkedTemplate()
     ordered = (

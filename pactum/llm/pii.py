@@ -128,7 +128,12 @@ def _kept_spans(k: Kind, matches: Column, gaps: Column, body: Column, nothing: C
 
 
 def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
-    """Add `out`: array<struct<kind, start, end, score>>, by kind as listed in KINDS, then by start."""
+    """Add `out`: array<struct<kind, start, end, score>>, by kind as listed in KINDS, then by start.
+
+    Spans of one kind never overlap, those of several kinds may, and both stay.  Texts are looked through whole, however
+    long, in time that is linear in text and matches.  A column named `out` is replaced, others stay; an empty table
+    gives an empty table.
+    """
     names = set(docs.columns)
     own = lambda x: next(c for c in (f"_{x}{'_' * i}" for i in range(99)) if c not in names)
     body = own("body")

@@ -62,6 +62,7 @@ def _design(x: np.ndarray, model: dict) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
+    """The document classifier, from at most `rows` labelled documents; a base rate alone where labels are of one kind or there are none."""
     sample = training_rows(docs, labels, "quality", rows, lambda _: F.lit(True))
 
     def run(batches):
@@ -134,7 +135,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     Null and wordless texts have no evidence of their own: the features of an
     empty text decide with the site's rate.  Null hosts and paths are sites of
     their own.  Documents with contrary or null labels don't train.  Repeated rows and other
-    columns stay as they are; columns named like results are replaced.
+    columns stay as they are; columns named like results are replaced.  Very long texts are walked in segments, over
+    their whole length.  An empty table gives an empty table; without usable labels every document has the same score
+    and is kept.
     """
     model = train(docs, labels)
     sites, base = site_posteriors(docs, labels, host, path)

@@ -112,6 +112,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, kee
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", rows: int = TRAIN_ROWS) -> dict:
+    """Weights of words in sentences, from at most `rows` labelled documents whose id `keep` lets through, over their whole texts.
+
+    Null and empty texts are documents without sentences; without labels all weights are zero.
+    """
     sample = training_rows(docs, labels, label, rows, keep)
     size = 1 << BUCKET_BITS
     part = size // SLICES
