@@ -16,7 +16,7 @@ source of its own, rows that are repeated keep together, and an empty table stay
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum.llm import decontaminate, mixing, ngram_join, quality, token_files
@@ -38,20 +38,48 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return as_before(quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep"))
 
 
+def row_name() -> Column:
+    """A row's name: 64 bits of doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def row_proof() -> Column:
+    """64 bits that tell rows of one name apart, from another digest of doc_id and text; nulls differ from all values."""
+    said = F.when(F.col("text").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("text")))
+    return F.xxhash64(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), said), 256))
+
+
+def named_rows(docs: DataFrame, most_turns: int = 20) -> tuple[DataFrame, DataFrame]:
+    """docs with a name `_key` that rows share only if doc_id and text are the same, and the names that several rows have.
+
+    Names that stand for different rows are found by one aggregation of (name, proof); all their rows are named anew, until
+    none is left.  n rows have about n * n / 2**65 such pairs, three of 10**10, so a second turn is rare.
+    """
+    named = docs.withColumns({"_key": row_name(), "_proof": row_proof()})
+    for turn in range(most_turns):
+        rows = named.groupBy("_key").agg(F.count("*").alias("rows"), F.min("_proof").alias("least"), F.max("_proof").alias("most"))
+        several = stash(rows.where("rows > 1").select("_key", (F.col("least") < F.col("most")).alias("differ")), "pipeline-several")
+        shared = several.where("differ").select("_key", F.lit(True).alias("_shared"))
+        if shared.isEmpty():
+            return named.drop("_proof"), several.select("_key")
+        named = named.join(broadcast_if_small(shared, 16), "_key", "left")
+        named = named.withColumn("_key", F.when(F.col("_shared"), F.xxhash64("_key", "_proof", F.lit(turn))).otherwise(F.col("_key"))).drop("_shared")
+    raise RuntimeError("rows did not get names of their own")
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component, by doc_id (null last) and a digest of doc_id and text; rows repeated under one doc_id and text stay once."""
     small_batches(spark)
     docs, as_before = plain_names(docs, "doc_id", "text")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    keyed, twice = named_rows(docs)
     joined = ngram_join.join_documents(keyed.select(F.col("_key").alias("doc_id"), "text"), links=False).select(F.col("doc_id").alias("_key"), "component_id")
     joined = stash(joined, "pipeline-components")
-    several = stash(joined.where("component_id <> _key").select("component_id").distinct(), "pipeline-several")
+    several = stash(joined.where("component_id <> _key").select("component_id").distinct(), "pipeline-grouped")
     linked = stash(joined.join(broadcast_if_small(several, 16), "component_id").select("_key", "component_id").distinct(), "pipeline-linked")
     ids = keyed.select("doc_id", "_key").join(broadcast_if_small(linked, 24), "_key")
     best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best")).select("best._key")
     extra = linked.select("_key").join(broadcast_if_small(stash(best, "pipeline-best"), 16), "_key", "left_anti")
-    twice = joined.groupBy("_key").count().where("count > 1").select("_key")
-    extra, twice = (broadcast_if_small(stash(x, "pipeline-ids"), 16) for x in (extra, twice))
+    extra, twice = broadcast_if_small(stash(extra, "pipeline-ids"), 16), broadcast_if_small(twice, 16)
     kept = keyed.join(extra, "_key", "left_anti")
     if not twice.isEmpty():
         kept = kept.join(twice, "_key", "left_anti").unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
