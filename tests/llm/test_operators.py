@@ -389,31 +389,37 @@ def test_mixing(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def schedule_by_hand(sources):
+    """The rule itself: in every slot all sources are looked through; sources of weight zero aren't handled here."""
+    from math import ceil, floor
+
+    left, had, slot, phase, made = {n: b for n, b, _ in sources if b}, {n: 0 for n, _, _ in sources}, 0, 0, []
+    weight = {n: w for n, _, w in sources}
+    while left:
+        total, begin, j = sum(weight[n] for n in left), slot, {n: 1 for n in left}
+        share = {n: weight[n] / total for n in left}
+        while True:
+            free = [n for n in left if floor((j[n] - 1) / share[n]) <= slot - begin]
+            n = min(free, key=lambda n: (ceil(j[n] / share[n]), (j[n] / share[n]).denominator == 1, -share[n], n))  # noqa: B023
+            made.append((n, had[n], slot, phase, begin + floor((j[n] - 1) / share[n]), begin + ceil(j[n] / share[n])))
+            had[n], j[n], left[n], slot = had[n] + 1, j[n] + 1, left[n] - 1, slot + 1
+            if not left[n]:
+                del left[n]
+                phase += 1
+                break
+    return made
+
+
 def test_mixing_against_windows_by_hand():
     """The schedule against one that looks through all sources in every slot, straight from the rule; ties and sources that end included."""
     from fractions import Fraction
-    from math import ceil, floor
 
     from pactum.llm import mixing
 
     rng = random.Random(16)
     for _ in range(60):
         sources = [(f"s{k}", rng.randrange(0, 25), Fraction(rng.choice([0.1, 0.3, 1 / 3, 0.5, 1, 2, 7.7]))) for k in range(rng.randrange(1, 7))]
-        left, had, slot, phase, want = {n: b for n, b, _ in sources if b}, {n: 0 for n, _, _ in sources}, 0, 0, []
-        weight = {n: w for n, _, w in sources}
-        while left:
-            total, begin, j = sum(weight[n] for n in left), slot, {n: 1 for n in left}
-            share = {n: weight[n] / total for n in left}
-            while True:
-                free = [n for n in left if floor((j[n] - 1) / share[n]) <= slot - begin]
-                n = min(free, key=lambda n: (ceil(j[n] / share[n]), (j[n] / share[n]).denominator == 1, -share[n], n))  # noqa: B023
-                want.append((n, had[n], slot, phase, begin + floor((j[n] - 1) / share[n]), begin + ceil(j[n] / share[n])))
-                had[n], j[n], left[n], slot = had[n] + 1, j[n] + 1, left[n] - 1, slot + 1
-                if not left[n]:
-                    del left[n]
-                    phase += 1
-                    break
-        assert list(mixing.schedule(sources)) == want
+        assert list(mixing.schedule(sources)) == schedule_by_hand(sources)
 
 
 def test_mixing_of_a_million_blocks():
@@ -836,10 +842,15 @@ def test_pipeline(spark):
     assert ids > seen[0] > seen[1] >= seen[2] == seen[3] == seen[4]
 
 
-def test_near_duplicate_stage_on_shared_ids(spark):
-    """Against brute force where doc_ids are shared or null: one row of each group of linked texts stays, unique texts always."""
+@pytest.mark.parametrize("names", [None, 3])
+def test_near_duplicate_stage_on_shared_ids(spark, monkeypatch, names):
+    """Against brute force where doc_ids are shared or null: one row of each group of linked texts stays, unique texts always;
+    also where different rows are given the same few names."""
     import corpus_pipeline
 
+    if names:
+        monkeypatch.setattr(corpus_pipeline, "row_name", lambda: F.pmod(F.xxhash64("doc_id", "text"), F.lit(names)))
+
     rng = random.Random(14)
     texts = [words(rng, 80) for _ in range(8)]
     near = lambda t: t + " " + words(rng, 2)
@@ -878,6 +889,83 @@ def test_stages_against_operators_and_order(spark):
     assert mixed == [r["doc_id"] for r in mixing.mix(docs).orderBy("position").collect()]
 
 
+def test_names_of_rows(spark, monkeypatch):
+    """Rows share a name only if doc_id and text are the same, nulls and empty texts apart, however few names there are at first."""
+    import corpus_pipeline
+
+    pairs = [(k % 40, f"t{k % 60}") for k in range(400)] + [(None, None), (None, ""), (1, None), (1, ""), (None, None), (None, "-"), (1, "1:+")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in pairs], DOCS)
+    for few in (1, 7, None):
+        if few:
+            monkeypatch.setattr(corpus_pipeline, "row_name", lambda few=few: F.pmod(F.xxhash64("doc_id", "text"), F.lit(few)))
+        else:
+            monkeypatch.undo()
+        named, several = corpus_pipeline.named_rows(docs)
+        got = named.select("_key", "doc_id", "text").distinct().collect()
+        assert len(got) == len({r["_key"] for r in got}) == len(set(pairs)) and named.count() == len(pairs)
+        twice = {r["_key"] for r in several.collect()}
+        assert {(r["doc_id"], r["text"]) for r in got if r["_key"] in twice} == {p for p in pairs if pairs.count(p) > 1}
+
+
+def test_stages_by_hand(spark, tokenizer):
+    """Quality, mixing and token stages against versions that share no code with them but the trained document scores."""
+    from fractions import Fraction
+    from math import exp, log
+
+    import corpus_pipeline
+    from pactum.llm import quality
+    from pactum.llm.shared import stash
+    from tokenizers import Tokenizer
+
+    sf, rng = "/root/testdata/sf0.001", random.Random(31)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    scored = quality.classify(docs, labels).select("doc_id", "source", "lang", "doc_score").collect()
+    said = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    host, site = {}, {}
+    for r in scored:
+        for table, key in ((host, r["source"]), (site, (r["source"], r["lang"]))):
+            n, good = table.get(key, (0, 0))
+            table[key] = (n + (r["doc_id"] in said), good + said.get(r["doc_id"], 0))
+    total, good = sum(n for n, _ in host.values()), sum(g for _, g in host.values())
+    base = (good + 1) / (total + 2)
+
+    def strength(table, mean):
+        used = [(n, g, mean(key)) for key, (n, g) in table.items() if n]
+        weight = sum(n for n, _, _ in used)
+        between = max((sum((g / n - m) ** 2 * n for n, g, m in used) - sum(m * (1 - m) for _, _, m in used)) / weight, 1e-9)
+        return min(max(sum(m * (1 - m) for _, _, m in used) / len(used) / between - 1, quality.LEAST_STRENGTH), quality.MOST_STRENGTH)
+
+    s = strength(host, lambda _: base)
+    rate = {h: (g + s * base) / (n + s) for h, (n, g) in host.items()}
+    s = strength(site, lambda key: rate[key[0]])
+    logit = lambda p: log(min(max(p, 1e-6), 1 - 1e-6)) - log(1 - min(max(p, 1e-6), 1 - 1e-6))
+    trained = quality.train(docs, labels)["base"]
+    want = set()
+    for r in scored:
+        n, g = site[r["source"], r["lang"]]
+        odds = logit(r["doc_score"]) - logit(trained) + logit((g + s * rate[r["source"]]) / (n + s))
+        if 1 / (1 + exp(-odds)) >= quality.THRESHOLD:
+            want.add(r["doc_id"])
+    kept = stash(corpus_pipeline.keep_good(spark, docs, sf), "test-good")
+    assert {r["doc_id"] for r in kept.collect()} == want and 0 < len(want) < docs.count()
+
+    texts = [words(rng, 1 + k % 30) for k in range(2000)]
+    source = [rng.choice("aaaaabbcd") for _ in texts]
+    table = spark.createDataFrame([(k, t, "en", source[k], 1) for k, t in enumerate(texts)], DOCS)
+    sizes = {x: source.count(x) for x in "abcd"}
+    plan = schedule_by_hand([(x, -(-n // 64), Fraction((n / 2000) ** 0.7)) for x, n in sizes.items()])
+    order = "".join(x * min(64, sizes[x] - 64 * block) for x, block, *_ in plan)
+    mixed = stash(corpus_pipeline.in_mixed_order(spark, table.repartition(5), ""), "test-mix")
+    got = corpus_pipeline.to_token_files(spark, mixed, "", tokenizer).orderBy("start").collect()
+    assert "".join(source[r["doc_id"]] for r in got) == order and sorted(r["doc_id"] for r in got) == list(range(2000))
+    encoder, at = Tokenizer.from_file(tokenizer), 0
+    for r in got:
+        ids = [*encoder.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_token_files_keep_the_mix(spark, tokenizer):
     """The last stage writes ids in the order in which the stage before left the rows."""
     import corpus_pipeline
