@@ -9,7 +9,7 @@ from pactum.functions import text as T
 from pactum.functions import model
 from pactum.operators import analyses, approvals, audit, law_index, text_ops
 from pactum.plans.twins import TWINS
-from pactum.sources import files
+from pactum.sources import document_source, files
 from pactum.sources.domain import Domain, twin
 from pactum.streaming import audit_stream
 
@@ -73,6 +73,17 @@ def file_pages(spark, sf_dir):
     return files.pages_of_files(named)
 
 
+def stored_files(spark, sf_dir):
+    """Digests of documents as lines of text files, written by Spark and read back as pages by the data source of contract files."""
+    path, docs = files.shared_path(spark, "files"), Domain(spark, sf_dir)["documents"]
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    docs.where("doc_id is not null").select(line.alias("value")).write.text(path)
+    document_source.register(spark)
+    read = spark.read.format(document_source.NAME).option("pathGlobFilter", "part-*.txt").load(path)
+    lines = read.where(F.col("kind") == files.PAGE_ROW).select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.substring_index("line", " ", 1).cast("long").alias("doc_id"), F.substring_index("line", " ", -1).alias("text_sha256"))
+
+
 def document_json_sink(spark, sf_dir):
     """Documents written as JSON and read back."""
     path, own = files.shared_path(spark, "documents"), pages(spark, sf_dir)
@@ -223,7 +234,7 @@ def approval_stream(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        header_footer_lines, normalize_pages, clause_split, clause_stats, page_markers, file_pages, word_stats, doc_validation, document_validation, document_json_sink, clean_cells,
+        header_footer_lines, normalize_pages, clause_split, clause_stats, page_markers, file_pages, stored_files, word_stats, doc_validation, document_validation, document_json_sink, clean_cells,
         ocr_fold, assembled_pages, assembled_pages_without_ocr, keyword_entities, entity_upsert, llm_json_repair, entity_normalize, model_boundary,
         law_query_terms, law_search_top5, law_search_in_book, law_reference_blocks, law_rpc, file_crypto, audit_hours, audit_append, approval_stream,
     )
@@ -366,6 +377,7 @@ ORACLES["document_validation"] = _page("").rstrip() + f""", {_SPLIT},
         'Điều khoản rỗng (không có nội dung): ' || f.h, 'Điều khoản thiếu tiêu đề: ' || f.n, CASE
             WHEN d.doc_id % 10 >= 8 THEN 'Không tìm thấy điều khoản nào — hãy kiểm tra format tài liệu' END) AS warnings
     FROM (SELECT DISTINCT doc_id FROM page) d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id"""
+ORACLES["stored_files"] = "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents WHERE doc_id IS NOT NULL"
 ORACLES["file_pages"] = """SELECT '/in/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.pdf' WHEN 3 THEN '.exe' ELSE '' END AS path,
     CASE doc_id % 5 WHEN 0 THEN 'page' WHEN 2 THEN 'other' ELSE 'reject' END AS kind, CASE WHEN doc_id % 5 = 0 THEN 1 END AS page_number,
     CASE WHEN doc_id % 15 = 10 THEN '' WHEN doc_id % 5 = 0 THEN text || 'A' END AS text, CASE WHEN doc_id % 5 = 0 THEN 'native' END AS source, CASE

@@ -41,6 +41,7 @@ READ = "path string, kind string, page_number int, text string, source string, c
 # Kinds of rows, and what is wrong with a file.
 PAGE_ROW, REJECT_ROW, OTHER_ROW = "page", "reject", "other"
 NO_ZIP, NO_BODY, NO_XML = "Not a word-processor file: no zip archive", "Not a word-processor file: no document part", "Not a word-processor file: broken document part"
+UNREADABLE = "File can't be opened"
 
 
 def _docx_text(blob: bytes) -> str:
@@ -73,6 +74,45 @@ def _docx_text(blob: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def file_kind(path: str | None) -> str | None:
+    """Kind of a file by its path's ending; None for one that nobody reads."""
+    return FILE_TYPES.get(_ending(path))
+
+
+def _ending(path: str | None) -> str:
+    import re
+
+    found = re.search(r"\.[A-Za-z0-9]+\Z", path or "")
+    return found[0].lower() if found else ""
+
+
+def read_file(path: str | None, content) -> dict:
+    """One row of READ for a file; content() gives its bytes and is called for texts and word-processor files only."""
+    kind, page, error = file_kind(path), None, None
+    try:
+        if kind is None:
+            error = f"Unsupported file type: {_ending(path) or 'none'}"
+        elif kind == "txt":
+            page = content().decode("utf-8", "ignore")
+        elif kind == "docx":
+            page = _docx_text(content())
+    except ValueError as wrong:
+        error = str(wrong)
+    except OSError as wrong:
+        error = f"{UNREADABLE}: {type(wrong).__name__}"
+    if page is None:
+        return {"path": path, "kind": REJECT_ROW if error else OTHER_ROW, "error": error}
+    return {"path": path, "kind": PAGE_ROW, "page_number": 1, "text": page, "source": "native", "confidence": 1.0}
+
+
+def read_schema():
+    """READ as an Arrow schema."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in READ.split(", "))])
+
+
 def pages_of_files(files: DataFrame) -> DataFrame:
     """Each file (path, content) as rows of one pass: a page for a text or word-processor file, a reject with an error for one
     that can't be read, and for pictures and PDF files, whose readers are elsewhere, a row of kind other.
@@ -84,32 +124,23 @@ def pages_of_files(files: DataFrame) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
-        names = [c.split()[0] for c in READ.split(", ")]
-        schema = pa.schema([("path", pa.string()), ("kind", pa.string()), ("page_number", pa.int32()), ("text", pa.string()), ("source", pa.string()), ("confidence", pa.float64()), ("error", pa.string())])
+        schema = read_schema()
         for batch in batches:
+            paths, contents = batch.columns
             for k in range(len(batch)):
                 # one file at a time, so a batch of large files doesn't stand in memory twice
-                path, kind, told = (batch.column(c)[k].as_py() for c in ("path", "file_type", "error"))
-                blob = batch.column("content")[k].as_py() or b""
-                row = (path, REJECT_ROW if told else OTHER_ROW, None, None, None, None, told)
-                try:
-                    if kind == "txt":
-                        row = (path, PAGE_ROW, 1, blob.decode("utf-8", "ignore"), "native", 1.0, None)
-                    elif kind == "docx":
-                        row = (path, PAGE_ROW, 1, _docx_text(blob), "native", 1.0, None)
-                except ValueError as wrong:
-                    row = (path, REJECT_ROW, None, None, None, None, str(wrong))
-                yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=schema)
-
-    told = F.when(F.col("file_type").isNull(), F.concat(F.lit("Unsupported file type: "), F.coalesce(F.nullif("ext", F.lit("")), F.lit("none"))))
-    kinds = with_kinds(files.withColumn("length", F.octet_length("content"))).select("path", "file_type", told.alias("error"), F.when(F.col("file_type").isin("txt", "docx"), F.col("content")).alias("content"))
-    return kinds.mapInArrow(read, READ)
+                row = read_file(paths[k].as_py(), lambda k=k: contents[k].as_py() or b"")  # noqa: B023
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    known = with_kinds(files.withColumn("length", F.octet_length("content")))
+    return known.select("path", F.when(F.col("file_type").isin("txt", "docx"), F.col("content")).alias("content")).mapInArrow(read, READ)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """All files below a path (of any store that Spark reads) as pages_of_files gives them, dealt to tasks by their bytes.
 
-    Spark's reader passes over files without a byte.
+    Spark's reader passes over files without a byte and files beyond 2 GB end its job; the data source of document_source
+    takes both, where Arrow reads the store.
     """
     return pages_of_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
 
