@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,7 +193,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         at = f"file://{tempfile.gettempdir()}" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/pactum-core/{name}-{uuid.uuid4().hex}"
+    return noted(f"{at.rstrip('/')}/pactum-core/{name}-{uuid.uuid4().hex}")
+
+
+#: Paths made inside scratch(), by thread; None outside of it.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def noted(path: str) -> str:
+    """`path`, marked for removal at the end of the scratch() it was made in, if any."""
+    if (made := _SCRATCH.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators put in the shared folder inside this block are removed at its end, also when it fails.
+
+    Results are lazy and read those tables: write what is to stay before the block ends.  Blocks may be nested; each
+    removes its own.  Tables of other threads stay.
+
+        with scratch(spark):
+            proofs.verify_proofs(documents, stored, transactions).write.parquet(out)
+    """
+    made: list[str] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in made:
+            remove(spark, path)
 
 
 def _folder(spark: SparkSession, path: str):

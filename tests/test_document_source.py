@@ -82,3 +82,26 @@ def test_a_large_text_is_whole(spark, source, tmp_path):
     (tmp_path / "long.txt").write_text(text)
     (tmp_path / "short.txt").write_text("x")
     assert sorted(len(r["text"]) for r in load(spark, tmp_path).collect()) == [1, len(text)]
+
+
+def test_tables_of_a_block_go_with_it(spark, tmp_path):
+    """What operators write for themselves is removed at the block's end, also after an error; results written elsewhere stay."""
+    from pactum.operators.common import stash
+    from pactum.plans import catalog
+    from pactum.sources import files
+
+    sf = "/root/testdata/sf0.001"
+    base = files.shared_path(spark, "x").rsplit("/", 1)[0]
+    stay = stash(spark.range(3), "stay")
+    before = files.children(spark, base)
+    with files.scratch(spark):
+        catalog.QUERIES["document_json_sink"](spark, sf).write.parquet(f"file://{tmp_path}/out")
+        inner_before = set(files.children(spark, base))
+        with files.scratch(spark):
+            assert stash(spark.range(5), "inner").count() == 5
+        assert set(files.children(spark, base)) == inner_before > set(before)
+    with pytest.raises(ZeroDivisionError), files.scratch(spark):
+        stash(spark.range(2), "failing")
+        1 / 0  # noqa: B018
+    assert files.children(spark, base) == before and stay.count() == 3
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == catalog.QUERIES["document_json_sink"](spark, sf).count()
