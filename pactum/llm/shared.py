@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum.llm.wordhash import tidy
+from pactum.sources.files import noted
 
 #: A side is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 64 << 20
@@ -23,7 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pactum/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; inside sources.files.scratch() what is written there goes at its end."""
+    return noted(f"{shared_dir(spark)}/pactum/{name}-{uuid.uuid4().hex}")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

@@ -269,3 +269,20 @@ def test_all_item_indexes_in_one_stage(spark, monkeypatch):
     parts = decontaminate.leaked(docs, benchmark)
     assert parts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(map(tuple, parts.collect())) == whole and {(k, k % 60) for k in range(1, 150, 2)} <= {r[:2] for r in whole}
+
+
+def test_tables_of_operators_go_with_their_block(spark, tmp_path):
+    """Tables that cut lineage are removed at the end of scratch(); the written result stays and is that of a run without it."""
+    from pactum.llm import ngram_join
+    from pactum.llm.shared import fresh_path
+    from pactum.sources.files import children, scratch
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k // 4) * 50 + j}" for j in range(40))) for k in range(40)], "doc_id long, text string")
+    base = fresh_path(spark, "x").rsplit("/", 1)[0]
+    want = sorted(map(tuple, ngram_join.join_documents(docs).collect()))
+    before = children(spark, base)
+    with scratch(spark):
+        ngram_join.join_documents(docs).write.parquet(f"file://{tmp_path}/out")
+        assert len(children(spark, base)) > len(before)
+    assert children(spark, base) == before
+    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/out").collect())) == want
