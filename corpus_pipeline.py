@@ -130,7 +130,7 @@ STAGES = [
     ("token_files", to_token_files),
 ]
 
-#: The classifier, the mix and the tokenizer can't be told in SQL; tests hold the near-duplicate stage against brute force, the others against their operators.
+#: The classifier, the mix and the tokenizer can't be told in SQL; tests hold the near-duplicate, quality, mixing and token stages against versions by hand, decontamination against its operator.
 ORACLE_SQL = None
 
 
