@@ -151,6 +151,34 @@ def test_access_groups(spark):
     assert {g for u, g in groups if u == 17} == {"company:50", "brand:fpt", "brand:vin"} and (1, "all") in groups and len(groups) < 3 * len(staff)
 
 
+def test_tenant_scope_has_every_pair(spark):
+    """Every pair of a user and a company that the user sees, each once, by the rule itself; the query gives them all."""
+    from pactum.operators import registry
+    from pactum.plans import catalog
+    from pactum.sources.domain import Domain
+
+    names = {k: f"Customer {k}" for k in range(1, 40)} | {3: "FPT one", 30: "big fpt vin", 4: "Techcom", 31: "VIN fpt Techcom", 5: None, 6: "viettel"}
+    staff = [(10, 3, False), (11, 4, False), (12, 5, False), (13, None, False), (14, 99, False), (1, 7, True), (2, 99, True), (17, 30, False), (18, 31, None), (19, 6, False), (19, 6, False)]
+
+    def sees(company, superuser, c):
+        own = names.get(company) or ""
+        return superuser or company is None or company == c or any(b in own.lower() and b in (names[c] or "").lower() for b in registry.BRANDS)
+
+    companies = spark.createDataFrame([*names.items()], "id long, company_name string")
+    people = spark.createDataFrame(staff, "id long, company_id long, is_superuser boolean")
+    got = sorted(map(tuple, registry.visible_companies(people, companies).collect()))
+    assert got == sorted((u, c) for u, company, superuser in staff for c in names if sees(company, superuser, c))
+    data = "/root/testdata/sf0.001"
+    stored, known = Domain(spark, data), {r["id"]: r["company_name"].lower() for r in Domain(spark, data)["company"].collect()}
+    want = [
+        (u["id"], c)
+        for u in stored["staff"].collect()
+        for c, name in known.items()
+        if u["is_superuser"] or u["company_id"] is None or u["company_id"] == c or any(b in known.get(u["company_id"], "") and b in name for b in registry.BRANDS)
+    ]
+    assert sorted((r["user_id"], r["company_id"]) for r in catalog.QUERIES["tenant_scope"](spark, data).collect()) == sorted(want)
+
+
 @pytest.fixture
 def at(tmp_path):
     return lambda name: str(tmp_path / name)
