@@ -210,7 +210,7 @@ BOUND: dict[str, Callable[[Domain], DataFrame]] = {
     "anchor_audits": lambda d: proofs.anchor(d["stored_proof"], d["chain_tx"], d["ledger_answer"])[1],
     "latest_proof": lambda d: proofs.latest_proof(d["stored_proof"]).select("version_id", "document_hash"),
     "newest_proofs": lambda d: proofs.newest_proofs(d["stored_proof"]),
-    "chain_stats": lambda d: proofs.chain_stats(d["chain_tx"], d["stored_proof"], d["certificate"], d["sign_request"]),
+    "chain_stats": lambda d: proofs.chain_stats(d["chain_entry"], d["stored_proof"], d["certificate"], d["sign_request"]),
     "proof_history": _proof_history,
     "top_transactions": lambda d: proofs.top_transactions(d["approval"]),
     "ledger_stats": lambda d: proofs.ledger_stats(d["ledger"]),

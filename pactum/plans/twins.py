@@ -500,7 +500,7 @@ TWINS = {
     "latest_proof": "SELECT version_id, document_hash FROM {stored_proof} ORDER BY generated_at DESC, version_id DESC LIMIT 1",
     "newest_proofs": "SELECT version_id, document_hash, verified FROM {stored_proof} ORDER BY generated_at DESC, version_id DESC LIMIT 10",
     "chain_stats": r"""
-        SELECT (SELECT count(*) FROM {chain_tx}) AS transactions, (SELECT max(block_number) FROM {chain_tx}) AS latest_block, (SELECT count(*) FROM {stored_proof}) AS proofs,
+        SELECT (SELECT count(*) FROM {chain_entry}) AS transactions, (SELECT max(block_number) FROM {chain_entry}) AS latest_block, (SELECT count(*) FROM {stored_proof}) AS proofs,
             (SELECT count(*) FROM {stored_proof} WHERE verified) AS verified_proofs, (SELECT count(*) FROM {certificate}) AS certificates, (SELECT count(*)
                 FROM {sign_request}) AS signatures
     """,
