@@ -195,10 +195,28 @@ def entity_upsert(spark, sf_dir):
     return analyses.store_entities(found.unionByName(found), found.where("clause_id % 2 = 0").select(*cols))
 
 
+def _client():
+    """Stands for a model host, which no table holds: it answers in capitals, leaves some prompts open and fails on others."""
+
+    def answer(prompts: list[str]) -> list[str]:
+        if any("error" in p for p in prompts):
+            raise ConnectionError("no model host")
+        return [p.upper() if len(p) % 2 else "" for p in prompts]
+
+    return answer
+
+
 def model_boundary(spark, sf_dir):
-    """Prompts without a model host: each gets what the rule says."""
+    """All prompts put to a client, and all once more without one.
+
+    Prompts of one kind each batch, so that failures are the same at every size: rows of a failing kind keep what the rule says.
+    """
     prompts = Domain(spark, sf_dir)["events"].select("event_id", F.concat("event_type", F.repeat(F.lit("!"), (F.col("event_id") % 3).cast("int"))).alias("prompt"))
-    return model.with_answers(prompts, "prompt", None, F.concat(F.lit("rule: "), F.col("prompt")))
+    fallback = F.concat(F.lit("rule: "), F.col("prompt"))
+    fails = F.coalesce(F.contains("prompt", F.lit("error")), F.lit(False))
+    asked = [model.with_answers(prompts.where(kind), "prompt", _client, fallback) for kind in (~fails, fails)]
+    alone = model.with_answers(prompts.withColumn("event_id", -1 - F.col("event_id")), "prompt", None, fallback)
+    return asked[0].unionByName(asked[1]).unionByName(alone)
 
 
 def file_crypto(spark, sf_dir):
@@ -331,7 +349,9 @@ ORACLES["law_reference_blocks"] = twin(
         || chr(10) || 'Nội dung: ' || content, chr(10) || chr(10) ORDER BY place) || chr(10) || '[HẾT THAM CHIẾU MCP]' AS reference FROM r JOIN {law} USING (law_id) WHERE place <= 5 GROUP BY query"""
 )
 ORACLES["entity_upsert"] = f"SELECT DISTINCT id AS clause_id, entity_type, entity_value FROM ({ORACLES['keyword_entities']}) e"
-ORACLES["model_boundary"] = """SELECT event_id, event_type || repeat('!', CAST(event_id % 3 AS INT)) AS prompt, 'rule: ' || event_type || repeat('!', CAST(event_id % 3 AS INT)) AS answer FROM events"""
+ORACLES["model_boundary"] = """WITH p AS (SELECT event_id, event_type || repeat('!', CAST(event_id % 3 AS INT)) AS prompt FROM events)
+    SELECT event_id, prompt, CASE WHEN prompt NOT LIKE '%error%' AND length(prompt) % 2 = 1 THEN upper(prompt) ELSE 'rule: ' || prompt END AS answer FROM p
+    UNION ALL SELECT -1 - event_id, prompt, 'rule: ' || prompt FROM p"""
 ORACLES["approval_stream"] = twin(TWINS["approval_outcomes"])
 ORACLES["audit_append"] = twin(TWINS["audit_classify"]).join(["SELECT * FROM (", ") a WHERE action IS NOT NULL"])
 ORACLES["clean_cells"] = r"""SELECT conv_id, turn, CASE WHEN turn % 7 = 3 THEN '' ELSE trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) || ' fi1 A' END AS cell FROM conversations"""

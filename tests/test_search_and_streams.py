@@ -274,3 +274,19 @@ def test_model_boundary(spark):
     failed = model.with_answers(rows(["abc", "error"]).coalesce(1), "p", shouting, fallback)
     assert {r["p"]: r["answer"] for r in failed.collect()} == {"abc": "rule: abc", "error": "rule: error"}
     assert {r["answer"] for r in model.with_answers(rows(["abc"]), "p", None, fallback).collect()} == {"rule: abc"}
+
+
+def test_model_boundary_asks_for_every_event(spark, tmp_path):
+    """The registered query puts each prompt to its client, and each once more without one; a prompt that is null keeps its row."""
+    from pactum.plans import catalog
+
+    stored = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "event_type").collect()]
+    stored += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "an error")]
+    spark.createDataFrame(stored, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = []
+    for k, kind in stored:
+        p = None if kind is None else kind + "!" * (k % 3)
+        rule = None if p is None else f"rule: {p}"
+        want += [(k, p, p.upper() if p and "error" not in p and len(p) % 2 else rule), (-1 - k, p, rule)]
+    got = [tuple(r) for r in catalog.QUERIES["model_boundary"](spark, str(tmp_path)).select("event_id", "prompt", "answer").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any((a or "").isupper() for _, _, a in got)
