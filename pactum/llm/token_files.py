@@ -17,8 +17,8 @@ little-endian unsigned integers, 16 bits wide when the vocabulary allows.
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,10 @@ BLOCK_BYTES = 1 << 20
 ENCODE_CHARS = 1 << 21
 #: Chunks remembered with their ids in one worker, and the longest that are.
 CACHE_CHUNKS, CACHE_CHARS = 1_200_000, 14
+#: Pieces remembered that don't begin with a space, such as letters after a line feed.
+CACHE_PIECES = 100_000
+#: One of these after letters is a piece of its own.
+MARKS = frozenset(".,;:!?")
 #: Letters before this are the same in all recent versions of Unicode.
 LETTERS_END = "\u0530"
 #: White space other than spaces and line feeds.
@@ -47,8 +51,10 @@ class ChunkEncoder:
     it, so a text whose spaces all stand between other characters is the
     concatenation of its chunks (a space and what follows it).  A new chunk is
     split by the vocabulary's own pattern and its pieces go to the tokenizer's
-    model.  Texts with other white space beside a space are encoded whole, as
-    are texts that hold an added token anywhere.
+    model, if they aren't remembered: letters after a space are a chunk by
+    themselves, whatever mark follows them.  Texts with other white space
+    beside a space are encoded whole, as are texts that hold an added token
+    anywhere.
     """
 
     def __init__(self, spec: str):
@@ -83,24 +89,30 @@ class ChunkEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of what the vocabulary's splitting leaves in one piece: the model takes it as it is."""
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self._packed(self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters)))
+
+    def _packed(self, tokens) -> bytes:
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a space and a chunk; scripts whose classes depend on the Unicode version go through the whole tokenizer."""
         if chunk.isascii():
             if chunk.isalpha():
-                ids = [t.id for t in self.model.tokenize(self.space + chunk)]
-                return struct.pack(f"<{len(ids)}I", *ids)
+                return self._packed(self.model.tokenize(self.space + chunk))
         elif max(chunk) >= LETTERS_END:
             return self._alone([f" {chunk}"])[0]
         elif chunk.isalpha():
             return self._piece(f" {chunk}")
+        if chunk[-1] in MARKS and chunk[:-1].isalpha():
+            mark = chunk[-1]
+            return self.memory[chunk[:-1]] + (self.short[mark] if mark in self.short else self._remember(mark))
         return b"".join([self.short[x] if x in self.short else self._remember(x) for x in self.pattern.findall(f" {chunk}")])
 
     def _remember(self, piece: str) -> bytes:
+        if len(piece) > 2 and piece[0] == " " and piece[1:].isalpha():
+            return self.memory[piece[1:]]
         ids = self._piece(piece)
-        if len(piece) <= 2:
+        if len(piece) <= 2 or piece[0] != " " and len(piece) <= CACHE_CHARS and len(self.short) < CACHE_PIECES:
             self.short[piece] = ids
         return ids
 

@@ -774,6 +774,31 @@ def test_added_tokens_beside_accents(tokenizer):
     assert token is not None and [token in ids for ids in want] == [True] * 5 + [False] * 2
 
 
+def test_letters_before_marks_are_remembered(tokenizer):
+    """The model is asked once for letters, whatever mark or line feed follows them, and ids are the tokenizer's own."""
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    from pactum.llm import token_files
+
+    whole, own = Tokenizer.from_file(tokenizer), token_files.ChunkEncoder(Path(tokenizer).read_text(encoding="utf-8"))
+    asked, model = [], own.model
+
+    class Asked:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return model.tokenize(piece)
+
+    own.model = Asked()
+    texts = ["x deséoiench deséoiench, deséoiench. (deséoiench) deséoiench.\nHeeror deséoiench;\nHeeror", "x Heeror Heeror! Heeror? Heeror: don't don' 12, 12. ., !! a.b. ½. đ. 你好. ǅ, ª: \u0345. \u0301!"]
+    texts += ["x " + "long" * 40 + ". " + "long" * 40 + "," , "a .", "a. b.", "a , b"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts[::-1])] == want[::-1]
+    assert sum("Heeror" in p for p in asked) == 2 and sum("oiench" in p for p in asked) == 2
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
