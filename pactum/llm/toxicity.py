@@ -48,7 +48,10 @@ def _sentences(words) -> np.ndarray:
 
 
 def _units(column):
-    """Yield, for each text, (words' buckets, sentence numbers, byte starts, byte ends) over the whole text, in pieces for very long ones."""
+    """Yield, for each text, (words' buckets, sentence numbers, byte starts, byte ends) over the whole text, in pieces for very long ones.
+
+    Every piece has words: a text without any (null, empty, blank) has no piece, wherever it stands among others.
+    """
     n, pending = 0, None
     for first, w in runs(column):
         sentence = _sentences(w)
@@ -57,6 +60,8 @@ def _units(column):
         top = int(w.doc[-1]) if len(w.doc) else -1
         cut = np.searchsorted(w.doc, np.arange(top + 2))
         for d in range(top + 1):
+            if cut[d] == cut[d + 1]:
+                continue
             own = slice(cut[d], cut[d + 1])
             piece = (bucket[own], sentence[own], w.start[own], w.end[own], w)
             if pending is not None and pending[0] == first + d:

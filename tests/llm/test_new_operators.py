@@ -256,6 +256,23 @@ def test_training_rows_are_bounded(spark):
     assert len(every) == 39 and sum(r["_label"] for r in every) == 19
 
 
+def test_texts_without_words_stand_anywhere(spark):
+    """Null, empty and blank texts before and between others, in training and in scoring: no sentences, score 0, and the others score as without them."""
+    from pactum.llm.toxicity import score, train
+
+    rng = random.Random(47)
+    blanks = [None, "", " \n\t ", "\u000b"]
+    said = [". ".join(" ".join(f"w{rng.randrange(200)}" for _ in range(8)) for _ in range(4)) + (" nastyword." if k % 3 == 0 else ".") for k in range(90)] + ["long words. " * 110_000]
+    texts = [t for k, text in enumerate(said) for t in (blanks[k % 4], text)]
+    frame = lambda rows: spark.createDataFrame([*enumerate(rows)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(2 * k + j, int(j and k % 3 == 0), 0) for k in range(90) for j in (0, 1)], "doc_id long, toxic int, quality int")
+    model = train(frame(texts), labels, lambda _: F.lit(True))
+    got = [tuple(r) for r in score(frame(texts), model).orderBy("doc_id").select("score", "n_sentences", "offending").collect()]
+    assert got[::2] == [(0.0, 0, [])] * len(said)
+    assert got[1::2] == [tuple(r) for r in score(frame(said), model).orderBy("doc_id").select("score", "n_sentences", "offending").collect()]
+    assert all((s >= 0.5) == (k % 3 == 0) for k, (s, _, _) in enumerate(got[1:180:2]))
+
+
 def test_all_item_indexes_in_one_stage(spark, monkeypatch):
     from pactum.llm import decontaminate
 
