@@ -179,6 +179,32 @@ def test_tenant_scope_has_every_pair(spark):
     assert sorted((r["user_id"], r["company_id"]) for r in catalog.QUERIES["tenant_scope"](spark, data).collect()) == sorted(want)
 
 
+def test_tenant_scope_is_stored_in_little(spark, tmp_path, monkeypatch):
+    """A pair takes a small part of a byte in a columnar file, with more users than a page has rows too; runs of any length give every pair, also of repeated and null ids."""
+    from pactum.operators import registry
+
+    companies = spark.range(1, 301).selectExpr("id", "concat('Customer ', id) AS company_name")
+    people = spark.range(24_000).selectExpr("id * 7919 % 1000003 AS id", "CAST(NULL AS BIGINT) AS company_id", "false AS is_superuser")
+    registry.visible_companies(people, companies).write.parquet(f"{tmp_path}/pairs")
+    stored = spark.read.parquet(f"{tmp_path}/pairs")
+    assert tuple(stored.selectExpr("count(*)", "count(DISTINCT user_id)", "sum(company_id)").first()) == (7_200_000, 24_000, 24_000 * 45_150)
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 0.4 * 7_200_000
+    names = [(k % 40, f"{('FPT', 'plain', 'vin Techcom', None)[k % 4]} {k}" if k % 4 < 3 else None) for k in range(70)] + [(None, "fpt"), (None, "none")]
+    staff = [(k, (None, 4, 6, 1, 77)[k % 5], k % 7 == 0) for k in range(15)] + [(3, 1, None)]
+    rows = [
+        (u, c)
+        for u, company, superuser in staff
+        for own in ([n for c, n in names if c == company and c is not None] or [None])
+        for c, n in names
+        if superuser or company is None or (own is not None or company in dict(names)) and c == company or any(b in (own or "").lower() and b in (n or "").lower() for b in registry.BRANDS)
+    ]
+    for run, of in ((128, 8192), (3, 5), (1, 1)):
+        monkeypatch.setattr(registry, "RUN", run)
+        monkeypatch.setattr(registry, "LIST", of)
+        got = registry.visible_companies(spark.createDataFrame(staff, "id long, company_id long, is_superuser boolean"), spark.createDataFrame(names, "id long, company_name string"))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_chain_stats_count_every_event(spark):
     """All totals against the stored tables: no transaction of the ledger is left out."""
     from pactum.plans import catalog
